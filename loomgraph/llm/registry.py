@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, line_dedup, mixing, simhash, toxicity
+from loomgraph.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash, substring_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,10 +23,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
@@ -42,7 +50,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontamination, op5_simhash, op8_mixing, op10_toxicity, pipeline]
+    own = [op1_line_dedup, op2_decontamination, op4_embedding_dedup, op5_simhash, op6_substring_dedup, op8_mixing, op10_toxicity, pipeline]
     return {q.__name__: q for q in own}
 
 
@@ -62,5 +70,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, COALESCE(n_hit, 0)::BIGINT AS n_hit, C
 FROM d LEFT JOIN hit USING (rid) LEFT JOIN items USING (rid)"""
 
 
+OP4_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, COALESCE(n.n, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN low USING (vec_id) LEFT JOIN n USING (vec_id)"""
+
+OP6_SQL = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, COALESCE(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT rid, unnest(range(1, len(w) - 33)) AS i, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS m FROM d WHERE len(w) >= 35),
+twice AS (SELECT m FROM g GROUP BY m HAVING count(*) > 1),
+gone AS (SELECT rid, list(DISTINCT k) AS ks FROM (SELECT rid, unnest(range(i, i + 35)) AS k FROM g SEMI JOIN twice USING (m)) GROUP BY rid),
+flags AS (SELECT rid, k, TRUE AS gone FROM (SELECT rid, unnest(ks) AS k FROM gone)),
+word AS (SELECT rid, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM d),
+kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word ANTI JOIN flags USING (rid, k) GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_mixing": mixing.mixture_sql()}
+    return {"op2_decontamination": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": mixing.mixture_sql()}
