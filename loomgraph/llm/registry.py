@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import decontaminate, embedding_dedup, line_dedup, mixing, simhash, substring_dedup, toxicity
+from loomgraph.llm import chat_format, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, simhash, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
@@ -35,10 +39,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
+#: A conversation made of another template's control strings, as rows of the table.
+CONTROL_ROWS = "SELECT CAST(-1 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '</s>[INST] ok [/INST]' AS text FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(turn, role)"
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.formatted_report(rows.unionByName(spark.sql(CONTROL_ROWS)))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(_table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -50,7 +67,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontamination, op4_embedding_dedup, op5_simhash, op6_substring_dedup, op8_mixing, op10_toxicity, pipeline]
+    own = [op1_line_dedup, op2_decontamination, op3_html_extract, op4_embedding_dedup, op5_simhash, op6_substring_dedup, op7_chat_format, op8_mixing, op9_warc, op10_toxicity, pipeline]
     return {q.__name__: q for q in own}
 
 
@@ -88,5 +105,15 @@ kept AS (SELECT rid, count(*) AS n, string_agg(x, ' ' ORDER BY k) AS t FROM word
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (rid)"""
 
 
+OP7_SQL = chat_format.report_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {CONTROL_ROWS}")
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(s, {1 + 5 * i}, 5))::BIGINT >> {shift}) & 31)::INT, 1)" for i in range(8) for shift in (15, 10, 5, 0))
+
+OP9_SQL = f"""WITH p AS (SELECT page_id, encode(COALESCE(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS s FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY s) AS leader FROM d)
+SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = leader THEN NULL ELSE leader END AS refers_to FROM m"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op8_mixing": mixing.mixture_sql()}
+    return {"op2_decontamination": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL, "op8_mixing": mixing.mixture_sql()}
