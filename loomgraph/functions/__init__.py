@@ -1 +1 @@
-
+"""Column functions: text, hashes, paths, JSON, globs."""

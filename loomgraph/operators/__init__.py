@@ -1 +1 @@
-
+"""Operators on run logs, overlays, graphs and their tables."""

@@ -1 +1 @@
-
+"""The run log as a stream."""
