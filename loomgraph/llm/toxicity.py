@@ -10,6 +10,8 @@ regression on a document's marginals gives its score, and runs of toxic words th
 from __future__ import annotations
 
 import re
+import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,12 +22,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: At most so many labelled documents of each class, and so many bytes of each class, fit the model.
-TRAIN_DOCS = 1500
-TRAIN_BYTES = 8_000_000
+TRAIN_DOCS = 1200
+TRAIN_BYTES = 2_500_000
 PREFIXES = (4, 5, 6, 7)
 BIAS = b"\x00"
 LEAST_LOG_ODDS = 2.5
-#: A feature is evidence from so many toxic documents on; near copies (equal ends) count as one.
+#: A feature is evidence from so many toxic documents on; a family of near copies counts as one.
 LEAST_DOCS = 4
 _SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
@@ -131,28 +133,40 @@ def pair_counts(e: np.ndarray, forward: np.ndarray, backward: np.ndarray, inner:
     return (joint / joint.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
 
 
-def doc_features(marginals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """By text: log of the expected toxic words, the largest marginal, the log share of toxic words, 1."""
-    out = np.zeros((len(sizes), 4))
+def doc_features(marginals: np.ndarray, token_lists: list[list[bytes]]) -> np.ndarray:
+    """By text: log of the expected number of different toxic words, the largest marginal, the log share of toxic words, 1."""
+    out = np.zeros((len(token_lists), 4))
     out[:, 3] = 1
     out[:, 0] = out[:, 2] = np.log(1e-3)
-    some = sizes > 0
-    if some.any():
-        starts = np.concatenate(([0], np.cumsum(sizes[some])[:-1]))
-        total, top = np.add.reduceat(marginals, starts), np.maximum.reduceat(marginals, starts)
-        out[some, 0], out[some, 1], out[some, 2] = np.log(total + 1e-3), top, np.log(total / sizes[some] + 1e-3)
+    at = 0
+    for k, words in enumerate(token_lists):
+        if words:
+            own = marginals[at : at + len(words)]
+            at += len(words)
+            different: dict[bytes, float] = {}
+            hot = np.flatnonzero(own > 0.02)
+            for i, p in zip(hot.tolist(), own[hot].tolist(), strict=True):
+                different[words[i]] = max(p, different.get(words[i], 0.0))
+            out[k, :3] = np.log(sum(different.values()) + 1e-3), own.max(), np.log(own.mean() + 1e-3)
     return out
 
 
+def _in_family(words: set[bytes], n: int, seen: dict[int, list[int]]) -> bool:
+    """Whether an earlier document of the sample shares 3 of this one's 8 least hashes of long words."""
+    least = sorted(zlib.crc32(w) for w in words if len(w) >= 6)[:8]
+    shared = Counter(k for h in least for k in seen.get(h, ()))
+    for h in least:
+        seen.setdefault(h, []).append(n)
+    return bool(shared) and max(shared.values()) >= min(3, len(least))
+
+
 def _seeds(texts: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
     """Features whose documents are far more often toxic than clean, with their log odds."""
     counts = {True: Counter(), False: Counter()}
-    ends: set[tuple] = set()
-    for words, y in zip(texts, toxic, strict=True):
-        own = {("head", *words[:6]), ("tail", *words[-6:])}
-        if y and own & ends:
+    seen: dict[int, list[int]] = {}
+    for n, (words, y) in enumerate(zip(texts, toxic, strict=True)):
+        if y and _in_family(set(words), n, seen):
             continue
-        ends |= own if y else set()
         counts[bool(y)].update({f for w in set(words) for f in features(w)[:-1]})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
     odds = {}
@@ -164,17 +178,24 @@ def _seeds(texts: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
     return odds
 
 
-def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, rounds: int = 30) -> Model:
-    """clean_weight: how many clean documents of the corpus one of the sample stands for, against one toxic one."""
-    y = np.array(toxic, dtype=bool)
-    token_lists = [words_of(t) for t in texts]
-    if not y.any() or y.all():
-        return Model({}, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, 4.0 if y.any() else -4.0]))
+def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, rounds: int = 25) -> Model:
+    """The field is fitted on two of three texts, the regression on the others, which the field has not seen.
+
+    clean_weight: how many clean documents of the corpus one of the sample stands for, against one toxic one.
+    """
+    every = np.array(toxic, dtype=bool)
+    unseen = np.arange(len(texts)) % 3 == 2
+    if every[unseen].all() or not every[unseen].any():
+        unseen = np.zeros(len(texts), dtype=bool)
+    if not every.any() or every.all():
+        return Model({}, np.zeros((2, 2)), np.array([0.0, 0.0, 0.0, 4.0 if every.any() else -4.0]))
+    y = every[~unseen]
+    token_lists = [words_of(t) for t, u in zip(texts, unseen, strict=True) if not u]
     seeds = _seeds(token_lists, y)
     sizes = np.array([len(t) for t in token_lists])
     vocabulary: dict[bytes, int] = {}
     index: dict[bytes, int] = {}
-    ids, rows = [], []
+    ids, rows = array("i"), []
     for words in token_lists:
         for w in words:
             k = vocabulary.get(w)
@@ -182,7 +203,8 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, rounds: i
                 k = vocabulary[w] = len(rows)
                 rows.append([index.setdefault(f, len(index)) for f in features(w) if f in seeds or f == BIAS])
             ids.append(k)
-    word = np.array(ids, dtype=np.int64)
+    word = np.array(ids, dtype=np.int32)
+    del ids, token_lists, vocabulary
     flat, ends = np.array([f for r in rows for f in r], dtype=np.int64), np.cumsum([len(r) for r in rows])
     begins = np.concatenate(([0], ends[:-1]))
     seeded = np.array([len(r) > 1 for r in rows], dtype=bool)
@@ -209,22 +231,47 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, rounds: i
         sum_t += gt * gt
         w += gw / np.sqrt(sum_w)
         trans += 0.5 * gt / np.sqrt(sum_t)
-    e = np.add.reduceat(w[flat], begins)[word]
-    marginals, _, _ = chain(e, live, trans)
-    doc = _logistic(doc_features(marginals, sizes), y, np.where(y, 1.0, clean_weight))
     names = list(index)
-    return Model({names[i]: float(x) for i, x in enumerate(w) if abs(x) > 1e-3}, trans, doc)
+    model = Model({names[i]: float(x) for i, x in enumerate(w) if abs(x) > 1e-3}, trans, np.zeros(4))
+    held = np.flatnonzero(unseen if unseen.any() else ~unseen).tolist()
+    x = np.concatenate([_text_features(model, texts[k : k + 1]) for k in held])
+    model.doc = _logistic(x, every[held], np.where(every[held], 1.0, clean_weight))
+    return model
+
+
+def _text_features(model: Model, texts: list[str | None]) -> np.ndarray:
+    return _marginals(model, texts)[1]
+
+
+def _marginals(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' marginals, the texts' features and their numbers of words."""
+    token_lists = [words_of(t) for t in texts]
+    sizes = np.array([len(t) for t in token_lists], dtype=np.int64)
+    some = sizes > 0
+    if not some.any():
+        return np.empty(0), doc_features(np.empty(0), token_lists), sizes
+    e = np.concatenate([model.emissions(t) for t in token_lists if t])
+    marginals = chain(e, sizes[some], model.trans)[0]
+    return marginals, doc_features(marginals, token_lists), sizes
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Newton steps with a ridge."""
+    """Newton steps with a ridge, halved while the loss grows."""
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return float(weight @ (np.logaddexp(0, z) - y * z)) + 0.05 * float(beta @ beta)
+
     beta = np.zeros(x.shape[1])
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         grad = x.T @ (weight * (y - p)) - 0.1 * beta
         hess = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(x.shape[1])
         step = np.linalg.solve(hess, grad)
-        beta += np.clip(step, -5, 5)
+        scale = 1.0
+        while loss(beta + scale * step) > loss(beta) and scale > 1e-6:
+            scale /= 2
+        beta = beta + scale * step
         if np.abs(step).max() < 1e-8:
             break
     return beta
@@ -232,14 +279,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 def score_texts(model: Model, texts: list[str | None]) -> tuple[np.ndarray, list[list[int]]]:
     """Scores, and by text a flat list of (start, end) code point offsets of its runs of toxic words."""
-    token_lists = [words_of(t) for t in texts]
-    sizes = np.array([len(t) for t in token_lists], dtype=np.int64)
-    some = sizes > 0
-    marginals = np.empty(0)
-    if some.any():
-        e = np.concatenate([model.emissions(t) for t in token_lists if t])
-        marginals, _, _ = chain(e, sizes[some], model.trans)
-    x = doc_features(marginals, sizes)
+    marginals, x, sizes = _marginals(model, texts)
     scores = 1 / (1 + np.exp(-np.clip(x @ model.doc, -35, 35)))
     spans, at = [], 0
     for text, n in zip(texts, sizes.tolist(), strict=True):
