@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import glob_regex
+from loomgraph.functions.text import glob_regex, is_id, is_relative_path
 from loomgraph.operators.graphs import on_cycles, with_ends
 
 COLUMNS = ("code", "severity", "node_id", "edge_id", "message")
@@ -116,6 +120,80 @@ def containment_cycles(references: DataFrame) -> DataFrame:
     return _found(rows, "subgraph-cycle", F.format_string('graph "%s" contains itself', "id"), node=F.col("id"))
 
 
+NODE_FIELDS = {"io": (), "code": (), "agent": ("ref",), "subgraph": ("ref",)}
+EDGE_KINDS = ("flow", "capability")
+
+
+def _broken(rows: DataFrame, where: str, tests: dict[str, Column]) -> DataFrame:
+    """Rows that break a shape test, with the pointer to the field."""
+    issues = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(field)) for field, ok in tests.items()]), lambda x: x.isNotNull())
+    bad = rows.select("graph_path", "ord", "id", F.explode(issues).alias("field"))
+    return _found(bad, "invalid-manifest", F.format_string(f"%s#/spec/{where}/%d/%s", "graph_path", "ord", "field"), **{where[:-1]: F.col("id")})
+
+
+def malformed(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Manifests that do not parse, and nodes and edges of the wrong shape; the message is file and JSON pointer."""
+    unread = _found(documents.where("document is null"), "invalid-manifest", F.concat("path", F.lit("#")))
+    kind = F.col("type")
+    relative = lambda c: F.col(c).isNull() | is_relative_path(F.col(c))
+    node_tests = {
+        "id": is_id(F.col("id")), "type": kind.isin(*NODE_FIELDS), "direction": (kind != "io") | F.coalesce(F.col("direction").isin("in", "out"), F.lit(False)),
+        "ref": ~kind.isin("agent", "subgraph") | F.coalesce(is_relative_path(F.col("ref")), F.lit(False)), "entrypoint": relative("entrypoint"), "schema": relative("schema"),
+    }
+    edge_tests = {"id": is_id(F.col("id")), "kind": F.col("kind").isin(*EDGE_KINDS), "from/node": is_id(F.col("src")), "to/node": is_id(F.col("dst"))}
+    return _all([unread, _broken(nodes, "nodes", node_tests), _broken(edges, "edges", edge_tests)])
+
+
+# The simple types of JSON Schema, and keywords by the shape of their values.
+JSON_TYPES = {"null", "boolean", "object", "array", "number", "integer", "string"}
+SCHEMA_OF, SCHEMAS_OF, LISTS_OF = ("items", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else"), ("properties", "patternProperties", "$defs", "dependentSchemas"), ("allOf", "anyOf", "oneOf", "prefixItems")
+COUNTS = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "minContains", "maxContains")
+
+
+def schema_problem(schema: object, at: str = "") -> str | None:
+    """What keeps a value from being a JSON Schema, or None."""
+    if isinstance(schema, bool):
+        return None
+    if not isinstance(schema, dict):
+        return f"{at or '/'} must be an object or a boolean"
+    kinds = schema.get("type", [])
+    if not set(kinds if isinstance(kinds, list) else [kinds]) <= JSON_TYPES:
+        return f"{at}/type is not a type"
+    wrong = [k for k in COUNTS if k in schema and not (isinstance(schema[k], int) and schema[k] >= 0)]
+    wrong += [k for k in ("required",) if k in schema and not (isinstance(schema[k], list) and all(isinstance(x, str) for x in schema[k]) and len(set(schema[k])) == len(schema[k]))]
+    wrong += [k for k in ("enum",) if k in schema and not isinstance(schema[k], list)]
+    wrong += [k for k in SCHEMAS_OF if not isinstance(schema.get(k, {}), dict)] + [k for k in LISTS_OF if k in schema and not (isinstance(schema[k], list) and schema[k])]
+    if "pattern" in schema:
+        try:
+            re.compile(schema["pattern"])
+        except (re.error, TypeError):
+            wrong.append("pattern")
+    if wrong:
+        return f"{at}/{wrong[0]} has the wrong shape"
+    inner = [(k, schema[k]) for k in SCHEMA_OF if k in schema] + [(f"{k}/{n}", v) for k in SCHEMAS_OF for n, v in schema.get(k, {}).items()] + [(f"{k}/{n}", v) for k in LISTS_OF for n, v in enumerate(schema.get(k, []))]
+    return next((found for k, v in inner if (found := schema_problem(v, f"{at}/{k}"))), None)
+
+
+def schemas(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """io nodes whose schema file is missing, is no JSON, or is no JSON Schema.  Each file is judged once."""
+    asked = nodes.where("type = 'io' AND schema IS NOT NULL").withColumn("path", F.col("schema"))
+    missing = missing_files(asked, files, "schema", "unresolved-schema")
+
+    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(text: str) -> str | None:
+            try:
+                return schema_problem(json.loads(text))
+            except ValueError:
+                return "is not valid JSON"
+
+        for part in parts:
+            yield pd.DataFrame({"path": part["path"], "problem": part["content"].map(one)})
+
+    judged = files.join(asked.select("path").distinct(), "path", "left_semi").where("content is not null").select("path", "content").mapInPandas(judge, "path string, problem string").where("problem is not null")
+    bad = asked.join(judged, "path")
+    return missing.unionByName(_found(bad, "invalid-json-schema", F.format_string('schema file "%s": %s', "path", "problem"), node=F.col("id")))
+
+
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

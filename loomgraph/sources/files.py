@@ -60,7 +60,7 @@ def documents(files: DataFrame) -> DataFrame:
 
 
 #: The shape of a graph document.
-GRAPH = "kind string, spec struct<nodes: array<struct<id: string, type: string, direction: string, ref: string, entrypoint: string, include: array<string>>>, edges: array<struct<id: string, kind: string, from: struct<node: string>, to: struct<node: string, function: string>>>>"
+GRAPH = "kind string, spec struct<nodes: array<struct<id: string, type: string, direction: string, schema: string, ref: string, entrypoint: string, include: array<string>>>, edges: array<struct<id: string, kind: string, from: struct<node: string>, to: struct<node: string, function: string>>>>"
 
 
 def graph_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

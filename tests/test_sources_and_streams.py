@@ -79,3 +79,25 @@ def test_idle_sessions_close_behind_the_watermark(spark, tmp_path):
     closed = []
     live.follow(live.idle(live.read_log(spark, log)), lambda b, _: closed.extend(r.events for r in b.collect()), str(tmp_path / "cp")).awaitTermination()
     assert closed == [2]
+
+
+def test_a_project_in_one_go(spark):
+    from loomgraph.sources import bundle
+
+    graph = "kind: Graph\nspec:\n  nodes:\n    - { id: a, type: io, direction: in, schema: s.json }\n    - { id: b, type: io, direction: out, schema: none.json }\n    - { id: c, type: io, direction: out, schema: bad.json }\n    - { id: step, type: code, entrypoint: step.py }\n    - { id: again, type: subgraph, ref: g.yaml }\n    - { id: Bad, type: odd }\n  edges:\n    - { id: e, kind: flow, from: { node: a }, to: { node: step } }\n    - { id: f, kind: other, from: { node: step }, to: { node: b } }\n"
+    project = files.in_memory(spark, {"g.yaml": graph, "broken.yaml": "a: [", "s.json": '{"type": "object", "required": ["x"]}', "bad.json": '{"properties": {"x": {"type": "text"}}}', "step.py": "def handler(x: int) -> str: ..."})
+    got = bundle.load(project)
+    found = {(r.code, (r.node_id or r.edge_id or r.message).split("#")[-1]) for r in got.diagnostics.collect()}
+    assert {("unresolved-schema", "b"), ("invalid-json-schema", "c"), ("subgraph-cycle", "g.yaml"), ("invalid-manifest", "Bad"), ("invalid-manifest", "f"), ("invalid-manifest", "")} <= found
+    assert ("invalid-json-schema", "a") not in found
+    assert got.contracts.select("name", "path").first() == ("handler", "step.py")
+    assert [r.id for r in bundle.reachable(got.nodes, spark.createDataFrame([("g.yaml",)], "id string")).collect()] == ["g.yaml"]
+
+
+def test_schema_problems():
+    from loomgraph.operators.validation import schema_problem
+
+    good = [True, {}, {"type": ["string", "null"], "minLength": 1}, {"anyOf": [{"enum": [1]}], "items": {"pattern": "^a"}}]
+    bad = [[], "x", {"type": "text"}, {"required": "x"}, {"required": ["a", "a"]}, {"minLength": -1}, {"anyOf": []}, {"items": {"pattern": "("}}, {"properties": []}, {"properties": {"a": 3}}]
+    assert [schema_problem(s) for s in good] == [None] * len(good)
+    assert all(schema_problem(s) for s in bad)
