@@ -26,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return set_already.get().rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB in this session: what a Python worker holds of the texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Small intermediate: an eager reliable checkpoint."""
     shared_dir(df.sparkSession)

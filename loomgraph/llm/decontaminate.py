@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import bounded_batches
+
 WINDOW = 10
 #: Words of test items in one automaton (about 100 bytes each on the driver and each worker).  More
 #: items make more automata, one after the other.
@@ -200,6 +202,7 @@ def _scan(shared: object) -> object:
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """docs with __loom_text (binary), __loom_spans (flat list of disjoint runs of hit words) and __loom_items (names of the items hit)."""
     spark: SparkSession = docs.sparkSession
+    bounded_batches(spark)
     out = docs.withColumn("__loom_text", F.col(text_col).cast("binary")).withColumn("__loom_spans", F.lit(None).cast("array<int>")).withColumn("__loom_items", F.lit(None).cast("array<string>"))
     for automaton in automata(items, id_col, item_text, window, block_words):
         out = out.mapInArrow(_scan(spark.sparkContext.broadcast(automaton)), out.schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, join_labels, written
+from loomgraph.llm.common import bounded_batches, components, join_labels, written
 
 LEAST_COSINE = 0.98
 PASSES = 12
@@ -207,6 +207,7 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     component has no link and is its own component.  Repeated rows are vectors of their own and link; a
     null id is never a component's smallest unless there is no other.  Equal vectors travel as one.
     """
+    bounded_batches(vectors.sparkSession)
     element = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
     wide = F.col(vector_col) if element == "<f4" else F.col(vector_col).cast("array<double>")
     given = vectors.select(F.col(id_col).alias("i"), F.col(label_col).alias("label"), wide.alias("v"))

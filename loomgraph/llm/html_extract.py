@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import bounded_batches
+
 SHORT_CHARS = 70
 GOOD_DENSITY = 0.2
 BAD_LINKS = 0.5
@@ -185,6 +187,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: id, url, text, n_chars (code points).  A null or empty page has the empty text."""
+    bounded_batches(pages.sparkSession)
     given = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("html"))
     schema = given.select("i", "u", F.lit(None).cast("string").alias("text")).schema
     return given.mapInArrow(_extract, schema).select(F.col("i").alias(id_col), F.col("u").alias(url_col), "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import components, join_labels, text_hash, written
+from loomgraph.llm.common import bounded_batches, components, join_labels, text_hash, written
 
 THRESHOLD = 3
 #: A-Z to a-z, the white space \x09-\x0D to a space, all else as it is.
@@ -164,6 +164,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, h, fp) of each row: h is the text's hash, fp the fingerprint as a signed long.  Written to the shared folder."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return written(rows.mapInArrow(_fingerprints, f"id {kind}, h bigint, fp bigint"), "fingerprints")

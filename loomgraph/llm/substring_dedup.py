@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import text_hash, written
+from loomgraph.llm.common import bounded_batches, text_hash, written
 
 WINDOW = 35
 #: Words of the pieces among which the minimizer is chosen.
@@ -215,6 +215,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     too; runs are judged on the input.  A null text has no words; texts shorter than the window lose
     nothing; repeated rows are repeats of each other.  Empty tables give an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).cast("binary").alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     spans = repeated_spans(rows, window, k).groupBy("id", "h").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

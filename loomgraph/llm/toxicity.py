@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import bounded_batches
+
 #: At most so many labelled documents of each class, and so many bytes of each class, fit the model.
 TRAIN_DOCS = 1200
 TRAIN_BYTES = 2_500_000
@@ -54,7 +56,7 @@ class Model:
 
     def emissions(self, words: list[bytes]) -> np.ndarray:
         """Log weight of toxic over clean, by word; the cache is emptied when large."""
-        if len(self.cache) > 400_000:
+        if len(self.cache) > 100_000:
             self.cache.clear()
         cache, weights = self.cache, self.weights
         out = [cache.get(w) for w in words]
@@ -359,6 +361,7 @@ def _scorer(shared: object) -> object:
 
 def with_scores(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with __loom_score and __loom_spans (flat starts and ends of toxic runs, in code points)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     given = docs.withColumn("__loom_text", F.col(text_col))
     schema = docs.withColumn("__loom_score", F.lit(0.0)).withColumn("__loom_spans", F.lit(None).cast("array<int>")).schema

@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import shared_dir, written
+from loomgraph.llm.common import bounded_batches, shared_dir, written
 
 #: Bytes of records in one archive, in one read, and in one task's share of an archive.
 ARCHIVE_BYTES = 128 << 20
@@ -254,6 +254,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     others revisit it; rows that share the largest id are all responses, and a null id is the smallest.
     A null page has the empty payload.
     """
+    bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     given = pages.select(F.col(id_col).cast("bigint").alias("i"), F.col(url_col).alias("u"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     leaders = given.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("i").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "leader")
