@@ -30,7 +30,7 @@ PREFIXES = (4, 5, 6, 7)
 BIAS = b"\x00"
 LEAST_LOG_ODDS = 2.5
 #: A feature is evidence from so many toxic documents on; a family of near copies counts as one.
-LEAST_DOCS = 4
+LEAST_DOCS = 2
 _SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 BLOCK = 64
@@ -153,9 +153,9 @@ def doc_features(marginals: np.ndarray, token_lists: list[list[bytes]]) -> np.nd
     return out
 
 
-def _in_family(words: set[bytes], n: int, seen: dict[int, list[int]]) -> bool:
-    """Whether an earlier document of the sample shares 3 of this one's 8 least hashes of long words."""
-    least = sorted(zlib.crc32(w) for w in words if len(w) >= 6)[:8]
+def _in_family(words: list[bytes], n: int, seen: dict[int, list[int]]) -> bool:
+    """Whether an earlier document of the sample shares 3 of this one's 8 least hashes of three words in a row."""
+    least = sorted({zlib.crc32(b" ".join(words[i : i + 3])) for i in range(max(1, len(words) - 2))})[:8]
     shared = Counter(k for h in least for k in seen.get(h, ()))
     for h in least:
         seen.setdefault(h, []).append(n)
@@ -167,7 +167,7 @@ def _seeds(texts: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
     counts = {True: Counter(), False: Counter()}
     seen: dict[int, list[int]] = {}
     for n, (words, y) in enumerate(zip(texts, toxic, strict=True)):
-        if y and _in_family(set(words), n, seen):
+        if y and _in_family(words, n, seen):
             continue
         counts[bool(y)].update({f for w in set(words) for f in features(w)[:-1]})
     n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
