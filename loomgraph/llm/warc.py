@@ -258,6 +258,7 @@ def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     given = pages.select(F.col(id_col).cast("bigint").alias("i"), F.col(url_col).alias("u"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     leaders = given.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("i").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "leader")
+    leaders = written(leaders, "leaders")  # joined as a table, so that the rows of a very common payload can be split
     response = F.col("leader").isNull() | F.col("i").eqNullSafe(F.col("leader"))
     met = given.join(leaders, "digest", "left").select("i", "u", "payload", "digest", response.alias("response"), "leader")
     return written(met.mapInArrow(_write(root, archive_bytes), "path string, records bigint"), "manifest")
