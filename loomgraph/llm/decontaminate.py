@@ -43,20 +43,15 @@ class Automaton:
         #: By state: the shorter items that are one of the state's word sequences, as (words, item).
         self.short: dict[int, set[tuple[int, str]]] = {}
         self.least = window
+        self.items: list[tuple[list[bytes], str]] = []
 
     def add(self, words: list[bytes], item: str | None) -> None:
         """Adds an item's words; item None marks words without naming an item."""
         last = 0
         for w in words:
             last = self._extend(last, w)
-        name = item if item is not None else ""
-        if not words:
-            return
-        self.items.append((words, name))
-
-    @property
-    def items(self) -> list[tuple[list[bytes], str]]:
-        return self.__dict__.setdefault("_items", [])
+        if words:
+            self.items.append((words, item if item is not None else ""))
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -158,20 +153,19 @@ def marked(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_words: int) -> list[int]:
-    """Upper ends, in item order, of blocks of items of at most block_words words, by their bytes (a word takes two at least)."""
-    size = F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / 2)
-    total = items.agg(F.sum(size)).first()[0] or 0
-    return list(range(max(1, -(-int(total) // block_words))))
+def blocks_needed(items: DataFrame, text_col: str, block_words: int) -> int:
+    """How many blocks of block_words words the items fill at most, by their bytes: a word takes two, with what parts it."""
+    most = F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / 2)
+    total = items.agg(F.sum(most)).first()[0] or 0
+    return max(1, -(-int(total) // block_words))
 
 
 def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """One frozen automaton for each block of items; at most one block of words is on the driver at a time.
+    """One frozen automaton for each block of items, one block's words on the driver at a time.
 
-    An item is dealt to a block by its hash.  A very long one is cut into pieces that overlap by a window
-    less one word, so no window is lost.
+    Items are dealt to blocks by hash, so that a block holds block_words words or so and one item.
     """
-    blocks = len(item_blocks(items, id_col, text_col, block_words))
+    blocks = blocks_needed(items, text_col, block_words)
     dealt = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(text_col), F.lit(blocks)).alias("block"))
     for k in range(blocks):
         now = Automaton(window)
