@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import contracts, text
-from loomgraph.operators import emissions, folds, graphs, mutations, overlay, runlog, validation
+from loomgraph.operators import emissions, folds, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.plans import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,10 +240,9 @@ def u01_overlay_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.listing(base_files(spark, sf_dir), pending(spark, sf_dir))
 
 
-@query(f"WITH {_FILES} SELECT path FROM live WHERE regexp_full_match(path, '(?:.*/)?[1-4][^/]*\\.md')")
+@query(f"WITH {_FILES} SELECT path FROM live WHERE regexp_full_match(path, '(?:.*/)?e[^/]/[^/]*\\.md')")
 def u02_overlay_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = overlay.listing(base_files(spark, sf_dir), pending(spark, sf_dir), "**/*.md")
-    return listed.where(F.regexp_like("path", F.lit(r"(^|/)[1-4][^/]*$")))
+    return overlay.listing(base_files(spark, sf_dir), pending(spark, sf_dir), "**/e?/*.md")
 
 
 @query(f"WITH {_FILES}, a AS (SELECT unnest(['docs', 'docs/en', 'docs/xx', 'bench', 'bench/0.md', 'nothing']) AS path UNION ALL SELECT path FROM base) SELECT path, (path IN (SELECT path FROM live) OR path IN ('docs', 'docs/en', 'bench')) AS exists FROM a")
@@ -570,11 +569,11 @@ def m06_patch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("id", *[F.try_element_at("fields", F.lit(k)).alias(k) for k in ("name", "segment", "state")])
 
 
-@query(f"WITH {_TRADE} SELECT CASE WHEN src < 5 THEN src + 100 ELSE src END AS src, CASE WHEN dst < 5 THEN dst + 100 ELSE dst END AS dst, count(*)::BIGINT AS edges FROM edges GROUP BY ALL")
+@query(f"WITH {_TRADE} SELECT CASE WHEN from_type = 'client' THEN src + 100 ELSE src END AS src, CASE WHEN to_type = 'client' THEN dst + 100 ELSE dst END AS dst, count(*)::BIGINT AS edges FROM typed GROUP BY ALL")
 def m07_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = trade_nodes(spark, sf_dir)
     layout = nodes.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    names = nodes.where("id < 5").select("id", (F.col("id") + 100).alias("new_id"))
+    names = nodes.where("type = 'client'").select("id", (F.col("id") + 100).alias("new_id"))
     done = mutations.renamed(mutations.GraphTables(nodes, trade_edges(spark, sf_dir), layout), names)
     return done.edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("edges"))
 
@@ -647,3 +646,91 @@ def e12_emission_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = regions.select("emission", F.lit("app.yaml").alias("path"), F.lit("nodes:\n  - { boundary: api }\n").alias("content"))
     context = files.where(F.col("path").startswith("A")).select("emission", "path")
     return emissions.emission_issues(files, documents, context)
+
+
+# --- projects, runs, sessions ------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS session, c_name AS user FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate > TIMESTAMP '1995-06-01'")
+def j01_touch_session(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session"), F.col("o_custkey").alias("user_id"), F.col("o_orderdate").alias("expires_at"))
+    users = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("user"))
+    now = F.lit("1995-06-01 00:00:00").cast("timestamp_ntz")
+    return projects.touch(sessions, users, now, now).select("session", "user")
+
+
+@query("SELECT l_orderkey AS graph, l_suppkey AS ref, min(l_linenumber)::INT AS line FROM lineitem GROUP BY ALL")
+def j15_first_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("graph"), F.col("l_suppkey").alias("ref"), F.col("l_linenumber").alias("line"), F.col("l_linenumber").alias("ord"))
+    return projects.first_by(rows, ["graph", "ref"], "ord")
+
+
+@query("SELECT c_custkey AS id, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O') AS opened FROM customer")
+def j18_already_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    opened = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_custkey").alias("id"))
+    return projects.flagged(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")), opened, "id", "opened")
+
+
+_OLD_PROJECTS = "SELECT c_nationkey::BIGINT AS owner_id, 'local' AS kind, c_mktsegment AS key, min(c_custkey) AS id, 'old' AS name, NULL AS head FROM customer GROUP BY ALL"
+
+
+@query(f"WITH o AS ({_OLD_PROJECTS}), n AS (SELECT s_nationkey::BIGINT AS owner_id, 'local' AS kind, 'BUILDING' AS key, min(s_suppkey) AS id, 'new' AS name, 'h' AS head FROM supplier GROUP BY ALL) SELECT owner_id, kind, key, COALESCE(o.id, n.id) AS id, COALESCE(n.name, o.name) AS name, COALESCE(n.head, o.head) AS head FROM o FULL JOIN n USING (owner_id, kind, key)")
+def m13_upsert_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("owner_id"), F.lit("local").alias("kind"), F.col("c_mktsegment").alias("key")).agg(F.min("c_custkey").alias("id"))
+    new = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").cast("bigint").alias("owner_id")).agg(F.min("s_suppkey").alias("id")).select("owner_id", F.lit("local").alias("kind"), F.lit("BUILDING").alias("key"), "id", F.lit("new").alias("name"), F.lit("h").alias("head"), F.lit(2).alias("created_at"))
+    old = old.select("owner_id", "kind", "key", "id", F.lit("old").alias("name"), F.lit(None).cast("string").alias("head"), F.lit(1).alias("created_at"))
+    return projects.upsert_projects(old, new).drop("created_at")
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_orderstatus IN ('O', 'P') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) THEN 'cancelled' ELSE CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'finished' END END AS status FROM orders")
+def m16_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    runs = orders.select(F.col("o_orderkey").alias("id"), _cases(F.col("o_orderstatus"), {"O": "queued", "P": "running", "F": "finished"}).alias("status"))
+    debtors = table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
+    return projects.cancel(runs, orders.join(debtors, "o_custkey", "left_semi").select(F.col("o_orderkey").alias("id")))
+
+
+@query("SELECT o_orderkey AS id, o_custkey AS owner_id, 'queued' AS status, sha256('t' || o_orderkey) AS token_hash FROM orders")
+def m17_new_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("owner_id"), F.lit("g").alias("graph"))
+    runs, _ = projects.new_runs(asked, F.concat(F.lit("t"), F.col("id").cast("string")))
+    return runs.drop("graph")
+
+
+@query("SELECT DISTINCT lang || '/' || source AS path FROM documents")
+def u05_emitted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of all memo rows, each row a map of path to content."""
+    memo = table(spark, sf_dir, "documents").select(F.create_map(F.concat_ws("/", "lang", "source"), F.lit("x")).alias("files"))
+    return memo.select(F.explode(F.map_keys("files")).alias("path")).distinct()
+
+
+@query("SELECT p_partkey AS id, p_brand AS a, CASE WHEN p_size > 10 THEN p_type ELSE p_name END AS b FROM part")
+def u08_file_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = F.create_map(F.lit("a"), F.col("p_brand"), F.lit("b"), F.col("p_name"))
+    right = F.when(F.col("p_size") > 10, F.create_map(F.lit("b"), F.col("p_type"))).otherwise(F.create_map().cast("map<string,string>"))
+    done = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), projects.merged_files(left, right).alias("m"))
+    return done.select("id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+
+
+@query("""WITH p AS (SELECT CASE WHEN doc_id % 2 = 0 THEN '/' ELSE '' END || lang AS path, CASE WHEN quality = 0 THEN 'delete' WHEN toxic = 1 THEN 'odd' ELSE 'add' END AS kind FROM labels JOIN documents USING (doc_id)),
+r AS (SELECT path, unnest(list_concat(CASE WHEN kind = 'odd' THEN ['kind'] ELSE [] END, CASE WHEN kind = 'delete' THEN ['delete has no content'] ELSE [] END, CASE WHEN path LIKE '/%' THEN ['relative path'] ELSE [] END)) AS rule FROM p) SELECT rule, count(*)::BIGINT AS n FROM r GROUP BY rule""")
+def f12_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels as changes, half of them with an absolute path, all of them with content."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    kind = F.when(F.col("quality") == 0, "delete").when(F.col("toxic") == 1, "odd").otherwise("add")
+    changes = rows.select(F.concat(F.when(F.col("doc_id") % 2 == 0, "/").otherwise(""), "lang").alias("path"), kind.alias("kind"), F.lit("x").alias("content"), F.lit(None).cast("string").alias("from_path"))
+    return overlay.violations(changes).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT c_nationkey::BIGINT AS id, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS nodes FROM customer GROUP BY c_nationkey")
+def a11_cycle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key under which a cycle is reported once: its nodes in order."""
+    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("nodes"))
+
+
+@query("SELECT emission, path, CASE WHEN nth > 1 THEN 'emitted twice' WHEN role NOT IN ('agent', 'orchestration', 'boundary-server', 'other') THEN 'role ' || role || ' is not known' END AS issue FROM (SELECT l_orderkey::VARCHAR AS emission, l_linenumber::VARCHAR AS path, CASE WHEN l_returnflag = 'R' THEN 'odd' ELSE 'agent' END AS role, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth FROM lineitem) WHERE nth > 1 OR role = 'odd'")
+def e13_emission_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as emitted entries; returned ones carry a role that is not known."""
+    lines = table(spark, sf_dir, "lineitem")
+    entries = lines.select(F.col("l_orderkey").cast("string").alias("emission"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"), F.col("l_linenumber").cast("string").alias("path"), F.lit("x").alias("content"), F.when(F.col("l_returnflag") == "R", "odd").otherwise("agent").alias("role"))
+    return emissions.parsed(entries)[1]
