@@ -7,6 +7,8 @@ suppliers for typed nodes.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions import contracts, text
 from loomgraph.operators import emissions, folds, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.plans import classify
+from loomgraph.streaming import runlog as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -232,6 +235,18 @@ def t05_idle_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("user_id", us("start"), us("end"), "touches")
 
 
+@query(f"WITH {_LOG} SELECT run_id, node_id, arg_max(CASE type WHEN 'node.started' THEN 'running' WHEN 'node.failed' THEN 'failed' ELSE 'finished' END, seq) AS state FROM log WHERE type LIKE 'node.%' GROUP BY ALL")
+def t06_live_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same states, kept by a stream over the event files; read from the table that its last batch wrote."""
+    shape = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    node = F.concat(F.lit("n"), (F.get_json_object("props", "$.k").cast("bigint") % 8).cast("string"))
+    events = stream.select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("seq"), _cases(F.col("event_type"), _KINDS).alias("type"), node.alias("node_id"))
+    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='states-')}/loomgraph/states-{uuid.uuid4().hex}"
+    live.follow(live.live_states(events), lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table"), f"{out}/progress", "complete").awaitTermination()
+    return spark.read.parquet(f"{out}/table")
+
+
 # --- overlay ---------------------------------------------------------------------------------------------
 
 
