@@ -188,6 +188,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     kind = docs.schema["id"].dataType.simpleString()
     all_paths = written(docs.mapInArrow(_to_paths(window, k), f"id {kind}, h bigint, start int, n int, mini bigint, span bigint"), "paths")
     buckets = all_paths.groupBy("mini").agg(F.count(F.lit(1)).alias("paths"), F.min("span").alias("low"), F.max("span").alias("high")).where("paths > 1").select("mini", (F.col("low") != F.col("high")).alias("branches"))
+    buckets = written(buckets, "buckets")  # joined as a table, so that the paths of a very common minimizer can be split
     repeated = written(all_paths.join(buckets, "mini"), "repeated-paths")
     plain = repeated.where("not branches").select("id", "h", "start", "n")
 
@@ -198,7 +199,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     # Paths of rows that are repeated whole have c > 1, so meeting each such row changes no count from 1.
     met = _join(docs.mapInArrow(_pack, f"id {kind}, h bigint, blob binary"), asked, "inner").select("id", "h", "blob", "paths")
     edges = written(met.mapInArrow(_edges(window), f"mini bigint, edge bigint, id {kind}, h bigint, start int, c bigint"), "edges")
-    twice = edges.groupBy("mini", "edge").agg(F.sum("c").alias("total")).where("total > 1")
+    twice = written(edges.groupBy("mini", "edge").agg(F.sum("c").alias("total")).where("total > 1").select("mini", "edge"), "repeated-edges")
     single = edges.where("c = 1").join(twice, ["mini", "edge"], "left_semi").select("id", "h", "start", F.lit(1).alias("n"))
     return plain.unionByName(equal).unionByName(single)
 

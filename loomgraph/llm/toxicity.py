@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import bounded_batches
 
 #: At most so many labelled documents of each class, and so many bytes of each class, fit the model.
-TRAIN_DOCS = 1200
-TRAIN_BYTES = 2_500_000
+TRAIN_DOCS = 2000
+TRAIN_BYTES = 4_000_000
 PREFIXES = (4, 5, 6, 7)
 BIAS = b"\x00"
-LEAST_LOG_ODDS = 2.5
-#: A feature is evidence from so many toxic documents on; a family of near copies counts as one.
-LEAST_DOCS = 2
+#: Features that may pass for toxic by chance, and the least share of a feature's documents that are toxic.
+CHANCE_FEATURES = 10
+LEAST_SHARE = 0.75
 _SPACE = bytes(b if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(rb"[^ ]+")
 BLOCK = 64
@@ -162,22 +162,30 @@ def _in_family(words: list[bytes], n: int, seen: dict[int, list[int]]) -> bool:
     return bool(shared) and max(shared.values()) >= min(3, len(least))
 
 
-def _seeds(texts: list[list[bytes]], toxic: np.ndarray) -> dict[bytes, float]:
-    """Features whose documents are far more often toxic than clean, with their log odds."""
+def _seeds(texts: list[list[bytes]], toxic: np.ndarray) -> set[bytes]:
+    """Features whose documents are toxic more often than chance gives, at CHANCE_FEATURES by chance among all.
+
+    For a feature in n documents, k of them toxic, chance gives that share or more with a probability of at
+    most exp(-n KL(k/n, p)), p being the share of toxic documents.  Of a family of near copies one counts.
+    """
     counts = {True: Counter(), False: Counter()}
+    sizes = Counter()
     seen: dict[int, list[int]] = {}
     for n, (words, y) in enumerate(zip(texts, toxic, strict=True)):
-        if y and _in_family(words, n, seen):
-            continue
-        counts[bool(y)].update({f for w in set(words) for f in features(w)[:-1]})
-    n1, n0 = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    odds = {}
-    for f, c in counts[True].items():
-        if c >= LEAST_DOCS:
-            value = np.log((c + 0.5) / (n1 + 1)) - np.log((counts[False].get(f, 0) + 0.5) / (n0 + 1))
-            if value >= LEAST_LOG_ODDS:
-                odds[f] = float(value)
-    return odds
+        if not _in_family(words, n, seen):
+            sizes[bool(y)] += 1
+            counts[bool(y)].update({f for w in set(words) for f in features(w)[:-1]})
+    p = sizes[True] / max(1, sizes.total())
+    candidates = {f: k for f, k in counts[True].items() if k > 1}
+    if not 0 < p < 1 or not candidates:
+        return set()
+    least = max(np.log(len(candidates) / CHANCE_FEATURES), 1.0)
+    k = np.fromiter(candidates.values(), dtype=np.float64, count=len(candidates))
+    n = k + np.fromiter((counts[False].get(f, 0) for f in candidates), dtype=np.float64, count=len(candidates))
+    q = k / n
+    kl = q * np.log(q / p) + np.where(q < 1, (1 - q) * np.log(np.maximum(1 - q, 1e-12) / (1 - p)), 0.0)
+    good = (q >= LEAST_SHARE) & (n * kl >= least)
+    return {f for f, ok in zip(candidates, good.tolist(), strict=True) if ok}
 
 
 def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, rounds: int = 25) -> Model:
