@@ -10,6 +10,7 @@ regression on a document's marginals gives its score, and runs of toxic words th
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
 from array import array
 from collections import Counter
@@ -21,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches
+from loomgraph.llm.common import bounded_batches, written
 
 #: At most so many labelled documents of each class, and so many bytes of each class, fit the model.
 TRAIN_DOCS = 2000
 TRAIN_BYTES = 4_000_000
+#: A text of over one part in so many of a class's bytes is large, and is taken after the class's other texts.
+LARGE_PARTS = 100
 PREFIXES = (4, 5, 6, 7)
 BIAS = b"\x00"
 #: Features that may pass for toxic by chance, and the least share of a feature's documents that are toxic.
@@ -322,30 +325,33 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
-    """Fits on a bounded sample: of the labelled rows that are not held out, the first most_docs of each class by the id's hash.
+    """Fits on a bounded sample: of the labelled rows that are in docs with a text and not held out, the first most_docs of each class by the id's hash.
 
-    Texts are taken in that order, whole, while they fit into most_bytes for the class.  Only ids and
-    labels of the sample reach the driver first, then its texts.
+    Of these, texts are taken whole, in that order, while they fit into most_bytes for the class; texts of
+    over one part in LARGE_PARTS of most_bytes come after all others, the smaller first, so a large text takes no other's
+    place and what the smaller ones leave unused is under one such part.  The first text of a class is
+    always taken, so a class with labelled texts has some.  Only ids and labels of the sample reach the
+    driver first, then its texts.
     """
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out("i"))
-    own = own.groupBy("i").agg(F.max("y").alias("y")).withColumn("r", F.xxhash64("i"))
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("n")).where("t is not null")
+    own = own.groupBy("i").agg(F.max("y").alias("y")).join(texts.select("i"), "i", "leftsemi").withColumn("r", F.xxhash64("i"))
+    own = written(own, "labelled")
     counts = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     picked = own.where("y = 1").orderBy("r", "i").limit(most_docs).union(own.where("y = 0").orderBy("r", "i").limit(most_docs))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("n")).where("t is not null")
     here = texts.join(F.broadcast(picked), "i")  # at most 2 x most_docs rows
-    bytes_so_far = F.sum("n").over(_by_class())
-    rows = here.select("i", "y", "r", "t", "n").withColumn("so_far", bytes_so_far).where(F.col("so_far") <= most_bytes).select("y", "t", "r", "i").orderBy("r", "i", "t").collect()
+    large = F.col("n") > most_bytes // LARGE_PARTS
+    order = Window.partitionBy("y").orderBy(large, F.when(large, F.col("n")), "r", "i", "t")
+    so_far = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = here.select("i", "y", "r", "t", "n").withColumn("so_far", so_far).withColumn("place", F.row_number().over(order))
+    rows = ranked.where((F.col("so_far") <= most_bytes) | (F.col("place") == 1)).select("y", "t", "r", "i").orderBy("r", "i", "t").collect()
     used = Counter(r.y for r in rows)
+    if len(used) < 2:
+        warnings.warn(f"toxicity has labelled texts of {len(used)} of 2 classes to fit on: the score is a constant", stacklevel=2)
     ratio = (counts.get(0, 1) / max(1, used.get(0, 0))) / (counts.get(1, 1) / max(1, used.get(1, 0)))
     return fit([r.t for r in rows], [r.y for r in rows], clean_weight=ratio)
 
 
-def _by_class() -> object:
-
-
-    return Window.partitionBy("y").orderBy("r", "i", "t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def _scorer(shared: object) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

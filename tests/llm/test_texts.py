@@ -149,6 +149,28 @@ def test_toxicity_without_labels_or_documents(spark):
     assert toxicity.drop_toxic(d, none).columns == d.columns
 
 
+def test_large_labelled_text_takes_no_place_in_the_sample(spark):
+    docs, labels = toxic_rows()
+    trained = [r.i for r in spark.range(len(docs)).toDF("i").orderBy(F.xxhash64("i")).collect() if zlib.crc32(str(r.i).encode()) % 5]
+    heads = [next(i for i in trained if labels[i][1] == y) for y in (0, 1)]
+    big = [(i, t + " the of and" * 2000 if i in heads else t) for i, t in docs]
+    lab = spark.createDataFrame([*labels, *[(10_000 + i, 1) for i in range(3000)]], "doc_id long, toxic int")
+    rows = toxicity.toxicity(spark.createDataFrame(big, "doc_id long, text string"), lab, most_bytes=16_000, most_docs=100).collect()
+    assert np.mean([r.predicted == labels[r.doc_id][1] for r in rows if r.held_out]) > 0.9
+
+
+def test_class_of_large_texts_only_is_in_the_sample(spark, monkeypatch):
+    docs = [(i, "calm words of the day") for i in range(40)] + [(i, "idiotic " * (100 + i)) for i in range(40, 60)]
+    lab = spark.createDataFrame([(i, int(i >= 40)) for i in range(60)], "doc_id long, toxic int")
+    used = {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, **_: used.update(texts=texts, toxic=toxic))
+    toxicity.train(spark.createDataFrame(docs, "doc_id long, text string"), lab, most_bytes=400)
+    least = min(i for i, _ in docs[40:] if zlib.crc32(str(i).encode()) % 5)
+    assert [t for t, y in zip(used["texts"], used["toxic"], strict=True) if y] == [docs[least][1]]
+    with pytest.warns(UserWarning, match="1 of 2 classes"):
+        toxicity.train(spark.createDataFrame(docs[:40], "doc_id long, text string"), lab)
+
+
 # --- HTML ---
 
 GOOD = "The cat sat on the mat and it was in the house of the man who had been there for a long time."
