@@ -231,6 +231,18 @@ def test_line_dedup_keeps_columns_nulls_and_repeated_rows(spark):
     assert line_dedup.line_dedup_report(frame.where("false")).count() == 0
 
 
+def test_line_dedup_rule_is_the_same_at_every_count_of_holders(spark):
+    passage = "the licence line that all of these have\nshort end\n\nthe second line that all of these have"
+    turned = "the second line that all of these have\nthe licence line that all of these have"
+    rows = [(i, f"own opening line of document number {i}\n{passage}") for i in range(120)] + [(200, turned)]
+    frame = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect()}
+    assert got.pop(0) == rows[0][1] and got.pop(200) in turned.split("\n")
+    assert got == {i: f"own opening line of document number {i}" for i in range(1, 120)}
+    few, many = (sorted(tuple(r) for r in line_dedup.line_dedup_report(spark.createDataFrame(line_rows(8), DOC), most_holders=n).collect()) for n in (2, 100))
+    assert few == many
+
+
 @pytest.mark.parametrize(("a", "b", "wanted"), [
     ("", "", []), ("abc", "abc", [(0, 0), (1, 1), (2, 2)]), ("abcd", "acbd", [(0, 0), (1, 2), (3, 3)]), ("aab", "ab", [(0, 0), (2, 1)]), ("xax", "yay", [(1, 1)]), ("ab", "ba", [(0, 1)]),
 ])
