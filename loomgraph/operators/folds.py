@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,17 +13,34 @@ from pyspark.sql import functions as F
 def greedy_select(files: DataFrame, group: list[str], path: str, size: Column, most_each: int, most_total: int) -> DataFrame:
     """files with included: in path order, a file goes in if it is small enough and still fits; a later, smaller one may.
 
-    A fold, not a running sum: what is left out takes no room.  Only paths and sizes are folded.
+    A fold, not a running sum: what is left out takes no room.  A group's paths and sizes stream through one task.
     """
-    item = F.struct(F.col(path).alias("path"), size.cast("bigint").alias("size"))
-    none = F.array().cast("array<string>")
-    start = F.struct(F.lit(0).cast("bigint").alias("total"), none.alias("taken"))
-    def step(acc: Column, x: Column) -> Column:
-        fits = (x["size"] <= most_each) & (acc["total"] + x["size"] <= most_total)
-        return F.when(fits, F.struct((acc["total"] + x["size"]).alias("total"), F.concat(acc["taken"], F.array(x["path"])).alias("taken"))).otherwise(acc)
+    narrow = _in_order(files.select(*group, path, size.cast("bigint").alias("__size")), group, path, "__size").select(*group, F.col(path).cast("string").alias(path), "__size")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, 0
+        for batch in batches:
+            taken = []
+            for key, n in zip(_keys(batch, len(group)), batch.column(len(group) + 1).to_pylist(), strict=True):
+                if key != now:
+                    now, total = key, 0
+                fits = n is not None and n <= most_each and total + n <= most_total
+                total += n if fits else 0
+                taken.append(fits)
+            yield batch.select([*range(len(group) + 1)]).filter(pa.array(taken, pa.bool_()))
+
+    return narrow.mapInArrow(run, narrow.drop("__size").schema)
+
 
-    folded = files.groupBy(*group).agg(F.sort_array(F.collect_list(item)).alias("items")).select(*group, F.aggregate("items", start, step).alias("s"))
-    return folded.select(*group, F.explode("s.taken").alias(path))
+def _in_order(rows: DataFrame, group: list[str], *order: str) -> DataFrame:
+    """rows with each group in one partition and in order there, for Arrow batches of at most 8 MB."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    return rows.repartition(*group).sortWithinPartitions(*group, *order)
+
+
+def _keys(batch: pa.RecordBatch, n: int) -> Iterator[tuple]:
+    """The first n columns by row; they are never None as a whole, nulls in them equal each other."""
+    return zip(*[batch.column(k).to_pylist() for k in range(n)], strict=True)
 
 
 def first_n(files: DataFrame, group: list[str], order: str, most: int) -> DataFrame:
@@ -40,11 +61,36 @@ def session_files(files: DataFrame, path: str, content: str, most: int = 400, mo
 
 
 def fingerprint(files: DataFrame, group: list[str], path: str, content: str, patterns: str, model: str, version: str) -> DataFrame:
-    """(group, input_hash): SHA-256 over the sorted path\\0content\\0 pairs, then patterns\\0model\\0version."""
-    pair = F.struct(F.col(path).alias("p"), F.col(content).alias("c"))
-    zero = F.lit("\0")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(pair)), lambda x: F.concat(x["p"], zero, x["c"], zero)), "")
-    return files.groupBy(*group).agg(F.sha2(F.concat(joined, F.lit(patterns), zero, F.lit(model), zero, F.lit(version)), 256).alias("input_hash"))
+    """(group, input_hash): SHA-256 over the sorted path\\0content\\0 pairs, then patterns\\0model\\0version.
+
+    A group's texts stream in order through one task, as the hash is of them all in a row; a row without path or content adds nothing.
+    """
+    rows = _in_order(files.select(*group, path, content), group, path, content)
+    texts = rows.select(*group, F.col(path).cast("string").alias("__path"), F.col(content).cast("string").alias("__content"))
+    end = "\0".join((patterns, model, version)).encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, digest, head = None, None, None
+
+        def done() -> pa.RecordBatch:
+            digest.update(end)
+            return pa.RecordBatch.from_arrays([*head.columns, pa.array([digest.hexdigest()])], names=[*head.schema.names, "input_hash"])
+
+        for batch in batches:
+            for k, key in enumerate(_keys(batch, len(group))):
+                if key != now:
+                    if digest:
+                        yield done()
+                    # A copy of the one row, which does not hold its batch.
+                    now, digest, head = key, hashlib.sha256(), batch.select([*range(len(group))]).take(pa.array([k]))
+                p, c = batch.column(len(group))[k].as_py(), batch.column(len(group) + 1)[k].as_py()
+                if p is not None and c is not None:
+                    for part in (p.encode(), b"\0", c.encode(), b"\0"):
+                        digest.update(part)
+        if digest:
+            yield done()
+
+    return texts.mapInArrow(run, files.select(*group, F.lit("").alias("input_hash")).schema)
 
 
 def ports(rows: DataFrame, group: str, base: Column, *order: str | Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,6 +149,30 @@ def test_refusals(tables, op):
         mutations.apply_ops(tables, [op])
 
 
+def test_folds_of_a_group_stream(spark):
+    rows = [(g, f"p{k:03}", f"text {k} é" * (k % 7)) for g in ("a", "b", None) for k in range(50)] + [("b", None, "x"), ("b", "q", None), ("c", "q", None)]
+    files = spark.createDataFrame(rows, "g string, path string, text string").repartition(5)
+    wanted, taken = {}, []
+    for g in ("a", "b", None, "c"):
+        whole, total = "", 0
+        for _, p, t in sorted(r for r in rows if r[0] == g and None not in r[1:]):
+            whole += f"{p}\0{t}\0"
+            if len(t.encode()) <= 40 and total + len(t.encode()) <= 300:
+                total += len(t.encode())
+                taken.append((str(g), p))
+        wanted[g] = hashlib.sha256((whole + "x\0m\0001").encode()).hexdigest()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        hashes = folds.fingerprint(files, ["g"], "path", "text", "x", "m", "1")
+        picked = folds.greedy_select(files.where("path is not null"), ["g"], "path", F.octet_length("text"), 40, 300)
+        assert {r.g: r.input_hash for r in hashes.collect()} == wanted
+        assert sorted((str(r.g), r.path) for r in picked.collect()) == sorted(taken)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for frame in (hashes, picked):
+        assert "collect_list" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_greedy_selection_goes_on_after_a_file_that_does_not_fit(spark):
     files = spark.createDataFrame([("g", "a", 50), ("g", "b", 80), ("g", "c", 40), ("g", "d", 500)], "g string, path string, size long")
     assert listed(folds.greedy_select(files, ["g"], "path", F.col("size"), 100, 100)) == [("g", "a"), ("g", "c")]
