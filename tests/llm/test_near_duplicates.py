@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
@@ -205,22 +206,89 @@ def line_rows(seed):
     return rows
 
 
-@pytest.mark.parametrize("most_holders", [100, 6])
-def test_line_dedup_matches_brute_force(spark, most_holders):
-    rows = line_rows(8)
+def plain_lines(rows, least=5):
+    """For each row: the lines that stand in a run of `least` words that an earlier document has too; by comparing every pair."""
+    docs = sorted({((i is None, i or 0), xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), t or "") for i, t in rows})
+    gone = {}
+    for k, (i, _, t) in enumerate(docs):
+        mine = [(n, x.split()) for n, x in enumerate(t.split("\n")) if x.strip()]
+        out = set()
+        for _, _, other in docs[:k]:
+            theirs = [x.split() for x in other.split("\n") if x.strip()]
+            if sum(len(w) for _, w in mine) < least:
+                if mine and [w for _, w in mine] == theirs:
+                    out |= set(range(len(mine)))
+                continue
+            for a in range(len(mine)):
+                for b in range(len(theirs)):
+                    n = 0
+                    while a + n < len(mine) and b + n < len(theirs) and mine[a + n][1] == theirs[b + n]:
+                        n += 1
+                    if sum(len(w) for w in theirs[b : b + n]) >= least:
+                        out |= set(range(a, a + n))
+        starts = [0] + [n for n, _ in mine[1:]] + [len(t.split("\n"))]
+        gone[i, t] = {n for m in out for n in range(starts[m], starts[m + 1])}
+    report = []
+    for i, t in rows:
+        lines = t.split("\n") if t else []
+        cut = gone[(i is None, i or 0), t or ""]
+        kept = [x for n, x in enumerate(lines) if n not in cut]
+        report.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return report
+
+
+def short_line_rows(seed):
+    """Verse and lists: lines of one to three words, in blocks that documents share in differing orders."""
+    rng = random.Random(seed)
+    blocks = ["\n".join(words(rng, rng.choice([1, 1, 2, 3, 7]), 30) for _ in range(rng.randrange(1, 6))) for _ in range(14)]
+    return [(i, "\n".join(rng.choice([rng.choice(blocks), words(rng, rng.choice([1, 2, 6]), 200), ""]) for _ in range(rng.randrange(0, 8)))) for i in range(70)]
+
+
+@pytest.mark.parametrize("rows", [line_rows(8), line_rows(12), short_line_rows(13), short_line_rows(14)])
+def test_line_dedup_matches_brute_force(spark, rows):
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string").repartition(4)
-    got = sorted(tuple(r) for r in line_dedup.line_dedup_report(frame, most_holders=most_holders).collect())
-    wanted = sorted(line_dedup.dedup_by_brute_force(rows, most_holders=most_holders))
-    assert got == wanted
+    got = sorted(tuple(r) for r in line_dedup.line_dedup_report(frame).collect())
+    assert got == sorted(plain_lines(rows))
     assert sum(r[2] for r in got) > 30
 
 
+def texts_left(spark, rows):
+    return {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect()}
+
+
 def test_line_dedup_leaves_one_copy_and_clean_documents(spark):
     clean = "first line of the clean one here\nsecond line of the clean one here"
     rows = [(1, clean), (2, "some shared line that two documents have\nand its own line in this document"), (3, "an own opening line of the third\nsome shared line that two documents have\n\nshort")]
-    frame = spark.createDataFrame([*rows, (4, clean)], DOC)
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect()}
-    assert got == {1: clean, 2: rows[1][1], 3: "an own opening line of the third\n\nshort", 4: ""}
+    assert texts_left(spark, [*rows, (4, clean)]) == {1: clean, 2: rows[1][1], 3: "an own opening line of the third\nshort", 4: ""}
+
+
+P = "\n".join(f"line number {k} of the first passage" for k in range(5))
+Q = "\n".join(f"line number {k} of the other passage" for k in range(3))
+
+
+def test_line_dedup_finds_blocks_in_any_order_and_document(spark):
+    """Blocks whose first holder has them in another order than the later document."""
+    own = "a line that only the last document has"
+    left = texts_left(spark, [(1, f"{P}\n{Q}"), (2, f"{Q}\n{P}"), (3, f"{Q}\n{P}\n{own}")])
+    assert left == {1: f"{P}\n{Q}", 2: "", 3: own}
+    one, two = P.split("\n")[:2]
+    left = texts_left(spark, [(1, f"{one}\n{two}\na"), (2, f"{two}\n{one}\nb"), (3, f"{two}\n{one}\nc")])
+    assert left == {1: f"{one}\n{two}\na", 2: "b", 3: "c"}
+
+
+@pytest.mark.parametrize("holders", [2, 100, 101, 300])
+def test_line_dedup_rule_is_the_same_at_every_count_of_holders(spark, holders):
+    passage = "the licence line that all of these have\nshort end\n\nthe second line that all of these have"
+    turned = "\n".join(reversed(passage.split("\n")))
+    rows = [(i, f"own opening line of document number {i}\n{passage}") for i in range(holders)] + [(900, f"{turned}\n9")]
+    got = texts_left(spark, rows)
+    assert got.pop(0) == rows[0][1] and got.pop(900) == "short end\n9"
+    assert got == {i: f"own opening line of document number {i}" for i in range(1, holders)}
+
+
+def test_line_dedup_short_lines_count_together(spark):
+    verse = "and then\n\nthe sea\nwas still"
+    assert texts_left(spark, [(1, f"one two\n{verse}"), (2, f"{verse}\nten"), (3, "and then\nnothing"), (4, "was still"), (5, "was still"), (6, "春の海ひねもすのたりのたりかな"), (7, "春の海ひねもすのたりのたりかな\n蕪村")]) == {1: f"one two\n{verse}", 2: "ten", 3: "and then\nnothing", 4: "was still", 5: "", 6: "春の海ひねもすのたりのたりかな", 7: "蕪村"}
 
 
 def test_line_dedup_keeps_columns_nulls_and_repeated_rows(spark):
@@ -229,18 +297,15 @@ def test_line_dedup_keeps_columns_nulls_and_repeated_rows(spark):
     assert done.columns[:3] == frame.columns
     assert sorted((r.line, r.text) for r in done.collect()) == [("a", "one two three four five six"), ("b", "one two three four five six"), ("c", ""), ("d", None)]
     assert line_dedup.line_dedup_report(frame.where("false")).count() == 0
+    lines = P.split("\n")
+    rows = [(1, "\n".join(lines[:4])), *[(2, f"own line of the repeated second row\n{P}")] * 3, (2, f"{P}\nanother text under the same id"), (None, P), (None, None), (3, " \n\t\n")]
+    got = sorted((tuple(r) for r in line_dedup.line_dedup_report(spark.createDataFrame(rows, DOC)).collect()), key=str)
+    assert got == sorted(plain_lines(rows), key=str) and sum(r[2] for r in got) >= 17
 
 
-def test_line_dedup_rule_is_the_same_at_every_count_of_holders(spark):
-    passage = "the licence line that all of these have\nshort end\n\nthe second line that all of these have"
-    turned = "the second line that all of these have\nthe licence line that all of these have"
-    rows = [(i, f"own opening line of document number {i}\n{passage}") for i in range(120)] + [(200, turned)]
-    frame = spark.createDataFrame(rows, DOC)
-    got = {r.doc_id: r.text for r in line_dedup.line_dedup(frame).collect()}
-    assert got.pop(0) == rows[0][1] and got.pop(200) in turned.split("\n")
-    assert got == {i: f"own opening line of document number {i}" for i in range(1, 120)}
-    few, many = (sorted(tuple(r) for r in line_dedup.line_dedup_report(spark.createDataFrame(line_rows(8), DOC), most_holders=n).collect()) for n in (2, 100))
-    assert few == many
+def test_aligned_blocks():
+    seeds = [(0, 1, 0, 1), (1, 2, 1, 2), (2, 3, 5, 6), (3, 4, 3, 4), (4, 5, 4, 5), (9, 10, 0, 1)]
+    assert line_dedup.aligned_blocks(seeds) == [(0, 2, 0, 2, False), (2, 3, 5, 6, True), (3, 5, 3, 5, False), (9, 10, 0, 1, True)]
 
 
 @pytest.mark.parametrize(("a", "b", "wanted"), [

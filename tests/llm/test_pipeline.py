@@ -8,7 +8,8 @@ import corpus_pipeline
 import duckdb
 import pytest
 
-from loomgraph.llm import decontaminate, line_dedup, mixing, registry, simhash, toxicity
+from loomgraph.llm import decontaminate, mixing, registry, simhash, toxicity
+from test_near_duplicates import plain_lines
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -46,7 +47,8 @@ def test_toxicity_stage(spark, sf_dir, stages):
 
 def test_line_dedup_stage(stages):
     before, after, _, _ = stages["line_dedup"]
-    wanted = {i: (removed, sha) for i, _, removed, sha in line_dedup.dedup_by_brute_force([(r["doc_id"], r["text"]) for r in before])}
+    rows = [(r["doc_id"], r["text"]) for r in before]
+    wanted = {i: (removed, sha) for i, _, removed, sha in plain_lines(rows)}
     got = by_id(after)
     for r in before:
         removed, sha = wanted[r["doc_id"]]
