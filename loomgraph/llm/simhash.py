@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bounded_batches, components, join_labels, text_hash, written
@@ -74,14 +74,24 @@ _FLIPS, _USED = _flips()
 _CHECKS = [sum(1 << (p - 1) for p in range(1, 32) if p >> j & 1) for j in range(5)]
 
 
+def _syndrome(x: np.ndarray) -> np.ndarray:
+    s = np.zeros(x.shape, dtype=np.int64)
+    for j, mask in enumerate(_CHECKS):
+        s |= (np.bitwise_count(x & np.uint64(mask)).astype(np.int64) & 1) << j
+    return s
+
+
+def covering_anchor(x: np.ndarray) -> np.ndarray:
+    """The anchor within 1 of each uint64 value of 32 bits: the codeword nearest to it."""
+    return x ^ _FLIPS[_syndrome(x), 0]
+
+
 def anchors_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, anchor) of every anchor within 2 of each half of the uint64 fingerprints."""
     rows, anchors = [], []
     for half in (0, 1):
         x = (fp >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)
-        s = np.zeros(len(fp), dtype=np.int64)
-        for j, mask in enumerate(_CHECKS):
-            s |= (np.bitwise_count(x & np.uint64(mask)).astype(np.int64) & 1) << j
+        s = _syndrome(x)
         near = x[:, None] ^ _FLIPS[s]
         row, at = np.nonzero(_USED[s])
         home = near[:, 0] ^ np.uint64(1 << 31)
@@ -196,16 +206,21 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays, once.
-
-    Ties on the id are broken by the text's hash; of rows equal in both, one stays.  A null id is the
-    largest.  The columns are those of docs.
-    """
+    """docs without texts of linked fingerprints: of each component the row with the smallest id stays, once."""
     prints = fingerprints(docs, id_col, text_col)
-    rank = F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))
-    lows = prints.groupBy("fp").agg(F.min(rank).alias("low")).join(groups(prints), "fp")
-    stay = lows.groupBy("root").agg(F.min("low").alias("low")).select(F.col("low.id").alias("__loom_sid"), F.col("low.h").alias("__loom_sh"))
+    lows = prints.groupBy("fp").agg(F.min(row_rank()).alias("low")).join(groups(prints), "fp")
+    return only_rows(docs, lows.groupBy("root").agg(F.min("low").alias("low")), id_col, text_col)
+
+
+def row_rank() -> Column:
+    """The order of rows (id, h): by id, a null one last, then by the text's hash."""
+    return F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("id"), F.col("h").alias("h"))
+
+
+def only_rows(docs: DataFrame, stay: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs that stay (low: a row's rank) names; of rows equal in id and text, one.  The columns are those of docs."""
+    named = stay.select(F.col("low.id").alias("__loom_sid"), F.col("low.h").alias("__loom_sh")).distinct()
     keyed = docs.withColumn("__loom_h", text_hash(text_col))
-    kept = keyed.join(stay, F.col("__loom_h").eqNullSafe(F.col("__loom_sh")) & F.col(id_col).eqNullSafe(F.col("__loom_sid")))
+    kept = keyed.join(named, F.col("__loom_h").eqNullSafe(F.col("__loom_sh")) & F.col(id_col).eqNullSafe(F.col("__loom_sid")))
     once = kept.withColumn("__loom_n", F.row_number().over(Window.partitionBy("__loom_h", id_col).orderBy(F.lit(1))))
     return once.where("__loom_n = 1").select(*[docs[c] for c in docs.columns])

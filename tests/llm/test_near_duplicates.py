@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from loomgraph.llm import embedding_dedup, line_dedup, simhash, substring_dedup
+from loomgraph.llm import embedding_dedup, line_dedup, simhash, simhash_similar, substring_dedup
 from loomgraph.llm.common import components
 
 DOC = "doc_id long, text string"
@@ -136,6 +136,86 @@ def test_simhash_ties_nulls_and_empty(spark):
     assert simhash.simhash_near_dedup(empty).count() == 0 and simhash.keep_one_of_each(empty).count() == 0
 
 
+# --- SimHash with a similarity ---
+
+
+def plain_grams(text):
+    parts = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else " " if "\t" <= c <= "\r" else c for c in text or "").split(" ")
+    parts = [w for w in parts if w]
+    return {tuple(parts[i : i + 5]) for i in range(max(1, len(parts) - 4))} if parts else set()
+
+
+def plain_similar(rows, least=0.8):
+    grams = [plain_grams(t) for _, t in rows]
+    links = []
+    for i, a in enumerate(grams):
+        for j in range(i):
+            b = grams[j]
+            both = len(a & b)
+            if both >= least * (len(a) + len(b) - both):
+                links.append((j, i))
+    return links
+
+
+def similar_rows(seed, n_groups=80, size=4):
+    """Groups of near copies of every length, at similarities from under 0.8 to 1, and odd texts."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(n_groups):
+        base = words(rng, rng.choice([12, 40, 120, 400]), 3000)
+        n = len(base.split(" "))
+        rows += [(len(rows) + k, edited(rng, base, rng.randrange(0, 2 + n // 45)) if k else base) for k in range(size)]
+    return [*rows, (9000, None), (9001, ""), (9002, " \n"), (9003, "one two"), (9004, "One  two"), (9005, rows[0][1]), (9006, "x y z " * 20_000)]
+
+
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_similar_texts_are_found(spark, most):
+    rows = similar_rows(15)
+    links = plain_similar(rows)
+    frame = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n int").repartition(5)
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_texts(frame, most_at_anchor=most).collect()}
+    wanted = groups(range(len(rows)), links)
+    ids = [i for i, _ in rows]
+    for i, r in wanted.items():
+        assert plain_similar([rows[i], rows[r]], 0) and wanted[ids.index(got[ids[i]])] == r  # never beyond the true group
+    found = sum(got[ids[i]] == got[ids[j]] for i, j in links)
+    assert len(links) > 150 and found >= 0.97 * len(links)
+    assert got[9001] == got[9002] == got[9000] == 9000 and got[9004] == 9003 and got[9005] == got[0]
+    kept = sorted(r.doc_id for r in simhash_similar.keep_one_of_each(frame, most_at_anchor=most).collect())
+    assert kept == sorted(set(got.values()))
+
+
+def test_similar_texts_in_one_large_group(spark):
+    """A crowd of near copies, over ALL_PAIRS at each anchor, and as many texts that share half of their words."""
+    rng = random.Random(16)
+    base, half = words(rng, 150, 10**6), words(rng, 60, 10**6)
+    rows = [(i, edited(rng, base, 2)) for i in range(150)] + [(200 + i, f"{half} {words(rng, 60, 10**6)}") for i in range(150)]
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_texts(spark.createDataFrame(rows, DOC)).collect()}
+    wanted = groups(range(len(rows)), plain_similar(rows))
+    truth = {rows[i][0]: rows[r][0] for i, r in wanted.items()}
+    assert set(got.items()) <= {(i, r) for i, r in truth.items()} | {(i, i) for i in truth}  # the closest two copies have a similarity near 0.8
+    assert sum(got[i] == truth[i] for i in truth) >= 0.99 * len(truth) and len(set(got.values())) <= 153
+
+
+def test_proposals_are_linear_and_reach_every_group():
+    rng = np.random.default_rng(17)
+    sim = np.repeat(rng.integers(0, 2**64, 20, dtype=np.uint64), 30) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
+    a, b = simhash_similar.proposals(sim, np.full(600, 100))
+    assert len(a) < 5 * 600
+    assert len(set(groups(range(600), zip(a.tolist(), b.tolist(), strict=True)).values())) == 20
+    a, b = simhash_similar.proposals(sim[:8], np.repeat([100, 200], 4))
+    assert ((a < 4) == (b < 4)).all()
+
+
+def test_similar_texts_ties_nulls_and_empty(spark):
+    frame = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (None, "")], DOC)
+    got = sorted(((str(r.doc_id), r.component_id) for r in simhash_similar.similar_texts(frame).collect()), key=str)
+    assert got == [("1", 1), ("1", 1), ("None", 1), ("None", None), ("None", None)]
+    assert sorted(str(r.doc_id) for r in simhash_similar.keep_one_of_each(frame).collect()) == ["1", "None"]
+    empty = spark.createDataFrame([], DOC)
+    assert simhash_similar.similar_texts(empty).count() == 0 and simhash_similar.keep_one_of_each(empty).count() == 0
+
+
 # --- embeddings ---
 
 

@@ -8,8 +8,9 @@ import corpus_pipeline
 import duckdb
 import pytest
 
-from loomgraph.llm import decontaminate, mixing, registry, simhash, toxicity
-from test_near_duplicates import plain_lines
+from test_near_duplicates import groups, plain_lines, plain_similar
+
+from loomgraph.llm import decontaminate, mixing, registry, toxicity
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -61,17 +62,9 @@ def test_line_dedup_stage(stages):
 
 def test_simhash_stage(stages):
     before, after, _, _ = stages["simhash_near_dedup"]
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"].encode()) for r in before}
-    root = {i: i for i in prints}
-    changed = True
-    while changed:
-        changed = False
-        for a in prints:
-            for b in prints:
-                if (prints[a] ^ prints[b]).bit_count() <= 3 and root[a] != root[b]:
-                    root[a] = root[b] = min(root[a], root[b])
-                    changed = True
-    assert by_id(after) == {i: r for i, r in by_id(before).items() if root[i] == i}
+    rows = sorted((r["doc_id"], r["text"]) for r in before)
+    root = groups(range(len(rows)), plain_similar(rows))
+    assert by_id(after) == {i: r for i, r in by_id(before).items() if i in {rows[k][0] for k in root.values()}}
 
 
 def test_decontamination_stage(spark, sf_dir, stages):
