@@ -1,14 +1,16 @@
 """Embedding near-duplicates by sorted projection passes.
 
-Each pass gives a vector the signs of random projections, read as one number; vectors of a label are put
-in the order of that number, so that near vectors come to stand near one another, and each is compared
-with the WINDOW vectors before it.  Verified pairs of all passes are united to components.  Within a
-component all pairs are then compared exactly, block by block, so that no link is lost to the window
-where vectors crowd; only counts of links leave a block.
+Vectors are taken relative to their label's mean, so that the projections part what crowds about it.  Each
+pass gives a vector the signs of random projections, read as one number; vectors of a label are put in the
+order of that number, so that near vectors come to stand near one another, and each is compared with the
+WINDOW vectors before it.  Verified pairs of all passes are united to components.  Within a component all
+pairs are then compared exactly, block by block, so that no link is lost to the window where vectors
+crowd; only counts of links leave a block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,22 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import bounded_batches, components, join_labels, written
 
 LEAST_COSINE = 0.98
+#: Passes for labels of up to PASSES_FOR vectors; the number grows with the fourth root of the largest label.
 PASSES = 12
+PASSES_FOR = 100_000
 BITS = 32
-WINDOW = 24
-#: Vectors of a component in one block of exact comparison.
-BLOCK = 512
+WINDOW = 256
+#: Vectors of a component in one block of exact comparison, and rows of a block that are compared at a time.
+BLOCK = 4096
+STEP = 512
+#: Rows of the sorted passes in one partition: far more than a window, and bounded.
+LEAST_ROWS, MOST_ROWS = 8 * WINDOW, 500_000
 SEED = 20
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; the largest component is divided out first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -36,7 +45,7 @@ def projections(dim: int, nth: int, bits: int = BITS, seed: int = SEED) -> np.nd
 
 
 def order_keys(x: np.ndarray, nth: int) -> np.ndarray:
-    """The concatenated signs of the pass's projections, first one first."""
+    """The concatenated signs of the pass's projections of x, first one first."""
     signs = (x @ projections(x.shape[1], nth) > 0).astype(np.int64)
     return signs @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
 
@@ -62,13 +71,28 @@ def _matrix(column: pa.Array, element: str) -> np.ndarray:
     return np.frombuffer(raw, dtype=element).astype(np.float64).reshape(len(column), -1)
 
 
+def _sums(element: str) -> object:
+    """Vectors to the sums of their unit vectors, by group and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grp = batch.column("grp").to_numpy()
+            for g in np.unique(grp):
+                own = batch.filter(pa.array(grp == g))
+                total = unit(_matrix(own.column("v"), element)).sum(axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(total), g)), pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total), pa.array(np.full(len(total), len(own)))], names=["grp", "place", "total", "n"])
+
+    return run
+
+
 def _keyed(element: str, passes: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims).tolist():
                 own = batch.filter(pa.array(dims == dim))
-                x = unit(_matrix(own.column("v"), element))
+                mean = np.stack(own.column("mean").to_numpy(zero_copy_only=False))
+                x = unit(_matrix(own.column("v"), element)) - mean
                 for nth in range(passes):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), nth, np.int32)), own.column("grp"), pa.array(order_keys(x, nth)), own.column("node"), own.column("v")], names=["nth", "grp", "key", "node", "v"])
 
@@ -78,12 +102,15 @@ def _keyed(element: str, passes: int) -> object:
 def _near(nth: np.ndarray, grp: np.ndarray, node: np.ndarray, x: np.ndarray, since: int, least: float, window: int) -> tuple[list[int], list[int]]:
     """A spanning star of the verified links between each row from `since` on and the window before it."""
     u, v = [], []
-    for lag in range(1, min(window, len(node) - 1) + 1):
-        at = np.arange(max(since, lag), len(node))
-        at = at[(nth[at] == nth[at - lag]) & (grp[at] == grp[at - lag])]
-        hit = at[np.einsum("ij,ij->i", x[at], x[at - lag]) >= least]
-        u.append(hit)
-        v.append(hit - lag)
+    run = np.cumsum(np.concatenate(([0], (np.diff(nth) != 0) | (np.diff(grp) != 0))))
+    for at in range(since, len(node), window):
+        low, end = max(0, at - window), min(at + window, len(node))
+        rows, cols = np.arange(at, end), np.arange(low, end)
+        lag = rows[:, None] - cols
+        near = (x[at:end] @ x[low:end].T >= least) & (lag > 0) & (lag <= window) & (run[rows, None] == run[cols])
+        i, j = np.nonzero(near)
+        u.append(i + at)
+        v.append(j + low)
     labels = np.arange(len(node))
     if u:
         join_labels(labels, np.concatenate(u), np.concatenate(v))
@@ -166,15 +193,16 @@ def _count(element: str, least: float) -> object:
     def links(rows: pa.Table, i: int, j: int) -> pa.RecordBatch:
         block, node, copies = (rows.column(c).to_numpy() for c in ("block", "node", "copies"))
         x = unit(_matrix(rows.column("v").combine_chunks(), element))
-        if i == j:
-            near = x @ x.T >= least
-            np.fill_diagonal(near, False)
-            count = near @ copies
-        else:
-            left = block == i
-            near = x[left] @ x[~left].T >= least
-            count = np.zeros(len(node), np.int64)
-            count[left], count[~left] = near @ copies[~left], copies[left] @ near
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        count = np.zeros(len(node), np.int64)
+        for at in range(0, len(left), STEP):
+            own = left[at : at + STEP]
+            near = x[own] @ x[right].T >= least
+            if i == j:
+                near &= own[:, None] != right
+            count[own] += near @ copies[right]
+            if i != j:
+                count[right] += copies[own] @ near
         return pa.RecordBatch.from_arrays([pa.array(node), pa.array(count.astype(np.int64))], names=["node", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,13 +227,15 @@ def _count(element: str, least: float) -> object:
     return run
 
 
-def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", least: float = LEAST_COSINE, passes: int | None = None, window: int = WINDOW) -> DataFrame:
     """One row per row of vectors: id, n_links, component_id, kept.
 
     Vectors link if their labels and lengths are equal, the label is not null, and their cosine in double
     precision is least or more.  A vector that is null, empty, zero, or holds a null or non-finite
     component has no link and is its own component.  Repeated rows are vectors of their own and link; a
     null id is never a component's smallest unless there is no other.  Equal vectors travel as one.
+
+    passes: how many; by default PASSES, and more for labels of over PASSES_FOR different vectors.
     """
     bounded_batches(vectors.sparkSession)
     element = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
@@ -218,8 +248,14 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     groups = F.xxhash64("label", F.octet_length("v"))
     nodes = written(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("grp", groups).withColumn("dim", F.octet_length("v")), "nodes")
 
-    keyed = nodes.select("node", "grp", "dim", "v").mapInArrow(_keyed(element, passes), "nth int, grp bigint, key bigint, node bigint, v binary")
-    parts = max(2, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = vectors.sparkSession
+    sums = nodes.select("grp", "v").mapInArrow(_sums(element), "grp bigint, place int, total double, n bigint").groupBy("grp", "place").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    means = written(sums.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "mean"))), lambda x: x["mean"]).alias("mean"), F.max("n").alias("n")), "means")
+    largest, total = means.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    passes = passes or max(PASSES, math.ceil(PASSES * (largest / PASSES_FOR) ** 0.25))
+    keyed = nodes.join(means.select("grp", "mean"), "grp").select("node", "grp", "dim", "v", "mean").mapInArrow(_keyed(element, passes), "nth int, grp bigint, key bigint, node bigint, v binary")
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, total * passes // LEAST_ROWS))
+    parts = max(parts, -(-total * passes // MOST_ROWS), 1)
     order = ["nth", "grp", "key", "node"]
     swept = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_sweep(element, least, window), "side int, place int, a bigint, b bigint, nth int, grp bigint, v binary")
     swept = written(swept, "sweeps")

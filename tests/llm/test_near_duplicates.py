@@ -263,6 +263,34 @@ def test_embeddings_window_is_made_good_inside_components(spark):
     assert all(got[i] <= wanted[i] for i in got)
 
 
+@pytest.mark.parametrize(("common", "least"), [(0.0, 0.99), (2.0, 0.97), (3.4, 0.9)])
+def test_embeddings_recall_in_a_crowded_label(spark, common, least):
+    """One label of 8,000 vectors about a common mean, of which 600 have a partner with a cosine just over 0.98; at 3.4 the median cosine of all is 0.92."""
+    rng = np.random.default_rng(21)
+    x = rng.standard_normal((8000, 64)) + common * rng.choice([-1.0, 1.0], 64)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    away = rng.standard_normal((600, 64))
+    away -= (away * unit[:600]).sum(axis=1, keepdims=True) * unit[:600]
+    away /= np.linalg.norm(away, axis=1, keepdims=True)
+    y = (unit[:600] * 0.981 + away * np.sqrt(1 - 0.981**2)) * 3
+    v = np.concatenate([x, y]).astype(np.float32)
+    frame = spark.createDataFrame([(i, row, 0) for i, row in enumerate(v.tolist())], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.component_id for r in embedding_dedup.embedding_near_dedup(frame).collect()}
+    w = v.astype(np.float64)
+    w /= np.linalg.norm(w, axis=1, keepdims=True)
+    asked = np.arange(0, len(w), 20)  # queries: ids divisible by 20, against all
+    i, j = np.nonzero(w[asked] @ w.T >= 0.98)
+    links = [(a, b) for a, b in zip(asked[i].tolist(), j.tolist(), strict=True) if a != b]
+    assert len(links) >= 25 and sum(got[a] == got[b] for a, b in links) >= least * len(links)
+
+
+def test_embeddings_of_extreme_sizes(spark):
+    rows = [(1, [1e200, 1e200], 0), (2, [1e200, 1.0001e200], 0), (3, [1e-200, 1e-200], 0), (4, [5e-324, 0.0], 0), (5, [1e308, 1e-308], 0)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.embedding_near_dedup(frame).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4)}
+
+
 def test_embeddings_repeated_rows_null_ids_and_empty(spark):
     v = [1.0, 2.0]
     frame = spark.createDataFrame([(1, v, 0), (1, v, 0), (None, v, 0), (None, None, None)], "vec_id long, embedding array<float>, label int")
