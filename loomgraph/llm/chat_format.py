@@ -1,9 +1,10 @@
 """Chat formatting into budgeted windows; DataFrame functions only.
 
-A conversation's turns get prefix sums of their tokens.  The sums, cut on a grid of STRIDE tokens, give
-turn-aligned spans: the turns that begin in one cell are new in one window.  A window repeats the system
-turn and up to HISTORY tokens of the turns before it; repeated turns are never under the loss mask, so
-each assistant text is a target once.
+A conversation's turns get prefix sums of their tokens.  The sums, cut on a grid, give turn-aligned spans:
+the turns that begin in one cell are new in one window.  The grid leaves room for the system turn, for
+HISTORY and for the last turn of a cell, so that a window keeps to the budget; a turn for which there is
+no such room has a window of its own.  A window repeats the system turn and up to HISTORY tokens of the
+turns before it; repeated turns are never under the loss mask, so each assistant text is a target once.
 
 Template: a header line and a closing mark around each turn, with every character that could begin a
 control string escaped inside roles and texts, reversibly.
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import written
+
 BUDGET = 1024
 HISTORY = 256
 OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -21,6 +24,10 @@ OPEN, MIDDLE, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 #: or of the usual other templates is left; the ampersand goes first, so that undoing is exact.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&lb;"))
 WORD = r"[^\x20\x09-\x0D]+"
+#: Tokens of a turn's marks: the header's and the closing one.
+MARKS = 2
+#: Turn numbers of a conversation that are summed in one task; prefix sums are then carried over.
+PART = 256
 ASSISTANT = "assistant"
 SYSTEM = "system"
 
@@ -47,44 +54,81 @@ def unescaped_role(role: Column) -> Column:
 
 
 def _turns(rows: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """(conv, turn, role, text, size): size in tokens, at least 1; null roles and texts are empty."""
+    """(rid, conv, turn, role, text, size): size in tokens with the marks; null roles and texts are empty."""
     plain = rows.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return plain.withColumn("size", F.greatest(F.regexp_count("text", F.lit(WORD)), F.lit(1)).cast("bigint"))
+    size = F.regexp_count("role", F.lit(WORD)) + F.regexp_count("text", F.lit(WORD)) + MARKS
+    return written(plain.withColumn("size", size.cast("bigint")).withColumn("rid", F.monotonically_increasing_id()), "turns")
 
 
-def windows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """(conv, window, n_repeated, formatted, loss): loss is an array of (start, length) in formatted, by code point from 1.
+def _same(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
+    """An inner join on keys, of which nulls are equal; the keys are left's."""
+    other = right.withColumnsRenamed({k: f"__{k}" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & left[k].eqNullSafe(other[f"__{k}"])
+    return left.join(other, on).drop(*[f"__{k}" for k in keys])
+
 
-    Turns are in order of turn (nulls first), then role, text; repeated rows are turns of their own.  The
-    first turn, if its role is system, is the system turn and heads every window.  A window's new turns
-    begin within budget - history tokens of one another, so a window passes the budget only by the system
-    turn and the last turn's own length; a turn is never cut.
+def _carried(rows: DataFrame, **sums: Column) -> DataFrame:
+    """rows (conv, part, ...) with the sums of all earlier parts of the conversation."""
+    by_part = rows.groupBy("conv", "part").agg(*[c.alias(name) for name, c in sums.items()])
+    earlier = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    return _same(rows, by_part.select("conv", "part", *[F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(name) for name in sums]), "conv", "part")
+
+
+def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """Turns (rid, conv, turn, role, text, size) to (rid, conv, n, window, repeated): which windows show which turns.
+
+    Of the room beside the system turn and HISTORY, a cell of the grid takes what the longest turn leaves,
+    at least half; so the turns that begin in a cell fit into the room.  A turn of over half the room stands
+    alone.  Only a window of the system turn and one turn that don't fit together passes the budget.
     """
-    turns = _turns(rows, conv, turn, role, text)
-    by = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    upto = by.rowsBetween(Window.unboundedPreceding, -1)
-    numbered = turns.withColumn("n", F.row_number().over(by)).withColumn("is_system", (F.col("n") == 1) & (F.col("role") == SYSTEM))
-    counted = numbered.withColumn("cost", F.when(F.col("is_system"), 0).otherwise(F.col("size"))).withColumn("before", F.coalesce(F.sum("cost").over(upto), F.lit(0)))
-    stride = budget - history
-    # The system turn is new in the window of the first turn behind it.
-    placed = counted.withColumn("cell", F.expr(f"before div {stride}"))
-    # By cell: where the next two cells that have turns begin; a turn is history of no later ones.
-    cells = placed.groupBy("conv", "cell").agg(F.min("before").alias("begin"))
+    part = F.coalesce(F.expr(f"CAST(floor(turn / {PART}) AS BIGINT)"), F.lit(-(1 << 62)))
+    narrow = turns.select("rid", "conv", "turn", "role", F.md5("text").alias("tie"), "size", part.alias("part"))
+    inside = Window.partitionBy("conv", "part").orderBy("turn", "role", "tie")
+    upto = inside.rowsBetween(Window.unboundedPreceding, -1)
+    counted = _carried(narrow, count=F.count(F.lit(1)), tokens=F.sum("size"))
+    numbered = counted.withColumn("n", F.col("count") + F.row_number().over(inside)).withColumn("is_system", (F.col("n") == 1) & (F.col("role") == SYSTEM))
+    numbered = numbered.withColumn("behind", F.col("tokens") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+
+    own, most = F.coalesce(F.max(F.when(F.col("is_system"), F.col("size"))), F.lit(0)), F.coalesce(F.max(F.when(~F.col("is_system"), F.col("size"))), F.lit(1))
+    room = numbered.groupBy("conv").agg(own.alias("system"), most.alias("most"))
+    room = room.withColumn("half", F.expr(f"greatest(({budget} - system - {history}) div 2, 1)")).withColumn("least_long", F.least("most", "half"))
+    room = room.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system") - F.col("least_long"), F.lit(1))).withColumn("back", F.least(F.lit(history), "half"))
+    known = _same(numbered.select("rid", "conv", "part", "turn", "role", "tie", "size", "n", "is_system", "behind"), room.drop("most", "half"), "conv")
+    known = known.withColumn("before", F.when(F.col("n") > 1, F.col("behind") - F.col("system")).otherwise(0)).withColumn("long", ~F.col("is_system") & (F.col("size") > F.col("least_long")))
+    known = _carried(known, longs=F.count_if("long")).withColumn("nth_long", F.col("longs") + F.sum(F.col("long").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    cell = F.struct("nth_long", (~F.col("long")).alias("among"), F.when(F.col("long"), F.lit(0)).otherwise(F.expr("before div stride")).alias("at"))
+    placed = known.where(~F.col("is_system")).withColumn("cell", cell)
+
     along = Window.partitionBy("conv").orderBy("cell")
-    here = F.struct("begin", "cell")
-    cells = cells.select(F.col("conv").alias("c"), F.col("cell").alias("k"), F.lead(here, 1).over(along).alias("x1"), F.lead(here, 2).over(along).alias("x2"))
-    known = placed.join(cells, F.col("conv").eqNullSafe(F.col("c")) & (F.col("cell") == F.col("k")))
+    cells = placed.groupBy("conv", "cell").agg(F.min("before").alias("begin"), F.sum("size").alias("fresh")).withColumn("window", F.row_number().over(along).cast("bigint"))
+    here = F.struct("begin", "fresh", "window")
+    cells = cells.withColumn("x1", F.lead(here, 1).over(along)).withColumn("x2", F.lead(here, 2).over(along))
 
     def repeat(x: str) -> Column:
-        near = ~F.col("is_system") & (F.col(f"{x}.begin") - F.col("before") <= history)
-        return F.when(near, F.struct(F.col(f"{x}.cell").alias("window"), F.lit(True).alias("repeated")))
+        near = (F.col(f"{x}.begin") - F.col("before") <= F.col("back")) & (F.col(f"{x}.fresh") <= F.col("stride") + F.col("least_long"))
+        return F.when(near, F.struct(F.col(f"{x}.window").alias("window"), F.lit(True).alias("repeated")))
+
+    # `back` tokens reach over no more than two starts of windows.
+    shown = F.filter(F.array(F.struct("window", F.lit(False).alias("repeated")), repeat("x1"), repeat("x2")), lambda x: x.isNotNull())
+    turns_in = _same(placed, cells.select("conv", "cell", "window", "x1", "x2"), "conv", "cell").withColumn("shown", F.explode(shown)).select("rid", "conv", "n", "shown.window", "shown.repeated")
+    system = known.where("is_system").select("rid", "conv", "n")
+    first = system.select("rid", "conv", "n", F.lit(1).cast("bigint").alias("window"), F.lit(False).alias("repeated"))
+    heads = _same(system, cells.where("window > 1").select("conv", "window"), "conv").select("rid", "conv", "n", "window", F.lit(True).alias("repeated"))
+    return turns_in.unionByName(first).unionByName(heads)
+
+
+def windows(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+    """(conv, window, n_repeated, formatted, loss): loss is an array of (start, length) in formatted, by code point from 1.
 
-    own = F.struct(F.col("cell").alias("window"), F.lit(False).alias("repeated"))
-    shown = F.filter(F.array(own, repeat("x1"), repeat("x2")), lambda x: x.isNotNull())
-    turns_in = known.withColumn("at", F.explode(shown)).select("conv", "at.window", "at.repeated", "n", "role", "text")
-    system = placed.where("is_system").select("conv", "n", "role", "text")
-    heads = cells.where("k > 0").join(system, F.col("c").eqNullSafe(F.col("conv"))).select("conv", F.col("k").alias("window"), F.lit(True).alias("repeated"), "n", "role", "text")
-    return _formatted(turns_in.unionByName(heads))
+    Turns are in order of turn (nulls first), then role and the text's md5; repeated rows are turns of their
+    own.  The first turn, if its role is system, is the system turn and heads every window; a conversation
+    of it alone is one window.  A turn is never cut.  A token is a word of a role or text, or a mark.
+    """
+    turns = _turns(rows, conv, turn, role, text)
+    shown = spans(turns, budget, history)
+    return _formatted(shown.join(turns.select("rid", "role", "text"), "rid").select("conv", "window", "repeated", "n", "role", "text"))
 
 
 def _formatted(rows: DataFrame) -> DataFrame:
@@ -131,15 +175,19 @@ def report_sql(rows: str) -> str:
     """DuckDB SQL of the report over `rows`, a query that gives conv_id, turn, role, text."""
     escape = "replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '[', '&lb;')"
     frame = len(OPEN) + len(MIDDLE) + len(CLOSE)
+    count = f"len(regexp_extract_all({{x}}, '{WORD}'))"
     return f"""WITH r AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM ({rows})),
-t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n FROM r),
-s AS (SELECT *, n = 1 AND role = '{SYSTEM}' AS sys, greatest(len(regexp_extract_all(text, '{WORD}')), 1) AS size,
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS n FROM r),
+s AS (SELECT *, n = 1 AND role = '{SYSTEM}' AS sys, {count.format(x='role')} + {count.format(x='text')} + {MARKS} AS size,
   length(replace({escape.format(x='role')}, chr(10), '&nl;')) + length({escape.format(x='text')}) + {frame} AS chars FROM t),
-b AS (SELECT *, COALESCE(SUM(CASE WHEN sys THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s),
-p AS (SELECT *, before // {BUDGET - HISTORY} AS cell FROM b),
-c AS (SELECT conv_id, cell, lead(lo) OVER w AS x1, lead(lo, 2) OVER w AS x2 FROM (SELECT conv_id, cell, min(before) AS lo FROM p GROUP BY ALL) WINDOW w AS (PARTITION BY conv_id ORDER BY cell)),
-own AS (SELECT conv_id, SUM(chars * (1 + CASE WHEN NOT sys AND x1 - before <= {HISTORY} THEN 1 ELSE 0 END + CASE WHEN NOT sys AND x2 - before <= {HISTORY} THEN 1 ELSE 0 END)) AS chars FROM p JOIN c USING (conv_id, cell) GROUP BY conv_id),
-heads AS (SELECT p.conv_id, SUM(p.chars) AS chars FROM p JOIN c ON c.conv_id = p.conv_id AND c.cell > 0 WHERE p.sys GROUP BY p.conv_id),
+g AS (SELECT conv_id, COALESCE(MAX(size) FILTER (sys), 0) AS head, COALESCE(MAX(size) FILTER (NOT sys), 1) AS most FROM s GROUP BY conv_id),
+h AS (SELECT *, least(most, half) AS long, greatest({BUDGET - HISTORY} - head - least(most, half), 1) AS stride, least({HISTORY}, half) AS back FROM (SELECT *, greatest(({BUDGET} - head - {HISTORY}) // 2, 1) AS half FROM g)),
+b AS (SELECT s.*, long, stride, back, COALESCE(SUM(CASE WHEN sys THEN 0 ELSE size END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM s JOIN h USING (conv_id)),
+p AS (SELECT *, SUM(CASE WHEN NOT sys AND size > long THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS k1, (size <= long)::INT AS k2, CASE WHEN size > long THEN 0 ELSE before // stride END AS k3 FROM b),
+w AS (SELECT *, row_number() OVER o AS nth, lead(lo) OVER o AS x1, lead(fresh) OVER o AS f1, lead(lo, 2) OVER o AS x2, lead(fresh, 2) OVER o AS f2
+  FROM (SELECT conv_id, k1, k2, k3, min(before) AS lo, SUM(size) AS fresh FROM p WHERE NOT sys GROUP BY ALL) WINDOW o AS (PARTITION BY conv_id ORDER BY k1, k2, k3)),
+own AS (SELECT conv_id, SUM(chars * (1 + CASE WHEN x1 - before <= back AND f1 <= stride + long THEN 1 ELSE 0 END + CASE WHEN x2 - before <= back AND f2 <= stride + long THEN 1 ELSE 0 END)) AS chars FROM p JOIN w USING (conv_id, k1, k2, k3) WHERE NOT sys GROUP BY conv_id),
+heads AS (SELECT p.conv_id, SUM(p.chars * greatest(COALESCE(c.n, 1), 1)) AS chars FROM p LEFT JOIN (SELECT conv_id, count(*) AS n FROM w GROUP BY conv_id) c ON c.conv_id = p.conv_id WHERE p.sys GROUP BY p.conv_id),
 d AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns, COALESCE(string_agg(text, '' ORDER BY n) FILTER (role = '{ASSISTANT}'), '') AS loss FROM t GROUP BY conv_id)
-SELECT d.conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (own.chars + COALESCE(heads.chars, 0))::BIGINT AS formatted_chars
-FROM d JOIN own USING (conv_id) LEFT JOIN heads USING (conv_id)"""
+SELECT d.conv_id, n_turns::BIGINT AS n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, (COALESCE(own.chars, 0) + COALESCE(heads.chars, 0))::BIGINT AS formatted_chars
+FROM d LEFT JOIN own USING (conv_id) LEFT JOIN heads USING (conv_id)"""

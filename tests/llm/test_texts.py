@@ -221,16 +221,42 @@ def test_chat_reads_back(spark, budget, history):
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
-def test_chat_windows(spark):
-    frame = spark.createDataFrame(CONVERSATIONS, "conv_id long, turn long, role string, text string")
-    rows = chat_format.windows(frame, budget=20, history=8).collect()
-    assert all(r.formatted.startswith(chat_format.OPEN + "system") for r in rows if r.conv == 1)
-    long = [r for r in rows if r.conv == 6]
-    assert len(long) > 50 and any(r.n_repeated > 0 for r in long)
-    for r in long:
+def chat_tokens(turn):
+    """Words of a formatted turn, with its two marks."""
+    head, body = turn.removesuffix(chat_format.CLOSE).split("\n", 1)
+    return len(head.split()) + len(body.split()) + 2
+
+
+@pytest.mark.parametrize(("budget", "history"), [(20, 8), (60, 20), (1024, 256), (40, 0), (5, 3)])
+def test_chat_windows_keep_to_the_budget(spark, budget, history, monkeypatch):
+    monkeypatch.setattr(chat_format, "PART", 7)
+    rng = random.Random(budget)
+    more = [(c, k, "system" if k == 0 and c % 2 else "assistant" if k % 2 else "user", " ".join("w" * rng.choice([1, 2, 30, 400])) if rng.random() < 0.3 else f"turn {k} " * rng.randrange(9)) for c in range(20, 32) for k in range(rng.randrange(1, 60))]
+    frame = spark.createDataFrame([*CONVERSATIONS, (8, 0, "system", "s " * 900), *[(8, k, "user", "u " * 760) for k in range(1, 4)], *more], "conv_id long, turn long, role string, text string")
+    rows = chat_format.windows(frame, budget=budget, history=history).collect()
+    seen = {}
+    for r in sorted(rows, key=lambda r: (str(r.conv), r.window)):
         turns = r.formatted.split(chat_format.OPEN)[1:]
-        repeated = sum(len(t.split("\n", 1)[1].removesuffix(chat_format.CLOSE).split()) for t in turns[: r.n_repeated])
-        assert repeated <= 8
+        system = [t for t in turns[:1] if t.startswith("system\n")]
+        back, new = turns[len(system) : r.n_repeated], turns[r.n_repeated if r.n_repeated else len(system) :]
+        cost = sum(map(chat_tokens, turns))
+        assert cost <= budget or (not back and len(new) == 1)
+        assert sum(map(chat_tokens, back)) <= history
+        before = seen.setdefault(r.conv, [])
+        assert back == before[len(before) - len(back) :]
+        before += new
+    fill = [len(r.formatted.split()) for r in rows if r.conv == 6]
+    assert budget < 1024 or sum(fill) / len(fill) > 0.7 * min(budget, 1024) or len(fill) < 3
+    turns = {c: sorted((r for r in frame.collect() if r.conv_id == c), key=lambda r: (r.turn is not None, r.turn or 0)) for c in {r.conv for r in rows}}
+    for c, own in turns.items():
+        assert len(seen[c]) == len([r for k, r in enumerate(own) if k or r.role != "system"])
+
+
+def test_chat_windows_at_a_budget_with_a_long_system_turn(spark):
+    frame = spark.createDataFrame([(1, 0, "system", "s " * 900), *[(1, k, "user", "u " * 60) for k in range(1, 9)], (1, 9, "user", "u " * 760)], "conv_id long, turn long, role string, text string")
+    rows = sorted(chat_format.windows(frame).collect(), key=lambda r: r.window)
+    counts = [len(r.formatted.split(chat_format.OPEN)) - 2 for r in rows]
+    assert all(len(r.formatted.split()) <= 1024 for r in rows[:-1]) and counts == [1] * 9
     assert chat_format.formatted_report(frame.where("false")).count() == 0
 
 
