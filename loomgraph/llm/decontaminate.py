@@ -10,16 +10,17 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches
+from loomgraph.llm.common import bounded_batches, written
 
 WINDOW = 10
-#: Words of test items in one automaton (about 100 bytes each on the driver and each worker).  More
-#: items make more automata, one after the other.
+#: Words of test items in one automaton (about 700 bytes each on the driver and each worker).  More
+#: items make more automata, each scanned in a stage of its own, so that no worker holds two.
 BLOCK_WORDS = 200_000
 #: Of a document's words, the share hit above which cut_hits drops it whole.
 MOST_COVERAGE = 0.5
@@ -39,11 +40,11 @@ class Automaton:
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
         #: By state: the items whose windows of the full length are the state's word sequence of that length.
-        self.full: dict[int, set[str]] = {}
+        self.full: dict[int, set[str | None]] = {}
         #: By state: the shorter items that are one of the state's word sequences, as (words, item).
-        self.short: dict[int, set[tuple[int, str]]] = {}
+        self.short: dict[int, set[tuple[int, str | None]]] = {}
         self.least = window
-        self.items: list[tuple[list[bytes], str]] = []
+        self.items: list[tuple[list[bytes], str | None]] = []
 
     def add(self, words: list[bytes], item: str | None) -> None:
         """Adds an item's words; item None marks words without naming an item."""
@@ -51,7 +52,7 @@ class Automaton:
         for w in words:
             last = self._extend(last, w)
         if words:
-            self.items.append((words, item if item is not None else ""))
+            self.items.append((words, item))
 
     def _extend(self, last: int, w: bytes) -> int:
         nxt, link, length = self.next, self.link, self.length
@@ -108,7 +109,7 @@ class Automaton:
         nxt, link, length, window, least = self.next, self.link, self.length, self.window, self.least
         spans: list[tuple[int, int]] = []
         found: set[int] = set()
-        named: set[str] = set()
+        named: set[str | None] = set()
         at = n = 0
         root = nxt[0]
         for i, w in enumerate(words):
@@ -139,7 +140,7 @@ class Automaton:
                         s = link[s]
         for s in found:
             named |= self.full.get(s, set())
-        return spans, named
+        return spans, named - {None}
 
 
 def marked(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -154,18 +155,16 @@ def marked(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def blocks_needed(items: DataFrame, text_col: str, block_words: int) -> int:
-    """How many blocks of block_words words the items fill at most, by their bytes: a word takes two, with what parts it."""
-    most = F.ceil((F.octet_length(F.coalesce(F.col(text_col), F.lit(""))) + 1) / 2)
-    total = items.agg(F.sum(most)).first()[0] or 0
+    """How many blocks of block_words words the items fill."""
+    total = items.agg(F.sum(F.regexp_count(text_col, F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")))).first()[0] or 0
     return max(1, -(-int(total) // block_words))
 
 
-def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_words: int) -> Iterator[Automaton]:
-    """One frozen automaton for each block of items, one block's words on the driver at a time.
+def automata(items: DataFrame, id_col: str, text_col: str, window: int, blocks: int) -> Iterator[Automaton]:
+    """One frozen automaton for each of `blocks` blocks of items, one block's words on the driver at a time.
 
-    Items are dealt to blocks by hash, so that a block holds block_words words or so and one item.
+    Items are dealt to blocks by hash, so that blocks are of about one size.
     """
-    blocks = blocks_needed(items, text_col, block_words)
     dealt = items.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("binary").alias("text"), F.pmod(F.xxhash64(text_col), F.lit(blocks)).alias("block"))
     for k in range(blocks):
         now = Automaton(window)
@@ -175,41 +174,63 @@ def automata(items: DataFrame, id_col: str, text_col: str, window: int, block_wo
         yield now.freeze()
 
 
-def _scan(shared: object) -> object:
+def _scan(shared: object, hits_only: bool) -> object:
+    """Rows with __loom_text to the rows with __loom_spans (flat starts and ends) and __loom_items; only those with hits, without text, if so asked."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
             spans, items = [], []
-            for text, old_spans, old_items in zip(batch.column("__loom_text"), batch.column("__loom_spans"), batch.column("__loom_items"), strict=True):
+            for text in batch.column("__loom_text"):
                 got, named = automaton.hits(words_of(text.as_py()))
-                flat = old_spans.as_py() or []
-                runs = marked(got + list(zip(flat[::2], flat[1::2], strict=True)))
-                spans.append([x for run in runs for x in run])
-                items.append(sorted(named | set(old_items.as_py() or [])))
-            rest = [batch.column(c) for c in batch.schema.names if c not in ("__loom_spans", "__loom_items")]
-            names = [c for c in batch.schema.names if c not in ("__loom_spans", "__loom_items")]
-            yield pa.RecordBatch.from_arrays([*rest, pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "__loom_spans", "__loom_items"])
+                spans.append([x for run in marked(got) for x in run])
+                items.append(sorted(named))
+            names = [c for c in batch.schema.names if not (hits_only and c == "__loom_text")]
+            out = pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(spans, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=[*names, "__loom_spans", "__loom_items"])
+            yield out.filter(pa.array([bool(x) for x in spans], pa.bool_())) if hits_only else out
 
     return run
 
 
+_HITS = "__loom_spans array<int>, __loom_items array<string>"
+
+
 def find_hits(docs: DataFrame, items: DataFrame, id_col: str = "item_id", item_text: str = "text", text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs with __loom_text (binary), __loom_spans (flat list of disjoint runs of hit words) and __loom_items (names of the items hit)."""
+    """docs with __loom_text (binary), __loom_spans (flat starts and ends of hit runs) and __loom_items (names of the items hit).
+
+    With one automaton that is one pass over docs; with more, each writes its hits, and those of a row are
+    put together, so that its spans may overlap.
+    """
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
-    out = docs.withColumn("__loom_text", F.col(text_col).cast("binary")).withColumn("__loom_spans", F.lit(None).cast("array<int>")).withColumn("__loom_items", F.lit(None).cast("array<string>"))
-    for automaton in automata(items, id_col, item_text, window, block_words):
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(automaton)), out.schema)
-    return out
+    given = docs.withColumn("__loom_text", F.col(text_col).cast("binary"))
+    blocks = blocks_needed(items, item_text, block_words)
+    made = automata(items, id_col, item_text, window, blocks)
+    if blocks == 1:
+        schema = given.withColumn("__loom_spans", F.lit(None).cast("array<int>")).withColumn("__loom_items", F.lit(None).cast("array<string>")).schema
+        return given.mapInArrow(_scan(spark.sparkContext.broadcast(next(made)), False), schema)
+    given = written(given.withColumn("__loom_row", F.monotonically_increasing_id()), "numbered")
+    hits = []
+    for automaton in made:
+        shared = spark.sparkContext.broadcast(automaton)
+        hits.append(written(given.select("__loom_row", "__loom_text").mapInArrow(_scan(shared, True), f"__loom_row bigint, {_HITS}"), "hits"))
+        shared.destroy()
+    merged = reduce(DataFrame.unionByName, hits).groupBy("__loom_row").agg(F.flatten(F.collect_list("__loom_spans")).alias("__loom_spans"), F.array_distinct(F.flatten(F.collect_list("__loom_items"))).alias("__loom_items"))
+    return given.join(merged, "__loom_row", "left").drop("__loom_row")
+
+
+def _runs(flat: list[int] | None) -> list[tuple[int, int]]:
+    flat = flat or []
+    return marked(list(zip(flat[::2], flat[1::2], strict=True)))
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = {"n_words": [], "n_hit": [], "n_items": [], "items_sha256": []}
         for text, flat, items in zip(batch.column(1), batch.column(2), batch.column(3), strict=True):
-            flat, items = flat.as_py() or [], [x for x in items.as_py() or [] if x != ""]
+            items = sorted(items.as_py() or [])
             rows["n_words"].append(len(words_of(text.as_py())))
-            rows["n_hit"].append(sum(flat[1::2]) - sum(flat[::2]))
+            rows["n_hit"].append(sum(b - a for a, b in _runs(flat.as_py())))
             rows["n_items"].append(len(items))
             rows["items_sha256"].append(hashlib.sha256(",".join(items).encode()).hexdigest())
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v) for v in rows.values()]], names=["id", *rows])
@@ -233,15 +254,15 @@ def _cut(most_coverage: float) -> object:
         for batch in batches:
             texts, stay = [], []
             for text, flat in zip(batch.column("__loom_text"), batch.column("__loom_spans"), strict=True):
-                raw, flat = text.as_py(), flat.as_py() or []
-                if not flat:
+                raw, runs = text.as_py(), _runs(flat.as_py())
+                if not runs:
                     texts.append(raw.decode() if raw is not None else None)
                     stay.append(True)
                     continue
                 at = [m.span() for m in _WORD.finditer(raw.translate(_FOLD))]
-                stay.append((sum(flat[1::2]) - sum(flat[::2])) <= most_coverage * len(at))
+                stay.append(sum(b - a for a, b in runs) <= most_coverage * len(at))
                 cut, end = [], 0
-                for a, b in zip(flat[::2], flat[1::2], strict=True):
+                for a, b in runs:
                     cut.append(raw[end : at[a][0]])
                     end = at[b - 1][1]
                 texts.append(b"".join([*cut, raw[end:]]).decode())

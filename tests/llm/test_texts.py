@@ -45,7 +45,7 @@ def brute_contamination(docs, items, window):
 def contamination_tables(seed):
     rng = random.Random(seed)
     pick = lambda n: " ".join(rng.choice(["Aa", "b", "c1", "é", "d"]) for _ in range(n))
-    items = [(k, pick(rng.randrange(0, 15))) for k in range(8)] + [(8, None), (None, "zz yy"), (3, "b b"), (9, "solo"), (10, "x" + " y" * 40)]
+    items = [(k, pick(rng.randrange(0, 15))) for k in range(8)] + [(8, None), (None, "zz yy"), (3, "b b"), (9, "solo"), ("", "c1 c1 b"), (10, "x" + " y" * 40)]
     docs = [(k, pick(rng.randrange(0, 80)) + rng.choice(["", ", zz;YY ", " solo", " x" + " y" * 40])) for k in range(30)]
     return [*docs, (90, None), (91, ""), (91, ""), (92, "--"), (None, "zz yy")], items
 
@@ -54,7 +54,7 @@ def contamination_tables(seed):
 def test_contamination_matches_brute_force(spark, seed, window, block):
     docs, items = contamination_tables(seed)
     d = spark.createDataFrame([(*r, 1) for r in docs], "doc_id long, text string, id int").repartition(3)
-    b = spark.createDataFrame(items, "item_id long, text string")
+    b = spark.createDataFrame([(None if k is None else str(k), t) for k, t in items], "item_id string, text string")
     got = sorted((tuple(r) for r in decontaminate.contamination(d, b, window=window, block_words=block).collect()), key=str)
     assert got == brute_contamination(docs, items, window)
 
@@ -66,6 +66,9 @@ def test_hits_are_cut(spark):
     assert done.columns == docs.columns
     assert {r.doc_id: r.text for r in done.collect()} == {1: "Before it: ! After it, and so on and on.", 3: None, 4: "clean"}
     assert decontaminate.cut_hits(docs, items.where("false")).count() == 4
+    two = items.union(spark.createDataFrame([(2, "fox and hare"), (3, "brown fox")], items.schema))
+    assert {r.doc_id: r.text for r in decontaminate.cut_hits(docs, two, block_words=2).collect()} == {1: "Before it: ! After it, and so on and on.", 3: None, 4: "clean"}
+    assert decontaminate.blocks_needed(two, "text", 2) == 5 and decontaminate.find_hits(docs, two, block_words=2).count() == 4
     assert decontaminate.contamination(docs.where("false"), items).count() == 0
 
 
@@ -372,6 +375,13 @@ def test_warc_of_nothing(pages):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_of_other_ids(spark):
+    rows = [("b\nx: y", "u", "same"), (" a ", "u", "same"), ("é%", None, None), (None, "u", "same"), ("", "v", "")]
+    frame = spark.createDataFrame(rows, "page_id string, url string, html string")
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(frame).collect()}
+    assert got == {"b\nx: y": (4, "response", None), " a ": (4, "revisit", "b\nx: y"), None: (4, "revisit", "b\nx: y"), "é%": (0, "response", None), "": (0, "revisit", "é%")}
+
+
 def test_archives_are_plain_zip_files(spark, pages):
     manifest = warc.write_archives(pages, f"{shared_dir(spark)}/plain")
     assert manifest.agg(F.sum("records")).first()[0] == pages.count()
