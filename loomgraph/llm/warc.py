@@ -21,6 +21,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import BinaryIO
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -29,10 +30,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.llm.common import bounded_batches, shared_dir, written
 
-#: Bytes of records in one archive, in one read, and in one task's share of an archive.
+#: Bytes of records in one archive, in one read, in one share of an archive, and in the shares of one task.
 ARCHIVE_BYTES = 128 << 20
 READ_BYTES = 4 << 20
-SHARE_BYTES = 16 << 20
+SHARE_BYTES = 2 << 20
+TASK_BYTES = 32 << 20
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 INDEX = "index.jsonl"
@@ -48,15 +50,15 @@ def base32(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def record_id(page_id: int | None, digest: str) -> str:
+def record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'{page_id}|{digest}')}>"
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, response: bool, leader: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, payload: bytes, digest: str, response: bool, leader: str | None) -> bytes:
     """One WARC/1.1 record.  A revisit has the HTTP head alone and refers to the response's record."""
     head = ["WARC/1.1", f"WARC-Type: {'response' if response else 'revisit'}", f"WARC-Record-ID: {record_id(page_id, digest)}", "WARC-Date: 2024-01-01T00:00:00Z"]
     if page_id is not None:
-        head.append(f"X-Page-ID: {page_id}")
+        head.append(f"X-Page-ID: {quote(page_id, safe='')}")
     if url:
         head.append(f"WARC-Target-URI: {url.replace('%', '%25').replace(chr(13), '%0D').replace(chr(10), '%0A')}")
     head.append(f"WARC-Payload-Digest: sha1:{digest}")
@@ -98,20 +100,21 @@ class Writer:
         self.index.append((self.at, len(packed)))
         self.at += len(packed)
 
-    def close(self) -> tuple[str, int]:
+    def close(self) -> tuple[str, int, int]:
+        """(path, records, bytes of records)."""
         self.member.close()
         with self.zip.open(zipfile.ZipInfo(INDEX), "w", force_zip64=True) as f:
             for offset, length in self.index:
                 f.write(json.dumps({"member": "records-00000.warc.gz", "offset": offset, "length": length}).encode() + b"\n")
         self.zip.close()
         self.out.close()
-        return self.path, len(self.index)
+        return self.path, len(self.index), self.at
 
 
 def _write(root: str, archive_bytes: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Writer | None = None
-        done: list[tuple[str, int]] = []
+        done: list[tuple[str, int, int]] = []
         for batch in batches:
             cols = [batch.column(c) for c in ("i", "u", "payload", "digest", "response", "leader")]
             for i, u, payload, digest, response, leader in zip(*cols, strict=True):
@@ -122,7 +125,7 @@ def _write(root: str, archive_bytes: int) -> object:
                     now = None
         if now:
             done.append(now.close())
-        yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=["path", "records"])
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], names=["path", "records", "bytes"])
 
     return run
 
@@ -238,8 +241,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
                     raise ValueError(f"{fields['warc-record-id']}: the payload does not have its digest")
                 page = fields.get("x-page-id")
-                rows.append((fields["warc-record-id"], int(page) if page is not None else None, len(payload), digest, kind, fields.get("warc-refers-to")))
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
+                rows.append((fields["warc-record-id"], unquote(page) if page is not None else None, len(payload), digest, kind, fields.get("warc-refers-to")))
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["rid", "page", "bytes", "digest", "kind", "refers"])
     finally:
@@ -248,38 +251,42 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_archives(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes pages as archives under root; the manifest (path, records) lists those of finished tasks.
+    """Writes pages as archives under root; the manifest (path, records, bytes) lists those of finished tasks.
 
     Of records with equal payloads of least_bytes or more, that with the largest id is the response and the
     others revisit it; rows that share the largest id are all responses, and a null id is the smallest.
-    A null page has the empty payload.
+    Ids are of any type that casts to a string and back.  A null page has the empty payload.
     """
     bounded_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    given = pages.select(F.col(id_col).cast("bigint").alias("i"), F.col(url_col).alias("u"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    given = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     leaders = given.where(F.octet_length("payload") >= least_bytes).groupBy("digest").agg(F.max("i").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "leader")
     leaders = written(leaders, "leaders")  # joined as a table, so that the rows of a very common payload can be split
     response = F.col("leader").isNull() | F.col("i").eqNullSafe(F.col("leader"))
-    met = given.join(leaders, "digest", "left").select("i", "u", "payload", "digest", response.alias("response"), "leader")
-    return written(met.mapInArrow(_write(root, archive_bytes), "path string, records bigint"), "manifest")
+    met = given.join(leaders, "digest", "left").select(F.col("i").cast("string").alias("i"), "u", "payload", "digest", response.alias("response"), F.col("leader").cast("string").alias("leader"))
+    return written(met.mapInArrow(_write(root, archive_bytes), "path string, records bigint, bytes bigint"), "manifest")
 
 
-def read_archives(manifest: DataFrame, id_col: str = "page_id") -> DataFrame:
+def read_archives(manifest: DataFrame, id_col: str = "page_id", id_type: str = "bigint") -> DataFrame:
     """One row per record of the archives: id, payload_bytes, payload_digest, record_type, refers_to.
 
-    A revisit's bytes and refers_to are those of the response that its record names.
+    Archives are listed and their records read by as many tasks as their bytes ask for.  A revisit's bytes
+    and refers_to are those of the response that its record names.
     """
-    ranges = manifest.select("path").repartition("path").mapInArrow(_ranges, "path string, offset bigint, length bigint")
-    dealt = ranges.withColumn("share", F.expr(f"offset div {SHARE_BYTES}")).repartition("path", "share").sortWithinPartitions("path", "offset").select("path", "offset", "length")
-    records = written(dealt.mapInArrow(_read, "rid string, page bigint, bytes bigint, digest string, kind string, refers string"), "records")
+    archives, size = manifest.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    at_once = manifest.sparkSession.sparkContext.defaultParallelism
+    listers, readers = max(1, min(archives, 10_000)), max(1, min(size // SHARE_BYTES, at_once), min(size // TASK_BYTES, 100_000))
+    ranges = manifest.select("path").repartition(listers, "path").mapInArrow(_ranges, "path string, offset bigint, length bigint")
+    dealt = ranges.withColumn("share", F.expr(f"offset div {SHARE_BYTES}")).repartition(readers, "path", "share").sortWithinPartitions("path", "offset").select("path", "offset", "length")
+    records = written(dealt.mapInArrow(_read, "rid string, page string, bytes bigint, digest string, kind string, refers string"), "records")
     named = records.where("kind = 'response'").groupBy("rid").agg(F.max("page").alias("to"), F.max("bytes").alias("full")).withColumnRenamed("rid", "refers")
     met = records.where("kind = 'revisit'").join(named, "refers")
-    out = records.where("kind = 'response'").select("page", "bytes", "digest", "kind", F.lit(None).cast("bigint").alias("refers_to"))
+    out = records.where("kind = 'response'").select("page", "bytes", "digest", "kind", F.lit(None).cast("string").alias("refers_to"))
     out = out.union(met.select("page", F.col("full"), "digest", "kind", "to"))
-    return out.select(F.col("page").alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to")
+    return out.select(F.col("page").cast(id_type).alias(id_col), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers_to").cast(id_type).alias("refers_to"))
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", **settings: int) -> DataFrame:
     """Writes the archives into a new folder of the shared one and reads them back."""
     root = f"{shared_dir(pages.sparkSession)}/loomgraph/archives-{uuid.uuid4().hex}"
-    return read_archives(write_archives(pages, root, id_col, url_col, html_col, **settings), id_col)
+    return read_archives(write_archives(pages, root, id_col, url_col, html_col, **settings), id_col, pages.schema[id_col].dataType.simpleString())
