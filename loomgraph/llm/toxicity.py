@@ -325,26 +325,29 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_docs: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> Model:
-    """Fits on a bounded sample: of the labelled rows that are in docs with a text and not held out, the first most_docs of each class by the id's hash.
+    """Fits on a bounded sample: of the labelled ids that are in docs with a text and not held out, the first most_docs of each class by the id's hash.
 
     Of these, texts are taken whole, in that order, while they fit into most_bytes for the class; texts of
     over one part in LARGE_PARTS of most_bytes come after all others, the smaller first, so a large text takes no other's
     place and what the smaller ones leave unused is under one such part.  The first text of a class is
-    always taken, so a class with labelled texts has some.  Only ids and labels of the sample reach the
-    driver first, then its texts.
+    always taken, so a class with labelled texts has some.  Of several texts under one id the shortest is
+    meant.  All is chosen by ids and sizes; only the texts of the sample travel.
     """
     own = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where(F.col("i").isNotNull() & F.col("y").isin(0, 1) & ~held_out("i"))
-    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.octet_length(text_col).alias("n")).where("t is not null")
+    texts = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
+    sizes = texts.select("i", F.octet_length("t").alias("n"), F.xxhash64("t").alias("h"))
     own = own.groupBy("i").agg(F.max("y").alias("y")).join(texts.select("i"), "i", "leftsemi").withColumn("r", F.xxhash64("i"))
     own = written(own, "labelled")
     counts = {r.y: r["count"] for r in own.groupBy("y").count().collect()}
     picked = own.where("y = 1").orderBy("r", "i").limit(most_docs).union(own.where("y = 0").orderBy("r", "i").limit(most_docs))
-    here = texts.join(F.broadcast(picked), "i")  # at most 2 x most_docs rows
+    here = sizes.join(F.broadcast(picked), "i").groupBy("i", "y", "r").agg(F.min(F.struct("n", "h")).alias("s")).select("i", "y", "r", "s.n", "s.h")  # at most 2 x most_docs rows
     large = F.col("n") > most_bytes // LARGE_PARTS
-    order = Window.partitionBy("y").orderBy(large, F.when(large, F.col("n")), "r", "i", "t")
+    order = Window.partitionBy("y").orderBy(large, F.when(large, F.col("n")), "r", "i")
     so_far = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = here.select("i", "y", "r", "t", "n").withColumn("so_far", so_far).withColumn("place", F.row_number().over(order))
-    rows = ranked.where((F.col("so_far") <= most_bytes) | (F.col("place") == 1)).select("y", "t", "r", "i").orderBy("r", "i", "t").collect()
+    ranked = here.withColumn("so_far", so_far).withColumn("place", F.row_number().over(order))
+    chosen = ranked.where((F.col("so_far") <= most_bytes) | (F.col("place") == 1)).select("i", "y", "r", "h")
+    found = texts.withColumn("h", F.xxhash64("t")).join(F.broadcast(chosen), ["i", "h"]).dropDuplicates(["i", "h"])
+    rows = found.select("y", "t", "r", "i").orderBy("r", "i").collect()
     used = Counter(r.y for r in rows)
     if len(used) < 2:
         warnings.warn(f"toxicity has labelled texts of {len(used)} of 2 classes to fit on: the score is a constant", stacklevel=2)
