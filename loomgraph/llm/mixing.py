@@ -44,15 +44,21 @@ def hand_down(children: DataFrame, parents: list[str], name: str) -> DataFrame:
     """children with columns parents, name, weight, cap and budget (of the parent) to the same with share.
 
     Water filling: in order of cap over weight, a child that the level reaches gives its cap; the others
-    split what is left by weight.  Whole numbers throughout.
+    split what is left by weight, and what the division leaves over goes to the largest remainders, one
+    each.  Whole numbers throughout, products in 38 digits; the shares add up to the budget or to all caps.
     """
+    wide = lambda c: c.cast("decimal(38,0)")
     own = Window.partitionBy(*parents)
     order = own.orderBy(F.col("cap") / F.col("weight"), name)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     left = children.withColumn("w_left", F.sum("weight").over(own) - F.coalesce(F.sum("weight").over(before), F.lit(0))).withColumn("b_left", F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-    full = left.withColumn("is_full", F.col("cap") * F.col("w_left") <= F.col("weight") * F.col("b_left"))
+    full = left.withColumn("is_full", wide(F.col("cap")) * wide(F.col("w_left")) <= wide(F.col("weight")) * wide(F.col("b_left")))
     rest = full.withColumn("b_rest", F.col("budget") - F.coalesce(F.sum(F.when(F.col("is_full"), F.col("cap"))).over(own), F.lit(0))).withColumn("w_rest", F.sum(F.when(~F.col("is_full"), F.col("weight"))).over(own))
-    return rest.withColumn("share", F.when(F.col("is_full"), F.col("cap")).otherwise(F.expr("(b_rest * weight) div w_rest"))).drop("w_left", "b_left", "is_full", "b_rest", "w_rest")
+    product = wide(F.col("b_rest")) * wide(F.col("weight"))
+    rest = rest.withColumn("product", product).withColumn("part", F.expr("CAST(product div w_rest AS BIGINT)")).withColumn("remainder", F.expr("product - CAST(part AS DECIMAL(38,0)) * CAST(w_rest AS DECIMAL(38,0))"))
+    rest = rest.withColumn("over", F.col("b_rest") - F.sum(F.when(~F.col("is_full"), F.col("part"))).over(own)).withColumn("nth", F.row_number().over(own.orderBy("is_full", F.desc("remainder"), name)))
+    share = F.when(F.col("is_full"), F.col("cap")).otherwise(F.col("part") + (F.col("nth") <= F.col("over")).cast("bigint"))
+    return rest.withColumn("share", share).select(*children.columns, "share")
 
 
 def leaf_budgets(leaves: DataFrame, per_mille: int, most_epochs: int, weights: dict[str, dict[str, int]]) -> DataFrame:
@@ -70,23 +76,23 @@ def leaf_budgets(leaves: DataFrame, per_mille: int, most_epochs: int, weights: d
     return leaves.join(budget.drop("all").withColumnRenamed("budget", "share"), list(LEVELS))
 
 
-def epochs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_mille: int = BUDGET_PER_MILLE, most_epochs: int = MOST_EPOCHS, seed: int = SEED, weights: dict[str, dict[str, int]] | None = None) -> DataFrame:
+def epochs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", per_mille: int = BUDGET_PER_MILLE, most_epochs: int = MOST_EPOCHS, seed: int = SEED, weights: dict[str, dict[str, int]] | None = None, domain: str = DOMAIN_SQL) -> DataFrame:
     """(i, h, domain, lang, source, tokens, copies) of each row: how many epochs take the document.
 
-    A null language or source is the leaf 'unknown'; a null text has no tokens.  In a partial epoch the
+    domain: SQL of a source's domain, with {source} in its place.  A null language or source is the leaf
+    'unknown'; a null text has no tokens; a null id is told by the text's md5.  In a partial epoch the
     documents are in order of the md5 of seed, epoch and id (ties: id, text hash), and those are taken up
     to which the tokens fit.  The running sums are exact without one task for a leaf: sums by bucket of
     the key first, and rows are only looked at in the bucket where the budget ends.
     """
     weights = weights or {"domain": DOMAIN_WEIGHTS, "lang": LANG_WEIGHTS, "source": SOURCE_WEIGHTS}
     source = F.coalesce(F.col(source_col), F.lit("unknown"))
-    rows = docs.select(F.col(id_col).alias("i"), text_hash(text_col).alias("h"), F.coalesce(F.col(lang_col), F.lit("unknown")).alias("lang"), source.alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("tokens"))
-    rows = written(rows.withColumn("domain", F.expr(DOMAIN_SQL.format(source="source"))), "tokens")
+    rows = docs.select(F.col(id_col).alias("i"), text_hash(text_col).alias("h"), F.coalesce(F.col(lang_col), F.lit("unknown")).alias("lang"), source.alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("tokens"), F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))).alias("name"))
+    rows = written(rows.withColumn("domain", F.expr(domain.format(source="source"))), "tokens")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
     shares = leaf_budgets(leaves, per_mille, most_epochs, weights).select(*LEVELS, F.when(F.col("tokens") > 0, F.expr("share div tokens")).otherwise(F.lit(0)).alias("whole"), F.when(F.col("tokens") > 0, F.expr("share % tokens")).otherwise(F.lit(0)).alias("part"))
     shares = written(shares, "shares")
-    id_text = F.coalesce(F.col("i").cast("string"), F.lit(""))
-    dealt = rows.join(shares, list(LEVELS)).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), id_text))).withColumn("bucket", F.substring("key", 1, BUCKET))
+    dealt = rows.join(shares, list(LEVELS)).withColumn("key", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("whole").cast("string"), "name"))).withColumn("bucket", F.substring("key", 1, BUCKET))
     sums = dealt.groupBy(*LEVELS, "bucket", "part").agg(F.sum("tokens").alias("in_bucket"))
     so_far = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edges = sums.withColumn("before", F.coalesce(F.sum("in_bucket").over(so_far), F.lit(0))).select(*LEVELS, "bucket", "before", (F.col("before") + F.col("in_bucket")).alias("end"))
@@ -127,16 +133,18 @@ def _sql_level(level: str, up: list[str], before: str) -> str:
   FROM {level}_asked WINDOW w AS ({part} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 {level}_full AS (SELECT *, cap * w_left <= weight * b_left AS is_full FROM {level}_left),
 {level}_rest AS (SELECT *, budget - COALESCE(SUM(cap) FILTER (is_full) OVER ({part}), 0) AS b_rest, SUM(weight) FILTER (NOT is_full) OVER ({part}) AS w_rest FROM {level}_full),
-{level}_budget AS (SELECT {keys}, {level}, (CASE WHEN is_full THEN cap ELSE (b_rest * weight) // w_rest END)::BIGINT AS budget FROM {level}_rest)"""
+{level}_part AS (SELECT *, (b_rest * weight) // w_rest AS part, (b_rest * weight) % w_rest AS remainder FROM {level}_rest),
+{level}_over AS (SELECT *, b_rest - SUM(part) FILTER (NOT is_full) OVER ({part}) AS over_, row_number() OVER ({part} ORDER BY is_full, remainder DESC, {level}) AS nth FROM {level}_part),
+{level}_budget AS (SELECT {keys}, {level}, (CASE WHEN is_full THEN cap ELSE part + (nth <= over_)::INT END)::BIGINT AS budget FROM {level}_over)"""
 
 
 def mixture_sql(table: str = "documents", columns: str = "doc_id, domain, lang, source, tokens::BIGINT AS n_tokens, copies::BIGINT AS copies", tail: str = "") -> str:
     """DuckDB SQL for mixture() with the production parameters."""
-    return f"""WITH rows AS (SELECT *, {DOMAIN_SQL.format(source='source')} AS domain FROM (SELECT doc_id, COALESCE(lang, 'unknown') AS lang, COALESCE(source, 'unknown') AS source, COALESCE(len(regexp_extract_all(text, '{WORD}')), 0) AS tokens FROM {table})),
+    return f"""WITH rows AS (SELECT *, {DOMAIN_SQL.format(source='source')} AS domain FROM (SELECT doc_id, COALESCE(doc_id::VARCHAR, md5(COALESCE(text, ''))) AS name, COALESCE(lang, 'unknown') AS lang, COALESCE(source, 'unknown') AS source, COALESCE(len(regexp_extract_all(text, '{WORD}')), 0) AS tokens FROM {table})),
 leaves AS (SELECT domain, lang, source, SUM(tokens)::BIGINT AS tokens FROM rows GROUP BY ALL),
 caps AS (SELECT 1 AS root, *, tokens * {MOST_EPOCHS} AS cap FROM leaves),
 root_budget AS (SELECT 1 AS root, LEAST(SUM(tokens) * {BUDGET_PER_MILLE} // 1000, SUM(cap))::BIGINT AS budget FROM caps),{_sql_level('domain', ['root'], 'root_budget')},{_sql_level('lang', ['root', 'domain'], 'domain_budget')},{_sql_level('source', ['root', 'domain', 'lang'], 'lang_budget')},
 shares AS (SELECT l.domain, l.lang, l.source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS part FROM leaves l JOIN source_budget b USING (domain, lang, source)),
-runs AS (SELECT rows.*, whole, part, SUM(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '{SEED}', whole, COALESCE(doc_id::VARCHAR, ''))), doc_id ROWS UNBOUNDED PRECEDING) AS run FROM rows JOIN shares USING (domain, lang, source)),
+runs AS (SELECT rows.*, whole, part, SUM(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws('|', '{SEED}', whole, name)), doc_id ROWS UNBOUNDED PRECEDING) AS run FROM rows JOIN shares USING (domain, lang, source)),
 done AS (SELECT *, whole + CASE WHEN part > 0 AND run <= part THEN 1 ELSE 0 END AS copies FROM runs)
 SELECT {columns} FROM done{tail}"""

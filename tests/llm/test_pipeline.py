@@ -9,8 +9,9 @@ import duckdb
 import pytest
 
 from test_near_duplicates import groups, plain_lines, plain_similar
+from test_texts import plain_copies
 
-from loomgraph.llm import decontaminate, mixing, registry, toxicity
+from loomgraph.llm import decontaminate, registry, toxicity
 
 TABLES = "documents embeddings pages benchmark labels conversations".split()
 
@@ -86,10 +87,9 @@ def test_decontamination_stage(spark, sf_dir, stages):
             assert hit or got[r["doc_id"]]["text"] == r["text"]
 
 
-def test_mixing_stage(spark, stages):
+def test_mixing_stage(stages):
     before, after, _, _ = stages["mixing"]
-    frame = spark.createDataFrame(before)
-    wanted = {r.doc_id: r.copies for r in mixing.mixture(frame).collect() if r.copies}
+    wanted = {i: n for i, n in plain_copies([tuple(r[c] for c in ("doc_id", "text", "lang", "source")) for r in before]).items() if n}
     assert {r["doc_id"]: r["n_epochs"] for r in after} == wanted
 
 

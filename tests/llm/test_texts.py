@@ -162,6 +162,15 @@ def test_large_labelled_text_takes_no_place_in_the_sample(spark):
     assert np.mean([r.predicted == labels[r.doc_id][1] for r in rows if r.held_out]) > 0.9
 
 
+def test_repeated_ids_take_one_place_in_the_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic, clean_weight: seen.append(sorted(zip(texts, toxic, strict=True))))
+    docs = spark.createDataFrame([*[(1, f"much longer text {k}") for k in range(50)], (1, "short"), (1, "short"), (2, "clean"), (3, None)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, toxic int"))
+    held = {r.i for r in docs.select(F.col("doc_id").alias("i")).distinct().where(toxicity.held_out("i")).collect()}
+    assert seen == [sorted([(t, y) for i, t, y in ((1, "short", 1), (2, "clean", 0)) if i not in held])]
+
+
 def test_class_of_large_texts_only_is_in_the_sample(spark, monkeypatch):
     docs = [(i, "calm words of the day") for i in range(40)] + [(i, "idiotic " * (100 + i)) for i in range(40, 60)]
     lab = spark.createDataFrame([(i, int(i >= 40)) for i in range(60)], "doc_id long, toxic int")
@@ -273,7 +282,9 @@ def brute_shares(children, budget):
         total = sum(w for _, w in open_.values())
         full = {n: c for n, (c, w) in open_.items() if c * total <= w * budget}
         if not full:
-            return out | {n: budget * w // total for n, (_, w) in open_.items()}
+            part = {n: budget * w // total for n, (_, w) in open_.items()}
+            first = sorted(open_, key=lambda n: (-(budget * open_[n][1] % total), n))
+            return out | part | {n: part[n] + 1 for n in first[: budget - sum(part.values())]}
         out |= full
         budget -= sum(full.values())
         open_ = {n: v for n, v in open_.items() if n not in full}
@@ -292,6 +303,15 @@ def test_water_filling(spark, seed):
     frame = spark.createDataFrame(rows, "p int, name string, weight long, cap long, budget long")
     got = {(r.p, r.name): r.share for r in mixing.hand_down(frame, ["p"], "name").collect()}
     assert got == wanted
+    for p in range(6):
+        kids = [r for r in rows if r[0] == p]
+        assert sum(got[p, r[1]] for r in kids) == min(kids[0][4], sum(r[3] for r in kids))
+
+
+def test_water_filling_of_very_large_numbers(spark):
+    rows = [(1, f"k{i}", 1000, 10**16, 10**18) for i in range(400)]
+    got = mixing.hand_down(spark.createDataFrame(rows, "p int, name string, weight long, cap long, budget long"), ["p"], "name").collect()
+    assert sum(r.share for r in got) == 10**18 and {r.share for r in got} == {10**18 // 400}
 
 
 def mixture_rows(seed):
@@ -300,15 +320,14 @@ def mixture_rows(seed):
     return [*rows, (900, None, "en", "src0", 1), (901, "x " * 3000, "en", "src7", 1)]
 
 
-def test_mixture_matches_brute_force(spark):
-    rows = mixture_rows(4)
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies int").repartition(3)
-    got = {r.doc_id: r for r in mixing.mixture(frame).collect()}
-    tokens = {r[0]: len((r[1] or "").split()) for r in rows}
-    assert {i: g.n_tokens for i, g in got.items()} == tokens
+def plain_copies(rows):
+    """rows (id, text, lang, source) to {id: epochs that take it}, leaf by leaf in one loop."""
+    tokens = {i: len([w for w in re.split("[\\x20\\x09-\\x0d]", t or "") if w]) for i, t, _, _ in rows}
     leaves: dict[tuple, list] = {}
-    for i, g in got.items():
-        leaves.setdefault((g.domain, g.lang, g.source), []).append(i)
+    for i, _, lang, source in rows:
+        number = int(source[3:]) if source and source.startswith("src") else 99
+        domain = ("web", "forum", "books", "code")[number // 5] if number < 20 else "other"
+        leaves.setdefault((domain, lang or "unknown", source or "unknown"), []).append(i)
     cap = {k: mixing.MOST_EPOCHS * sum(tokens[i] for i in v) for k, v in leaves.items()}
     budget = min(sum(tokens.values()) * mixing.BUDGET_PER_MILLE // 1000, sum(cap.values()))
     weights = (mixing.DOMAIN_WEIGHTS, mixing.LANG_WEIGHTS, mixing.SOURCE_WEIGHTS)
@@ -323,17 +342,29 @@ def test_mixture_matches_brute_force(spark):
             out |= down((*prefix, n), share)
         return out
 
-    for leaf, share in down((), budget).items():
+    shares, copies = down((), budget), {}
+    assert sum(shares.values()) == budget
+    for leaf, share in shares.items():
         total = sum(tokens[i] for i in leaves[leaf])
         whole, part = divmod(share, total) if total else (0, 0)
-        run, wanted = 0, {}
+        run = 0
         for i in sorted(leaves[leaf], key=lambda i: (hashlib.md5(f"{mixing.SEED}|{whole}|{i}".encode()).hexdigest(), i)):
             run += tokens[i]
-            wanted[i] = whole + (part > 0 and run <= part)
-        assert {i: got[i].copies for i in leaves[leaf]} == wanted
+            copies[i] = whole + (part > 0 and run <= part)
+    return copies
+
+
+def test_mixture_matches_brute_force(spark):
+    rows = mixture_rows(4)
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copies int").repartition(3)
+    got = {r.doc_id: r for r in mixing.mixture(frame).collect()}
+    assert {i: g.n_tokens for i, g in got.items()} == {r[0]: len((r[1] or "").split()) for r in rows}
+    assert {i: g.copies for i, g in got.items()} == plain_copies([r[:4] for r in rows])
     taken = mixing.take_mixture(frame)
     assert taken.columns == [*frame.columns, "n_epochs"]
     assert {r.doc_id: r.n_epochs for r in taken.collect()} == {i: g.copies for i, g in got.items() if g.copies}
+    other = mixing.mixture(frame, domain="concat('of ', {source})").select("domain").distinct().collect()
+    assert {r.domain for r in other} == {"of src0", "of src7", "of src12", "of unknown"}
 
 
 def test_mixture_of_nothing(spark):
