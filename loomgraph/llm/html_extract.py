@@ -2,8 +2,11 @@
 
 First pass: each block of text is good, bad or undecided by where it stands (menus, footers, forms and
 the like are bad), its link density, its length and its stop-word density.  Second pass: an undecided
-block takes the label of the nearest decided neighbour; inside an article element only the article's own
-blocks count as neighbours, and without any it is good.
+block takes the label of the nearest decided neighbour, a heading that of the next one; inside an article
+element only the article's own blocks count as neighbours.
+
+Stop words are those of four languages.  On a page where no long block has them, its language is unknown,
+and long blocks are judged by their links alone.
 """
 
 from __future__ import annotations
@@ -22,6 +25,10 @@ from loomgraph.llm.common import bounded_batches
 SHORT_CHARS = 70
 GOOD_DENSITY = 0.2
 BAD_LINKS = 0.5
+#: Of an unknown language, the share of linked text up to which a long block is good.
+FEW_LINKS = 0.2
+#: A form or an element with a telling class name is the page's own text if it holds more than this share of what is not linked.
+MOST_SHARE = 0.5
 # Frequent function words of the corpus languages.
 STOP_WORDS = {
     "en": "a about all also an and are as at be been but by can for from had has have he her his if in into is it its more not of on one or other she so some than that the their them there these they this to was we were what when which who will with would you",
@@ -37,6 +44,12 @@ _MAIN = {"article", "main"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _NESTED = {"article", "aside", "blockquote", "details", "dialog", "div", "fieldset", "figure", "footer", "form", "header", "main", "menu", "nav", "ol", "section", "table", "td", "ul"}
 _BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|comment-?list|respond|disqus|consent|cookies?|copyright|dropdown|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|recommended|related|search|share|sharing|sidebar|signup|site-?header|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Class names that say what an element has or lacks, not what it is.
+_ABOUT = re.compile(r"(?:has|with|without|no|is|show|hide)[_-]", re.I)
+#: Names of what is never the page's own text, however much of it there is.
+_NEVER_NAME = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|comments?|comment-?list|respond|disqus|consent|cookies?|gdpr)(?:$|[_-])", re.I)
+_WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿]")
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
@@ -48,15 +61,30 @@ class Block:
     links: int
     boiler: bool
     main: bool
+    heading: bool = False
     label: str = ""
 
+    @property
+    def size(self) -> int:
+        """Characters; of scripts without spaces each counts twice."""
+        return len(self.text) + (0 if self.text.isascii() else len(_WIDE.findall(self.text)))
+
+
+def boiler_names(attributes: str) -> list[str]:
+    """The class names, id and role that mark an element as something beside the text."""
+    tokens = [t for a, b, c in _NAMES.findall(attributes) for t in (a or b or c).split()]
+    return [t for t in tokens if _BOILER_NAME.search(t) and not _ABOUT.match(t)]
+
 
 def blocks_of(page: str) -> list[Block]:
     """The page's non-empty blocks in order."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []
+    stack: list[tuple[str, bool, bool, frozenset[int]]] = []
     parts: list[str] = []
     links = depth = breaks = 0
+    kind = ""
+    inside: list[frozenset[int]] = []  # by block: the marked elements around it
+    marked: list[bool] = []  # by marked element: whether it is marked for good
 
     def close() -> None:
         nonlocal links, breaks
@@ -64,8 +92,9 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                boiler, main = stack[-1][1:] if stack else (False, False)
-                blocks.append(Block(text, links, boiler, main))
+                boiler, main, around = stack[-1][1:] if stack else (False, False, frozenset())
+                blocks.append(Block(text, links, boiler, main, kind in _HEADINGS))
+                inside.append(around)
             parts.clear()
         links = 0
 
@@ -109,7 +138,7 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _BLOCK:
             continue
         close()
-        depth = 0
+        depth, kind = 0, "" if closing else tag
         if tag not in _NESTED:
             continue
         if closing:
@@ -118,16 +147,25 @@ def blocks_of(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        boiler, main = stack[-1][1:] if stack else (False, False)
+        boiler, main, around = stack[-1][1:] if stack else (False, False, frozenset())
         if tag in _MAIN:
             main = True
-        elif tag in _BOILER and not (tag == "header" and main):
+        elif tag in _BOILER and tag != "form" and not (tag == "header" and main):
             boiler = True
-        if attributes and not boiler:
-            names = " ".join(a or b or c for a, b, c in _NAMES.findall(attributes))
-            boiler = bool(names) and bool(_BOILER_NAME.search(names))
-        stack.append((tag, boiler, main))
+        names = boiler_names(attributes) if attributes else []
+        if names or tag == "form":
+            around = around | {len(marked)}
+            marked.append(any(_NEVER_NAME.search(n) for n in names))
+        stack.append((tag, boiler, main, around))
     close()
+    own = [0 if b.boiler else len(b.text) - b.links for b in blocks]
+    held = [0] * len(marked)
+    for n, around in zip(own, inside, strict=True):
+        for k in around:
+            held[k] += n
+    beside = {k for k, n in enumerate(held) if marked[k] or n <= MOST_SHARE * sum(own)}
+    for b, around in zip(blocks, inside, strict=True):
+        b.boiler = b.boiler or not beside.isdisjoint(around)
     return blocks
 
 
@@ -136,14 +174,17 @@ def stop_density(text: str) -> float:
     return max(sum(w in own for w in words) for own in _STOP) / len(words) if words else 0.0
 
 
-def first_pass(b: Block) -> str:
+def first_pass(b: Block, known: bool) -> str:
+    """The block's label, or '' for undecided.  known: whether the page's language is."""
     if b.boiler:
         return "bad"
     if b.links > BAD_LINKS * len(b.text):
-        return "" if b.main else "bad"
-    if len(b.text) < SHORT_CHARS:
+        return "" if b.heading else "bad"
+    if b.size < SHORT_CHARS:
         return ""
-    return "good" if stop_density(b.text) >= GOOD_DENSITY else "" if b.main else "bad"
+    if known:
+        return "good" if stop_density(b.text) >= GOOD_DENSITY else ""
+    return "good" if b.links <= FEW_LINKS * len(b.text) else ""
 
 
 def main_text(page: str | None) -> str:
@@ -152,19 +193,19 @@ def main_text(page: str | None) -> str:
         return ""
     blocks = blocks_of(page)
     has_main = any(b.main and not b.boiler for b in blocks)
+    known = any(not b.boiler and b.size >= SHORT_CHARS and stop_density(b.text) >= GOOD_DENSITY for b in blocks)
     for b in blocks:
-        b.label = first_pass(b)
-        if has_main and not b.main:
-            b.label = "bad"
-    decided = ["" if b.boiler else b.label for b in blocks]  # a menu beside a block says nothing about it
+        b.label = "bad" if has_main and not b.main else first_pass(b, known)
+    # A menu beside a block says nothing about it, nor what is outside its article.
+    decided = ["" if b.boiler or b.main != has_main else b.label for b in blocks]
     before, after = _nearest(decided), _nearest(decided[::-1])[::-1]
     for i, b in enumerate(blocks):
         if not b.label:
-            if b.main:
-                b.label = "good"  # the decided neighbours of its own kind, if any, are good
+            (da, la), (db, lb) = before[i], after[i]
+            if b.heading and db < float("inf"):
+                b.label = lb
             else:
-                (da, la), (db, lb) = before[i], after[i]
-                b.label = la if da < db or la == lb else lb if db < da else "bad"
+                b.label = la if da < db or la == lb else lb if db < da else "good" if b.main else "bad"
     return "\n\n".join(b.text for b in blocks if b.label == "good")
 
 
@@ -186,7 +227,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of pages: id, url, text, n_chars (code points).  A null or empty page has the empty text."""
+    """One row per row of pages: id, url, text, n_chars (code points).
+
+    A null or empty page, and one of menus and the like alone, has the empty text; so has a page whose
+    blocks are all short and stand beside bad ones only.  Repeated rows each get their row; further columns
+    are not read; an empty table gives an empty result.
+    """
     bounded_batches(pages.sparkSession)
     given = pages.select(F.col(id_col).alias("i"), F.col(url_col).alias("u"), F.col(html_col).alias("html"))
     schema = given.select("i", "u", F.lit(None).cast("string").alias("text")).schema

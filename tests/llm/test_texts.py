@@ -185,6 +185,9 @@ def test_class_of_large_texts_only_is_in_the_sample(spark, monkeypatch):
 
 # --- HTML ---
 
+RUSSIAN = "Кошка сидела на коврике, и всё это было в доме человека, который жил там уже очень давно и никуда не уезжал."
+CHINESE = "猫坐在垫子上，那是在一个男人的房子里，他已经在那里住了很长时间，从来没有离开过那个地方。"
+CODE = "def f(x): return {k: v for k, v in zip(range(len(x)), x)} # f(f(f(x))) == x[0][0][0]; g = lambda y: y"
 GOOD = "The cat sat on the mat and it was in the house of the man who had been there for a long time."
 
 
@@ -198,6 +201,16 @@ GOOD = "The cat sat on the mat and it was in the house of the man who had been t
     ("<article><header><h1>T</h1></header><p>x</p></article><header>no</header>", "T\n\nx"),
     ("<p>one<br>two<br><br>three</p>", "one two\n\nthree"),
     ("<article>" + "<p>x</p>" * 3000, "\n\n".join(["x"] * 3000)),
+    # Names that say what a wrapper has, and a form or wrapper around all of the page.
+    (f"<div class='wrapper with-sidebar'><p>{GOOD}</p><div class=sidebar><p>{GOOD}</p></div></div>", GOOD), (f"<article class='post has-comments'><p>{GOOD}</p></article>", GOOD),
+    (f"<form id=aspnet><div class='site-search'>Search</div><p>{GOOD}</p><p>{GOOD}</p></form>", f"{GOOD}\n\n{GOOD}"), (f"<div class=widget><h1>T</h1><p>{GOOD}</p></div><footer>x</footer>", f"T\n\n{GOOD}"),
+    (f"<article><p>{GOOD}</p><section class='comments'><p>{GOOD}</p><p>{GOOD}</p><p>{GOOD}</p></section></article>", GOOD), (f"<p>{GOOD}</p><form><p>{GOOD}</p></form>", GOOD),
+    # Links inside an article, and headings.
+    (f"<main><p>{GOOD}</p><ul><li><a href=a>One link</a></li><li><a href=b>Another</a></li></ul></main>", GOOD), ("<main><ul><li><a href=a>One link</a></li><li><a href=b>Another</a></li></ul></main>", ""),
+    (f"<main><h2><a href=a>Linked title</a></h2><p>{GOOD}</p><h3>Related</h3><ul><li><a href=b>One</a></li></ul><h3>Next</h3><p>{GOOD}</p></main>", f"Linked title\n\n{GOOD}\n\nNext\n\n{GOOD}"),
+    # Languages without a list of stop words; tables and code beside text.
+    (f"<nav>{RUSSIAN}</nav><p>{RUSSIAN}</p><p><a href=x>{RUSSIAN}</a></p>", RUSSIAN), (f"<p>{CHINESE}</p><footer>x</footer>", CHINESE),
+    (f"<p>{GOOD}</p><pre>{CODE}</pre><p>{GOOD}</p>", f"{GOOD}\n\n{CODE}\n\n{GOOD}"),
 ])
 def test_main_text(page, text):
     assert html_extract.main_text(page) == text
