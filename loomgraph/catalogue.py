@@ -402,8 +402,8 @@ def g12_reference_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_TRADE} SELECT DISTINCT src, dst, CASE WHEN to_type IN ('client', 'process') THEN '' WHEN from_type = 'client' THEN CASE WHEN to_type = 'boundary' THEN 'routes-to' ELSE '' END WHEN from_type = 'boundary' THEN CASE WHEN to_type = 'service' THEN 'routes-to' ELSE '' END WHEN to_type <> 'service' THEN '' ELSE 'depends-on' END AS kind,
-CASE WHEN to_type = 'client' THEN 'A client consumes; nothing routes to it.' WHEN to_type = 'process' THEN 'A process has a trigger, not a caller.' WHEN from_type = 'client' AND to_type <> 'boundary' THEN 'A client reaches services through a boundary, not directly.'
-WHEN from_type = 'boundary' AND to_type <> 'service' THEN 'A boundary exposes services, not other boundaries.' WHEN from_type NOT IN ('client', 'boundary') AND to_type <> 'service' THEN 'Only a service can be depended on.' END AS refusal FROM typed""")
+CASE WHEN to_type = 'client' THEN 'clients have no callers' WHEN to_type = 'process' THEN 'processes have no callers' WHEN from_type = 'client' AND to_type <> 'boundary' THEN 'clients call boundaries only'
+WHEN from_type = 'boundary' AND to_type <> 'service' THEN 'boundaries call services only' WHEN from_type NOT IN ('client', 'boundary') AND to_type <> 'service' THEN 'dependencies are services' END AS refusal FROM typed""")
 def g13_edge_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = trade_edges(spark, sf_dir).select("src", "dst").distinct().withColumn("id", F.concat_ws("-", "src", "dst"))
     return graphs.composition_edge_kind(edges, trade_nodes(spark, sf_dir)).select("src", "dst", "kind", "refusal")

@@ -93,12 +93,12 @@ def composition_edge_kind(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges (id, src, dst) with the kind that their ends imply, or the reason for refusing."""
     a, b = F.col("from_type"), F.col("to_type")
     refusal = (
-        F.when(a.isNull() | b.isNull(), "One end of that connection is not a node.")
-        .when(b == "client", "A client consumes; nothing routes to it.")
-        .when(b == "process", "A process has a trigger, not a caller.")
-        .when((a == "client") & (b != "boundary"), "A client reaches services through a boundary, not directly.")
-        .when((a == "boundary") & (b != "service"), "A boundary exposes services, not other boundaries.")
-        .when(~a.isin("client", "boundary") & (b != "service"), "Only a service can be depended on.")
+        F.when(a.isNull() | b.isNull(), "an end is missing")
+        .when(b == "client", "clients have no callers")
+        .when(b == "process", "processes have no callers")
+        .when((a == "client") & (b != "boundary"), "clients call boundaries only")
+        .when((a == "boundary") & (b != "service"), "boundaries call services only")
+        .when(~a.isin("client", "boundary") & (b != "service"), "dependencies are services")
     )
     kind = F.when(refusal.isNotNull(), "").when(a.isin("client", "boundary"), "routes-to").otherwise("depends-on")
     return with_ends(edges, nodes).select("id", "src", "dst", "from_type", "to_type", kind.alias("kind"), refusal.alias("refusal"))

@@ -30,7 +30,7 @@ def duplicates(rows: DataFrame, *key: str, order: list[str]) -> DataFrame:
 
 def duplicate_ids(rows: DataFrame, what: str) -> DataFrame:
     again = duplicates(rows, "id", order=["ord"])
-    message = F.format_string(f'duplicate {what} id "%s"; first used at index %d', F.col("id"), F.col("first_ord.ord"))
+    message = F.format_string(f'{what} id %s is taken by number %d', F.col("id"), F.col("first_ord.ord"))
     return _found(again, "duplicate-id", message, **{what: F.col("id")})
 
 
@@ -41,7 +41,7 @@ def unknown_ends(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def unknown_nodes(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    return _found(unknown_ends(edges, nodes), "unknown-node", F.format_string('edge "%s" references node "%s", which does not exist', "id", "end"), edge=F.col("id"))
+    return _found(unknown_ends(edges, nodes), "unknown-node", F.format_string('edge %s ends at %s, no node', "id", "end"), edge=F.col("id"))
 
 
 def composition_typing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -66,26 +66,26 @@ def graph_typing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def typing(typed: DataFrame) -> DataFrame:
     bad = typed.withColumn("code", F.explode("codes"))
-    return _found(bad, F.col("code"), F.format_string('%s edge "%s" runs from %s "%s" to %s "%s"', "kind", "id", "from_type", "src", "to_type", "dst"), edge=F.col("id"))
+    return _found(bad, F.col("code"), F.format_string('%s edge %s: %s %s to %s %s', "kind", "id", "from_type", "src", "to_type", "dst"), edge=F.col("id"))
 
 
 def non_services(nodes: DataFrame, column: str, code: str, verb: str) -> DataFrame:
     """Names in a node's list column that are no services; the message tells a wrong type from a missing node."""
     asked = nodes.select("id", F.col("type").alias("own"), F.explode(column).alias("target"))
     met = asked.join(nodes.select(F.col("id").alias("target"), F.col("type").alias("kind")), "target", "left").where("kind IS NULL OR kind <> 'service'")
-    why = F.when(F.col("kind").isNull(), "which is not a node in this composition").otherwise(F.format_string("which is a %s, not a service", "kind"))
-    return _found(met, code, F.format_string(f'%s "%s" {verb} "%s", %s', F.col("own"), F.col("id"), F.col("target"), why), node=F.col("id"))
+    why = F.when(F.col("kind").isNull(), "no node").otherwise(F.format_string("a %s", "kind"))
+    return _found(met, code, F.format_string(f"%s %s {verb} %s: %s", F.col("own"), F.col("id"), F.col("target"), why), node=F.col("id"))
 
 
 def unexposed_invocations(nodes: DataFrame) -> DataFrame:
     asked = nodes.where("invocation IS NOT NULL").select("id", "exposes", F.explode(F.map_keys("invocation")).alias("target")).where(~F.array_contains(F.coalesce("exposes", F.array().cast("array<string>")), F.col("target")))
-    return _found(asked, "exposes-non-service", F.format_string('boundary "%s" sets an invocation default for "%s", which it does not expose', "id", "target"), node=F.col("id"))
+    return _found(asked, "exposes-non-service", F.format_string('%s invokes %s without exposing it', "id", "target"), node=F.col("id"))
 
 
 def missing_files(nodes: DataFrame, files: DataFrame, column: str, code: str) -> DataFrame:
     """Nodes whose path column names no file of files (path)."""
     asked = nodes.where(F.col(column).isNotNull()).withColumn("path", F.col(column))
-    return _found(asked.join(files.select("path"), "path", "left_anti"), code, F.format_string('%s "%s" names "%s", which does not exist', "type", "id", "path"), node=F.col("id"))
+    return _found(asked.join(files.select("path"), "path", "left_anti"), code, F.format_string('%s %s: no file %s', "type", "id", "path"), node=F.col("id"))
 
 
 def empty_includes(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def empty_includes(nodes: DataFrame, files: DataFrame) -> DataFrame:
     hits = F.array(*[F.when(F.col("path").rlike(glob_regex(p)), F.lit(p)) for p in patterns])
     met = files.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern")).distinct()
     asked = nodes.select("id", F.explode("include").alias("pattern"))
-    return _found(asked.join(met, "pattern", "left_anti"), "unresolved-ref", F.format_string('code node "%s" includes "%s", which matches no files', "id", "pattern"), node=F.col("id"))
+    return _found(asked.join(met, "pattern", "left_anti"), "unresolved-ref", F.format_string('%s includes %s: no such files', "id", "pattern"), node=F.col("id"))
 
 
 def flow_without_entrypoint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -106,18 +106,18 @@ def flow_without_entrypoint(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def need_entrypoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    return _found(flow_without_entrypoint(nodes, edges), "flow-code-node-needs-entrypoint", F.format_string('code node "%s" participates in the flow, so it is a step and must declare an entrypoint', "id"), node=F.col("id"))
+    return _found(flow_without_entrypoint(nodes, edges), "flow-code-node-needs-entrypoint", F.format_string('%s is in the flow without an entrypoint', "id"), node=F.col("id"))
 
 
 def flow_cycles(edges: DataFrame) -> DataFrame:
     rows = on_cycles(edges.where("kind = 'flow'"))
-    return _found(rows, "flow-cycle", F.format_string('node "%s" is on a flow cycle', "id"), node=F.col("id"), severity="run-blocking")
+    return _found(rows, "flow-cycle", F.format_string('%s reaches itself', "id"), node=F.col("id"), severity="run-blocking")
 
 
 def containment_cycles(references: DataFrame) -> DataFrame:
     """references (src, dst) from a graph to its subgraphs."""
     rows = on_cycles(references)
-    return _found(rows, "subgraph-cycle", F.format_string('graph "%s" contains itself', "id"), node=F.col("id"))
+    return _found(rows, "subgraph-cycle", F.format_string('%s is inside itself', "id"), node=F.col("id"))
 
 
 NODE_FIELDS = {"io": (), "code": (), "agent": ("ref",), "subgraph": ("ref",)}
@@ -191,7 +191,7 @@ def schemas(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
     judged = files.join(asked.select("path").distinct(), "path", "left_semi").where("content is not null").select("path", "content").mapInPandas(judge, "path string, problem string").where("problem is not null")
     bad = asked.join(judged, "path")
-    return missing.unionByName(_found(bad, "invalid-json-schema", F.format_string('schema file "%s": %s', "path", "problem"), node=F.col("id")))
+    return missing.unionByName(_found(bad, "invalid-json-schema", F.format_string('%s: %s', "path", "problem"), node=F.col("id")))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

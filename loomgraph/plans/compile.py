@@ -137,13 +137,13 @@ def _walk(state: _State, path: str, given: Column, is_struct: bool, shown: str |
             _event(state, "node.output", node.id, shown, F.struct(F.col(name).alias("value")), alive)
             continue
         if node.type not in ("code", "agent", "subgraph"):
-            raise GraphError(f'node "{node.id}" has unrunnable type {node.type}')
+            raise GraphError(f"node {node.id} cannot run as {node.type}")
         before = _column(state, alive)
         _event(state, "node.started", node.id, shown, None, F.col(before))
         if node.type == "subgraph":
             ref = node.fields["ref"]
             if ref in inside:
-                raise GraphError(f"subgraph cycle: {' -> '.join([*inside, ref])}")
+                raise GraphError(f"a graph inside itself: {' -> '.join([*inside, ref])}")
             entry = _column(state, value)
             inner = _walk(state, ref, F.col(entry), state.frame.schema[entry].dataType.simpleString().startswith("struct"), ref, (*inside, ref))
             out = F.col(next(iter(inner.values()))) if len(inner) == 1 else F.struct(*[F.col(c).alias(o) for o, c in inner.items()]) if inner else null
@@ -151,7 +151,7 @@ def _walk(state: _State, path: str, given: Column, is_struct: bool, shown: str |
         else:
             key, table = (node.fields.get("entrypoint"), state.steps) if node.type == "code" else (node.fields.get("ref"), state.agents)
             if key not in table:
-                raise GraphError(f'node "{node.id}" has no step for {key}')
+                raise GraphError(f"node {node.id} has no step for {key}")
             step = table[key]
             got, error = step.apply(F.when(F.col(before), value))
             if step.native is not None:

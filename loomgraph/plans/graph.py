@@ -51,7 +51,7 @@ class Graph:
         known = {n.id: n for n in self.nodes}
         missing = [e.id for e in self.flow if e.src not in known or e.dst not in known]
         if missing:
-            raise GraphError(f'edge "{missing[0]}" references a node that is not in the graph')
+            raise GraphError(f"edge {missing[0]} ends outside the graph")
         open_ = dict.fromkeys(known, 0)
         after: dict[str, list[str]] = {n: [] for n in known}
         for e in self.flow:
@@ -68,5 +68,5 @@ class Graph:
                 if not open_[n]:
                     heapq.heappush(ready, n)
         if len(out) < len(known):
-            raise GraphError(f"flow cycle involving: {', '.join(sorted(set(known) - {n.id for n in out}))}")
+            raise GraphError(f"a cycle holds up {', '.join(sorted(set(known) - {n.id for n in out}))}")
         return out

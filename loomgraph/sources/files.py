@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import Any
 
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import is_relative_path
 
-# Directories that a listing passes over.
-IGNORED = (".git", "node_modules", ".civil", "__pycache__", ".venv", "dist")
+#: Directories that a listing passes over; a project's own are given beside them.
+IGNORED = (".git", "node_modules", "__pycache__", ".venv", "dist")
 TEXT_KINDS = r"\.(ya?ml|json|md)$"
 FILES = "path string, content string"
 
@@ -22,12 +23,12 @@ def _under(root: str) -> Column:
     return F.regexp_replace(F.col("path"), r"^.*?\Q" + root.rstrip("/").split("://")[-1].lstrip("/") + r"\E/", "")
 
 
-def directory(spark: SparkSession, root: str) -> DataFrame:
+def directory(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, size, content binary) of the files under root, without ignored directories.  Content is read only if asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    ignored = "|".join(x.replace(".", r"\.") for x in IGNORED)
+    names = "|".join(re.escape(x) for x in ignored)
     own = files.select(_under(root).alias("path"), F.col("length").alias("size"), "content")
-    return own.where(~F.col("path").rlike(rf"(^|/)({ignored})/"))
+    return own.where(~F.col("path").rlike(rf"(^|/)({names})/"))
 
 
 def texts(files: DataFrame) -> DataFrame:

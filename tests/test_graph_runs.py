@@ -41,12 +41,12 @@ def test_capability_edges_order_nothing():
 
 
 def test_a_cycle_names_its_nodes():
-    with pytest.raises(GraphError, match="flow cycle involving: a, b"):
+    with pytest.raises(GraphError, match="a cycle holds up a, b"):
         graph([code("a"), code("b")], [edge("1", "a", "b"), edge("2", "b", "a")]).order()
 
 
 def test_an_unknown_end_is_an_error():
-    with pytest.raises(GraphError, match='edge "1"'):
+    with pytest.raises(GraphError, match="edge 1 ends"):
         graph([code("a")], [edge("1", "a", "x")]).order()
 
 
@@ -102,7 +102,7 @@ def test_a_subgraph_with_two_outputs_stays_a_struct(spark):
 
 def test_a_graph_inside_itself_is_refused(spark):
     g = graph([IN, {"id": "s", "type": "subgraph", "ref": "g"}], [edge("1", "in", "s")])
-    with pytest.raises(GraphError, match="subgraph cycle"):
+    with pytest.raises(GraphError, match="inside itself"):
         compile_graph(spark.createDataFrame([(1, 3)], "run long, input long"), "g", {"g": g}, {})
 
 
