@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (``spark.checkpoint.dir``).
-
-    Where the session names none, as in a local test, a temporary folder is set for this context.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    context = spark.sparkContext
-    set_already = context._jsc.sc().getCheckpointDir()
-    if set_already.isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-        set_already = context._jsc.sc().getCheckpointDir()
-    return set_already.get().rstrip("/")
+from loomgraph.sources.shared import checkpointed, shared_dir
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -31,12 +16,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Small intermediate: an eager reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Large intermediate: a compressed Parquet table in the shared folder, read back column by column."""
     spark = df.sparkSession
