@@ -7,16 +7,18 @@ suppliers for typed nodes.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.functions import contracts, text
+from loomgraph.functions import agents, contracts, text
 from loomgraph.operators import emissions, folds, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.plans import classify
+from loomgraph.plans.compile import Step, compile_graph
+from loomgraph.plans.graph import Edge, Graph, Node
+from loomgraph.sources.shared import shared_dir
 from loomgraph.streaming import runlog as live
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,14 +153,14 @@ c AS (SELECT doc_id, word_count, CASE WHEN contains(low, 'licen') THEN 'contract
 SELECT doc_id, doc_id::VARCHAR AS id, category, confidence, CASE WHEN category = 'other' THEN '' ELSE category || '-index' END AS enriched_from, FALSE AS failed FROM c""")
 def g03_classify_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = classify.classify(table(spark, sf_dir, "documents")).result("doc_id")
-    return done.select("doc_id", "record.id", "record.category", "record.confidence", F.array_join("record.enrichedFrom", ",").alias("enriched_from"), F.col("failed").isNotNull().alias("failed"))
+    return done.select("doc_id", "ledger.id", "ledger.category", "ledger.confidence", F.array_join("ledger.related", ",").alias("enriched_from"), F.col("failed").isNotNull().alias("failed"))
 
 
-@query(f"""WITH {_CLASSIFIED}, steps AS (SELECT * FROM (VALUES (0, 'run.started', NULL, NULL), (1, 'node.started', 'normalize', NULL), (2, 'node.finished', 'normalize', NULL), (3, 'node.started', 'classifier', NULL), (4, 'node.finished', 'classifier', NULL), (5, 'node.started', 'enrich', NULL), (6, 'node.started', 'lookup', '{classify.ENRICH}'), (7, 'node.finished', 'lookup', '{classify.ENRICH}'), (8, 'node.output', 'enriched', '{classify.ENRICH}'), (9, 'node.finished', 'enrich', NULL), (10, 'node.output', 'record', NULL), (11, 'node.output', 'thinking', NULL), (12, 'run.finished', NULL, NULL)) AS v(seq, type, node_id, graph_path))
-SELECT doc_id AS run_id, seq::BIGINT AS seq, type, node_id, graph_path, CASE WHEN node_id IN ('enrich') AND type = 'node.finished' THEN category END AS category FROM c CROSS JOIN steps""")
+@query(f"""WITH {_CLASSIFIED}, steps AS (SELECT * FROM (VALUES (0, 'run.started', NULL, NULL), (1, 'node.started', 'tidy', NULL), (2, 'node.finished', 'tidy', NULL), (3, 'node.started', 'sorter', NULL), (4, 'node.finished', 'sorter', NULL), (5, 'node.started', 'filing', NULL), (6, 'node.started', 'shelve', '{classify.FILING}'), (7, 'node.finished', 'shelve', '{classify.FILING}'), (8, 'node.output', 'filed', '{classify.FILING}'), (9, 'node.finished', 'filing', NULL), (10, 'node.output', 'ledger', NULL), (11, 'node.output', 'trace', NULL), (12, 'run.finished', NULL, NULL)) AS v(seq, type, node_id, graph_path))
+SELECT doc_id AS run_id, seq::BIGINT AS seq, type, node_id, graph_path, CASE WHEN node_id IN ('filing') AND type = 'node.finished' THEN category END AS category FROM c CROSS JOIN steps""")
 def g03_graph_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = classify.classify(table(spark, sf_dir, "documents")).log("doc_id")
-    shown = F.when((F.col("node_id") == "enrich") & (F.col("type") == "node.finished"), F.get_json_object("payload", "$.output.category"))
+    shown = F.when((F.col("node_id") == "filing") & (F.col("type") == "node.finished"), F.get_json_object("payload", "$.output.category"))
     return events.select("run_id", "seq", "type", "node_id", "graph_path", shown.alias("category"))
 
 
@@ -172,13 +174,18 @@ def x03_word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("word_count"))
 
 
+_DOORS = ("n0", "n1", "n2")
+
+
 @query(f"""WITH {_LOG}, v AS (SELECT run_id, node_id, sum(value) AS s FROM log WHERE node_id IN ('n0', 'n1', 'n2') GROUP BY ALL)
 SELECT run_id, max(CASE WHEN node_id = 'n0' THEN round(s, 4) END) AS n0, max(CASE WHEN node_id = 'n1' THEN round(s, 4) END) AS n1, max(CASE WHEN node_id = 'n2' THEN round(s, 4) END) AS n2 FROM v GROUP BY run_id""")
 def j13_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three nodes' results side by side, as a node with three sources gets them."""
-    rows = log(spark, sf_dir).where(F.col("node_id").isin("n0", "n1", "n2")).groupBy("run_id")
+    """A compiled graph with three doors, whose output gets their values side by side."""
+    rows = log(spark, sf_dir).where(F.col("node_id").isin(*_DOORS)).groupBy("run_id")
     of = lambda n: F.round(F.sum(F.when(F.col("node_id") == n, F.col("value"))), 4).alias(n)
-    return rows.agg(F.struct(of("n0"), of("n1"), of("n2")).alias("value")).select("run_id", "value.*")
+    runs = rows.agg(F.struct(*[of(n) for n in _DOORS]).alias("input"))
+    doors = Graph((*[Node(n, "io", {"direction": "in"}) for n in _DOORS], Node("out", "io", {"direction": "out"})), tuple(Edge(n, "flow", n, "out") for n in _DOORS))
+    return compile_graph(runs, "g", {"g": doors}, {}).result("run_id").select("run_id", "out.*")
 
 
 # --- run log ---------------------------------------------------------------------------------------------
@@ -242,7 +249,7 @@ def t06_live_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     node = F.concat(F.lit("n"), (F.get_json_object("props", "$.k").cast("bigint") % 8).cast("string"))
     events = stream.select(F.col("user_id").alias("run_id"), F.struct("ts", "event_id").alias("seq"), _cases(F.col("event_type"), _KINDS).alias("type"), node.alias("node_id"))
-    out = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='states-')}/loomgraph/states-{uuid.uuid4().hex}"
+    out = f"{shared_dir(spark)}/loomgraph/states-{uuid.uuid4().hex}"
     live.follow(live.live_states(events), lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table"), f"{out}/progress", "complete").awaitTermination()
     return spark.read.parquet(f"{out}/table")
 
@@ -315,13 +322,12 @@ def j06_unknown_node(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.unknown_ends(edges, nodes).where("side = 'to'").select("id", "side", "end")
 
 
-@query("SELECT p_partkey AS id, p_name || ' lists ' || p_size || ', which is ' || CASE WHEN c_custkey IS NULL THEN 'no node' ELSE c_mktsegment END AS message FROM part LEFT JOIN customer ON c_custkey = p_size WHERE c_custkey IS NULL OR c_mktsegment <> 'BUILDING'")
+@query(f"""WITH {_TRADE} SELECT n.id, n.type || ' ' || n.id || ' exposes ' || (n.id + 1) || ': ' || CASE WHEN t.type IS NULL THEN 'no node' ELSE 'a ' || t.type END AS message FROM nodes n LEFT JOIN nodes t ON t.id = n.id + 1 WHERE t.type IS NULL OR t.type <> 'service'""")
 def j07_non_service(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that name a customer by their size; only the segment BUILDING will do."""
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("bigint").alias("target"), F.col("c_mktsegment").alias("kind"))
-    asked = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.explode(F.array(F.col("p_size").cast("bigint"))).alias("target"))
-    met = asked.join(nodes, "target", "left").where("kind IS NULL OR kind <> 'BUILDING'")
-    return met.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit(" lists "), F.col("target").cast("string"), F.lit(", which is "), F.coalesce("kind", F.lit("no node"))).alias("message"))
+    """Each nation exposes the next one, which may be no service, or none at all."""
+    nodes = trade_nodes(spark, sf_dir)
+    found = validation.non_services(nodes.withColumn("exposes", F.array(F.col("id") + 1)), "exposes", "exposes-non-service", "exposes")
+    return found.select(F.col("node_id").cast("bigint").alias("id"), "message")
 
 
 @query(f"""WITH {_TRADE}, bad AS (SELECT *, CASE WHEN to_type = 'client' THEN ['client-is-edge-target'] WHEN kind = 'routes-to' AND to_type = 'process' THEN ['edge-kind-bad-target']
@@ -632,8 +638,18 @@ def e07_tool_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) FILTER (role = 'assistant')::BIGINT AS turns, count(*) FILTER (role = 'assistant') > 2 AS over FROM conversations GROUP BY conv_id")
 def e08_turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An agent with three turns, whose client calls a tool as often as the conversation has answers."""
+
+    def client(messages: list, tools: list) -> agents.Reply:
+        answered = sum(m["role"] == "assistant" for m in messages)
+        return agents.Reply(calls=((str(answered), "echo", {}),)) if answered < int(messages[1]["content"]) else agents.Reply("done")
+
     turns = F.count_if(F.col("role") == "assistant")
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("turns"), (turns > 2).alias("over"))
+    runs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("input"))
+    graph = Graph((Node("in", "io", {"direction": "in"}), Node("bot", "agent", {"ref": "bot"}), Node("out", "io", {"direction": "out"})), (Edge("a", "flow", "in", "bot"), Edge("b", "flow", "bot", "out")))
+    bot = Step(function=agents.agent(client, "answer", [agents.Tool("echo", lambda given: given)], most_turns=3), returns="string", deterministic=False)
+    done = compile_graph(runs, "g", {"g": graph}, {}, {"bot": bot}).result("conv_id", "input")
+    return done.select("conv_id", F.col("input").alias("turns"), F.col("failed").isNotNull().alias("over"))
 
 
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -645,12 +661,23 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.concat(F.lit("steps/"), "n_name", F.lit(".py")).alias("path"), F.concat(body, second, broken).alias("content"), "n_nationkey")
 
 
-@query()
+_E03 = """WITH n AS (SELECT *, ['str', 'int', 'list[str]', 'Optional[float]', 'dict[str, Any]'][n_regionkey + 1] AS t,
+['{"type": "string"}', '{"type": "integer"}', '{"type": "array", "items": {"type": "string"}}', '{"anyOf": [{"type": "number"}, {"type": "null"}]}', '{"type": "object"}'][n_regionkey + 1] AS s FROM nation)
+SELECT 'steps/' || n_name || '.py' AS path, CASE WHEN n_nationkey = 3 OR n_nationkey > 20 THEN NULL ELSE 'handle_' || n_nationkey END AS name,
+CASE WHEN n_nationkey = 3 OR n_nationkey > 20 THEN NULL ELSE '{"name": "handle_' || n_nationkey || '", "description": "Step ' || n_name || '.", "isAsync": false, "inputs": [{"name": "value", "type": "' || t || '", "schema": ' || s || ', "required": true}, {"name": "extra", "type": "bool", "schema": {"type": "boolean"}, "required": false}], "output": {"type": "' || t || '", "schema": ' || s || '}}' END AS contract,
+CASE WHEN n_nationkey = 3 THEN 'line 4 is not Python: invalid syntax' WHEN n_nationkey > 20 THEN '2 public functions and no handler: handle_' || n_nationkey || ' other' END AS error FROM n"""
+
+
+@query(_E03)
 def e03_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.discover(_sources(spark, sf_dir))
 
 
-@query()
+@query("""WITH f AS (SELECT 'e' || n_regionkey AS emission, n_name || '.py' AS path, n_nationkey % 3 AS k, n_nationkey FROM nation)
+SELECT emission, path, CASE k WHEN 0 THEN 'vendor module openai' ELSE 'run() branches' END AS issue FROM f WHERE k < 2
+UNION ALL SELECT emission, path, 'path belongs to the project' FROM f WHERE path LIKE '%1.py'
+UNION ALL SELECT 'e' || r_regionkey, NULL, 'no file serves the api boundary' FROM region
+UNION ALL SELECT emission, NULL, '6 graphs, ' || count(*) FILTER (k > 0) || ' files with run()' FROM f GROUP BY emission HAVING count(*) FILTER (k > 0) < 6""")
 def e12_emission_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's nations as one emission; some import a vendor's module or branch in run()."""
     nation = table(spark, sf_dir, "nation")
@@ -659,7 +686,9 @@ def e12_emission_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = nation.select(F.concat(F.lit("e"), F.col("n_regionkey").cast("string")).alias("emission"), F.concat("n_name", F.lit(".py")).alias("path"), content.alias("content"), F.lit("orchestration").alias("role"))
     regions = table(spark, sf_dir, "region").select(F.concat(F.lit("e"), F.col("r_regionkey").cast("string")).alias("emission"))
     documents = regions.select("emission", F.lit("app.yaml").alias("path"), F.lit("nodes:\n  - { boundary: api }\n").alias("content"))
-    context = files.where(F.col("path").startswith("A")).select("emission", "path")
+    six = regions.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(6))))
+    documents = documents.unionByName(six.select("emission", F.format_string("graphs/%d.yaml", "k").alias("path"), F.lit("nodes: []\n").alias("content")))
+    context = files.where(F.col("path").endswith("1.py")).select("emission", "path")
     return emissions.emission_issues(files, documents, context)
 
 
@@ -716,7 +745,7 @@ def m17_new_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def u05_emitted_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The paths of all memo rows, each row a map of path to content."""
     memo = table(spark, sf_dir, "documents").select(F.create_map(F.concat_ws("/", "lang", "source"), F.lit("x")).alias("files"))
-    return memo.select(F.explode(F.map_keys("files")).alias("path")).distinct()
+    return overlay.emitted(memo, "files")
 
 
 @query("SELECT p_partkey AS id, p_brand AS a, CASE WHEN p_size > 10 THEN p_type ELSE p_name END AS b FROM part")
@@ -737,15 +766,20 @@ def f12_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlay.violations(changes).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT c_nationkey::BIGINT AS id, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS nodes FROM customer GROUP BY c_nationkey")
+@query("SELECT array_to_string(list_sort([o_orderpriority, o_orderstatus, c_mktsegment]), ',') AS nodes, min(array_to_string([o_orderpriority, o_orderstatus, c_mktsegment], ',')) AS path FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
 def a11_cycle_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The key under which a cycle is reported once: its nodes in order."""
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("bigint").alias("id")).agg(F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("nodes"))
+    """Each order as a cycle of three names; of cycles with the same names one is reported."""
+    orders = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("c_custkey") == F.col("o_custkey"))
+    found = folds.distinct_cycles(orders.select(F.array("o_orderpriority", "o_orderstatus", "c_mktsegment").alias("path")), "path")
+    return found.select(F.array_join(F.array_sort("path"), ",").alias("nodes"), F.array_join("path", ",").alias("path"))
 
 
-@query("SELECT emission, path, CASE WHEN nth > 1 THEN 'emitted twice' WHEN role NOT IN ('agent', 'orchestration', 'boundary-server', 'other') THEN 'role ' || role || ' is not known' END AS issue FROM (SELECT l_orderkey::VARCHAR AS emission, l_linenumber::VARCHAR AS path, CASE WHEN l_returnflag = 'R' THEN 'odd' ELSE 'agent' END AS role, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth FROM lineitem) WHERE nth > 1 OR role = 'odd'")
+@query("SELECT emission, path, CASE WHEN nth > 1 THEN 'path is there already' WHEN role NOT IN ('agent', 'orchestration', 'boundary-server', 'other') THEN 'unknown role ' || role END AS issue FROM (SELECT l_orderkey::VARCHAR AS emission, l_linenumber::VARCHAR AS path, CASE WHEN l_returnflag = 'R' THEN 'odd' ELSE 'agent' END AS role, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice) AS nth FROM lineitem) WHERE nth > 1 OR role = 'odd'")
 def e13_emission_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as emitted entries; returned ones carry a role that is not known."""
     lines = table(spark, sf_dir, "lineitem")
     entries = lines.select(F.col("l_orderkey").cast("string").alias("emission"), F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice").alias("ord"), F.col("l_linenumber").cast("string").alias("path"), F.lit("x").alias("content"), F.when(F.col("l_returnflag") == "R", "odd").otherwise("agent").alias("role"))
     return emissions.parsed(entries)[1]
+
+
+from loomgraph import catalogue_more  # noqa: E402, F401  registers its queries here

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import ast
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
-from typing import Any, Protocol
+from typing import Any, Protocol, get_args
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loomgraph.functions.contracts import ContractError, Module, contract
+from loomgraph.functions.text import glob_regex
 
 MOST_TURNS = 8
 
@@ -43,6 +51,52 @@ class Reply:
         return got
 
 
+def tool_of(function: Callable[..., Any]) -> Tool:
+    """A live function as a tool: its parameters by name, typed where their annotations are plain."""
+    import inspect
+
+    taken = [p for p in inspect.signature(function).parameters.values() if p.kind not in (p.VAR_POSITIONAL, p.VAR_KEYWORD)]
+
+    def typed(note: Any) -> dict[str, Any]:
+        if note is inspect.Parameter.empty:
+            return {}
+        text = note if isinstance(note, str) else note.__name__ if isinstance(note, type) and not get_args(note) else str(note)
+        return Module(None).schema(ast.parse(text, mode="eval").body) or {}
+
+    schema = {"type": "object", "properties": {p.name: typed(p.annotation) for p in taken}, "required": [p.name for p in taken if p.default is p.empty]}
+    return Tool(function.__name__, lambda given: function(**given), schema)
+
+
+def resolve_tools(tools: DataFrame, files: DataFrame) -> DataFrame:
+    """tools (agent, ord, entrypoint, function) to (agent, ord, path, name, schema, error).
+
+    A glob stands for its first Python file by path.  The schema is the contract's inputs as one object.
+    Globs are manifest text, few by nature; each is one regular expression.
+    """
+    asked = [r.entrypoint for r in tools.select("entrypoint").distinct().collect()]
+    hits = F.array(*[F.when(F.col("path").rlike(glob_regex(e)) & F.col("path").endswith(".py"), F.lit(e)) for e in asked]) if asked else F.array().cast("array<string>")
+    first = files.select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("entrypoint")).groupBy("entrypoint").agg(F.min("path").alias("path"))
+    met = tools.join(first, "entrypoint", "left").join(files.select("path", "content"), "path", "left")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples(index=False):
+                try:
+                    if r.path is None:
+                        raise ContractError(f"no Python file is {r.entrypoint}")
+                    got = contract(r.content or "", r.function)
+                    ports = got["inputs"]
+                    schema = {"type": "object", "properties": {p["name"]: p["schema"] or {} for p in ports}, "required": [p["name"] for p in ports if p["required"]]}
+                    rows.append((r.agent, r.ord, r.path, got["name"], json.dumps(schema), None))
+                except ContractError as error:
+                    rows.append((r.agent, r.ord, r.path, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=["agent", "ord", "path", "name", "schema", "error"])
+
+    kinds = {c: tools.schema[c].dataType.simpleString() for c in ("agent", "ord")}
+    return met.select("agent", "ord", "path", "entrypoint", "function", "content").mapInPandas(read, f"agent {kinds['agent']}, ord {kinds['ord']}, path string, name string, schema string, error string")
+
+
 class Client(Protocol):
     """A model; deterministic stubs stand in for it in tests."""
 

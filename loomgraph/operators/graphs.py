@@ -1,17 +1,37 @@
-"""Graph tables: nodes (id, ...) and edges (id, kind, src, dst, ...), as joins and bounded walks."""
+"""Graph tables: nodes (id, ...) and edges (id, kind, src, dst, ...), as joins and walks.
+
+Walks are rounds of joins while what is left of the graph is large, and end in one task, by a linear walk,
+once it has at most SMALL edges.  Either way gives the same rows, at any depth; only the cost differs.
+"""
 
 from __future__ import annotations
 
+from collections import defaultdict, deque
+from collections.abc import Callable, Hashable, Iterable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 100
+from loomgraph.sources.shared import checkpointed as _kept
+
+#: Edges that one task may hold (some 200 bytes each).
+SMALL = 1_000_000
+
+
+def _is_small(*frames: DataFrame) -> bool:
+    return all(f.limit(SMALL + 1).count() <= SMALL for f in frames)
+
+
+def _in_one_task(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
+    """All of a small table's rows to solve's rows."""
+    names, rows_in = [part.split()[0] for part in schema.split(", ")], rows.columns
 
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        plain = part[rows_in].astype(object).itertuples(index=False, name=None)
+        return pd.DataFrame(list(solve(list(plain))), columns=names)
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop: a reliable checkpoint where the session has a folder for it, else a cache."""
-    has = df.sparkSession.conf.get("spark.checkpoint.dir", None) or not df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty()
-    return df.checkpoint() if has else df.persist()
+    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -20,60 +40,246 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(counts, "id", "left").select("id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_in"))
 
 
-def depths(nodes: DataFrame, edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """(id, depth): the longest way from a node without incoming edge; nodes on or behind a cycle are absent.
-
-    Kahn's rounds over tables: each round takes the nodes whose sources are all placed.  As many rounds as
-    the graph is deep.
-    """
+def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, depth): the longest way from a node without incoming edge; nodes on or behind a cycle are absent."""
+    kind = nodes.schema["id"].dataType.simpleString()
     left = _kept(edges.select("src", "dst"))
-    placed = _kept(nodes.select("id").join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("depth")))
-    front, out = placed, placed
-    for level in range(1, most + 1):
-        touched = left.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        left = _kept(left.join(front.select(F.col("id").alias("src")), "src", "left_anti"))
+    front = _kept(nodes.select("id").join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("depth")))
+    out, level = front, 0
+    while not _is_small(left):
+        level += 1
+        gone = front.select(F.col("id").alias("src"))
+        touched = left.join(gone, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        left = _kept(left.join(gone, "src", "left_anti"))
         front = _kept(touched.join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth")))
         if front.isEmpty():
             return out
         out = out.unionByName(front)
-    raise ValueError(f"the graph is deeper than {most}")
+
+    def rest(rows: list[tuple]) -> Iterable[tuple]:
+        """What has no source here, and is a node, was placed in the last round."""
+        after, open_ = _links([r[:2] for r in rows]), defaultdict(int)
+        for _, dst, _ in rows:
+            open_[dst] += 1
+        ready = deque((src, level) for src in {src for src, _, known in rows if known} if not open_[src])
+        while ready:
+            node, depth = ready.popleft()
+            for n in after[node]:
+                open_[n] -= 1
+                if not open_[n]:  # the last source is the deepest: the queue is in order of depth
+                    ready.append((n, depth + 1))
+                    yield n, depth + 1
+
+    marked = left.join(nodes.select(F.col("id").alias("src"), F.lit(True).alias("known")).distinct(), "src", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"))
+    return out.unionByName(_in_one_task(marked, rest, f"id {kind}, depth bigint"))
+
+
+def _links(rows: list[tuple]) -> dict[Hashable, list]:
+    after: dict[Hashable, list] = defaultdict(list)
+    for src, dst in rows:
+        after[src].append(dst)
+    return after
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, depth) of everything that the seeds (id) reach, the shortest way; cycles end by themselves."""
+    kind = seeds.schema["id"].dataType.simpleString()
     found = _kept(seeds.select("id", F.lit(0).cast("bigint").alias("depth")).distinct())
-    front = found
-    for level in range(1, most + 1):
-        step = edges.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+    pairs = edges.select("src", "dst")
+    if _is_small(pairs, found):
+
+        def walk(rows: list[tuple]) -> Iterable[tuple]:
+            after = _links([r[:2] for r in rows if not r[2]])
+            far = {r[1]: 0 for r in rows if r[2]}
+            ready = deque(far)
+            while ready:
+                node = ready.popleft()
+                for n in after.get(node, ()):
+                    if n not in far:
+                        far[n] = far[node] + 1
+                        ready.append(n)
+            return far.items()
+
+        marked = pairs.withColumn("seed", F.lit(False)).unionByName(found.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("seed")))
+        return _in_one_task(marked, walk, f"id {kind}, depth bigint")
+    front, level = found, 0
+    while not front.isEmpty():
+        level += 1
+        step = pairs.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
         front = _kept(step.join(found.select("id"), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth")))
-        if front.isEmpty():
-            return found
         found = _kept(found.unionByName(front))
-    raise ValueError(f"not all reached within {most} steps")
+    return found
 
 
-def on_cycles(edges: DataFrame, most: int = MOST_LEVELS) -> DataFrame:
-    """(id) of the nodes that reach themselves.
-
-    Nodes that no cycle holds are peeled from both ends first; the rest, usually few, are walked.
-    """
-    left = _kept(edges.select("src", "dst").distinct())
+def _core(edges: DataFrame) -> DataFrame:
+    """The edges without those at whose ends a way begins or stops, round by round while they are many."""
+    left = _kept(edges.select("src", "dst").where("src <> dst").distinct())
     size = left.count()
-    while True:
-        ends = left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
-        left, before = _kept(ends), size
+    while size > SMALL:
+        inner = left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+        left, before = _kept(inner), size
         size = left.count()
         if size == before:
             break
-    walk = _kept(left.select(F.col("src").alias("start"), F.col("dst").alias("at")).distinct())
-    size = walk.count()
-    for _ in range(most):
-        longer = walk.join(left, walk["at"] == left["src"]).select("start", F.col("dst").alias("at"))
-        walk, before = _kept(walk.unionByName(longer).distinct()), size
-        size = walk.count()
-        if size == before:
-            return walk.where("start = at").select(F.col("start").alias("id")).distinct()
-    raise ValueError(f"cycles longer than {most}")
+    return left
+
+
+def _grown(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """start with what step adds, until it adds nothing."""
+    all_, fresh = start, start
+    while not fresh.isEmpty():
+        fresh = _kept(step(fresh).join(all_, all_.columns, "left_anti").distinct())
+        all_ = _kept(all_.unionByName(fresh))
+    return all_
+
+
+def _coloured(core: DataFrame) -> DataFrame:
+    """(id, component) of one part of the strongly connected components: a node has the colour of the largest
+    node that reaches it, and those of a colour that reach its namesake are a component."""
+    colours = _kept(core.select(F.col("src").alias("id")).union(core.select("dst")).distinct().withColumn("colour", F.col("id")))
+    while True:
+        come = core.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("colour").alias("new"))
+        more = _kept(colours.join(come, "id", "left").select("id", F.greatest("colour", "new").alias("colour"), (F.col("new") > F.col("colour")).alias("changed")))
+        colours = more.select("id", "colour")
+        if more.where("changed").isEmpty():
+            break
+    inside = core.join(colours.withColumnsRenamed({"id": "src", "colour": "c"}), "src").join(colours.withColumnsRenamed({"id": "dst", "colour": "d"}), "dst").where("c = d").select("src", "dst", F.col("c").alias("colour"))
+    heads = _kept(colours.where("id = colour"))
+    back = lambda fresh: inside.join(fresh.withColumnRenamed("id", "dst"), ["dst", "colour"]).select(F.col("src").alias("id"), "colour")
+    return _grown(heads, back).select("id", F.col("colour").alias("component"))
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of components with more than one node; component is one of them."""
+    kind = edges.schema["src"].dataType.simpleString()
+    core, parts = _core(edges), []
+    while core.count() > SMALL:
+        part = _kept(_coloured(core))
+        parts.append(part)
+        left = core.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
+        core = _core(left.select("src", "dst"))
+    found = _in_one_task(core, lambda rows: ((n, c[0]) for c in _tarjan(_links(rows)) for n in c), f"id {kind}, component {kind}")
+    for part in parts:
+        found = found.unionByName(part.select("id", "component"))
+    several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return found.join(several, "component", "left_semi").select("id", "component")
+
+
+def _tarjan(after: dict[Hashable, list]) -> Iterable[list]:
+    """Strongly connected components, by one walk without recursion."""
+    number: dict[Hashable, int] = {}
+    low: dict[Hashable, int] = {}
+    stack: list = []
+    open_: dict[Hashable, int] = {}  # what is on the stack, to its place
+    for root in list(after):
+        if root in number:
+            continue
+        walk = [(root, iter(after[root]))]
+        number[root] = low[root] = len(number)
+        open_[root] = len(stack)
+        stack.append(root)
+        while walk:
+            node, rest = walk[-1]
+            to = next((n for n in rest if n not in number or n in open_), None)
+            if to is None:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
+                if low[node] == number[node]:
+                    part = stack[open_[node] :]
+                    del stack[open_[node] :]
+                    for n in part:
+                        del open_[n]
+                    yield part
+            elif to in number:
+                low[node] = min(low[node], number[to])
+            else:
+                number[to] = low[to] = len(number)
+                open_[to] = len(stack)
+                stack.append(to)
+                walk.append((to, iter(after.get(to, ()))))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id) of the nodes that reach themselves."""
+    own = edges.where("src = dst").select(F.col("src").alias("id"))
+    return strong_components(edges).select("id").union(own).distinct()
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(path): for each cycle that a walk in order of ids closes, its nodes from the smallest one back to it.
+
+    Of cycles with the same nodes one is given.  A component is walked in one task, which holds its edges.
+    """
+    kind = edges.schema["src"].dataType.simpleString()
+    parts = strong_components(edges)
+    own = edges.where("src = dst").select("src").distinct().select(F.array("src", "src").alias("path"))
+    inside = edges.select("src", "dst").where("src <> dst").distinct().join(parts.withColumnRenamed("id", "src"), "src").join(parts.withColumnsRenamed({"id": "dst", "component": "c"}), "dst").where("component = c")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        after = _links(sorted(zip(part["src"], part["dst"], strict=True)))
+        return pd.DataFrame({"path": list(_closed_ways(after))})
+
+    return inside.select("component", "src", "dst").groupBy("component").applyInPandas(run, f"path array<{kind}>").unionByName(own)
+
+
+def _closed_ways(after: dict[Hashable, list]) -> Iterable[list]:
+    seen: set[frozenset] = set()
+    done: set = set()
+    for root in sorted(after):
+        if root in done:
+            continue
+        way, place, walk = [root], {root: 0}, [iter(after[root])]
+        while walk:
+            to = next(walk[-1], None)
+            if to is None:
+                walk.pop()
+                last = way.pop()
+                del place[last]
+                done.add(last)
+            elif to in place:
+                ring = way[place[to] :]
+                if frozenset(ring) not in seen:
+                    seen.add(frozenset(ring))
+                    at = ring.index(min(ring))
+                    yield [*ring[at:], *ring[:at], ring[at]]
+            elif to not in done:
+                place[to] = len(way)
+                way.append(to)
+                walk.append(iter(after.get(to, ())))
+
+
+def ports(nodes: DataFrame) -> DataFrame:
+    """(graph_path, place, name, direction): a graph's io nodes as its ports, inputs first, else in the graph's order."""
+    from pyspark.sql import Window
+
+    own = nodes.where("type = 'io'")
+    place = F.row_number().over(Window.partitionBy("graph_path").orderBy(F.col("direction") != "in", "ord")) - 1
+    return own.select("graph_path", place.cast("bigint").alias("place"), F.coalesce("name", "id").alias("name"), "direction")
+
+
+def faces(nodes: DataFrame, contracts: DataFrame) -> DataFrame:
+    """nodes (graph_path, id) with contract and error of contracts (graph_path, id, contract, error), null where none was read."""
+    return nodes.join(contracts.select("graph_path", "id", "contract", "error"), ["graph_path", "id"], "left")
+
+
+def laid_out(nodes: DataFrame, layout: DataFrame) -> DataFrame:
+    """nodes (id, ord) with x and y: the layout's (id, x, y), else a diagonal by order."""
+    own = layout.select("id", F.col("x").alias("own_x"), F.col("y").alias("own_y"))
+    x, y = F.lit(60.0) + F.col("ord") * 200, F.lit(60.0) + F.col("ord") % 3 * 120
+    met = nodes.join(own, "id", "left")
+    return met.select(*nodes.columns, F.when(F.col("own_x").isNotNull(), F.col("own_x")).otherwise(x).alias("x"), F.when(F.col("own_x").isNotNull(), F.col("own_y")).otherwise(y).alias("y"))
+
+
+def new_entrypoints(edges: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """(id, entrypoint): the step files that new flow edges (kind, src, dst) ask for at code nodes (id, type, include,
+    entrypoint) without one, in the directory of the first include; a path of files is never taken."""
+    ends = edges.where("kind = 'flow'").select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    bare = nodes.where("type = 'code' AND entrypoint IS NULL").join(ends, "id", "left_semi")
+    head = F.regexp_extract(F.get("include", F.lit(0)), r"^([^*?\[]+)[*?\[]", 1)
+    home = F.when(head != "", head).otherwise(F.concat(F.lit("src/"), F.replace("id", F.lit("-"), F.lit("_"))))
+    asked = bare.select("id", F.concat(F.regexp_replace(F.coalesce(home, F.concat(F.lit("src/"), F.replace("id", F.lit("-"), F.lit("_")))), "/+$", ""), F.lit("/main.py")).alias("path"))
+    return asked.join(files.select("path"), "path", "left_anti").select("id", F.col("path").alias("entrypoint"))
 
 
 def tools_of_agents(nodes: DataFrame, edges: DataFrame) -> DataFrame:

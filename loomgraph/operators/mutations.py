@@ -56,13 +56,38 @@ def patched(rows: DataFrame, patches: DataFrame) -> DataFrame:
     return met.withColumn("fields", F.when(F.col("patch").isNotNull(), merged).otherwise(F.col("fields"))).drop("patch")
 
 
-def renamed(tables: GraphTables, names: DataFrame) -> GraphTables:
-    """names (id, new_id): ids, edge ends and places follow."""
+#: Fields of a composition's nodes that name other nodes: lists of names, and maps by name, as JSON text.
+NAME_LISTS, NAME_MAPS = ("exposes", "calls"), ("invocation",)
+
+
+def renamed(tables: GraphTables, names: DataFrame, references: bool = True) -> GraphTables:
+    """names (id, new_id): ids follow, and, if references, so do edge ends, places, and names in other nodes' fields."""
     def swap(df: DataFrame, column: str) -> DataFrame:
         own = names.select(F.col("id").alias(column), F.col("new_id").alias("__new"))
         return df.join(own, column, "left").withColumn(column, F.coalesce("__new", column)).drop("__new").select(*df.columns)
 
-    return GraphTables(swap(tables.nodes, "id"), swap(swap(tables.edges, "src"), "dst"), swap(tables.layout, "id"))
+    nodes = swap(tables.nodes, "id")
+    if not references:
+        return replace(tables, nodes=nodes)
+    for key in NAME_LISTS + NAME_MAPS if "fields" in nodes.columns else ():
+        nodes = _renamed_field(nodes, key, names)
+    return GraphTables(nodes, swap(swap(tables.edges, "src"), "dst"), swap(tables.layout, "id"))
+
+
+def _renamed_field(nodes: DataFrame, key: str, names: DataFrame) -> DataFrame:
+    """nodes with the names in one JSON field swapped, in their order."""
+    own = names.select(F.col("id").cast("string").alias("name"), F.col("new_id").cast("string").alias("new"))
+    has = nodes.where(F.map_contains_key("fields", F.lit(key))).select("id", F.col("fields")[key].alias("json"))
+    if key in NAME_MAPS:
+        parts = has.select("id", F.posexplode(F.from_json("json", "map<string,string>")).alias("at", "name", "value"))
+    else:
+        parts = has.select("id", F.posexplode(F.from_json("json", "array<string>")).alias("at", "name"))
+    entry = F.struct("at", F.coalesce("new", "name").alias("key"), *(["value"] if key in NAME_MAPS else []))
+    joined = parts.join(own, "name", "left").groupBy("id").agg(F.sort_array(F.collect_list(entry)).alias("all"), F.bool_or(F.col("new").isNotNull()).alias("hit"))
+    text = F.to_json(F.map_from_entries(F.transform("all", lambda x: F.struct(x["key"], x["value"])))) if key in NAME_MAPS else F.to_json(F.transform("all", lambda x: x["key"]))
+    met = nodes.join(joined.where("hit").select("id", text.alias("__json")), "id", "left")
+    changed = F.map_concat(F.map_filter("fields", lambda k, _: k != key), F.create_map(F.lit(key), F.col("__json")))
+    return met.withColumn("fields", F.when(F.col("__json").isNotNull(), changed).otherwise(F.col("fields"))).select(*nodes.columns)
 
 
 def placed(layout: DataFrame, moves: DataFrame) -> DataFrame:
@@ -135,5 +160,5 @@ def _apply(t: GraphTables, op: dict[str, Any]) -> tuple[GraphTables, str]:
             raise Refused(f'"{to}" is no id')
         if _one(t.nodes, to):
             raise Refused(f'there is a node "{to}" already')
-        return renamed(t, spark.createDataFrame([(target, to)], "id string, new_id string")), f"rename {target} to {to}"
+        return renamed(t, spark.createDataFrame([(target, to)], "id string, new_id string"), op.get("updateReferences", True)), f"rename {target} to {to}"
     raise Refused(f"unknown op {kind}")

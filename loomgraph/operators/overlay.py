@@ -55,6 +55,21 @@ def status(pending: DataFrame) -> DataFrame:
     return pending.select("path", "kind")
 
 
+def counts(pending: DataFrame) -> DataFrame:
+    """(files, added, modified, deleted, renamed): what a commit would hold."""
+    of = lambda kind: F.count_if(F.col("kind") == kind)
+    return pending.agg(F.count(F.lit(1)).alias("files"), of("add").alias("added"), of("modify").alias("modified"), of("delete").alias("deleted"), of("rename").alias("renamed"))
+
+
+def in_order(pending: DataFrame) -> DataFrame:
+    return pending.orderBy("path")
+
+
+def emitted(memos: DataFrame, files: str) -> DataFrame:
+    """(path): every path of any memo's map of files."""
+    return memos.select(F.explode(F.map_keys(files)).alias("path")).distinct()
+
+
 def diff(base: DataFrame, pending: DataFrame) -> DataFrame:
     """(path, kind, before, after) of each change; a delete has nothing after."""
     before = base.select("path", F.col("content").alias("before"))

@@ -13,6 +13,25 @@ def owned(rows: DataFrame, owner: str) -> DataFrame:
     return rows.where(F.col("owner_id") == F.lit(owner).try_cast(rows.schema["owner_id"].dataType))
 
 
+def with_id(rows: DataFrame, column: str, asked: DataFrame, text: str) -> DataFrame:
+    """asked with the rows whose id its text names; a text that is no id of the column's type finds nothing, and is no error."""
+    kind = rows.schema[column].dataType
+    typed = asked.withColumn("__id", F.col(text).try_cast(kind))
+    return typed.join(rows, typed["__id"] == rows[column]).drop("__id")
+
+
+def in_order(projects: DataFrame) -> DataFrame:
+    return projects.orderBy("created_at", "id")
+
+
+def sync(projects: DataFrame, heads: DataFrame) -> DataFrame:
+    """projects with the heads (id, head) that were found, and whether they moved."""
+    found = heads.select("id", F.col("head").alias("found"))
+    moved = F.col("found").isNotNull() & ~F.col("found").eqNullSafe(F.col("head"))
+    met = projects.join(found, "id", "left").withColumn("moved", moved)
+    return met.withColumn("head", F.coalesce("found", "head")).drop("found")
+
+
 def project_key(kind: Column) -> Column:
     """What makes a project unique within its owner: a repository, a path or an example's slug."""
     return F.when(kind == "github", F.concat_ws("/", "repo_owner", "repo_name")).when(kind == "local", F.col("root")).when(kind == "example", F.col("slug"))

@@ -57,6 +57,30 @@ def without_late(log: DataFrame, finished: str = "run.finished") -> DataFrame:
     return log.join(ends, "run_id", "left").where(F.col("end").isNull() | (F.col("seq") <= F.col("end"))).drop("end")
 
 
+def cancelled_at(log: DataFrame, requests: DataFrame) -> DataFrame:
+    """The log with runs cut short: requests (run_id, seq) are cancellations that came before the event seq was
+    reported.  That report still counts, and the answer to it ends the run: its next event is the finish.
+
+    A run that had finished by then is as it was.  Of several requests the first counts.
+    """
+    first = requests.groupBy("run_id").agg(F.min("seq").alias("asked"))
+    ends = log.where(F.col("type") == "run.finished").groupBy("run_id").agg(F.min("seq").alias("end"))
+    met = log.join(first, "run_id", "left").join(ends, "run_id", "left")
+    cut = F.col("asked").isNotNull() & (F.col("end").isNull() | (F.col("asked") < F.col("end")))
+    kept = met.where(~F.coalesce(cut, F.lit(False)) | (F.col("seq") <= F.col("asked"))).select(*log.columns)
+    last = met.where(cut & (F.col("seq") == F.col("asked")))
+    said = {"seq": F.col("seq") + 1, "type": F.lit("run.finished"), "payload": F.lit('{"status":"cancelled"}')}
+    finish = last.select(*[said[c].alias(c) if c in said else F.col(c) if c in ("run_id", "created_at", "ts") else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns])
+    return kept.unionByName(finish)
+
+
+def reports(events: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run_id, appended, cancelled): the answer to each run's report of events."""
+    sent = events.groupBy("run_id").agg(F.count(F.lit(1)).alias("appended"))
+    status = runs.select(F.col("id").alias("run_id"), (F.col("status") == "cancelled").alias("cancelled"))
+    return sent.join(status, "run_id", "left").select("run_id", "appended", F.coalesce("cancelled", F.lit(False)).alias("cancelled"))
+
+
 def latest_runs(runs: DataFrame, created: str, tie: str, most: int = 50) -> DataFrame:
     return runs.orderBy(F.desc(created), F.desc(tie)).limit(most)
 

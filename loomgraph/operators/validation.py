@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import glob_regex, is_id, is_relative_path
-from loomgraph.operators.graphs import on_cycles, with_ends
+from loomgraph.operators.graphs import cycles, with_ends
 
 COLUMNS = ("code", "severity", "node_id", "edge_id", "message")
 
@@ -110,14 +110,27 @@ def need_entrypoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def flow_cycles(edges: DataFrame) -> DataFrame:
-    rows = on_cycles(edges.where("kind = 'flow'"))
-    return _found(rows, "flow-cycle", F.format_string('%s reaches itself', "id"), node=F.col("id"), severity="run-blocking")
+    """One row a cycle: its path, at its smallest node."""
+    rows = cycles(edges.where("kind = 'flow'"))
+    return _found(rows, "flow-cycle", F.array_join(F.col("path").cast("array<string>"), " > "), node=F.get("path", F.lit(0)), severity="run-blocking")
 
 
 def containment_cycles(references: DataFrame) -> DataFrame:
     """references (src, dst) from a graph to its subgraphs."""
-    rows = on_cycles(references)
-    return _found(rows, "subgraph-cycle", F.format_string('%s is inside itself', "id"), node=F.col("id"))
+    return _found(cycles(references), "subgraph-cycle", F.array_join(F.col("path").cast("array<string>"), " > "), node=F.get("path", F.lit(0)))
+
+
+def located(diagnostics: DataFrame) -> DataFrame:
+    """diagnostics with file, of ids (or, without ids, messages) that are scoped as file#id; the ids are then plain."""
+    scope = F.coalesce("node_id", "edge_id", "message")
+    plain = lambda c: F.when(F.col(c).contains("#"), F.substring_index(c, "#", -1)).otherwise(F.col(c))
+    file = F.when(scope.contains("#"), F.substring_index(scope, "#", 1)).when(F.col("code") == "subgraph-cycle", F.col("node_id"))
+    return diagnostics.select(file.alias("file"), "code", "severity", plain("node_id").alias("node_id"), plain("edge_id").alias("edge_id"), "message")
+
+
+def of_node(diagnostics: DataFrame, file: str, node: str) -> DataFrame:
+    """The located diagnostics of one node of one file."""
+    return diagnostics.where((F.col("file") == file) & (F.col("node_id") == node))
 
 
 NODE_FIELDS = {"io": (), "code": (), "agent": ("ref",), "subgraph": ("ref",)}

@@ -45,4 +45,4 @@ def load(files: DataFrame) -> Bundle:
     steps = nodes.where("type = 'code' AND entrypoint IS NOT NULL").select(F.concat("graph_path", F.lit("#"), "id").alias("id"), F.col("entrypoint").alias("path"))
     read = discover(files.join(steps.select("path").distinct(), "path", "left_semi"))
     contracts = steps.join(read, "path").join(contract_targets(own_nodes.select("id"), own_edges), "id", "left")
-    return Bundle(docs, nodes, edges, rules, contracts)
+    return Bundle(docs, nodes, edges, validation.located(rules), contracts)

@@ -53,26 +53,22 @@ def follow(frame: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint:
 
 
 def append_numbered(path: str) -> Callable[[DataFrame, int], None]:
-    """A sink that numbers a batch's events behind what each run already has, and appends them.
+    """A sink that numbers a batch's events behind what each run already has, into path/batch=N.
 
-    One query writes a log, so numbering has no rival.  A batch that is retried finds its own events by
-    batch number and writes nothing twice.
+    Beside the log, path-heads/N keeps each run's next number after batch N, so a batch reads that table of
+    the one before it and never the log.  One query writes a log, so numbering has no rival; a batch that
+    is retried writes the same rows over its own.
     """
 
     def sink(batch: DataFrame, number: int) -> None:
         from loomgraph.operators.runlog import number as numbered
 
         spark = batch.sparkSession
-        old = None
-        try:
-            old = spark.read.parquet(path)
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        if old is not None and not old.where(F.col("batch") == number).isEmpty():
-            return
-        base = old.groupBy("run_id").agg((F.max("seq") + 1).alias("next_seq")) if old is not None else None
-        fresh = numbered(batch, "run_id", "created_at", "type", "node_id", base=base).withColumn("batch", F.lit(number))
-        fresh.write.mode("append").partitionBy("batch").parquet(path)
+        base = spark.read.parquet(f"{path}-heads/{number - 1}") if number else None
+        numbered(batch, "run_id", "created_at", "type", "node_id", base=base).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        heads = spark.read.parquet(f"{path}/batch={number}").groupBy("run_id").agg((F.max("seq") + 1).alias("next_seq"))
+        if base is not None:
+            heads = heads.unionByName(base.join(heads, "run_id", "left_anti"))
+        heads.write.mode("overwrite").parquet(f"{path}-heads/{number}")
 
     return sink

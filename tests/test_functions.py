@@ -115,3 +115,20 @@ def test_discovery_isolates_errors(spark):
     frame = spark.createDataFrame([("a", "def f(x: int) -> str: ..."), ("b", "def ("), ("c", None)], "path string, content string")
     got = {r.path: r for r in contracts.discover(frame).collect()}
     assert got["a"].name == "f" and got["b"].error.startswith("line 1 is not Python") and got["c"].error
+
+
+def test_live_functions_as_tools():
+    def add(x: int, y: list[str], z: dict[str, int] = None, *rest, **more):
+        return x
+
+    tool = agents.tool_of(add)
+    assert tool.name == "add" and tool.call({"x": 1, "y": []}) == 1
+    assert tool.schema == {"type": "object", "properties": {"x": {"type": "integer"}, "y": {"type": "array", "items": {"type": "string"}}, "z": {"type": "object"}}, "required": ["x", "y"]}
+
+
+def test_tools_of_globs(spark):
+    tools = spark.createDataFrame([("a", 0, "src/*.py", None), ("a", 1, "src/b.py", "g"), ("b", 0, "none/*", None)], "agent string, ord int, entrypoint string, function string")
+    files = spark.createDataFrame([("src/a.md", "x"), ("src/b.py", "def f(x: int): ...\ndef _h(): ..."), ("src/c.py", "")], "path string, content string")
+    got = {(r.agent, r.ord): r for r in agents.resolve_tools(tools, files).collect()}
+    assert got["a", 0].path == "src/b.py" and json.loads(got["a", 0].schema)["required"] == ["x"]
+    assert got["a", 1].error == "there is no function g" and got["b", 0].error == "no Python file is none/*"

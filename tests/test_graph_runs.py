@@ -145,6 +145,6 @@ def test_random_graphs_run_as_walked(spark, pairs):
 
 def test_the_example_graph(spark):
     docs = spark.createDataFrame([(1, "ﬁne\u00a0 text\t①"), (2, "the licence\n of it")], "doc_id long, text string")
-    rows = {r.doc_id: r.record for r in classify.classify(docs).result("doc_id").collect()}
-    assert rows[1].category == "other" and rows[1].enrichedFrom == []
-    assert rows[2].category == "contract" and rows[2].enrichedFrom == ["contract-index"]
+    rows = {r.doc_id: r.ledger for r in classify.classify(docs).result("doc_id").collect()}
+    assert rows[1].category == "other" and rows[1].related == []
+    assert rows[2].category == "contract" and rows[2].related == ["contract-index"]

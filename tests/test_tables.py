@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -93,7 +94,7 @@ def test_graph_rules(spark):
     files = spark.createDataFrame([("src/a.py", ""), ("src/b/c.py", "")], "path string, content string")
     found = validation.validate_graph(nodes, edges, files).cache()
     codes = {(r.code, r.node_id, r.edge_id) for r in found.collect()}
-    assert {("duplicate-id", "step", None), ("unknown-node", None, "e4"), ("io-direction-violation", None, "e2"), ("capability-edge-bad-source", None, "e3"), ("capability-edge-bad-target", None, "e3"), ("unresolved-ref", "bot", None), ("unresolved-entrypoint", "x", None), ("unresolved-ref", "x", None), ("flow-code-node-needs-entrypoint", "step", None), ("flow-cycle", "x", None), ("flow-cycle", "bot", None)} == codes
+    assert {("duplicate-id", "step", None), ("unknown-node", None, "e4"), ("io-direction-violation", None, "e2"), ("capability-edge-bad-source", None, "e3"), ("capability-edge-bad-target", None, "e3"), ("unresolved-ref", "bot", None), ("unresolved-entrypoint", "x", None), ("unresolved-ref", "x", None), ("flow-code-node-needs-entrypoint", "step", None), ("flow-cycle", "bot", None)} == codes
     assert tuple(validation.blocks_run(found).first()) == (True, True)
     assert tuple(validation.blocks_run(found.where("false")).first()) == (False, False)
 
@@ -118,6 +119,51 @@ def test_depths_and_cycles(spark):
     assert listed(graphs.closure(spark.createDataFrame([("y",)], "id string"), edges)) == [("x", 1), ("y", 0), ("z", 1)]
 
 
+def test_long_chains(spark):
+    n = 1000
+    chain = spark.createDataFrame([(f"n{k:04}", f"n{k + 1:04}") for k in range(n)], "src string, dst string")
+    nodes = spark.createDataFrame([(f"n{k:04}",) for k in range(n + 1)], "id string")
+    wanted = [(f"n{k:04}", k) for k in range(n + 1)]
+    assert listed(graphs.depths(nodes, chain)) == wanted
+    assert listed(graphs.closure(nodes.where("id = 'n0000'"), chain)) == wanted
+    ring = chain.unionByName(spark.createDataFrame([(f"n{n:04}", "n0000")], chain.schema))
+    assert graphs.on_cycles(ring).count() == n + 1 and graphs.on_cycles(chain).count() == 0
+    assert [len(r.path) for r in graphs.cycles(ring).collect()] == [n + 2]
+
+
+@pytest.mark.parametrize(("seed", "small"), [(1, 10**6), (2, 10**6), (3, 0), (4, 0), (5, 3)])
+def test_walks_match_plain_ones(spark, monkeypatch, seed, small):
+    """At any bound on what one task may hold."""
+    monkeypatch.setattr(graphs, "SMALL", small)
+    rng = random.Random(seed)
+    edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(rng.choice([12, 18, 24]))] + [(90, 3)] * (seed % 2)
+    nodes = list(range(15))
+    frame, ids = spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(n,) for n in nodes], "id long")
+    reach = {n: {b for a, b in edges if a == n} for n in range(100)}
+    for _ in range(15):
+        reach = {n: r | {x for m in r for x in reach[m]} for n, r in reach.items()}
+    assert listed(graphs.on_cycles(frame)) == [(n,) for n in nodes if n in reach[n]]
+    depth, open_ = {}, {b for _, b in edges}
+    for n in nodes:
+        if n not in open_:
+            depth[n] = 0
+    for _ in nodes:
+        for n in nodes:
+            own = [a for a, b in edges if b == n]
+            if n not in depth and own and all(a in depth for a in own):
+                depth[n] = 1 + max(depth[a] for a in own)
+    assert listed(graphs.depths(ids, frame)) == sorted(depth.items())
+    near = {0: 0}
+    for k in range(15):
+        near |= {b: k + 1 for a, b in edges if near.get(a) == k and b not in near}
+    assert listed(graphs.closure(ids.where("id = 0"), frame)) == sorted(near.items())
+    paths = [r.path for r in graphs.cycles(frame).collect()]
+    assert all(p[0] == p[-1] == min(p) and all((a, b) in edges for a, b in zip(p, p[1:], strict=False)) for p in paths)
+    assert len({frozenset(p) for p in paths}) == len(paths) and {n for p in paths for n in p} <= {n for n in nodes if n in reach[n]}
+    parts = {frozenset(m for m in reach[n] if n in reach[m]) for n in nodes if n in reach[n]}
+    assert all(any(set(p) <= c for p in paths) for c in parts)
+
+
 @pytest.fixture
 def tables(spark):
     nodes = spark.createDataFrame([("a", "code", {"name": "A"}), ("b", "agent", {})], "id string, type string, fields map<string,string>")
@@ -149,6 +195,35 @@ def test_refusals(tables, op):
         mutations.apply_ops(tables, [op])
 
 
+def test_a_rename_follows_names_in_fields(spark):
+    nodes = spark.createDataFrame([("a", "service", {}), ("web", "client", {"exposes": '["a","b"]', "invocation": '{"b":"sync","a":"async"}', "title": "a"}), ("job", "process", {"calls": '["a"]'})], "id string, type string, fields map<string,string>")
+    edges = spark.createDataFrame([], "id string, kind string, src string, dst string, fields map<string,string>")
+    t = mutations.GraphTables(nodes, edges, spark.createDataFrame([], "id string, x double, y double"))
+    done, _ = mutations.apply_ops(t, [{"op": "renameNode", "id": "a", "to": "z"}])
+    got = {r.id: r.fields for r in done.nodes.collect()}
+    assert got["web"] == {"exposes": '["z","b"]', "invocation": '{"b":"sync","z":"async"}', "title": "a"} and got["job"] == {"calls": '["z"]'} and "z" in got
+    kept, _ = mutations.apply_ops(t, [{"op": "renameNode", "id": "a", "to": "z", "updateReferences": False}])
+    assert {r.id: r.fields for r in kept.nodes.collect()}["job"] == {"calls": '["a"]'}
+
+
+def test_cancelled_runs(spark):
+    rows = [(r, k, t, "n", None, "{}") for r in (1, 2, 3) for k, t in enumerate(["run.started", "node.started", "node.finished", "run.finished"])]
+    log = spark.createDataFrame(rows, LOG)
+    requests = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "run_id long, seq long")
+    got = [(r.run_id, r.seq, r.type) for r in runlog.cancelled_at(log, requests).orderBy("run_id", "seq").collect()]
+    assert got == [(1, 0, "run.started"), (1, 1, "node.started"), (1, 2, "run.finished"), *[(r, k, t) for r, k, t, *_ in rows if r > 1]]
+    assert {r.run_id: r.status for r in runlog.run_status(runlog.cancelled_at(log, requests)).collect()} == {1: "cancelled", 2: "finished", 3: "finished"}
+
+
+def test_new_entrypoints_and_layout(spark):
+    nodes = spark.createDataFrame([("a-b", "code", None, None), ("c", "code", ["lib/x/*.py"], None), ("d", "code", ["x.py"], None), ("e", "code", None, "e.py"), ("f", "io", None, None)], "id string, type string, include array<string>, entrypoint string")
+    edges = spark.createDataFrame([("flow", "a-b", "c"), ("flow", "d", "e"), ("flow", "f", "c"), ("capability", "x", "a-b")], "kind string, src string, dst string")
+    files = spark.createDataFrame([("src/d/main.py",)], "path string")
+    assert listed(graphs.new_entrypoints(edges, nodes, files)) == [("a-b", "src/a_b/main.py"), ("c", "lib/x/main.py")]
+    where = graphs.laid_out(nodes.select("id", F.lit(4).alias("ord")), spark.createDataFrame([("c", 1.0, 2.0)], "id string, x double, y double"))
+    assert {r.id: (r.x, r.y) for r in where.collect()} == {n: (860.0, 180.0) if n != "c" else (1.0, 2.0) for n in ("a-b", "c", "d", "e", "f")}
+
+
 def test_folds_of_a_group_stream(spark):
     rows = [(g, f"p{k:03}", f"text {k} é" * (k % 7)) for g in ("a", "b", None) for k in range(50)] + [("b", None, "x"), ("b", "q", None), ("c", "q", None)]
     files = spark.createDataFrame(rows, "g string, path string, text string").repartition(5)
