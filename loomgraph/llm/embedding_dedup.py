@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import bounded_batches, components, join_labels, written
 
 LEAST_COSINE = 0.98
-#: Passes for labels of up to PASSES_FOR vectors; the number grows with the fourth root of the largest label.
+#: Passes for labels of up to PASSES_FOR vectors; the number grows with the fourth root of a label's vectors
+#: over one less their mean cosine, as crowded vectors are harder to part.
 PASSES = 12
 PASSES_FOR = 100_000
 BITS = 32
@@ -235,7 +236,7 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     component has no link and is its own component.  Repeated rows are vectors of their own and link; a
     null id is never a component's smallest unless there is no other.  Equal vectors travel as one.
 
-    passes: how many; by default PASSES, and more for labels of over PASSES_FOR different vectors.
+    passes: how many; by default PASSES, and more for large or crowded labels.
     """
     bounded_batches(vectors.sparkSession)
     element = "<f4" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "<f8"
@@ -251,8 +252,9 @@ def embedding_near_dedup(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     spark = vectors.sparkSession
     sums = nodes.select("grp", "v").mapInArrow(_sums(element), "grp bigint, place int, total double, n bigint").groupBy("grp", "place").agg((F.sum("total") / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
     means = written(sums.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "mean"))), lambda x: x["mean"]).alias("mean"), F.max("n").alias("n")), "means")
-    largest, total = means.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    passes = passes or max(PASSES, math.ceil(PASSES * (largest / PASSES_FOR) ** 0.25))
+    spread = F.greatest(1 - F.aggregate("mean", F.lit(0.0), lambda s, x: s + x * x), F.lit(0.01))
+    crowd, total = means.agg(F.coalesce(F.max(F.col("n") / spread), F.lit(0.0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    passes = passes or max(PASSES, math.ceil(PASSES * (crowd / PASSES_FOR) ** 0.25))
     keyed = nodes.join(means.select("grp", "mean"), "grp").select("node", "grp", "dim", "v", "mean").mapInArrow(_keyed(element, passes), "nth int, grp bigint, key bigint, node bigint, v binary")
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, total * passes // LEAST_ROWS))
     parts = max(parts, -(-total * passes // MOST_ROWS), 1)
