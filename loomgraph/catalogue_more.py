@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.catalogue import _FILES, _LOG, _RING, _sources, base_files, log, pending, query, table
 from loomgraph.functions import agents, contracts, text
 from loomgraph.operators import context, graphs, mutations, overlay, projects, runlog, validation
+from loomgraph.sources import files
 
 
 def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,15 +156,15 @@ _CODE = "code AS (SELECT 'src/' || lang || '/' || source || '/' || doc_id || '.p
 
 @query(f"WITH {_CODE} SELECT path FROM code WHERE lang = 'de' OR doc_id % 7 = 0")
 def f08_context_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, written = code_tables(spark, sf_dir)
-    code = context.code_files(files, written, "src/en")
-    return context.referenced(code, files.where("doc_id % 7 = 0").select("path"), spark.createDataFrame([("src/de/",), ("src/d/",)], "path string")).select("path")
+    every, written = code_tables(spark, sf_dir)
+    code = context.code_files(every, written, "src/en")
+    return context.referenced(code, every.where("doc_id % 7 = 0").select("path"), spark.createDataFrame([("src/de/",), ("src/d/",)], "path string")).select("path")
 
 
 @query(f"WITH {_CODE} SELECT path FROM code WHERE octet_length(encode(text)) <= 2000 ORDER BY path LIMIT 60")
 def f09_analyzer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, written = code_tables(spark, sf_dir)
-    return context.capped(context.code_files(files, written, "src/en"), most_bytes=2000).select("path")
+    every, written = code_tables(spark, sf_dir)
+    return context.capped(context.code_files(every, written, "src/en"), most_bytes=2000).select("path")
 
 
 @query(f"WITH {_FILES} SELECT count(*)::BIGINT AS files, count(*) FILTER (kind = 'add')::BIGINT AS added, count(*) FILTER (kind = 'modify')::BIGINT AS modified, count(*) FILTER (kind = 'delete')::BIGINT AS deleted, 0::BIGINT AS renamed FROM pending")
@@ -248,6 +249,32 @@ def m01_op_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.nodes.select(F.lit("node").alias("what"), "id").unionByName(done.edges.select(F.lit("edge").alias("what"), "id"))
 
 
+@query("""WITH c AS (SELECT 'r' || n_regionkey AS project, 0 AS kind, n_name AS by_, n_name AS name, 'web/' || n_name AS cwd, 'vite' AS command, n_nationkey % 4 = 0 AS install FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey < 15),
+s AS (SELECT 'r' || n_regionkey AS project, 1, 'srv/' || n_name || '.py', CASE WHEN count(*) OVER (PARTITION BY n_regionkey) = 1 AND n_regionkey <> 1 THEN 'api' ELSE n_name END, '.', 'python srv/' || n_name || '.py', FALSE FROM nation WHERE n_nationkey >= 20 OR n_nationkey IN (15, 17)),
+a AS (SELECT * FROM c UNION ALL SELECT * FROM s)
+SELECT project, name, cwd, command, install, row_number() OVER (PARTITION BY project ORDER BY kind, by_) AS nth FROM a""")
+def g16_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as projects, of whose nations some are clients and some emitted servers; ports are shown from 1."""
+    nation = table(spark, sf_dir, "nation")
+    project = F.format_string("r%d", "n_regionkey").alias("project")
+    key = F.col("n_nationkey")
+    clients = nation.where((key % 2 == 0) & (key < 15)).select(project, F.col("n_name").alias("id"), F.concat(F.lit("web/"), "n_name", F.lit("/")).alias("path"), F.lit("vite").alias("dev"))
+    servers = nation.where((key >= 20) | key.isin(15, 17)).select(project, F.concat(F.lit("srv/"), "n_name", F.lit(".py")).alias("path"))
+    apis = table(spark, sf_dir, "region").where("r_regionkey <> 1").select(F.format_string("r%d", "r_regionkey").alias("project"), F.lit("api").alias("id"))
+    files = nation.where(key % 4 == 0).select(project, F.concat(F.lit("web/"), "n_name", F.lit("/package.json")).alias("path"))
+    done = projects.processes(clients, servers, apis, files)
+    return done.select("project", "name", "cwd", "command", "install", (F.col("port") - text.port_base(F.col("project")) + 1).alias("nth"))
+
+
+@query("SELECT 'b' || n_nationkey AS branch, n_nationkey % 3 <> 0 AS moved, CASE WHEN n_nationkey % 3 <> 0 THEN 'new' ELSE 'other' END AS head FROM nation WHERE n_nationkey % 2 = 0")
+def s20_move_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third branch moved since its commit was begun."""
+    nation = table(spark, sf_dir, "nation")
+    branch = F.format_string("b%d", "n_nationkey").alias("branch")
+    refs = nation.select(branch, F.when(F.col("n_nationkey") % 3 == 0, "other").otherwise("old").alias("head"))
+    return files.move_heads(refs, nation.where("n_nationkey % 2 = 0").select(branch, F.lit("old").alias("expected"), F.lit("new").alias("new")))[1]
+
+
 # --- cancellation ------------------------------------------------------------------------------------------
 
 

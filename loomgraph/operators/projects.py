@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import port_base, stem
+from loomgraph.operators.folds import ports
+
 LIVE = ("queued", "running")
 
 
@@ -83,3 +86,23 @@ def flagged(rows: DataFrame, others: DataFrame, key: str, name: str) -> DataFram
 def merged_files(left: Column, right: Column) -> Column:
     """Two maps of path to content; the right one wins."""
     return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)
+
+
+def processes(clients: DataFrame, servers: DataFrame, boundaries: DataFrame, files: DataFrame) -> DataFrame:
+    """(project, name, cwd, command, install, port): what a session runs.
+
+    First the web clients (project, id, path, dev) with a dev command, by id, then the emitted servers
+    (project, path), by path; ports count up from the project's base.  A project's only server is named
+    after its only api boundary (project, id), any other after its file.  files: (project, path).
+    """
+    home = F.regexp_replace(F.regexp_replace("path", "/+$", ""), r"^(\./+|\.$)", "")
+    package = F.concat(F.when(home != "", F.concat(home, F.lit("/"))).otherwise(""), F.lit("package.json"))
+    web = clients.where("dev <> ''").select("project", F.lit(0).alias("kind"), F.col("id").alias("name"), F.regexp_replace("path", "/+$", "").alias("cwd"), F.col("dev").alias("command"), package.alias("package"))
+    present = files.select("project", F.col("path").alias("package"), F.lit(True).alias("install"))
+    web = web.join(present, ["project", "package"], "left").select("project", "kind", F.col("name").alias("by"), "name", "cwd", "command", F.coalesce("install", F.lit(False)).alias("install"))
+    one = boundaries.groupBy("project").agg(F.count(F.lit(1)).alias("apis"), F.min("id").alias("api"))
+    many = servers.groupBy("project").agg(F.count(F.lit(1)).alias("n"))
+    named = servers.join(many, "project").join(one, "project", "left")
+    name = F.when((F.col("n") == 1) & (F.col("apis") == 1), F.col("api")).otherwise(stem(F.col("path")))
+    served = named.select("project", F.lit(1).alias("kind"), F.col("path").alias("by"), name.alias("name"), F.lit(".").alias("cwd"), F.concat(F.lit("python "), "path").alias("command"), F.lit(False).alias("install"))
+    return ports(web.unionByName(served), "project", port_base(F.col("project")), "kind", "by").select("project", "name", "cwd", "command", "install", "port")

@@ -72,6 +72,29 @@ def graph_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("graph_path", "ord", "e.id", "e.kind", F.col("e.from.node").alias("src"), F.col("e.to.node").alias("dst"), F.col("e.to.function").alias("function"))
 
 
+#: The shapes of composition and agent documents.
+COMPOSITION = "kind string, spec struct<nodes: array<struct<id: string, type: string, boundary: string, client: string, path: string, dev: string, exposes: array<string>, invocation: map<string, string>, calls: array<string>, impl: struct<graph: string, entrypoint: string>>>, edges: array<struct<id: string, kind: string, from: struct<node: string>, to: struct<node: string>>>>"
+AGENT = "kind string, metadata struct<id: string, name: string>, spec struct<model: string, promptFile: string, maxTurns: int>"
+
+
+def composition_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Composition documents (path, document) to nodes (file, ord, id, type, ..., graph, entrypoint) and edges (file, ord, id, kind, src, dst)."""
+    parsed = docs.select("path", F.from_json("document", COMPOSITION).alias("c")).where("c.kind = 'Composition'")
+    nodes = parsed.select(F.col("path").alias("file"), F.posexplode("c.spec.nodes").alias("ord", "n"))
+    fields = ("id", "type", "boundary", "client", "path", "dev", "exposes", "invocation", "calls")
+    edges = parsed.select(F.col("path").alias("file"), F.posexplode("c.spec.edges").alias("ord", "e"))
+    return (
+        nodes.select("file", "ord", *[f"n.{f}" for f in fields], F.col("n.impl.graph").alias("graph"), F.col("n.impl.entrypoint").alias("entrypoint")),
+        edges.select("file", "ord", "e.id", "e.kind", F.col("e.from.node").alias("src"), F.col("e.to.node").alias("dst")),
+    )
+
+
+def agent_table(docs: DataFrame) -> DataFrame:
+    """Agent documents to (path, id, name, model, prompt_file, max_turns)."""
+    parsed = docs.select("path", F.from_json("document", AGENT).alias("a")).where("a.kind = 'Agent'")
+    return parsed.select("path", "a.metadata.id", "a.metadata.name", "a.spec.model", F.col("a.spec.promptFile").alias("prompt_file"), F.col("a.spec.maxTurns").alias("max_turns"))
+
+
 def snapshot(blobs: DataFrame, tree: DataFrame, commit: str, most_bytes: int = 2 << 20) -> DataFrame:
     """(path, content) at a commit: tree (commit_sha, path, blob_sha, size) is narrow, and only text files' blobs
     (blob_sha, content) within the size are fetched; others have null content until hydrated."""
@@ -97,6 +120,15 @@ def commit(tree: DataFrame, merged: DataFrame, parent: str, new: str) -> tuple[D
     return named.select(F.lit(new).alias("commit_sha"), "path", "blob_sha", "size"), fresh
 
 
+def move_heads(refs: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refs, outcome): refs (branch, head) after moves (branch, expected, new), each made only where the head is
+    still the expected one; outcome (branch, moved, head) tells a loser the head to start again from, once."""
+    met = refs.join(moves, "branch", "left")
+    fits = F.col("new").isNotNull() & F.col("head").eqNullSafe(F.col("expected"))
+    after = met.select("branch", F.when(fits, F.col("new")).otherwise(F.col("head")).alias("head"))
+    return after, met.where("new is not null").select("branch", fits.alias("moved"), F.when(fits, F.col("new")).otherwise(F.col("head")).alias("head"))
+
+
 def append_absent(existing: DataFrame, templates: dict[str, str]) -> DataFrame:
     """Template files whose paths are free: a scaffold never overwrites."""
     return in_memory(existing.sparkSession, templates).join(existing.select("path"), "path", "left_anti")
@@ -107,6 +139,19 @@ def refused_paths(files: DataFrame) -> DataFrame:
     return files.where(~is_relative_path(F.col("path"))).select("path")
 
 
+def write_through(workspace: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(workspace, refused): the workspace (path, content, version) with files (path, content) put in or over, each
+    change a version up; paths that leave the project are refused, and then nothing is written."""
+    refused = refused_paths(files)
+    if not refused.isEmpty():
+        return workspace, refused
+    old, new = workspace.alias("o"), files.alias("n")
+    met = old.join(new, "path", "full")
+    changed = F.col("n.content").isNotNull() & ~F.col("n.content").eqNullSafe(F.col("o.content"))
+    version = F.coalesce("o.version", F.lit(0)) + changed.cast("int")
+    return met.select("path", F.coalesce("n.content", "o.content").alias("content"), version.alias("version")), refused
+
+
 def write_events(events: DataFrame, path: str, **options: Any) -> None:
     """Appends events to the log's table."""
     events.write.mode("append").options(**options).parquet(path)

@@ -148,3 +148,27 @@ def test_the_example_graph(spark):
     rows = {r.doc_id: r.ledger for r in classify.classify(docs).result("doc_id").collect()}
     assert rows[1].category == "other" and rows[1].related == []
     assert rows[2].category == "contract" and rows[2].related == ["contract-index"]
+
+
+def test_steps_from_project_files(spark):
+    from loomgraph.plans.steps import load_steps
+    from loomgraph.sources.files import in_memory
+
+    project = in_memory(spark, {
+        "lib/words.py": "def count(text):\n    return len(text.split())\n",
+        "steps/size.py": "from lib.words import count\n\ndef handler(text: str) -> int:\n    if not text:\n        raise ValueError('no text')\n    return count(text)\n\ndef other(x): ...\n",
+        "steps/more.py": "async def twice(n: int) -> int:\n    return n * 2\n\ndef thrice(n: int) -> int:\n    return n * 3\n", "notes.md": "x",
+    })
+    steps = load_steps(project, ["steps/size.py", "steps/more.py:twice"])
+    g = {"g": graph([IN, code("a", "steps/size.py"), code("b", "steps/more.py:twice"), OUT], [edge("1", "in", "a"), edge("2", "a", "b"), edge("3", "b", "out")])}
+    runs = spark.createDataFrame([(1, "one two three"), (2, "")], "run long, input string")
+    got = {r.run: r for r in compile_graph(runs, "g", g, steps).result("run").collect()}
+    assert got[1].out == 6 and got[2].failed.asDict() == {"node": "a", "error": "no text"}
+    with pytest.raises(GraphError, match="no file none.py"):
+        load_steps(project, ["none.py"])
+
+
+def test_an_unknown_node_type_cannot_run(spark):
+    g = {"g": graph([IN, {"id": "x", "type": "odd"}], [edge("1", "in", "x")])}
+    with pytest.raises(GraphError, match="cannot run as odd"):
+        compile_graph(spark.createDataFrame([(1, 3)], "run long, input long"), "g", g, {})

@@ -94,6 +94,40 @@ def test_a_project_in_one_go(spark):
     assert [r.id for r in bundle.reachable(got.nodes, spark.createDataFrame([("g.yaml",)], "id string")).collect()] == ["g.yaml"]
 
 
+def test_a_composition_in_one_go(spark):
+    from loomgraph.sources import bundle
+
+    app = """
+kind: Composition
+spec:
+  nodes:
+    - { id: web, type: client, client: web, path: web }
+    - { id: api, type: boundary, boundary: api, exposes: [svc, web], invocation: { svc: sync } }
+    - { id: svc, type: service, impl: { graph: g.yaml } }
+    - { id: job, type: process, calls: [svc, none] }
+  edges:
+    - { id: a, kind: routes-to, from: { node: web }, to: { node: api } }
+    - { id: b, kind: routes-to, from: { node: web }, to: { node: svc } }
+"""
+    agent = "kind: Agent\nmetadata: { id: bot, name: Bot }\nspec: { promptFile: agents/bot/prompt.md, maxTurns: 3 }\n"
+    got = bundle.load(files.in_memory(spark, {"app.yaml": app, "agents/bot/agent.yaml": agent}))
+    assert {(r.code, r.file, r.node_id or r.edge_id) for r in got.diagnostics.collect()} == {("exposes-non-service", "app.yaml", "api"), ("calls-non-service", "app.yaml", "job"), ("unresolved-ref", "app.yaml", "svc"), ("edge-kind-bad-source", "app.yaml", "b")}
+    assert [tuple(r) for r in got.agents.collect()] == [("agents/bot/agent.yaml", "bot", "Bot", None, "agents/bot/prompt.md", 3)]
+
+
+def test_workspaces_and_heads(spark):
+    workspace = spark.createDataFrame([("a", "1", 1), ("b", "2", 4)], "path string, content string, version int")
+    after, refused = files.write_through(workspace, files.in_memory(spark, {"a": "1", "b": "3", "c": "4"}))
+    assert sorted(map(tuple, after.collect())) == [("a", "1", 1), ("b", "3", 5), ("c", "4", 1)] and refused.count() == 0
+    same, refused = files.write_through(workspace, files.in_memory(spark, {"../x": "1", "b": "3"}))
+    assert [r.path for r in refused.collect()] == ["../x"] and sorted(map(tuple, same.collect())) == [("a", "1", 1), ("b", "2", 4)]
+    refs = spark.createDataFrame([("m", "h1"), ("n", "h2"), ("o", "h3")], "branch string, head string")
+    moves = spark.createDataFrame([("m", "h1", "x"), ("n", "h1", "y")], "branch string, expected string, new string")
+    moved, outcome = files.move_heads(refs, moves)
+    assert sorted(map(tuple, moved.collect())) == [("m", "x"), ("n", "h2"), ("o", "h3")]
+    assert sorted(map(tuple, outcome.collect())) == [("m", True, "x"), ("n", False, "h2")]
+
+
 def test_schema_problems():
     from loomgraph.operators.validation import schema_problem
 
