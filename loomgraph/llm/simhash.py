@@ -182,7 +182,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def groups(prints: DataFrame) -> DataFrame:
     """(fp, root) of each distinct fingerprint: root is the smallest fingerprint of its group."""
-    distinct = prints.select("fp").distinct()
+    # Dealt anew, as a row becomes up to 34 and the few bytes of fingerprints would make few tasks.
+    distinct = prints.select("fp").distinct().repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     spread = distinct.mapInArrow(_to_anchors, "anchor bigint, fp bigint")
     links = spread.repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare, "a bigint, b bigint")
     found = components(links)
