@@ -99,6 +99,23 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
     assert got == sorted(tuple(r[c] for c in columns) for r in after)
 
 
+def test_run_on_odd_tables(spark, tmp_path):
+    """Null and empty texts, ids and columns, repeated rows, one very long text, and tables without rows."""
+    columns = "doc_id long, text string, lang string, source string, n_chars long, text_hash string"
+    long = " ".join(f"word{k}" for k in range(200_000))
+    rows = [(1, None, "en", "src0", 0, "a"), (2, "", None, None, None, "b"), (None, "a text without an id", "en", "src1", 20, None), (3, "one two three four five six", "en", "src0", 27, "c"), (3, "one two three four five six", "en", "src0", 27, "c"), (4, long, "de", "src7", len(long), "d"), (5, "\n\n", "en", "src0", 2, "e")]
+    tables = {"labels": ("doc_id long, quality int, toxic int", [(1, 0, None), (None, 1, 1)]), "benchmark": ("item_id long, text string", [(None, None), (1, "")])}
+    for name, docs in (("odd", rows), ("none", [])):
+        for table, (schema, content) in (tables | {"documents": (columns, docs)}).items():
+            spark.createDataFrame(content if docs else [], schema).write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        with pytest.warns(UserWarning, match="0 of 2 classes"):
+            done = corpus_pipeline.run(spark, f"{tmp_path}/{name}")
+        assert done.columns == [*(c.split()[0] for c in columns.split(", ")), "n_epochs"]
+        got = done.collect()
+        assert len({(r.doc_id, r.text) for r in got}) == len(got) and (bool(got) == bool(docs))
+        assert all((r.doc_id, r.text) in {x[:2] for x in rows} for r in got)
+
+
 def test_every_operator_has_a_query():
     names = list(registry.queries())
     assert [n.split("_")[0] for n in names] == [*(f"op{k}" for k in range(1, 11)), "pipeline"]
