@@ -3,12 +3,13 @@
 Every run of WINDOW words is an edge of the graph (from its first to its last WINDOW - 1 words).  As the
 edges of a text far outnumber its words' bytes, they are made in compacted form at once: consecutive
 edges of a document with the same minimizer, the smallest hash among the edge's K-word pieces, are one
-path, named by the hash of its words; equal edges have equal minimizers, so they meet in one bucket.
+path, named by a 128-bit hash of its words as they stand in the text; equal edges have equal minimizers,
+so they meet in one bucket.
 
 Spark joins then compact and decide the buckets.  Where all paths of a repeated minimizer are equal, the
 path does not branch: all its edges are repeated.  Where paths differ, equal paths are compacted to one,
-and only then are single edges compared.  The source coordinates (document, first word, edges) of the
-repeated edges, verified by a 64-bit edge hash beside the 64-bit minimizer, give the words to remove.
+and only then are single edges compared, by a 128-bit hash of their words in the source text.  The source
+coordinates (document, first word, edges) of the repeated edges give the words to remove.
 """
 
 from __future__ import annotations
@@ -76,9 +77,6 @@ class Rolled:
         self.sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(h * up[: len(words)], out=self.sums[1:])
 
-    def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
-
     def every(self, n: int) -> np.ndarray:
         """Of every range of n words."""
         return mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
@@ -93,31 +91,47 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(out[: len(x) - w + 1], out[w - have : w - have + len(x) - w + 1])
 
 
-def paths(words: list[bytes], table: WordHashes, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first edge, edges, minimizer, hash of the path's words) of each path of a text."""
+class Spans:
+    """128-bit hashes of word ranges of one text, words joined by one space."""
+
+    def __init__(self, words: list[bytes]) -> None:
+        self.text = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        self.begins, self.ends = np.concatenate(([0], ends[:-1] + 1)), ends
+
+    def hashes(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Both halves, for ranges from word `start` up to `end`."""
+        text, digest = self.text, xxhash.xxh3_128_digest
+        raw = b"".join([digest(text[a:b]) for a, b in zip(self.begins[start].tolist(), self.ends[end - 1].tolist(), strict=True)])
+        both = np.frombuffer(raw, dtype="<i8").reshape(-1, 2)
+        return both[:, 0], both[:, 1]
+
+
+def paths(words: list[bytes], table: WordHashes, window: int = WINDOW, k: int = K) -> tuple[np.ndarray, ...]:
+    """(first edge, edges, minimizer, and the halves of the hash of the path's words) of each path of a text."""
     none = np.empty(0, np.int64)
     if len(words) < window:
-        return none, none, none, none
-    rolled = Rolled(words, table)
-    pieces = rolled.every(k)
+        return none, none, none, none, none
+    pieces = Rolled(words, table).every(k)
     ranked = (pieces & ~_PLACE) | np.arange(len(pieces), dtype=np.uint64)  # ties: the leftmost
     low = (_sliding_min(ranked, window - k + 1) & _PLACE).astype(np.int64)
     cuts = np.flatnonzero(np.diff(low)) + 1
     start = np.concatenate(([0], cuts))
     end = np.concatenate((cuts, [len(low)]))
-    at = low[start]
-    span = rolled.ranges(start, end - 1 + window) ^ mix(((end - start) * 64 + (at - start)).astype(np.uint64))
-    return start, end - start, pieces[at].view(np.int64), span.view(np.int64)
+    return start, end - start, pieces[low[start]].view(np.int64), *Spans(words).hashes(start, end - 1 + window)
 
 
 def _to_paths(window: int, k: int) -> object:
+    names = ["start", "n", "mini", "span", "check"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = WordHashes()
         for batch in batches:
             got = [paths(words_of(t.as_py()), table, window, k) for t in batch.column(2)]
             at = pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got]))
-            start, n, mini, span = (np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(4))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(mini), pa.array(span)], names=["id", "h", "start", "n", "mini", "span"])
+            cols = [np.concatenate([g[i] for g in got]) if got else np.empty(0, np.int64) for i in range(len(names))]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 3]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c.astype(t.to_pandas_dtype()), t) for c, t in zip(cols, kinds, strict=True)]], names=["id", "h", *names])
 
     return run
 
@@ -134,24 +148,26 @@ def _unpack(blob: bytes) -> list[bytes]:
 
 
 def _edges(window: int) -> object:
-    """Rows of a text and its branching paths to a row for each edge: (mini, edge, id, h, start, c)."""
+    """Rows of a text and its branching paths to a row for each edge: (mini, edge, check, id, h, start, c)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = WordHashes()
         for batch in batches:
-            rows, minis, edges, starts, counts = [], [], [], [], []
+            rows, minis, starts, counts, edges, checks = [], [], [], [], [], []
             for k in range(len(batch)):
-                every = Rolled(_unpack(batch.column("blob")[k].as_py()), table).every(window)
-                for p in batch.column("paths")[k].as_py():
-                    at = np.arange(p["start"], p["start"] + p["n"])
-                    rows.append(np.full(len(at), k))
-                    minis.append(np.full(len(at), p["mini"]))
-                    edges.append(every[at].view(np.int64))
-                    starts.append(at.astype(np.int32))
-                    counts.append(np.full(len(at), p["c"]))
+                spans = Spans(_unpack(batch.column("blob")[k].as_py()))
+                own = batch.column("paths")[k].as_py()
+                n = np.array([p["n"] for p in own])
+                at = np.concatenate([np.arange(p["start"], p["start"] + p["n"]) for p in own])
+                edge, check = spans.hashes(at, at + window)
+                rows.append(np.full(len(at), k))
+                minis.append(np.repeat(np.array([p["mini"] for p in own]), n))
+                starts.append(at.astype(np.int32))
+                counts.append(np.repeat(np.array([p["c"] for p in own]), n))
+                edges.append(edge)
+                checks.append(check)
             if rows:
                 at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(minis)), pa.array(np.concatenate(edges)), batch.column("id").take(at), batch.column("h").take(at), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts))], names=["mini", "edge", "id", "h", "start", "c"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(np.concatenate(x)) for x in (minis, edges, checks)], batch.column("id").take(at), batch.column("h").take(at), *[pa.array(np.concatenate(x)) for x in (starts, counts)]], names=["mini", "edge", "check", "id", "h", "start", "c"])
 
     return run
 
@@ -186,21 +202,23 @@ def _clean(window: int) -> object:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     """docs (id, h, text binary) to (id, h, start, n): runs of edges that also start elsewhere."""
     kind = docs.schema["id"].dataType.simpleString()
-    all_paths = written(docs.mapInArrow(_to_paths(window, k), f"id {kind}, h bigint, start int, n int, mini bigint, span bigint"), "paths")
-    buckets = all_paths.groupBy("mini").agg(F.count(F.lit(1)).alias("paths"), F.min("span").alias("low"), F.max("span").alias("high")).where("paths > 1").select("mini", (F.col("low") != F.col("high")).alias("branches"))
+    path, edge = ["mini", "span", "check"], ["mini", "edge", "check"]
+    all_paths = written(docs.mapInArrow(_to_paths(window, k), f"id {kind}, h bigint, start int, n int, mini bigint, span bigint, check bigint"), "paths")
+    ends = [f(c).alias(f"{name}_{c}") for c in ("span", "check") for name, f in (("low", F.min), ("high", F.max))]
+    buckets = all_paths.groupBy("mini").agg(F.count(F.lit(1)).alias("paths"), *ends).where("paths > 1").select("mini", F.expr("low_span <> high_span OR low_check <> high_check").alias("branches"))
     buckets = written(buckets, "buckets")  # joined as a table, so that the paths of a very common minimizer can be split
     repeated = written(all_paths.join(buckets, "mini"), "repeated-paths")
     plain = repeated.where("not branches").select("id", "h", "start", "n")
 
-    forks = repeated.where("branches").select("id", "h", "start", "n", "mini", "span")
-    compact = written(forks.groupBy("mini", "span").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "start", "n")).alias("p")), "compacted-paths")
-    equal = forks.join(compact.where("c > 1").select("mini", "span"), ["mini", "span"], "left_semi").select("id", "h", "start", "n")
+    forks = repeated.where("branches").select("id", "h", "start", "n", *path)
+    compact = written(forks.groupBy(*path).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id", "h", "start", "n")).alias("p")), "compacted-paths")
+    equal = forks.join(compact.where("c > 1").select(*path), path, "left_semi").select("id", "h", "start", "n")
     asked = compact.select("p.id", "p.h", F.struct("p.start", "p.n", "mini", "c").alias("path")).groupBy("id", "h").agg(F.collect_list("path").alias("paths"))
     # Paths of rows that are repeated whole have c > 1, so meeting each such row changes no count from 1.
     met = _join(docs.mapInArrow(_pack, f"id {kind}, h bigint, blob binary"), asked, "inner").select("id", "h", "blob", "paths")
-    edges = written(met.mapInArrow(_edges(window), f"mini bigint, edge bigint, id {kind}, h bigint, start int, c bigint"), "edges")
-    twice = written(edges.groupBy("mini", "edge").agg(F.sum("c").alias("total")).where("total > 1").select("mini", "edge"), "repeated-edges")
-    single = edges.where("c = 1").join(twice, ["mini", "edge"], "left_semi").select("id", "h", "start", F.lit(1).alias("n"))
+    edges = written(met.mapInArrow(_edges(window), f"mini bigint, edge bigint, check bigint, id {kind}, h bigint, start int, c bigint"), "edges")
+    twice = written(edges.groupBy(*edge).agg(F.sum("c").alias("total")).where("total > 1").select(*edge), "repeated-edges")
+    single = edges.where("c = 1").join(twice, edge, "left_semi").select("id", "h", "start", F.lit(1).alias("n"))
     return plain.unionByName(equal).unionByName(single)
 
 
