@@ -90,21 +90,23 @@ def spans(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> Dat
     counted = _carried(narrow, count=F.count(F.lit(1)), tokens=F.sum("size"))
     numbered = counted.withColumn("n", F.col("count") + F.row_number().over(inside)).withColumn("is_system", (F.col("n") == 1) & (F.col("role") == SYSTEM))
     numbered = numbered.withColumn("behind", F.col("tokens") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
+    numbered = written(numbered.select("rid", "conv", "part", "turn", "role", "tie", "size", "n", "is_system", "behind"), "numbered-turns")
 
     own, most = F.coalesce(F.max(F.when(F.col("is_system"), F.col("size"))), F.lit(0)), F.coalesce(F.max(F.when(~F.col("is_system"), F.col("size"))), F.lit(1))
     room = numbered.groupBy("conv").agg(own.alias("system"), most.alias("most"))
     room = room.withColumn("half", F.expr(f"greatest(({budget} - system - {history}) div 2, 1)")).withColumn("least_long", F.least("most", "half"))
     room = room.withColumn("stride", F.greatest(F.lit(budget - history) - F.col("system") - F.col("least_long"), F.lit(1))).withColumn("back", F.least(F.lit(history), "half"))
-    known = _same(numbered.select("rid", "conv", "part", "turn", "role", "tie", "size", "n", "is_system", "behind"), room.drop("most", "half"), "conv")
+    known = _same(numbered, room.drop("most", "half"), "conv")
     known = known.withColumn("before", F.when(F.col("n") > 1, F.col("behind") - F.col("system")).otherwise(0)).withColumn("long", ~F.col("is_system") & (F.col("size") > F.col("least_long")))
     known = _carried(known, longs=F.count_if("long")).withColumn("nth_long", F.col("longs") + F.sum(F.col("long").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     cell = F.struct("nth_long", (~F.col("long")).alias("among"), F.when(F.col("long"), F.lit(0)).otherwise(F.expr("before div stride")).alias("at"))
-    placed = known.where(~F.col("is_system")).withColumn("cell", cell)
+    known = written(known.select("rid", "conv", "n", "is_system", "size", "before", "least_long", "stride", "back", cell.alias("cell")), "placed-turns")
+    placed = known.where(~F.col("is_system"))
 
     along = Window.partitionBy("conv").orderBy("cell")
     cells = placed.groupBy("conv", "cell").agg(F.min("before").alias("begin"), F.sum("size").alias("fresh")).withColumn("window", F.row_number().over(along).cast("bigint"))
     here = F.struct("begin", "fresh", "window")
-    cells = cells.withColumn("x1", F.lead(here, 1).over(along)).withColumn("x2", F.lead(here, 2).over(along))
+    cells = written(cells.withColumn("x1", F.lead(here, 1).over(along)).withColumn("x2", F.lead(here, 2).over(along)), "windows")
 
     def repeat(x: str) -> Column:
         near = (F.col(f"{x}.begin") - F.col("before") <= F.col("back")) & (F.col(f"{x}.fresh") <= F.col("stride") + F.col("least_long"))
