@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.catalogue import _FILES, _LOG, _RING, _sources, base_files, log, pending, query, table
 from loomgraph.functions import agents, contracts, text
-from loomgraph.operators import context, graphs, mutations, overlay, projects, runlog, validation
+from loomgraph.operators import context, emissions, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.sources import files
 
 
@@ -275,6 +275,53 @@ def s20_move_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.move_heads(refs, nation.where("n_nationkey % 2 = 0").select(branch, F.lit("old").alias("expected"), F.lit("new").alias("new")))[1]
 
 
+@query("SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'name' WHEN 1 THEN 'cwd' WHEN 2 THEN 'cmd' WHEN 3 THEN 'port' END AS issue FROM nation")
+def f15_process_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each region's processes lack something else; the last one's are whole."""
+    region = F.col("n_regionkey")
+    spec = F.struct(F.when(region == 0, "").otherwise(F.col("n_name")).alias("name"), F.when(region == 1, "a/../../b").when(region == 4, ".").otherwise("a/b").alias("cwd"), F.when(region == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("run"))).alias("cmd"), F.when(region == 3, "x").when(region == 4, "80").alias("port"))
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), projects.process_issue(spec).alias("issue"))
+
+
+@query("SELECT severity <> 'error' AS composition, FALSE AS graph, severity FROM (VALUES ('error'), ('run-blocking')) AS v(severity)")
+def f18_may_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cycles alone stop a graph; missing entrypoints stop a composition too."""
+    nodes, edges = rule_tables(spark, sf_dir)
+    found = {"error": validation.need_entrypoints(nodes, edges), "run-blocking": validation.flow_cycles(edges)}
+    rows = [validation.may_run(d, True).select(F.col("may_run").alias("composition")).crossJoin(validation.may_run(d, False).select(F.col("may_run").alias("graph"))).withColumn("severity", F.lit(s)) for s, d in found.items()]
+    return rows[0].unionByName(rows[1])
+
+
+@query("SELECT 'e' || r_regionkey AS emission, r_regionkey <> 2 AS api, r_regionkey < 2 AS server FROM region")
+def a09_any_server(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "region")
+    emission, key = F.format_string("e%d", "r_regionkey").alias("emission"), F.col("r_regionkey")
+    documents = region.select(emission, F.lit("app.yaml").alias("path"), F.when(key == 2, "# boundary: api").otherwise("boundary: api").alias("content"))
+    made = table(spark, sf_dir, "nation").select(F.format_string("e%d", "n_regionkey").alias("emission"), F.when((F.col("n_regionkey") < 2) & (F.col("n_nationkey") >= 20), "boundary-server").otherwise("agent").alias("role"))
+    return emissions.serving(documents, made)
+
+
+@query("SELECT n_nationkey AS id, row_number() OVER (ORDER BY n_nationkey % 2, n_name) AS place FROM nation")
+def o04_code_unit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even names begin beyond the first plane, odd ones at its end: UTF-16 has them the other way round than UTF-8."""
+    named = table(spark, sf_dir, "nation").withColumn("t", F.concat(F.when(F.col("n_nationkey") % 2 == 0, F.lit("\U0001F600")).otherwise(F.lit("\uFFFD")), "n_name"))
+    return named.select(F.col("n_nationkey").alias("id"), F.row_number().over(Window.orderBy(text.utf16_order(F.col("t")))).alias("place"))
+
+
+@query("SELECT c_custkey AS sub, CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 1000000 ELSE c_custkey END AS id, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE c_name END AS name FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 2 = 0")
+def m14_upsert_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third customer is unknown; even ones are seen."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("sub"), F.col("c_custkey").alias("id"), F.lit("m").alias("email"), F.col("c_name").alias("name"), F.lit(1).alias("last_login"))
+    seen = rows.where("sub % 2 = 0").withColumn("id", F.col("id") + 1000000).withColumn("name", F.lit("new")).withColumn("last_login", F.lit(2))
+    return projects.upsert_users(rows.where("sub % 3 <> 0"), seen).select("sub", "id", "name")
+
+
+@query("SELECT o_orderkey AS id FROM orders WHERE o_orderdate > TIMESTAMP '1996-01-01'")
+def m14_without_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sessions = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("expires_at"))
+    return projects.without_expired(sessions, F.lit("1996-01-01").cast("timestamp_ntz")).select("id")
+
+
 # --- cancellation ------------------------------------------------------------------------------------------
 
 

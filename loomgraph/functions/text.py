@@ -143,5 +143,10 @@ def declares_api_boundary(text: Column) -> Column:
     return F.regexp_replace(text, r"(?m)#.*$", "").rlike(r"""\bboundary:\s*["']?api\b""")
 
 
+def utf16_order(text: Column) -> Column:
+    """What to sort by for the order of UTF-16 code units, in which characters beyond the first plane come before U+E000."""
+    return F.encode(text, "UTF-16BE")
+
+
 def search(haystack: Column, needle: str) -> Column:
     return F.lower(haystack).contains(needle.lower())

@@ -119,10 +119,11 @@ def session_phase(processes: DataFrame, group: str, state: str) -> DataFrame:
     return processes.groupBy(group).agg(F.when(running, "running").when(exited, "exited").otherwise("starting").alias("phase"))
 
 
-def best_branch(issues: DataFrame, case: str, branch: str) -> DataFrame:
-    """(case, branch, issues): of a union's branches the one with the fewest issues, the first on ties."""
-    counts = issues.groupBy(case, branch).agg(F.sum("n").cast("bigint").alias("issues"))
-    return counts.groupBy(case).agg(F.min_by(branch, F.struct("issues", branch)).alias(branch), F.min("issues").alias("issues"))
+def best_branch(issues: DataFrame, case: str, branch: str, order: str | None = None) -> DataFrame:
+    """(case, branch, issues): of a union's branches the one with the fewest issues; on ties the first in order, by default of names."""
+    place = order or branch
+    counts = issues.groupBy(case, branch).agg(F.sum("n").cast("bigint").alias("issues"), F.min(place).alias("__place"))
+    return counts.groupBy(case).agg(F.min_by(branch, F.struct("issues", "__place", branch)).alias(branch), F.min("issues").alias("issues"))
 
 
 def distinct_cycles(cycles: DataFrame, path: str) -> DataFrame:

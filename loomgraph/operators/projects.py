@@ -72,6 +72,30 @@ def touch(sessions: DataFrame, users: DataFrame, now: Column, keep: Column) -> D
     return live.join(users, live["user_id"] == users["id"]).drop(users["id"])
 
 
+def upsert_users(users: DataFrame, seen: DataFrame) -> DataFrame:
+    """users (sub, id, email, name, last_login) with those seen (the same) put in or over; a known one keeps its id."""
+    o, n = users.alias("o"), seen.alias("n")
+    later = lambda c: F.when(F.col("n.last_login").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
+    return o.join(n, "sub", "full").select("sub", F.coalesce("o.id", "n.id").alias("id"), later("email"), later("name"), later("last_login"))
+
+
+def without_expired(sessions: DataFrame, now: Column) -> DataFrame:
+    return sessions.where(F.col("expires_at") > now)
+
+
+def process_issue(spec: Column) -> Column:
+    """The first thing wrong with a process (name, cwd, cmd, port), or null."""
+    inside = lambda c: (c != "") & ~c.startswith("/") & ~F.array_contains(F.split(c, "/"), "..")
+    bad = lambda ok: ~F.coalesce(ok, F.lit(False))
+    cwd, cmd = spec["cwd"], spec["cmd"]
+    return (
+        F.when(bad(F.length(spec["name"]) > 0), "name")
+        .when(bad((cwd == ".") | inside(cwd)), "cwd")
+        .when(bad((F.size(cmd) > 0) & ~F.exists(cmd, lambda a: a.isNull())), "cmd")
+        .when(spec["port"].isNotNull() & bad(spec["port"].try_cast("int").isNotNull()), "port")
+    )
+
+
 def first_by(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     """Of rows with one key the first in order."""
     rest = [c for c in rows.columns if c not in key and c != order]

@@ -239,3 +239,9 @@ def severity_counts(diagnostics: DataFrame, *by: str) -> DataFrame:
 def blocks_run(diagnostics: DataFrame) -> DataFrame:
     """One row: fatal if any error, blocked if anything at all."""
     return diagnostics.agg(F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("fatal"), (F.count(F.lit(1)) > 0).alias("blocked"))
+
+
+def may_run(diagnostics: DataFrame, composition: bool) -> DataFrame:
+    """One row: a graph runs if nothing stands against it; a composition runs if no error does."""
+    against = diagnostics.where("severity = 'error'") if composition else diagnostics.where("severity IN ('error', 'run-blocking')")
+    return against.agg((F.count(F.lit(1)) == 0).alias("may_run"))

@@ -26,11 +26,17 @@ def _under(root: str) -> Column:
 def directory(spark: SparkSession, root: str, ignored: tuple[str, ...] = IGNORED) -> DataFrame:
     """(path, size, content binary) of the files under root, without ignored directories.  Content is read only if asked for."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    names = "|".join(re.escape(x) for x in ignored)
+    names = "|".join(re.escape(x) for x in ignored) or "(?!)"
     own = files.select(_under(root).alias("path"), F.col("length").alias("size"), "content")
     return own.where(~F.col("path").rlike(rf"(^|/)({names})/"))
 
 
+def one_file(spark: SparkSession, root: str, path: str) -> DataFrame:
+    """(path, size, content binary) of one file; no row for a path that leaves the root, or is no file."""
+    inside = bool(path) and not path.startswith("/") and ".." not in path.split("/")
+    return directory(spark, root, ignored=()).where((F.col("path") == path) & F.lit(inside))
+
+
 def texts(files: DataFrame) -> DataFrame:
     """(path, content) of files whose bytes are UTF-8."""
     return files.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("content")).where("content is not null")
@@ -72,6 +78,14 @@ def graph_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges.select("graph_path", "ord", "e.id", "e.kind", F.col("e.from.node").alias("src"), F.col("e.to.node").alias("dst"), F.col("e.to.function").alias("function"))
 
 
+def graph_errors(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """(path, error) of the asked paths that are no graph: no such file, not YAML, or of another kind."""
+    met = asked.select("path").join(docs.withColumn("there", F.lit(True)), "path", "left")
+    kind = F.get_json_object("document", "$.kind")
+    error = F.when(F.col("there").isNull(), "no such file").when(F.col("document").isNull(), "not YAML").when(~F.coalesce(kind == "Graph", F.lit(False)), "no graph")
+    return met.select("path", error.alias("error")).where("error is not null")
+
+
 #: The shapes of composition and agent documents.
 COMPOSITION = "kind string, spec struct<nodes: array<struct<id: string, type: string, boundary: string, client: string, path: string, dev: string, exposes: array<string>, invocation: map<string, string>, calls: array<string>, impl: struct<graph: string, entrypoint: string>>>, edges: array<struct<id: string, kind: string, from: struct<node: string>, to: struct<node: string>>>>"
 AGENT = "kind string, metadata struct<id: string, name: string>, spec struct<model: string, promptFile: string, maxTurns: int>"

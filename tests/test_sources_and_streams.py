@@ -20,6 +20,9 @@ def test_directory_and_documents(spark, tmp_path):
     texts = files.texts(found)
     assert sorted(r.path for r in texts.collect()) == ["bad.yaml", "graphs/g.yaml"]
     docs = files.documents(texts)
+    asked = files.in_memory(spark, {"graphs/g.yaml": "", "bad.yaml": "", "none.yaml": ""})
+    assert sorted(map(tuple, files.graph_errors(docs, asked).collect())) == [("bad.yaml", "not YAML"), ("none.yaml", "no such file")]
+    assert [files.one_file(spark, str(tmp_path), p).count() for p in ("bad.yaml", "../bad.yaml", "graphs", "x")] == [1, 0, 0, 0]
     assert {r.path: r.document is None for r in docs.collect()} == {"bad.yaml": True, "graphs/g.yaml": False}
     nodes, edges = files.graph_tables(docs)
     assert [(r.id, r.type) for r in nodes.orderBy("ord").collect()] == [("a", "io"), ("b", "code")]
@@ -63,6 +66,12 @@ def test_stream_states_and_late_events(spark, tmp_path):
     assert judged == {0: True, 1: True, 2: True, 3: True, 4: False}
 
 
+def test_events_are_appended(spark, tmp_path):
+    for seq in (0, 1):
+        files.write_events(spark.createDataFrame(rows((1, seq, "run.started", None, 0)), live.LOG), str(tmp_path / "log"))
+    assert sorted(r.seq for r in live.read_log(spark, str(tmp_path / "log")).sparkSession.read.parquet(str(tmp_path / "log")).collect()) == [0, 1]
+
+
 def test_appends_are_numbered_once(spark, tmp_path):
     sink = live.append_numbered(str(tmp_path / "numbered"))
     batch = spark.createDataFrame(rows((1, 0, "run.started", None, 0), (1, 0, "node.started", "a", 1)), live.LOG).drop("seq")
