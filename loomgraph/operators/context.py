@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Code by its extension.
-CODE = r"\.(py|ts|tsx|js|jsx|mjs)$"
+CODE = r"\.(py|tsx?|js)$"
 MOST_FILES, MOST_BYTES = 60, 200 * 1024
 
 
