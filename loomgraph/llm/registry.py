@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import chat_format, crc_resampling, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, pivot_search, simhash, substring_dedup, toxicity, warc
+from loomgraph.llm import chat_format, crc_resampling, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, phrases, pivot_search, simhash, substring_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,6 +68,10 @@ def op12_crc_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -75,7 +79,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_decontamination, op3_html_extract, op4_embedding_dedup, op5_simhash, op6_substring_dedup, op7_chat_format, op8_mixing, op9_warc, op10_toxicity, op11_pivot_top_k, op12_crc_resampling, pipeline]
+    own = [op1_line_dedup, op2_decontamination, op3_html_extract, op4_embedding_dedup, op5_simhash, op6_substring_dedup, op7_chat_format, op8_mixing, op9_warc, op10_toxicity, op11_pivot_top_k, op12_crc_resampling, op13_collocations, pipeline]
     return {q.__name__: q for q in own}
 
 
@@ -124,4 +128,4 @@ SELECT page_id, payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id =
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL, "op8_mixing": mixing.mixture_sql(), "op11_pivot_top_k": pivot_search.top_k_sql(), "op12_crc_resampling": crc_resampling.resample_sql()}
+    return {"op2_decontamination": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op6_substring_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op9_warc": OP9_SQL, "op8_mixing": mixing.mixture_sql(), "op11_pivot_top_k": pivot_search.top_k_sql(), "op12_crc_resampling": crc_resampling.resample_sql(), "op13_collocations": phrases.collocations_sql()}
