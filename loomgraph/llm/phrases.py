@@ -35,9 +35,9 @@ TOP = 2000
 SCALE = 2_000_000
 NO_LANG = "und"
 #: Distinct words of runs in one automaton, some 500 bytes each.
-SHARD_WORDS = 150_000
+SHARD_WORDS = 100_000
 #: Words of text and distinct words that a task gathers before it works them off.
-BATCH_WORDS, VOCABULARY = 1_500_000, 400_000
+BATCH_WORDS, VOCABULARY = 1_000_000, 250_000
 #: Bits of the array of frequent hashes: so many for each, within bounds (16 MB).
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 27
 #: Bits of the array that one row holds.

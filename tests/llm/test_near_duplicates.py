@@ -186,7 +186,7 @@ def test_similar_texts_are_found(spark, most):
 
 
 def test_similar_texts_in_one_large_group(spark):
-    """A crowd of near copies, over ALL_PAIRS at each anchor, and as many texts that share half of their words."""
+    """A crowd of near copies, and as many texts that share half of their words."""
     rng = random.Random(16)
     base, half = words(rng, 150, 10**6), words(rng, 60, 10**6)
     rows = [(i, edited(rng, base, 2)) for i in range(150)] + [(200 + i, f"{half} {words(rng, 60, 10**6)}") for i in range(150)]
@@ -197,14 +197,74 @@ def test_similar_texts_in_one_large_group(spark):
     assert sum(got[i] == truth[i] for i in truth) >= 0.99 * len(truth) and len(set(got.values())) <= 153
 
 
-def test_proposals_are_linear_and_reach_every_group():
+def family(rng, n, length, vocabulary=10**6):
+    """Texts about one base, by numbers of changed words that put pairs at similarities of 0.7 to 0.9."""
+    base = words(rng, length, vocabulary)
+    most = max(1, length // 50)
+    return [edited(rng, base, rng.randrange(1, most + 1)) for _ in range(n)]
+
+
+def recall(links, got):
+    return sum(got[i] == got[j] for i, j in links) / len(links)
+
+
+def test_families_keep_all_their_links(spark):
+    """Ten families of 60 with 4 to 8 changed words in 300: few pairs have the similarity, and those must be found."""
+    rng = random.Random(26)
+    texts = []
+    for _ in range(10):
+        base = words(rng, 300, 10**6)
+        texts += [edited(rng, base, rng.randrange(4, 9)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    links = plain_similar(rows)
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_texts(spark.createDataFrame(rows, DOC)).collect()}
+    assert len(links) > 30 and recall(links, got) >= 0.98
+    assert got == groups(range(len(rows)), [(i, j) for i, j in links if got[i] == got[j]])
+
+
+def test_a_family_of_five_thousand(spark, monkeypatch):
+    """More texts than a block and than an anchor's task holds, at similarities of 0.7 to 0.9."""
+    monkeypatch.setattr(simhash_similar, "MOST_AT_ANCHOR", 700)
+    rng = random.Random(27)
+    texts = [t for k in range(5) for t in family(rng, 1000, 200 + 20 * k)]
+    rows = list(enumerate(texts))
+    sets = [np.unique(simhash_similar.shingle_set(t.encode()).astype(np.uint32)) for t in texts]
+    links = []
+    for k in range(5):
+        own = sets[1000 * k : 1000 * (k + 1)]
+        column = {x: c for c, x in enumerate(np.unique(np.concatenate(own)).tolist())}
+        hit = np.zeros((1000, len(column)), np.float32)
+        for i, x in enumerate(own):
+            hit[i, [column[y] for y in x.tolist()]] = 1
+        both, size = hit @ hit.T, hit.sum(axis=1)
+        share = both / (size[:, None] + size - both)
+        assert 0.6 < np.quantile(share, 0.05) and np.quantile(share, 0.95) < 0.95
+        links += [(1000 * k + i, 1000 * k + j) for i, j in zip(*np.nonzero(np.triu(share >= 0.8, 1)), strict=True)]
+    got = {r.doc_id: r.component_id for r in simhash_similar.similar_texts(spark.createDataFrame(rows, DOC), most_at_anchor=700).collect()}
+    assert len(links) > 1000 and recall(links, got) >= 0.98
+    assert got == groups(range(len(rows)), [(i, j) for i, j in links if got[i] == got[j]])
+
+
+def test_ties_and_links_are_forests_of_all_pairs():
     rng = np.random.default_rng(17)
     sim = np.repeat(rng.integers(0, 2**64, 20, dtype=np.uint64), 30) ^ (np.uint64(1) << rng.integers(0, 64, 600).astype(np.uint64))
-    a, b = simhash_similar.proposals(sim, np.full(600, 100))
-    assert len(a) < 5 * 600
+    a, b = simhash_similar.ties(sim, np.full(600, 100), np.zeros(600, int))
+    assert len(a) == 580
     assert len(set(groups(range(600), zip(a.tolist(), b.tolist(), strict=True)).values())) == 20
-    a, b = simhash_similar.proposals(sim[:8], np.repeat([100, 200], 4))
+    a, b = simhash_similar.ties(sim[:8], np.repeat([100, 200], 4), np.zeros(8, int))
     assert ((a < 4) == (b < 4)).all()
+    a, b = simhash_similar.ties(sim[:30], np.full(30, 100), np.repeat([1, 2], 15))
+    assert len(set(groups(range(30), zip(a.tolist(), b.tolist(), strict=True)).values())) == 1
+    sets = [np.unique(rng.integers(0, 60, 50)) for _ in range(40)] + [np.empty(0, int), np.empty(0, int)]
+    for side in (np.zeros(42, int), np.arange(42) % 2 + 1):
+        wanted = []
+        for i, x in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(x, sets[j]))
+                if both >= 0.5 * (len(x) + len(sets[j]) - both) and (not side.any() or side[i] != side[j]):
+                    wanted.append((j, i))
+        a, b = simhash_similar.links_of(sets, side, 0.5)
+        assert groups(range(42), zip(a.tolist(), b.tolist(), strict=True)) == groups(range(42), wanted)
 
 
 def test_similar_texts_ties_nulls_and_empty(spark):
@@ -314,27 +374,70 @@ def line_rows(seed):
     return rows
 
 
-def plain_lines(rows, least=5):
-    """For each row: the lines that stand in a run of `least` words that an earlier document has too; by comparing every pair."""
+def plain_runs(units, least):
+    """Of a text's lines as words: from each and up to each line the shortest run that has `least` words, as (line, end)."""
+    runs = set()
+    for i in range(len(units)):
+        up = next((j for j in range(i + 1, len(units) + 1) if sum(map(len, units[i:j])) >= least), None)
+        down = next((h for h in range(i, -1, -1) if sum(map(len, units[h : i + 1])) >= least), None)
+        runs |= ({(i, up)} if up else set()) | ({(down, i + 1)} if down is not None else set())
+    return sorted(runs) or ([(0, len(units))] if units else [])
+
+
+def plain_patience(a, b):
+    """Aligned index pairs: heads and tails, then by recursion between the longest ascending ways of what is unique in both;
+    of such ways the one whose last, last but one... element stands first in b."""
+    if not a or not b:
+        return set()
+    if a[0] == b[0]:
+        return {(0, 0)} | {(i + 1, j + 1) for i, j in plain_patience(a[1:], b[1:])}
+    if a[-1] == b[-1]:
+        return {(len(a) - 1, len(b) - 1)} | plain_patience(a[:-1], b[:-1])
+    once = [(i, b.index(x)) for i, x in enumerate(a) if a.count(x) == 1 and b.count(x) == 1]
+    if not once:
+        return set()
+    far = []
+    for k, (_, j) in enumerate(once):
+        far.append(1 + max((far[m] for m in range(k) if once[m][1] < j), default=0))
+    at = min((k for k in range(len(once)) if far[k] == max(far)), key=lambda k: once[k][1])
+    way = [once[at]]
+    while far[at] > 1:
+        at = min((m for m in range(at) if far[m] == far[at] - 1), key=lambda m: once[m][1])
+        way.insert(0, once[at])
+    out, (i0, j0) = set(way), (0, 0)
+    for i, j in [*way, (len(a), len(b))]:
+        out |= {(i0 + x, j0 + y) for x, y in plain_patience(a[i0:i], b[j0:j])}
+        i0, j0 = i + 1, j + 1
+    return out
+
+
+def plain_lines(rows, least=5, holders=line_dedup.HOLDERS):
+    """For each row its report; by a patience diff with every earlier document that is one of the first `holders` to have one of its seeds."""
     docs = sorted({((i is None, i or 0), xxhash.xxh64_intdigest((t or "").encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest((t or "").encode(), 42) >> 63), t or "") for i, t in rows})
+    first, known, by_seed = {}, [], {}
     gone = {}
-    for k, (i, _, t) in enumerate(docs):
-        mine = [(n, x.split()) for n, x in enumerate(t.split("\n")) if x.strip()]
+    for i, _, t in docs:
+        lines = [(n, x.split()) for n, x in enumerate(t.split("\n")) if x.strip()]
+        units = [w for _, w in lines]
+        text = tuple(map(tuple, units))
+        runs = plain_runs(units, least)
+        whole = sum(map(len, units)) < least
+        seeds = [("whole", text) if whole else text[s:e] for s, e in runs]
         out = set()
-        for _, _, other in docs[:k]:
-            theirs = [x.split() for x in other.split("\n") if x.strip()]
-            if sum(len(w) for _, w in mine) < least:
-                if mine and [w for _, w in mine] == theirs:
-                    out |= set(range(len(mine)))
-                continue
-            for a in range(len(mine)):
-                for b in range(len(theirs)):
-                    n = 0
-                    while a + n < len(mine) and b + n < len(theirs) and mine[a + n][1] == theirs[b + n]:
-                        n += 1
-                    if sum(len(w) for w in theirs[b : b + n]) >= least:
-                        out |= set(range(a, a + n))
-        starts = [0] + [n for n, _ in mine[1:]] + [len(t.split("\n"))]
+        if text and text in first:
+            out = set(range(len(units)))
+        elif text:
+            first[text] = i
+            for other in sorted({k for s in seeds for k in by_seed.get(s, [])[:holders]}):
+                theirs = known[other]
+                both = set(seeds) & set(theirs)
+                where = [n for n, s in enumerate(seeds) if s in both]
+                for _, j in plain_patience([s for s in theirs if s in both], [seeds[n] for n in where]):
+                    out |= set(range(*runs[where[j]]))
+            for s in set(seeds):
+                by_seed.setdefault(s, []).append(len(known))
+            known.append(seeds)
+        starts = [0] + [n for n, _ in lines[1:]] + [len(t.split("\n"))]
         gone[i, t] = {n for m in out for n in range(starts[m], starts[m + 1])}
     report = []
     for i, t in rows:
@@ -352,14 +455,23 @@ def short_line_rows(seed):
     return [(i, "\n".join(rng.choice([rng.choice(blocks), words(rng, rng.choice([1, 2, 6]), 200), ""]) for _ in range(rng.randrange(0, 8)))) for i in range(70)]
 
 
+@pytest.mark.parametrize("holders", [line_dedup.HOLDERS, 1, 1000])
 @pytest.mark.parametrize("rows", [line_rows(8), line_rows(12), short_line_rows(13), short_line_rows(14)])
-def test_line_dedup_matches_brute_force(spark, rows):
+def test_line_dedup_matches_brute_force(spark, rows, holders):
+    """1000 holders are all: every earlier document with a common line is aligned."""
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string").repartition(4)
-    got = sorted(tuple(r) for r in line_dedup.line_dedup_report(frame).collect())
-    assert got == sorted(plain_lines(rows))
+    got = sorted(tuple(r) for r in line_dedup.line_dedup_report(frame, holders=holders).collect())
+    assert got == sorted(plain_lines(rows, holders=holders))
     assert sum(r[2] for r in got) > 30
 
 
+def test_blocks_rest_on_the_alignment(monkeypatch):
+    seeds = [([0, 1], [2, 3]), ([1, 2], [1, 2]), ([2, 3], [0, 1])]
+    assert len(line_dedup.aligned_blocks(seeds)) == 1
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.aligned_blocks(seeds) == []
+
+
 def texts_left(spark, rows):
     return {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOC)).collect()}
 
@@ -378,19 +490,26 @@ def test_line_dedup_finds_blocks_in_any_order_and_document(spark):
     """Blocks whose first holder has them in another order than the later document."""
     own = "a line that only the last document has"
     left = texts_left(spark, [(1, f"{P}\n{Q}"), (2, f"{Q}\n{P}"), (3, f"{Q}\n{P}\n{own}")])
-    assert left == {1: f"{P}\n{Q}", 2: "", 3: own}
+    assert left == {1: f"{P}\n{Q}", 2: Q, 3: own}
     one, two = P.split("\n")[:2]
     left = texts_left(spark, [(1, f"{one}\n{two}\na"), (2, f"{two}\n{one}\nb"), (3, f"{two}\n{one}\nc")])
-    assert left == {1: f"{one}\n{two}\na", 2: "b", 3: "c"}
+    assert left == {1: f"{one}\n{two}\na", 2: f"{one}\nb", 3: "c"}
+
+
+def test_line_dedup_keeps_what_stands_in_another_order(spark):
+    a, b, c = (f"the {x} line of three in one document" for x in ("first", "second", "third"))
+    left = texts_left(spark, [(1, f"{a}\n{b}\n{c}"), (2, f"{c}\n{b}\n{a}")])
+    assert left[1] == f"{a}\n{b}\n{c}" and len(left[2].split("\n")) == 2
+    left = texts_left(spark, [(1, f"{a}\n{b}\n{c}"), (2, f"{c}\n{b}\n{a}"), (3, f"an own line before all the others\n{c}\n{b}\n{a}"), (4, f"{c}\n{b}\n{a}")])
+    assert left[3] == "an own line before all the others" and left[4] == ""
 
 
 @pytest.mark.parametrize("holders", [2, 100, 101, 300])
 def test_line_dedup_rule_is_the_same_at_every_count_of_holders(spark, holders):
     passage = "the licence line that all of these have\nshort end\n\nthe second line that all of these have"
-    turned = "\n".join(reversed(passage.split("\n")))
-    rows = [(i, f"own opening line of document number {i}\n{passage}") for i in range(holders)] + [(900, f"{turned}\n9")]
+    rows = [(i, f"own opening line of document number {i}\n{passage}") for i in range(holders)] + [(900, f"{passage}\n9")]
     got = texts_left(spark, rows)
-    assert got.pop(0) == rows[0][1] and got.pop(900) == "short end\n9"
+    assert got.pop(0) == rows[0][1] and got.pop(900) == "9"
     assert got == {i: f"own opening line of document number {i}" for i in range(1, holders)}
 
 
@@ -412,8 +531,11 @@ def test_line_dedup_keeps_columns_nulls_and_repeated_rows(spark):
 
 
 def test_aligned_blocks():
-    seeds = [(0, 1, 0, 1), (1, 2, 1, 2), (2, 3, 5, 6), (3, 4, 3, 4), (4, 5, 4, 5), (9, 10, 0, 1)]
-    assert line_dedup.aligned_blocks(seeds) == [(0, 2, 0, 2, False), (2, 3, 5, 6, True), (3, 5, 3, 5, False), (9, 10, 0, 1, True)]
+    later = [(0, 1, "a"), (1, 2, "b"), (2, 3, "m"), (3, 4, "c"), (4, 5, "d"), (9, 10, "a")]
+    first = [(0, 1, "a"), (1, 2, "b"), (3, 4, "c"), (4, 5, "d"), (5, 6, "m")]
+    flat = lambda rows, x: [p for s, e, y in rows if x == y for p in (s, e)]
+    shared = [(flat(later, x), flat(first, x)) for x in "abcdm"]
+    assert line_dedup.aligned_blocks(shared) == [(0, 2, 0, 2), (3, 5, 3, 5)]
 
 
 @pytest.mark.parametrize(("a", "b", "wanted"), [
