@@ -1,12 +1,14 @@
-"""SimHash near-duplicates of a Jaccard similarity: anchor-point covering, then exact verification.
+"""SimHash near-duplicates of a Jaccard similarity: anchor-point covering, then exact comparison.
 
 Texts of Jaccard similarity 0.8 differ in 0.15 of a plain SimHash's bits, far more than a covering of
 moderate radius reaches.  So a text gets BLOCKS further fingerprints of 32 bits, each the SimHash of
 SAMPLE of its shingles, those of the least hashes under the block's own seed: two texts sample alike with
 a probability of about similarity ** SAMPLE, and then their bits are equal.  Of a block, the codewords of
 the Hamming (31, 26) code with the 32nd bit are the anchors; a fingerprint goes to the anchor that covers
-it.  At an anchor, texts whose sizes allow the similarity are compared by their plain 64-bit SimHash and
-proposed to one another; every proposed pair is verified on its whole shingle sets before it links.
+it.  At an anchor, all texts are compared by size and by their plain 64-bit SimHash, and those that may be
+similar are tied together; only a spanning forest of the ties leaves the task.  What ties connect is a
+family, and in a family all pairs are compared on their whole shingle sets, by matrix products, block by
+block.  Anchors and families of any size are dealt to pairs of blocks, so that every pair meets once.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_batches, components, text_hash, written
+from loomgraph.llm.common import bounded_batches, components, join_labels, text_hash, written
 from loomgraph.llm.simhash import covering_anchor, only_rows, row_rank, words_of
 
 SHINGLE = 5
@@ -28,12 +30,12 @@ BLOCKS = 12
 SAMPLE = 5
 #: Bits of 64 in which the plain fingerprints of a proposed pair differ at most: at similarity 0.8 the mean is 9.7, the deviation 2.9.
 MOST_BITS = 20
-#: Up to so many texts of one anchor are all proposed to one another; of more, each to its NEAREST and along a spanning forest.
-ALL_PAIRS = 8
-NEAREST = 4
-#: An anchor with more texts is split by the anchors of other blocks.
+#: Texts at an anchor that one task compares; of more, each pair of blocks is a task's work.
 MOST_AT_ANCHOR = 20_000
-SPLITS = 4
+#: Texts, and bytes of shingle sets, in one block of a family.
+FAMILY_BLOCK, FAMILY_BYTES = 1024, 8 << 20
+#: Columns of the matrix products at a time.
+COLUMNS = 2048
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BLOCKS, dtype=np.uint64)
 
 
@@ -88,75 +90,42 @@ def _prints(shingle: int) -> object:
     return run
 
 
-def proposals(sim: np.ndarray, n: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j) of an anchor's texts that are worth verifying, linear in their number."""
-    size = len(sim)
-
-    def distances(rows: np.ndarray) -> np.ndarray:
-        d = np.bitwise_count(sim[rows, None] ^ sim[None, :])
-        small, large = np.minimum(n[rows, None], n[None, :]), np.maximum(n[rows, None], n[None, :])
-        d[(small < least * large) | (d > MOST_BITS)] = 255
-        d[np.arange(len(rows)), rows] = 255
-        return d
-
-    every = np.arange(size)
-    if size <= ALL_PAIRS:
-        return np.nonzero(np.triu(distances(every) < 255, 1))
-    a, b = [], []
-    step = max(1, 2_000_000 // size)
-    labels, first = np.arange(size), True
-    while True:
-        near, away = np.zeros(size, np.int64), np.full(size, 255)
-        for at in range(0, size, step):
-            rows = every[at : at + step]
-            d = distances(rows)
-            if first:
-                for _ in range(NEAREST):
-                    j = d.argmin(axis=1)
-                    ok = d[np.arange(len(rows)), j] < 255
-                    a.append(rows[ok])
-                    b.append(j[ok])
-                    d[np.arange(len(rows)), j] = 255
-                d = distances(rows)
-            d[labels[rows, None] == labels[None, :]] = 255
-            near[rows] = d.argmin(axis=1)
-            away[rows] = d[np.arange(len(rows)), near[rows]]
-        first = False
-        # Of each tree the nearest text of another one: a round of the spanning forest.
-        order = np.lexsort((away, labels))
-        lead = order[np.concatenate(([True], np.diff(labels[order]) != 0))]
-        lead = lead[away[lead] < 255]
-        if not len(lead):
-            break
-        a.append(lead)
-        b.append(near[lead])
-        for i, j in zip(lead.tolist(), near[lead].tolist(), strict=True):
-            x, y = sorted((labels[i], labels[j]))
-            if x != y:
-                labels[labels == y] = x
-    pairs = np.unique(np.sort(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=1), axis=0)
-    return pairs[:, 0], pairs[:, 1]
-
-
-def _propose(least: float) -> object:
-    """Rows sorted by anchor to proposed pairs of nodes."""
+def ties(sim: np.ndarray, n: np.ndarray, side: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (i, j) of an anchor's texts that may be similar.
+
+    side: 0 where all texts are compared with all; else those of side 1 are compared with those of side 2.
+    """
+    rows, cols = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(sim)),) * 2
+    labels = np.arange(len(sim))
+    step = max(1, 2_000_000 // max(1, len(cols)))
+    for at in range(0, len(rows), step):
+        own = rows[at : at + step]
+        small, large = np.minimum(n[own, None], n[cols]), np.maximum(n[own, None], n[cols])
+        near = (np.bitwise_count(sim[own, None] ^ sim[cols]) <= MOST_BITS) & (small >= least * large)
+        i, j = np.nonzero(near)
+        join_labels(labels, own[i], cols[j])
+    away = np.flatnonzero(labels != np.arange(len(sim)))
+    return labels[away], away
+
+
+def _tied(least: float) -> object:
+    """Rows sorted by anchor to ties of nodes."""
 
     def pairs(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        anchor, node, sim, n = (np.concatenate(x) for x in zip(*rows, strict=True))
+        anchor, side, node, sim, n = (np.concatenate(x) for x in zip(*rows, strict=True))
         cuts = np.flatnonzero(np.diff(anchor)) + 1
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for s, e in zip(np.concatenate(([0], cuts)).tolist(), np.concatenate((cuts, [len(anchor)])).tolist(), strict=True):
             if e - s > 1:
-                i, j = proposals(sim[s:e].view(np.uint64), n[s:e], least)
+                i, j = ties(sim[s:e].view(np.uint64), n[s:e], side[s:e], least)
                 a.append(node[s:e][i])
                 b.append(node[s:e][j])
-        x, y = np.concatenate(a), np.concatenate(b)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
-            rows = tuple(batch.column(c).to_numpy() for c in ("anchor", "node", "sim", "n"))
+            rows = tuple(batch.column(c).to_numpy() for c in ("anchor", "side", "node", "sim", "n"))
             if not len(batch):
                 continue
             last = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
@@ -173,15 +142,25 @@ def _propose(least: float) -> object:
     return run
 
 
+def in_block_pairs(rows: DataFrame, blocks: str, node: str = "node") -> DataFrame:
+    """rows with i, j and side: a key's rows dealt to `blocks` blocks, once for each pair of blocks they are in.
+
+    side is 0 for a block with itself, else 1 for rows of the pair's first block and 2 for those of its second.
+    """
+    part = rows.withColumn("part", F.pmod(F.xxhash64(node), F.col(blocks)))
+    met = part.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1)))
+    side = F.when(F.col("part") == F.col("other"), 0).when(F.col("part") < F.col("other"), 1).otherwise(2)
+    return met.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other"), "side": side}).drop("part", "other", blocks)
+
+
 def _spread(nodes: DataFrame, most: int) -> DataFrame:
-    """(anchor, node, sim, n); an anchor with over `most` nodes is split by SPLITS other blocks' anchors."""
-    every = nodes.select("node", "sim", "n", "anchors", F.posexplode("anchors").alias("block", "at")).withColumn("anchor", F.xxhash64("block", "at"))
-    every = written(every.select("anchor", "node", "sim", "n", "block"), "anchors")
-    crowded = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("anchor"), "crowded-anchors")
-    plain = every.join(crowded, "anchor", "left_anti").select("anchor", "node", "sim", "n")
-    met = every.join(crowded, "anchor").join(nodes.select("node", "anchors"), "node")
-    others = F.transform(F.sequence(F.lit(1), F.lit(SPLITS)), lambda k: F.xxhash64("anchor", k, F.get("anchors", (F.col("block") + k) % BLOCKS)))
-    return plain.unionByName(met.select(F.explode(others).alias("anchor"), "node", "sim", "n"))
+    """(anchor, side, node, sim, n); an anchor with over `most` nodes becomes one for each pair of its blocks."""
+    every = nodes.select("node", "sim", "n", F.posexplode("anchors").alias("block", "at")).withColumn("anchor", F.xxhash64("block", "at"))
+    every = written(every.select("anchor", "node", "sim", "n"), "anchors")
+    crowded = written(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select("anchor", F.ceil(F.col("c") / most).alias("blocks")), "crowded-anchors")
+    plain = every.join(crowded, "anchor", "left_anti").select("anchor", F.lit(0).alias("side"), "node", "sim", "n")
+    met = in_block_pairs(every.join(crowded, "anchor"), "blocks")
+    return plain.unionByName(met.select(F.xxhash64("anchor", "i", "j").alias("anchor"), "side", "node", "sim", "n"))
 
 
 def _sets(shingle: int) -> object:
@@ -190,23 +169,61 @@ def _sets(shingle: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed = [np.unique(shingle_set(t.as_py(), shingle).astype(np.uint32)).tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "grams"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("root"), pa.array(packed, pa.binary())], names=["node", "root", "grams"])
 
     return run
 
 
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    """Of two sorted sets; of two empty ones 1."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
+def links_of(sets: list[np.ndarray], side: np.ndarray, least: float = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """A spanning forest of the pairs (i, j) of shingle sets with the similarity; two empty sets have it.
 
+    Sides are those of ties().  Common shingles are counted by products of 0-1 matrices, COLUMNS shingles at a time.
+    """
+    rows, cols = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(sets)),) * 2
+    size = np.array([len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), size)
+    common = times[column] > 1
+    owner, column = owner[common], (np.cumsum(times > 1) - 1)[column[common]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(rows), len(cols)))
+    width = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, width, COLUMNS):
+        s, e = np.searchsorted(column, [at, at + COLUMNS])
+        hit = np.zeros((len(sets), min(COLUMNS, width - at)), np.float32)
+        hit[owner[s:e], column[s:e] - at] = 1
+        both += hit[rows] @ hit[cols].T
+    i, j = np.nonzero(both >= least * (size[rows, None] + size[cols] - both))
+    labels = np.arange(len(sets))
+    join_labels(labels, rows[i], cols[j])
+    away = np.flatnonzero(labels != np.arange(len(sets)))
+    return labels[away], away
+
+
+def _linked(least: float) -> object:
+    """Rows sorted by (root, i, j) to the links of each such group."""
+
+    def links(rows: list[tuple]) -> tuple[list[int], list[int]]:
+        a, b = links_of([np.frombuffer(r[1], np.uint32) for r in rows], np.array([r[2] for r in rows]), least)
+        return [rows[k][0] for k in a.tolist()], [rows[k][0] for k in b.tolist()]
 
-def _verified(least: float) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, waiting = None, []
         for batch in batches:
-            sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            ok = [jaccard(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) >= least for x, y in sets]
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            a, b = [], []
+            for root, i, j, *row in zip(*[batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "grams", "side")], strict=True):
+                if (root, i, j) != key and waiting:
+                    x, y = links(waiting)
+                    a += x
+                    b += y
+                    waiting = []
+                key = (root, i, j)
+                waiting.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        if waiting:
+            a, b = links(waiting)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -222,12 +239,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "texts")
 
     at_anchors = _spread(nodes, most_at_anchor).repartition("anchor").sortWithinPartitions("anchor", "node")
-    asked = written(at_anchors.mapInArrow(_propose(least), "a bigint, b bigint").distinct(), "proposals")
-    wanted = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node").select("node", F.col("low.id").alias("wid"), F.col("low.h").alias("wh"))
-    found = given.select("id", "h", "text").join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).select("node", "text")
-    sets = written(found.mapInArrow(_sets(shingle), "node bigint, grams binary").groupBy("node").agg(F.min("grams").alias("grams")), "shingle-sets")
-    left, right = (sets.select(F.col("node").alias(end), F.col("grams").alias(g)) for end, g in (("a", "x"), ("b", "y")))
-    links = asked.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_verified(least), "a bigint, b bigint")
+    tied = components(at_anchors.mapInArrow(_tied(least), "a bigint, b bigint"))
+    families = tied.unionByName(tied.select(F.col("root").alias("node"), "root").distinct())
+    wanted = families.join(nodes.select("node", "low"), "node").select("node", "root", F.col("low.id").alias("wid"), F.col("low.h").alias("wh"))
+    found = given.select("id", "h", "text").join(wanted, F.col("id").eqNullSafe(F.col("wid")) & (F.col("h") == F.col("wh"))).select("node", "root", "text")
+    sets = written(found.mapInArrow(_sets(shingle), "node bigint, root bigint, grams binary").groupBy("node", "root").agg(F.min("grams").alias("grams")), "shingle-sets")
+    sizes = sets.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / FAMILY_BLOCK, F.sum(F.octet_length("grams")) / FAMILY_BYTES, F.lit(1.0))).alias("blocks"))
+    meeting = in_block_pairs(sets.join(sizes, "root"), "blocks").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node")
+    links = meeting.select("root", "i", "j", "node", "grams", "side").mapInArrow(_linked(least), "a bigint, b bigint")
     grouped = nodes.join(components(links), "node", "left").select("m", "low", F.coalesce("root", "node").alias("root"))
     grouped = written(grouped, "groups")
     lows = grouped.groupBy("root").agg(F.min("low").alias("first"))
