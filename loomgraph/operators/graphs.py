@@ -1,37 +1,40 @@
 """Graph tables: nodes (id, ...) and edges (id, kind, src, dst, ...), as joins and walks.
 
-Walks are rounds of joins while what is left of the graph is large, and end in one task, by a linear walk,
-once it has at most SMALL edges.  Either way gives the same rows, at any depth; only the cost differs.
+Walks are rounds of joins over the whole table.  What has one predecessor follows from it, so such nodes
+jump to the predecessor's predecessor, then twice as far, and so on: trees, chains and rings of any length
+take as many rounds as their length has binary digits.  Only where several ways meet again and again, one
+behind the other, does each such meeting cost a round.  Every round cuts the lineage.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from collections.abc import Callable, Hashable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.sources.shared import checkpointed as _kept
+from loomgraph.sources.shared import stored as _kept
 
-#: Edges that one task may hold (some 200 bytes each).
-SMALL = 1_000_000
 
-
-def _is_small(*frames: DataFrame) -> bool:
-    return all(f.limit(SMALL + 1).count() <= SMALL for f in frames)
-
-
-def _in_one_task(rows: DataFrame, solve: Callable[[list[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
-    """All of a small table's rows to solve's rows."""
-    names, rows_in = [part.split()[0] for part in schema.split(", ")], rows.columns
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        plain = part[rows_in].astype(object).itertuples(index=False, name=None)
-        return pd.DataFrame(list(solve(list(plain))), columns=names)
-
-    return rows.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(run, schema)
+def _jumped(up: DataFrame) -> DataFrame:
+    """up (id, to, w, c) of nodes with one predecessor, as max(c, x + w) of its x, to the same with the last
+    predecessor that has none itself in up.  Nodes on a ring of such, or behind it, are left out.
+    """
+    now, size, reach, open_ = _kept(up), None, 1, True
+    while open_:
+        size = now.count() if size is None else size
+        above = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("w").alias("more"), F.col("c").alias("above"))
+        met = now.join(above, "to", "left")
+        far = F.col("next").isNotNull()
+        now = _kept(met.select("id", F.when(far, F.col("next")).otherwise(F.col("to")).alias("to"), (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.greatest("c", F.col("above") + F.col("w")).alias("c"), far.alias("moved")))
+        reach *= 2
+        open_ = not now.where("moved").isEmpty()
+        now = now.drop("moved")
+        if open_ and reach > size:
+            return now.join(now.select(F.col("id").alias("to")), "to", "left_anti").select("id", "to", "w", "c")
+    return now
 
 
 def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -41,87 +44,69 @@ def in_degree(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth): the longest way from a node without incoming edge; nodes on or behind a cycle are absent."""
-    kind = nodes.schema["id"].dataType.simpleString()
-    left = _kept(edges.select("src", "dst"))
-    front = _kept(nodes.select("id").join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("depth")))
-    out, level = front, 0
-    while not _is_small(left):
-        level += 1
-        gone = front.select(F.col("id").alias("src"))
-        touched = left.join(gone, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        left = _kept(left.join(gone, "src", "left_anti"))
-        front = _kept(touched.join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth")))
-        if front.isEmpty():
-            return out
-        out = out.unionByName(front)
-
-    def rest(rows: list[tuple]) -> Iterable[tuple]:
-        """What has no source here, and is a node, was placed in the last round."""
-        after, open_ = _links([r[:2] for r in rows]), defaultdict(int)
-        for _, dst, _ in rows:
-            open_[dst] += 1
-        ready = deque((src, level) for src in {src for src, _, known in rows if known} if not open_[src])
-        while ready:
-            node, depth = ready.popleft()
-            for n in after[node]:
-                open_[n] -= 1
-                if not open_[n]:  # the last source is the deepest: the queue is in order of depth
-                    ready.append((n, depth + 1))
-                    yield n, depth + 1
-
-    marked = left.join(nodes.select(F.col("id").alias("src"), F.lit(True).alias("known")).distinct(), "src", "left").select("src", "dst", F.coalesce("known", F.lit(False)).alias("known"))
-    return out.unionByName(_in_one_task(marked, rest, f"id {kind}, depth bigint"))
-
-
-def _links(rows: list[tuple]) -> dict[Hashable, list]:
-    after: dict[Hashable, list] = defaultdict(list)
-    for src, dst in rows:
-        after[src].append(dst)
-    return after
+    """(id, depth): the longest way from a node without incoming edge; nodes on or behind a cycle are absent.
+
+    A round takes the nodes with one open predecessor to where their ways begin, then settles the nodes
+    whose predecessors are all settled.  What is settled counts in the others as a least depth c.
+    """
+    left = _kept(edges.select("src", "dst").distinct().withColumns({"w": F.lit(1).cast("bigint"), "c": F.lit(None).cast("bigint")}))
+    done = _kept(nodes.select("id").distinct().join(left.select(F.col("dst").alias("id")), "id", "left_anti").select("id", F.lit(0).cast("bigint").alias("depth")))
+    waiting: DataFrame | None = None
+    while not left.isEmpty():
+        size = left.count()
+        # What comes from settled nodes is a least depth; a row without src holds it where nothing else is open.
+        known = left.join(done.withColumnsRenamed({"id": "src", "depth": "d"}), "src", "left")
+        known = known.select(F.when(F.col("d").isNull(), F.col("src")).alias("src"), "dst", "w", F.greatest("c", F.col("d") + F.col("w")).alias("c"))
+        into = known.groupBy("dst").agg(F.count_distinct("src").alias("n"), F.max("src").alias("src"), F.max(F.when(F.col("src").isNotNull(), F.col("w"))).alias("w"), F.max("c").alias("c"))
+        into = _kept(into)
+        fresh = into.where("n = 0").select(F.col("dst").alias("id"), F.col("c").alias("depth"))
+        single = into.where("n = 1").select(F.col("dst").alias("id"), F.col("src").alias("to"), "w", "c")
+        joins = _kept(known.join(into.where("n > 1").select("dst"), "dst", "left_semi").groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("c").alias("c")))
+        done = _kept(done.unionByName(fresh))
+        jumped = _jumped(single)
+        placed = jumped.join(done.withColumnsRenamed({"id": "to", "depth": "d"}), "to", "left")
+        placed = _kept(placed.select("id", "to", "w", "c", "d"))
+        done = _kept(done.unionByName(placed.where("d is not null").select("id", F.greatest("c", F.col("d") + F.col("w")).alias("depth"))))
+        later = placed.where("d is null").select("id", "to", "w", "c")
+        waiting = later if waiting is None else waiting.unionByName(later)
+        # An edge from a node that waits for another one starts at that one.
+        via = later.select(F.col("id").alias("src"), "to", F.col("w").alias("more"), F.col("c").alias("least"))
+        moved = joins.join(via, "src", "left")
+        moved = moved.select(F.coalesce("to", "src").alias("src"), "dst", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), F.greatest("c", F.col("least") + F.col("w")).alias("c"))
+        left = _kept(moved.groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("c").alias("c")))
+        if left.count() == size and placed.isEmpty() and fresh.isEmpty() and left.join(done.select(F.col("id").alias("src")), "src", "left_semi").isEmpty():
+            break  # what is left is on or behind a cycle, or behind an end that is no node
+    if waiting is not None:
+        rest = waiting.join(done.withColumnsRenamed({"id": "to", "depth": "d"}), "to")
+        more = rest.select("id", F.greatest("c", F.col("d") + F.col("w")).alias("depth"))
+        while not more.isEmpty():
+            done = _kept(done.unionByName(more))
+            waiting = _kept(waiting.join(done.select("id"), "id", "left_anti"))
+            more = _kept(waiting.join(done.withColumnsRenamed({"id": "to", "depth": "d"}), "to").select("id", F.greatest("c", F.col("d") + F.col("w")).alias("depth")))
+    return done
 
 
 def closure(seeds: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, depth) of everything that the seeds (id) reach, the shortest way; cycles end by themselves."""
-    kind = seeds.schema["id"].dataType.simpleString()
-    found = _kept(seeds.select("id", F.lit(0).cast("bigint").alias("depth")).distinct())
-    pairs = edges.select("src", "dst")
-    if _is_small(pairs, found):
-
-        def walk(rows: list[tuple]) -> Iterable[tuple]:
-            after = _links([r[:2] for r in rows if not r[2]])
-            far = {r[1]: 0 for r in rows if r[2]}
-            ready = deque(far)
-            while ready:
-                node = ready.popleft()
-                for n in after.get(node, ()):
-                    if n not in far:
-                        far[n] = far[node] + 1
-                        ready.append(n)
-            return far.items()
-
-        marked = pairs.withColumn("seed", F.lit(False)).unionByName(found.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(True).alias("seed")))
-        return _in_one_task(marked, walk, f"id {kind}, depth bigint")
-    front, level = found, 0
+    """(id, depth) of everything that the seeds (id) reach, the shortest way; cycles end by themselves.
+
+    Nodes with one predecessor jump to where their ways begin; the rest is found round by round.
+    """
+    start = _kept(seeds.select("id", F.lit(0).cast("bigint").alias("depth")).distinct())
+    open_ = _kept(edges.select("src", "dst").distinct().join(start.select(F.col("id").alias("dst")), "dst", "left_anti"))
+    into = _kept(open_.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.max("src").alias("src")))
+    single = into.where("n = 1").select(F.col("dst").alias("id"), F.col("src").alias("to"), F.lit(1).cast("bigint").alias("w"), F.lit(None).cast("bigint").alias("c"))
+    jumped = _jumped(single).drop("c")
+    via = jumped.select(F.col("id").alias("src"), "to", F.col("w").alias("more"))
+    joins = open_.join(into.where("n > 1").select("dst"), "dst", "left_semi").join(via, "src", "left")
+    joins = _kept(joins.groupBy(F.coalesce("to", "src").alias("src"), "dst").agg(F.min(F.coalesce("more", F.lit(0)) + 1).alias("w")))
+    found, front = start, start
     while not front.isEmpty():
-        level += 1
-        step = pairs.join(front.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        front = _kept(step.join(found.select("id"), "id", "left_anti").select("id", F.lit(level).cast("bigint").alias("depth")))
-        found = _kept(found.unionByName(front))
-    return found
-
-
-def _core(edges: DataFrame) -> DataFrame:
-    """The edges without those at whose ends a way begins or stops, round by round while they are many."""
-    left = _kept(edges.select("src", "dst").where("src <> dst").distinct())
-    size = left.count()
-    while size > SMALL:
-        inner = left.join(left.select(F.col("dst").alias("src")), "src", "left_semi").join(left.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
-        left, before = _kept(inner), size
-        size = left.count()
-        if size == before:
-            break
-    return left
+        come = joins.join(front.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("w")).alias("depth"))
+        old = found.withColumnRenamed("depth", "known")
+        front = _kept(come.join(old, "id", "left").where("known is null or depth < known").select("id", "depth"))
+        found = _kept(found.join(front.select("id"), "id", "left_anti").unionByName(front))
+    behind = jumped.join(found.withColumnRenamed("id", "to"), "to").select("id", (F.col("depth") + F.col("w")).alias("depth"))
+    return found.unionByName(behind)
 
 
 def _grown(start: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -149,55 +134,77 @@ def _coloured(core: DataFrame) -> DataFrame:
     return _grown(heads, back).select("id", F.col("colour").alias("component"))
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges without those at whose ends a way begins or stops."""
+    return edges.join(edges.select(F.col("dst").alias("src")), "src", "left_semi").join(edges.select(F.col("src").alias("dst")), "dst", "left_semi").select("src", "dst")
+
+
+def _contracted(core: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame] | None:
+    """core with one edge for each chain of nodes that have one edge in and one out: (core, members (id, first),
+    chains (first, head, tail), rings (id, component)); None if there is no such node."""
+    one_in = core.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.max("src").alias("before")).where("n = 1").select(F.col("dst").alias("id"), "before")
+    one_out = core.groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.max("dst").alias("after")).where("n = 1").select(F.col("src").alias("id"), "after")
+    unary = _kept(one_in.join(one_out, "id"))
+    size = unary.count()
+    if not size:
+        return None
+    own = unary.select(F.col("id").alias("before"), F.lit(True).alias("inner"))
+    now = _kept(unary.join(own, "before", "left").select("id", F.when(F.col("inner"), F.col("before")).otherwise(F.col("id")).alias("first"), F.least("id", F.when(F.col("inner"), F.col("before"))).alias("low")))
+    reach, open_ = 1, True
+    while open_ and reach <= size:
+        above = now.select(F.col("id").alias("first"), F.col("first").alias("next"), F.col("low").alias("lower"))
+        now = _kept(now.join(above, "first").select("id", F.col("next").alias("first"), F.least("low", "lower").alias("low"), (F.col("next") != F.col("first")).alias("moved")))
+        open_, reach = not now.where("moved").isEmpty(), 2 * reach
+    heads = unary.join(own, "before", "left_anti").select(F.col("id").alias("first"), F.col("before").alias("head"))
+    members = now.join(heads.select("first"), "first", "left_semi").select("id", "first")
+    rings = now.join(heads.select("first"), "first", "left_anti").select("id", F.col("low").alias("component"))
+    last = unary.join(unary.select(F.col("id").alias("after")), "after", "left_anti").join(members, "id").select("first", F.col("after").alias("tail"))
+    chains = _kept(heads.join(last, "first").select("first", "head", "tail"))
+    rest = core.join(unary.select(F.col("id").alias("src")), "src", "left_anti").join(unary.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    short = chains.select(F.col("head").alias("src"), F.col("tail").alias("dst")).where("src <> dst")
+    return _kept(rest.unionByName(short).distinct()), _kept(members), chains, _kept(rings)
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """(id, component) of the nodes of components with more than one node; component is one of them."""
+    """(id, component) of the nodes of components with more than one node; component is one of them.
+
+    Edges that lead nowhere or come from nowhere go, and chains become edges, until neither is left; the
+    rest is coloured.  Then each chain gets the component of its ends, if they have the same one.
+    """
     kind = edges.schema["src"].dataType.simpleString()
-    core, parts = _core(edges), []
-    while core.count() > SMALL:
+    core = _kept(edges.select("src", "dst").where("src <> dst").distinct())
+    found = edges.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
+    layers: list[tuple[DataFrame, DataFrame]] = []
+    while not core.isEmpty():
+        size = core.count()
+        core = _kept(_trimmed(core))
+        shorter = _contracted(core)
+        if shorter is not None:
+            core, members, chains, rings = shorter
+            found = found.unionByName(rings)
+            layers.append((members, chains))
+        if core.count() < size:
+            continue
         part = _kept(_coloured(core))
-        parts.append(part)
-        left = core.join(part.select(F.col("id").alias("src")), "src", "left_anti").join(part.select(F.col("id").alias("dst")), "dst", "left_anti")
-        core = _core(left.select("src", "dst"))
-    found = _in_one_task(core, lambda rows: ((n, c[0]) for c in _tarjan(_links(rows)) for n in c), f"id {kind}, component {kind}")
-    for part in parts:
-        found = found.unionByName(part.select("id", "component"))
+        found = found.unionByName(part)
+        gone = part.select("id")
+        core = _kept(core.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti"))
+    found = _kept(found)
+    for members, chains in reversed(layers):
+        named = chains.join(found.withColumnsRenamed({"id": "head", "component": "a"}), "head", "left").join(found.withColumnsRenamed({"id": "tail", "component": "b"}), "tail", "left")
+        named = _kept(named.select("first", "head", F.coalesce("a", "head").alias("component"), F.coalesce("b", "tail").alias("other")).where("component = other"))
+        inner = members.join(named.select("first", "component"), "first").select("id", "component")
+        ends = named.where("head = component").select(F.col("head").alias("id"), "component")
+        found = _kept(found.unionByName(inner).unionByName(ends).distinct())
     several = found.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
     return found.join(several, "component", "left_semi").select("id", "component")
 
 
-def _tarjan(after: dict[Hashable, list]) -> Iterable[list]:
-    """Strongly connected components, by one walk without recursion."""
-    number: dict[Hashable, int] = {}
-    low: dict[Hashable, int] = {}
-    stack: list = []
-    open_: dict[Hashable, int] = {}  # what is on the stack, to its place
-    for root in list(after):
-        if root in number:
-            continue
-        walk = [(root, iter(after[root]))]
-        number[root] = low[root] = len(number)
-        open_[root] = len(stack)
-        stack.append(root)
-        while walk:
-            node, rest = walk[-1]
-            to = next((n for n in rest if n not in number or n in open_), None)
-            if to is None:
-                walk.pop()
-                if walk:
-                    low[walk[-1][0]] = min(low[walk[-1][0]], low[node])
-                if low[node] == number[node]:
-                    part = stack[open_[node] :]
-                    del stack[open_[node] :]
-                    for n in part:
-                        del open_[n]
-                    yield part
-            elif to in number:
-                low[node] = min(low[node], number[to])
-            else:
-                number[to] = low[to] = len(number)
-                open_[to] = len(stack)
-                stack.append(to)
-                walk.append((to, iter(after.get(to, ()))))
+def _links(rows: Iterable[tuple]) -> dict[Hashable, list]:
+    after: dict[Hashable, list] = defaultdict(list)
+    for src, dst in rows:
+        after[src].append(dst)
+    return after
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
@@ -209,7 +216,8 @@ def on_cycles(edges: DataFrame) -> DataFrame:
 def cycles(edges: DataFrame) -> DataFrame:
     """(path): for each cycle that a walk in order of ids closes, its nodes from the smallest one back to it.
 
-    Of cycles with the same nodes one is given.  A component is walked in one task, which holds its edges.
+    Of cycles with the same nodes one is given.  Components are walked side by side; one is a task's work,
+    as a cycle is one row: its task holds the component's edges.
     """
     kind = edges.schema["src"].dataType.simpleString()
     parts = strong_components(edges)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,3 +29,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint: cuts the lineage, and outlives an executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df written once to the shared folder and read back: cuts the lineage as a checkpoint does, which computes its rows twice."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/loomgraph/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -119,22 +119,45 @@ def test_depths_and_cycles(spark):
     assert listed(graphs.closure(spark.createDataFrame([("y",)], "id string"), edges)) == [("x", 1), ("y", 0), ("z", 1)]
 
 
-def test_long_chains(spark):
-    n = 1000
-    chain = spark.createDataFrame([(f"n{k:04}", f"n{k + 1:04}") for k in range(n)], "src string, dst string")
-    nodes = spark.createDataFrame([(f"n{k:04}",) for k in range(n + 1)], "id string")
-    wanted = [(f"n{k:04}", k) for k in range(n + 1)]
-    assert listed(graphs.depths(nodes, chain)) == wanted
-    assert listed(graphs.closure(nodes.where("id = 'n0000'"), chain)) == wanted
-    ring = chain.unionByName(spark.createDataFrame([(f"n{n:04}", "n0000")], chain.schema))
-    assert graphs.on_cycles(ring).count() == n + 1 and graphs.on_cycles(chain).count() == 0
+def test_long_chains(spark, monkeypatch):
+    """A chain and a ring of 10,000 edges take fewer than 40 rounds."""
+    n, rounds, kept = 10_000, [], graphs._kept
+    monkeypatch.setattr(graphs, "_kept", lambda df: (rounds.append(1), kept(df))[1])
+    chain = spark.range(n).selectExpr("format_string('n%05d', id) AS src", "format_string('n%05d', id + 1) AS dst")
+    nodes = spark.range(n + 1).selectExpr("format_string('n%05d', id) AS id")
+    wanted = [(f"n{k:05}", k) for k in range(n + 1)]
+
+    def within(most, got):
+        done = listed(got)
+        assert len(rounds) < most
+        rounds.clear()
+        return done
+
+    assert within(40, graphs.depths(nodes, chain)) == wanted
+    assert within(40, graphs.closure(nodes.where("id = 'n00000'"), chain)) == wanted
+    ring = chain.unionByName(spark.createDataFrame([(f"n{n:05}", "n00000")], chain.schema))
+    assert len(within(40, graphs.on_cycles(ring))) == n + 1
+    assert within(60, graphs.on_cycles(chain)) == []
     assert [len(r.path) for r in graphs.cycles(ring).collect()] == [n + 2]
+    rounds.clear()
+    # Two rings that a chain ties together, and a chain behind them.
+    other = spark.range(300).selectExpr("format_string('m%05d', id) AS src", "format_string('m%05d', (id + 1) % 300) AS dst")
+    tied = ring.unionByName(other).unionByName(spark.createDataFrame([("n00007", "m00009"), ("m00100", "z"), ("z", "zz")], chain.schema))
+    assert len(within(60, graphs.strong_components(tied))) == n + 1 + 300
+    assert within(40, graphs.depths(nodes, ring)) == []
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 10**6), (2, 10**6), (3, 0), (4, 0), (5, 3)])
-def test_walks_match_plain_ones(spark, monkeypatch, seed, small):
-    """At any bound on what one task may hold."""
-    monkeypatch.setattr(graphs, "SMALL", small)
+def test_depths_where_ways_meet_again_and_again(spark):
+    rungs = 6
+    edges = [(f"{x}{k}", f"{y}{k + 1}") for k in range(rungs) for x in "ab" for y in "ab"] + [(f"a{rungs}", "t0")] + [(f"t{k}", f"t{k + 1}") for k in range(20)] + [("a0", "t5"), ("q", "t9")]
+    nodes = sorted({n for e in edges for n in e} - {"q"})
+    got = dict(listed(graphs.depths(spark.createDataFrame([(n,) for n in nodes], "id string"), spark.createDataFrame(edges, "src string, dst string"))))
+    wanted = {f"{x}{k}": k for k in range(rungs + 1) for x in "ab"} | {f"t{k}": rungs + 1 + k for k in range(9)}
+    assert got == wanted  # q is no node, so what is behind it has no depth
+
+
+@pytest.mark.parametrize("seed", range(1, 7))
+def test_walks_match_plain_ones(spark, seed):
     rng = random.Random(seed)
     edges = [(rng.randrange(14), rng.randrange(14)) for _ in range(rng.choice([12, 18, 24]))] + [(90, 3)] * (seed % 2)
     nodes = list(range(15))
