@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from loomgraph.sources.shared import checkpointed, shared_dir
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most 8 MB in this session: what a Python worker holds of the texts at once."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+def bounded_batches(spark: SparkSession, mb: int = 8) -> None:
+    """Arrow batches of at most so many MB in this session: what a Python worker holds of the texts at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{mb}m")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -33,7 +33,7 @@ MOST_BITS = 20
 #: Texts at an anchor that one task compares; of more, each pair of blocks is a task's work.
 MOST_AT_ANCHOR = 20_000
 #: Texts, and bytes of shingle sets, in one block of a family.
-FAMILY_BLOCK, FAMILY_BYTES = 1024, 8 << 20
+FAMILY_BLOCK, FAMILY_BYTES = 1024, 4 << 20
 #: Columns of the matrix products at a time.
 COLUMNS = 2048
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, BLOCKS, dtype=np.uint64)
@@ -97,7 +97,7 @@ def ties(sim: np.ndarray, n: np.ndarray, side: np.ndarray, least: float = LEAST)
     """
     rows, cols = (np.flatnonzero(side == 1), np.flatnonzero(side == 2)) if side.any() else (np.arange(len(sim)),) * 2
     labels = np.arange(len(sim))
-    step = max(1, 2_000_000 // max(1, len(cols)))
+    step = max(1, 400_000 // max(1, len(cols)))
     for at in range(0, len(rows), step):
         own = rows[at : at + step]
         small, large = np.minimum(n[own, None], n[cols]), np.maximum(n[own, None], n[cols])
@@ -230,7 +230,7 @@ def _linked(least: float) -> object:
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, least: float = LEAST, most_at_anchor: int = MOST_AT_ANCHOR) -> tuple[DataFrame, DataFrame]:
     """(rows, lows): rows (id, h, m) of docs, by text m; lows (m, low) with the least (n, id, h) of the text's group."""
-    bounded_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession, 4)
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.unhex(F.md5(text)).alias("m"), text.cast("binary").alias("text"))
     kind = given.schema["id"].dataType.simpleString()
