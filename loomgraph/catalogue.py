@@ -388,18 +388,30 @@ def g02_topo_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.depths(tree_nodes(spark, sf_dir), tree_edges(spark, sf_dir))
 
 
-_RING = "ring AS (SELECT n_nationkey AS src, COALESCE(lead(n_nationkey) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey), CASE WHEN n_regionkey <> 2 THEN min(n_nationkey) OVER (PARTITION BY n_regionkey) END) AS dst FROM nation)"
+#: Orders as nodes of their customer's graph; the customers are of five kinds, by n_regionkey.
+_PLACES = "places AS (SELECT o_orderkey AS n_nationkey, (o_custkey % 5)::INTEGER AS n_regionkey, 'NODE_' || o_orderkey AS n_name, o_custkey AS n_ring FROM orders)"
 
 
-@query(f"WITH RECURSIVE {_RING}, w(a, b, n) AS (SELECT src, dst, 1 FROM ring WHERE dst IS NOT NULL UNION ALL SELECT a, dst, n + 1 FROM w JOIN ring ON src = b WHERE n < 26 AND dst IS NOT NULL) SELECT DISTINCT a::BIGINT AS id FROM w WHERE a = b")
-def g10_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region's nations in a ring, but one region's in a chain."""
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n_nationkey"), (F.col("o_custkey") % 5).cast("int").alias("n_regionkey"), F.format_string("NODE_%d", "o_orderkey").alias("n_name"), F.col("o_custkey").alias("n_ring"))
+
+
+_RING = f"{_PLACES}, ring AS (SELECT n_nationkey AS src, COALESCE(lead(n_nationkey) OVER (PARTITION BY n_ring ORDER BY n_nationkey), CASE WHEN n_regionkey <> 2 THEN min(n_nationkey) OVER (PARTITION BY n_ring) END) AS dst, n_ring, n_regionkey FROM places)"
+
+
+def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders in a ring, but those of one kind of customers in chains: (src, dst, n_ring, n_regionkey)."""
     from pyspark.sql import Window
 
-    by = Window.partitionBy("n_regionkey")
+    by = Window.partitionBy("n_ring")
     back = F.when(F.col("n_regionkey") != 2, F.min("n_nationkey").over(by))
-    ring = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.coalesce(F.lead("n_nationkey").over(by.orderBy("n_nationkey")), back).cast("bigint").alias("dst"))
-    return graphs.on_cycles(ring.where("dst is not null"))
+    rows = places(spark, sf_dir).select(F.col("n_nationkey").alias("src"), F.coalesce(F.lead("n_nationkey").over(by.orderBy("n_nationkey")), back).alias("dst"), "n_ring", "n_regionkey")
+    return rows.where("dst is not null")
+
+
+@query(f"WITH RECURSIVE {_RING}, w(a, b, n) AS (SELECT src, dst, 1 FROM ring WHERE dst IS NOT NULL UNION ALL SELECT a, dst, n + 1 FROM w JOIN ring ON src = b WHERE n < 60 AND a <> b AND dst IS NOT NULL) SELECT DISTINCT a::BIGINT AS id FROM w WHERE a = b")
+def g10_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphs.on_cycles(ring(spark, sf_dir))
 
 
 @query(f"WITH RECURSIVE {_TREE}, d(id, depth) AS (SELECT 'r0', 0 UNION ALL SELECT dst, depth + 1 FROM d JOIN edges ON src = id) SELECT id, min(depth)::BIGINT AS depth FROM d GROUP BY id")

@@ -5,54 +5,84 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.catalogue import _FILES, _LOG, _RING, _sources, base_files, log, pending, query, table
+from loomgraph.catalogue import _FILES, _LOG, _PLACES, _RING, _sources, base_files, log, pending, places, query, ring, table
 from loomgraph.functions import agents, contracts, text
 from loomgraph.operators import context, emissions, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.sources import files
 
 
-def ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each region's nations in a ring, but one region's in a chain: (src, dst, n_regionkey)."""
-    by = Window.partitionBy("n_regionkey")
-    back = F.when(F.col("n_regionkey") != 2, F.min("n_nationkey").over(by))
-    rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("src"), F.coalesce(F.lead("n_nationkey").over(by.orderBy("n_nationkey")), back).cast("bigint").alias("dst"), "n_regionkey")
-    return rows.where("dst is not null")
-
-
-@query("SELECT string_agg(n_nationkey::VARCHAR, '>' ORDER BY n_nationkey) || '>' || min(n_nationkey) AS path FROM nation WHERE n_regionkey <> 2 GROUP BY n_regionkey")
+@query(f"WITH {_PLACES} SELECT string_agg(n_nationkey::VARCHAR, '>' ORDER BY n_nationkey) || '>' || min(n_nationkey) AS path FROM places WHERE n_regionkey <> 2 GROUP BY n_ring")
 def g10_cycle_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graphs.cycles(ring(spark, sf_dir)).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
 
 
+@query("""SELECT 10000 + (o_orderkey // 4) * 4 AS graph, (10000 + (o_orderkey // 4) * 4) || ' > ' || (10001 + (o_orderkey // 4) * 4) || ' > ' || (10002 + (o_orderkey // 4) * 4) || ' > ' || (10003 + (o_orderkey // 4) * 4) || ' > ' || (10000 + (o_orderkey // 4) * 4) AS message
+FROM orders GROUP BY o_orderkey // 4 HAVING count(*) = 4""")
+def g11_containment_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References between graphs: four orders in a row refer to one another in a ring, parts to suppliers upwards only."""
+    part, supplier = F.col("l_partkey") * 7 % 997, F.col("l_suppkey") * 11 % 997
+    upwards = table(spark, sf_dir, "lineitem").where("l_orderkey % 97 = 0").select(part.alias("src"), supplier.alias("dst")).where("src < dst").distinct()
+    key = F.col("o_orderkey") + 10000
+    rings = table(spark, sf_dir, "orders").select(key.alias("src"), (key + 1 - F.when(F.col("o_orderkey") % 4 == 3, 4).otherwise(0)).alias("dst"))
+    return validation.containment_cycles(upwards.unionByName(rings)).select(F.col("node_id").cast("bigint").alias("graph"), "message")
+
+
 def rule_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The rings as flow graphs; a region's nations are all of one type."""
+    """The rings as flow graphs; a customer's orders are all of one type."""
     none = F.lit(None).cast("string")
     region = F.col("n_regionkey")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("io", "agent", "code", "subgraph", "io")]), region + 1)
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("bigint").alias("id"), kind.alias("type"), F.when(region == 0, "in").when(region == 4, "out").alias("direction"), F.when(region == 1, F.lit("agents/bot.yaml")).alias("ref"), none.alias("entrypoint"), F.lit(None).cast("array<string>").alias("include"))
+    nodes = places(spark, sf_dir).select(F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("bigint").alias("id"), kind.alias("type"), F.when(region == 0, "in").when(region == 4, "out").alias("direction"), F.when(region == 1, F.lit("agents/bot.yaml")).alias("ref"), none.alias("entrypoint"), F.lit(None).cast("array<string>").alias("include"))
     edges = ring(spark, sf_dir).select(F.col("src").alias("ord"), F.col("src").alias("id"), F.lit("flow").alias("kind"), "src", "dst")
     return nodes, edges
 
 
-@query(f"""WITH {_RING} SELECT 'io-direction-violation' AS code, 'error' AS severity, count(*)::BIGINT AS n FROM ring JOIN nation ON n_nationkey = src WHERE n_regionkey IN (0, 4) AND dst IS NOT NULL
-UNION ALL SELECT 'flow-code-node-needs-entrypoint', 'error', count(*) FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 'unresolved-ref', 'error', count(*) FROM nation WHERE n_regionkey = 1
-UNION ALL SELECT 'flow-cycle', 'run-blocking', count(DISTINCT n_regionkey) FROM nation WHERE n_regionkey <> 2""")
+@query(f"""WITH {_RING} SELECT 'io-direction-violation' AS code, 'error' AS severity, count(*)::BIGINT AS n FROM ring WHERE n_regionkey IN (0, 4) AND dst IS NOT NULL
+UNION ALL SELECT 'flow-code-node-needs-entrypoint', 'error', count(*) FROM (SELECT count(*) OVER (PARTITION BY n_ring) AS m FROM places WHERE n_regionkey = 2) WHERE m > 1 UNION ALL SELECT 'unresolved-ref', 'error', count(*) FROM places WHERE n_regionkey = 1
+UNION ALL SELECT 'flow-cycle', 'run-blocking', count(DISTINCT n_ring) FROM places WHERE n_regionkey <> 2""")
 def g17_graph_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = rule_tables(spark, sf_dir)
     found = validation.validate_graph(nodes, edges, spark.createDataFrame([("other.yaml",)], "path string"))
     return found.groupBy("code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT EXISTS (SELECT * FROM nation WHERE n_regionkey = 2) AS fatal, count(*) > 0 AS blocked FROM nation")
+@query("""WITH k AS (SELECT c_custkey AS k FROM customer), found AS (
+SELECT 'exposes-non-service' AS code FROM k WHERE k % 4 = 1 AND NOT (k % 8 = 1 AND k + 1 IN (SELECT k FROM k))
+UNION ALL SELECT 'calls-non-service' FROM k WHERE k % 4 = 3 AND NOT (k % 8 = 3 AND k - 1 IN (SELECT k FROM k))
+UNION ALL SELECT 'unresolved-ref' FROM k WHERE k % 4 = 2 AND k % 3 = 2
+UNION ALL SELECT 'unknown-node' FROM k WHERE k % 4 = 0 AND k + 1 NOT IN (SELECT k FROM k) UNION ALL SELECT 'unknown-node' FROM k WHERE k % 8 = 0 AND k + 2 NOT IN (SELECT k FROM k)
+UNION ALL SELECT 'edge-kind-bad-source' FROM k WHERE k % 8 = 0 AND k + 2 IN (SELECT k FROM k)
+UNION ALL SELECT 'duplicate-id' FROM k WHERE k % 40 = 6)
+SELECT code, count(*)::BIGINT AS n FROM found GROUP BY code""")
+def g17_composition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as clients, boundaries, services and processes in turn; some expose, call, name or meet what they must not."""
+    key = F.col("c_custkey")
+    named = lambda k: F.format_string("c%d", k)
+    rest = key % 4
+    customers = table(spark, sf_dir, "customer")
+    nodes = customers.select(
+        key.alias("ord"), named(key).alias("id"), F.element_at(F.array(*[F.lit(x) for x in ("client", "boundary", "service", "process")]), (rest + 1).cast("int")).alias("type"),
+        F.when(rest == 1, F.array(named(F.when(key % 8 == 1, key + 1).otherwise(key + 2)))).alias("exposes"), F.lit(None).cast("map<string,string>").alias("invocation"),
+        F.when(rest == 3, F.array(named(F.when(key % 8 == 3, key - 1).otherwise(key - 2)))).alias("calls"), F.when(rest == 2, F.format_string("g%d.yaml", key % 3)).alias("graph"), F.lit(None).cast("string").alias("entrypoint"),
+    )
+    again = nodes.where("ord % 40 = 6").withColumn("ord", F.col("ord") + 10_000_000).withColumn("graph", F.lit("g0.yaml"))
+    edge = lambda where, id_, to: customers.where(where).select(key.alias("ord"), F.format_string(id_, key).alias("id"), F.lit("routes-to").alias("kind"), named(key).alias("src"), named(to).alias("dst"))
+    edges = edge("c_custkey % 4 = 0", "a%d", key + 1).unionByName(edge("c_custkey % 8 = 0", "b%d", key + 2))
+    files = spark.createDataFrame([("g0.yaml",), ("g1.yaml",)], "path string")
+    found = validation.validate_composition(nodes.unionByName(again), edges, files)
+    return found.groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_PLACES} SELECT EXISTS (SELECT * FROM places WHERE n_regionkey = 2) AS fatal, count(*) > 0 AS blocked FROM places")
 def f14_blocks_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = rule_tables(spark, sf_dir)
     return validation.blocks_run(validation.need_entrypoints(nodes, edges).unionByName(validation.flow_cycles(edges)))
 
 
-@query("SELECT 'g' || n_regionkey || '.yaml' AS file, n_nationkey::VARCHAR AS node_id, 'unresolved-entrypoint' AS code FROM nation WHERE n_nationkey % 2 = 1 AND n_regionkey <> 4")
+@query(f"WITH {_PLACES} SELECT 'g' || n_regionkey || '.yaml' AS file, n_nationkey::VARCHAR AS node_id, 'unresolved-entrypoint' AS code FROM places WHERE n_nationkey % 2 = 1 AND n_regionkey <> 4")
 def f13_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostics of several graphs by file and node; the last region's are left out."""
-    nation = table(spark, sf_dir, "nation")
+    nation = places(spark, sf_dir)
     file = F.format_string("g%d.yaml", "n_regionkey")
     nodes = nation.select(F.concat_ws("#", file, F.col("n_nationkey").cast("string")).alias("id"), F.lit("code").alias("type"), F.format_string("steps/%d.py", "n_nationkey").alias("entrypoint"))
     files = nation.where("n_nationkey % 2 = 0").select(F.format_string("steps/%d.py", "n_nationkey").alias("path"))
@@ -60,19 +90,19 @@ def f13_located(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where("file <> 'g4.yaml'").select("file", "node_id", "code")
 
 
-@query("SELECT n_nationkey::VARCHAR AS node_id, n_nationkey || ' includes none/*.py: no such files' AS message FROM nation WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey::VARCHAR, 'code ' || n_nationkey || ': no file ' || n_name FROM nation WHERE n_regionkey > 2")
+@query(f"WITH {_PLACES} SELECT n_nationkey::VARCHAR AS node_id, n_nationkey || ' includes none/*.py: no such files' AS message FROM places WHERE n_regionkey = 1 UNION ALL SELECT n_nationkey::VARCHAR, 'code ' || n_nationkey || ': no file ' || n_name FROM places WHERE n_regionkey > 2")
 def j10_missing_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     region = F.col("n_regionkey")
-    nation = table(spark, sf_dir, "nation")
+    nation = places(spark, sf_dir)
     nodes = nation.select(F.col("n_nationkey").alias("id"), F.lit("code").alias("type"), F.col("n_name").alias("entrypoint"), F.array(F.when(region == 1, F.lit("none/*.py")).otherwise(F.lit("N*_*"))).alias("include"))
     files = nation.where(region <= 2).select(F.col("n_name").alias("path"))
     return validation.missing_files(nodes, files, "entrypoint", "unresolved-entrypoint").unionByName(validation.empty_includes(nodes, files)).select("node_id", "message")
 
 
-@query("SELECT 'g' || n_regionkey || '#/spec/nodes/' || n_nationkey || '/id' AS message FROM nation WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'g' || n_regionkey || '#/spec/edges/' || n_nationkey || '/to/node' FROM nation WHERE n_regionkey = 3 UNION ALL SELECT r_name || '#' FROM region WHERE r_regionkey = 1")
+@query(f"WITH {_PLACES} SELECT 'g' || n_regionkey || '#/spec/nodes/' || n_nationkey || '/id' AS message FROM places WHERE n_nationkey % 2 = 0 UNION ALL SELECT 'g' || n_regionkey || '#/spec/edges/' || n_nationkey || '/to/node' FROM places WHERE n_regionkey = 3 UNION ALL SELECT r_name || '#' FROM region WHERE r_regionkey = 1")
 def g18_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as nodes of their region's graph: even ones in capitals, which no id has; one region's edges end nowhere."""
-    nation = table(spark, sf_dir, "nation")
+    nation = places(spark, sf_dir)
     path, name = F.format_string("g%d", "n_regionkey"), F.lower("n_name")
     none = F.lit(None).cast("string")
     nodes = nation.select(path.alias("graph_path"), F.col("n_nationkey").alias("ord"), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name")).otherwise(name).alias("id"), F.lit("code").alias("type"), *[none.alias(c) for c in ("direction", "ref", "entrypoint", "schema")])
@@ -81,25 +111,25 @@ def g18_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.malformed(documents, nodes, edges).select("message")
 
 
-@query("SELECT n_nationkey::BIGINT AS id, CASE WHEN n_regionkey = 0 THEN 'unresolved-schema' ELSE 'invalid-json-schema' END AS code FROM nation WHERE n_regionkey IN (0, 2, 3)")
+@query(f"WITH {_PLACES} SELECT n_nationkey::BIGINT AS id, CASE WHEN n_regionkey = 0 THEN 'unresolved-schema' ELSE 'invalid-json-schema' END AS code FROM places WHERE n_regionkey IN (0, 2, 3)")
 def s13_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each nation's schema file: missing, good, of a wrong shape, no JSON, good."""
-    nation = table(spark, sf_dir, "nation")
+    nation = places(spark, sf_dir)
     body = F.element_at(F.array(*[F.lit(x) for x in ("", '{"type": "string"}', '{"required": ["a", "a"]}', "{", "true")]), F.col("n_regionkey") + 1)
     nodes = nation.select(F.col("n_nationkey").alias("id"), F.lit("io").alias("type"), F.concat("n_name", F.lit(".json")).alias("schema"))
     files = nation.where("n_regionkey > 0").select(F.concat("n_name", F.lit(".json")).alias("path"), body.alias("content"))
     return validation.schemas(nodes, files).select(F.col("node_id").cast("bigint").alias("id"), "code")
 
 
-@query("SELECT n_regionkey AS graph, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey % 2, n_nationkey) - 1 AS place, CASE WHEN n_nationkey < 5 THEN n_nationkey::VARCHAR ELSE n_name END AS name, CASE n_nationkey % 2 WHEN 0 THEN 'in' ELSE 'out' END AS direction FROM nation")
+@query(f"WITH {_PLACES} SELECT n_ring AS graph, row_number() OVER (PARTITION BY n_ring ORDER BY n_nationkey % 2, n_nationkey) - 1 AS place, CASE WHEN n_nationkey < 5 THEN n_nationkey::VARCHAR ELSE n_name END AS name, CASE n_nationkey % 2 WHEN 0 THEN 'in' ELSE 'out' END AS direction FROM places")
 def g14_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("graph_path"), F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_nationkey") >= 5, F.col("n_name")).alias("name"), F.lit("io").alias("type"), F.when(F.col("n_nationkey") % 2 == 0, "in").otherwise("out").alias("direction"))
+    nodes = places(spark, sf_dir).select(F.col("n_ring").alias("graph_path"), F.col("n_nationkey").alias("ord"), F.col("n_nationkey").cast("string").alias("id"), F.when(F.col("n_nationkey") >= 5, F.col("n_name")).alias("name"), F.lit("io").alias("type"), F.when(F.col("n_nationkey") % 2 == 0, "in").otherwise("out").alias("direction"))
     return graphs.ports(nodes).withColumnRenamed("graph_path", "graph")
 
 
-@query("SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey ELSE 60 + 200 * n_nationkey END::DOUBLE AS x, CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE 60 + 120 * (n_nationkey % 3) END::DOUBLE AS y FROM nation")
+@query(f"WITH {_PLACES} SELECT n_nationkey AS id, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey ELSE 60 + 200 * n_nationkey END::DOUBLE AS x, CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE 60 + 120 * (n_nationkey % 3) END::DOUBLE AS y FROM places")
 def w06_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("ord"))
+    nodes = places(spark, sf_dir).select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("ord"))
     layout = nodes.where("id % 3 = 0").select("id", F.col("id").cast("double").alias("x"), F.lit(7.0).alias("y"))
     return graphs.laid_out(nodes, layout).select("id", "x", "y")
 
@@ -136,11 +166,11 @@ def e06_agent_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files and changes -----------------------------------------------------------------------------------
 
 
-@query("SELECT n_nationkey AS id, n_regionkey < 3 AS document FROM nation")
+@query(f"WITH {_PLACES} SELECT n_nationkey AS id, n_regionkey < 3 AS document FROM places")
 def f07_document_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     shapes = F.array(*[F.lit(x) for x in ("graphs/%s.yaml", "agents/%s/agent.yml", "agents/%s/prompt.md", "graphs/sub/%s.yaml", "agents/%s/more/prompt.md")])
     path = F.replace(F.element_at(shapes, F.col("n_regionkey") + 1), F.lit("%s"), F.col("n_name"))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), context.is_document(path).alias("document"))
+    return places(spark, sf_dir).select(F.col("n_nationkey").alias("id"), context.is_document(path).alias("document"))
 
 
 def code_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -211,9 +241,9 @@ def f01_owned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projects.owned(rows, "7").select("id").unionByName(projects.owned(rows, "seven").select("id"))
 
 
-@query("SELECT n_nationkey AS id, 'fi1 ' || n_name AS text FROM nation")
+@query(f"WITH {_PLACES} SELECT n_nationkey AS id, 'fi1 ' || n_name AS text FROM places")
 def x01_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), text.nfkc(F.concat(F.lit("ﬁ① "), "n_name")).alias("text"))
+    return places(spark, sf_dir).select(F.col("n_nationkey").alias("id"), text.nfkc(F.concat(F.lit("ﬁ① "), "n_name")).alias("text"))
 
 
 @query("""SELECT 'r' || n_regionkey AS id, '["' || string_agg(CASE WHEN n_nationkey % 2 = 0 THEN 'x' || n_nationkey ELSE n_name END, '","' ORDER BY n_nationkey) || '"]' AS exposes,
@@ -275,12 +305,12 @@ def s20_move_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.move_heads(refs, nation.where("n_nationkey % 2 = 0").select(branch, F.lit("old").alias("expected"), F.lit("new").alias("new")))[1]
 
 
-@query("SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'name' WHEN 1 THEN 'cwd' WHEN 2 THEN 'cmd' WHEN 3 THEN 'port' END AS issue FROM nation")
+@query(f"WITH {_PLACES} SELECT n_nationkey AS id, CASE n_regionkey WHEN 0 THEN 'name' WHEN 1 THEN 'cwd' WHEN 2 THEN 'cmd' WHEN 3 THEN 'port' END AS issue FROM places")
 def f15_process_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each region's processes lack something else; the last one's are whole."""
     region = F.col("n_regionkey")
     spec = F.struct(F.when(region == 0, "").otherwise(F.col("n_name")).alias("name"), F.when(region == 1, "a/../../b").when(region == 4, ".").otherwise("a/b").alias("cwd"), F.when(region == 2, F.array().cast("array<string>")).otherwise(F.array(F.lit("run"))).alias("cmd"), F.when(region == 3, "x").when(region == 4, "80").alias("port"))
-    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), projects.process_issue(spec).alias("issue"))
+    return places(spark, sf_dir).select(F.col("n_nationkey").alias("id"), projects.process_issue(spec).alias("issue"))
 
 
 @query("SELECT severity <> 'error' AS composition, FALSE AS graph, severity FROM (VALUES ('error'), ('run-blocking')) AS v(severity)")

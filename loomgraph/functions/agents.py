@@ -71,11 +71,11 @@ def resolve_tools(tools: DataFrame, files: DataFrame) -> DataFrame:
     """tools (agent, ord, entrypoint, function) to (agent, ord, path, name, schema, error).
 
     A glob stands for its first Python file by path.  The schema is the contract's inputs as one object.
-    Globs are manifest text, few by nature; each is one regular expression.
     """
-    asked = [r.entrypoint for r in tools.select("entrypoint").distinct().collect()]
-    hits = F.array(*[F.when(F.col("path").rlike(glob_regex(e)) & F.col("path").endswith(".py"), F.lit(e)) for e in asked]) if asked else F.array().cast("array<string>")
-    first = files.select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("entrypoint")).groupBy("entrypoint").agg(F.min("path").alias("path"))
+    from loomgraph.operators.context import glob_matches
+
+    hits = glob_matches(files.where(F.col("path").endswith(".py")), tools.select(F.col("entrypoint").alias("pattern")))
+    first = hits.groupBy(F.col("pattern").alias("entrypoint")).agg(F.min("path").alias("path"))
     met = tools.join(first, "entrypoint", "left").join(files.select("path", "content"), "path", "left")
 
     def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -109,6 +109,18 @@ def glob_regex(pattern: str) -> str:
     return f"^{''.join(out)}{re.escape(pattern[at:])}$"
 
 
+def glob_regex_of(pattern: Column) -> Column:
+    """glob_regex of a column of patterns."""
+    marks = {"**/": ("\x01", "(?:.*/)?"), "**": ("\x02", ".*"), "*": ("\x03", "[^/]*"), "?": ("\x04", "[^/]")}
+    out = pattern
+    for wildcard, (mark, _) in marks.items():
+        out = F.replace(out, F.lit(wildcard), F.lit(mark))
+    out = F.regexp_replace(out, r"([\\^$.|+()\[\]{}-])", r"\\$1")
+    for mark, regex in marks.values():
+        out = F.replace(out, F.lit(mark), F.lit(regex))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
 def matches_glob(path: Column, pattern: str) -> Column:
     return path.rlike(glob_regex(pattern))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import glob_prefix, glob_regex_of
+
 #: Code by its extension.
 CODE = r"\.(py|tsx?|js)$"
 MOST_FILES, MOST_BYTES = 60, 200 * 1024
@@ -36,3 +38,16 @@ def referenced(files: DataFrame, paths: DataFrame, directories: DataFrame) -> Da
 def capped(files: DataFrame, most: int = MOST_FILES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The first files by path that are not too large."""
     return files.where(F.octet_length("content") <= most_bytes).orderBy("path").limit(most)
+
+
+def glob_matches(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(pattern, path) of the files (path) that patterns (pattern) match.
+
+    A pattern meets the files below the directory above its first wildcard, by an equal join on that
+    directory; its regular expression is applied to those alone.  Patterns of no directory meet all files.
+    """
+    asked = patterns.select("pattern").distinct().select("pattern", glob_prefix(F.col("pattern")).alias("above"), glob_regex_of(F.col("pattern")).alias("regex"))
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    below = files.select("path").distinct().select("path", F.explode(above).alias("above"))
+    return below.join(asked, "above").where(F.rlike("path", F.col("regex"))).select("pattern", "path")

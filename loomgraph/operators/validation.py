@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions.text import glob_regex, is_id, is_relative_path
+from loomgraph.functions.text import is_id, is_relative_path
+from loomgraph.operators.context import glob_matches
 from loomgraph.operators.graphs import cycles, with_ends
 
 COLUMNS = ("code", "severity", "node_id", "edge_id", "message")
@@ -89,13 +90,9 @@ def missing_files(nodes: DataFrame, files: DataFrame, column: str, code: str) ->
 
 
 def empty_includes(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """Include globs that match no file.  Patterns are manifest text, few by nature; each is one regular expression."""
-    patterns = [r.p for r in nodes.select(F.explode("include").alias("p")).distinct().collect()]
-    if not patterns:
-        return _found(nodes.where("false"), "unresolved-ref", F.lit(""))
-    hits = F.array(*[F.when(F.col("path").rlike(glob_regex(p)), F.lit(p)) for p in patterns])
-    met = files.select(F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("pattern")).distinct()
+    """Include globs that match no file."""
     asked = nodes.select("id", F.explode("include").alias("pattern"))
+    met = glob_matches(files, asked).select("pattern").distinct()
     return _found(asked.join(met, "pattern", "left_anti"), "unresolved-ref", F.format_string('%s includes %s: no such files', "id", "pattern"), node=F.col("id"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,23 @@ def test_tools_of_globs(spark):
     got = {(r.agent, r.ord): r for r in agents.resolve_tools(tools, files).collect()}
     assert got["a", 0].path == "src/b.py" and json.loads(got["a", 0].schema)["required"] == ["x"]
     assert got["a", 1].error == "there is no function g" and got["b", 0].error == "no Python file is none/*"
+
+
+def test_glob_columns_match_the_plain_regex(spark):
+    patterns = ["src/**/*.py", "**/x.md", "a?b/*.[c]", "src/**", "lit.eral/(x)+", "*.py", "docs/{a}|b.md", "a/b/c.py"]
+    paths = ["src/a.py", "src/x/y/a.py", "x.md", "q/x.md", "axb/f.[c]", "axb/f.c", "src/x", "lit.eral/(x)+", "litXeral/xx", "m.py", "d/m.py", "docs/{a}|b.md", "a/b/c.py", "a/b/cXpy"]
+    from loomgraph.operators.context import glob_matches
+
+    got = glob_matches(spark.createDataFrame([(p,) for p in paths], "path string"), spark.createDataFrame([(p,) for p in patterns], "pattern string"))
+    wanted = {(g, p) for g in patterns for p in paths if re.search(text.glob_regex(g), p)}
+    assert {tuple(r) for r in got.collect()} == wanted and len(wanted) > 12
+
+
+def test_a_hundred_thousand_globs_meet_their_directories(spark):
+    from loomgraph.operators.context import glob_matches
+
+    patterns = spark.range(100_000).selectExpr("concat('p', id, '/**/*.py') AS pattern")
+    files = spark.range(1000).selectExpr("concat('p', id * 97, '/src/main.', if(id % 2 = 0, 'py', 'md')) AS path")
+    got = glob_matches(files, patterns)
+    assert "CartesianProduct" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+    assert got.count() == 500
