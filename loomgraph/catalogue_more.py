@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.catalogue import _FILES, _LOG, _PLACES, _RING, _sources, base_files, log, pending, places, query, ring, table
+from loomgraph.catalogue import _cases, _FILES, _KINDS, _LOG, _PLACES, _RING, _sources, base_files, log, pending, places, query, ring, table
 from loomgraph.functions import agents, contracts, text
 from loomgraph.operators import context, emissions, graphs, mutations, overlay, projects, runlog, validation
 from loomgraph.sources import files
+from loomgraph.sources.shared import shared_dir
+from loomgraph.streaming import reports, source, state
+from loomgraph.streaming import runlog as live
 
 
 @query(f"WITH {_PLACES} SELECT string_agg(n_nationkey::VARCHAR, '>' ORDER BY n_nationkey) || '>' || min(n_nationkey) AS path FROM places WHERE n_regionkey <> 2 GROUP BY n_ring")
@@ -368,3 +373,45 @@ def t03_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = log(spark, sf_dir)
     runs = events.select(F.col("run_id").alias("id")).distinct().withColumn("status", F.when(F.col("id") % 5 == 0, "cancelled").otherwise("running"))
     return runlog.reports(events, runs)
+
+
+# --- the log as source and stream ------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/loomgraph/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {_LOG} SELECT run_id, seq, type, node_id FROM log WHERE seq > 5 AND run_id % 2 = 0")
+def t01_source_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log written as files and read through its data source, behind an offset."""
+    out = _folder(spark, "log")
+    log(spark, sf_dir).select("run_id", "seq", "type", "node_id", "payload").write.parquet(out)
+    source.register(spark)
+    return spark.read.format("runlog").option("path", out).option("after", 3).load().where("seq > 5 AND run_id % 2 = 0").select("run_id", "seq", "type", "node_id")
+
+
+@query("SELECT user_id::VARCHAR AS session, seq, line FROM (SELECT user_id, event_type AS line, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events) WHERE back <= 20")
+def t04_ring_buffers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a session's lines: what a stream's buffers of 20 lines hold, read from its state."""
+    state.with_store(spark)
+    shape = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    lines = stream.select(F.col("user_id").cast("string").alias("session"), F.col("event_type").alias("line"), F.col("event_id").alias("ord"), F.col("ts").cast("timestamp").alias("created_at"))
+    out = _folder(spark, "lines")
+    live.follow(state.ring_buffers(lines, 20, "3650 days"), lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/told"), f"{out}/progress", "update").awaitTermination()
+    return state.buffered(spark, f"{out}/progress")
+
+
+@query(f"""WITH {_LOG}, placed AS (SELECT run_id, type, row_number() OVER w AS nth, COALESCE(sum((type = 'run.finished')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM log WINDOW w AS (PARTITION BY run_id ORDER BY ts, type, node_id, payload))
+SELECT run_id, (count(*) + CASE WHEN run_id % 7 = 0 AND NOT bool_or(type = 'run.finished') THEN 1 ELSE 0 END)::BIGINT AS appended, run_id % 7 = 0 AND NOT bool_or(type = 'run.finished') AS cancelled FROM placed WHERE ended = 0 GROUP BY run_id""")
+def t03_report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events as reports of runs, every seventh asked to cancel: the answers of a batch."""
+    shape = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(shape).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    node = F.concat(F.lit("n"), (F.get_json_object("props", "$.k").cast("bigint") % 8).cast("string"))
+    sent = stream.select(F.col("user_id").alias("run_id"), _cases(F.col("event_type"), _KINDS).alias("type"), node.alias("node_id"), F.col("props").alias("payload"), F.col("ts").alias("created_at"))
+    out = _folder(spark, "reports")
+    asked = lambda s: s.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 7 = 0").select(F.col("user_id").alias("run_id"))
+    live.follow(sent, reports.reporting(out, asked), f"{out}/progress").awaitTermination()
+    return spark.read.parquet(f"{out}/answers").select("run_id", "appended", "cancelled")

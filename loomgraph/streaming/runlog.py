@@ -1,10 +1,9 @@
-"""The run log as a stream: read from where a query stopped, states kept, idle sessions closed, late events refused."""
+"""The run log as a stream: read from where a query stopped, states kept, idle sessions closed, events numbered."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
@@ -30,22 +29,6 @@ def idle(log: DataFrame, gap: str = "1 hour", late: str = "10 minutes") -> DataF
     return own.select("run_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "events")
 
 
-def refuse_late(log: DataFrame) -> DataFrame:
-    """(run_id, seq, type, accepted) with each run's finish kept as state: what comes behind it is not accepted."""
-
-    def judge(key: tuple, parts: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values("seq")
-        end = state.get[0] if state.exists else None
-        ends = rows.loc[rows["type"] == "run.finished", "seq"]
-        if len(ends):
-            end = int(ends.min()) if end is None else min(end, int(ends.min()))
-            state.update((end,))
-        rows["accepted"] = True if end is None else rows["seq"] <= end
-        yield rows[["run_id", "seq", "type", "accepted"]]
-
-    return log.select("run_id", "seq", "type").groupBy("run_id").applyInPandasWithState(judge, "run_id bigint, seq bigint, type string, accepted boolean", "ends bigint", "append", "NoTimeout")
-
-
 def follow(frame: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append", every: str | None = None) -> StreamingQuery:
     """Runs a query over the stream, each batch to the sink; without `every`, over what is there now."""
     writer = frame.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)

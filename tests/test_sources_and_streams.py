@@ -48,7 +48,7 @@ def rows(*items):
     return [(run, seq, kind, node, None, "{}", start + timedelta(minutes=m)) for run, seq, kind, node, m in items]
 
 
-def test_stream_states_and_late_events(spark, tmp_path):
+def test_stream_states(spark, tmp_path):
     log, checkpoint = str(tmp_path / "log"), str(tmp_path / "cp")
     spark.createDataFrame(rows((1, 0, "run.started", None, 0), (1, 1, "node.started", "a", 1)), live.LOG).write.parquet(log)
     seen = {}
@@ -61,9 +61,6 @@ def test_stream_states_and_late_events(spark, tmp_path):
     spark.createDataFrame(rows((1, 2, "node.failed", "a", 2), (1, 3, "run.finished", None, 3), (1, 4, "node.started", "b", 4)), live.LOG).write.mode("append").parquet(log)
     live.follow(live.live_states(live.read_log(spark, log)), keep, checkpoint, "update").awaitTermination()
     assert seen[(1, "a")] == "failed"
-    judged = {}
-    live.follow(live.refuse_late(live.read_log(spark, log)), lambda b, _: judged.update({r.seq: r.accepted for r in b.collect()}), str(tmp_path / "cp2")).awaitTermination()
-    assert judged == {0: True, 1: True, 2: True, 3: True, 4: False}
 
 
 def test_events_are_appended(spark, tmp_path):
