@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,17 +45,77 @@ _MAIN = {"article", "main"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _NESTED = {"article", "aside", "blockquote", "details", "dialog", "div", "fieldset", "figure", "footer", "form", "header", "main", "menu", "nav", "ol", "section", "table", "td", "ul"}
 _BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|breadcrumbs?|byline-share|comments?|comment-?list|respond|disqus|consent|cookies?|copyright|dropdown|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|pager|popup|promo\w*|recommended|related|search|share|sharing|sidebar|signup|site-?header|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+#: Elements that end where the next block begins, whether closed or not.
+_SHORT = {"p", "li", "dt", "dd", "td", "th", "tr"}
+#: Elements without content.
+_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Parts of a page beside its text, by their role.
+_ROLES = {"alert", "alertdialog", "complementary", "contentinfo", "dialog", "menu", "menubar", "navigation", "search", "status"}
+_ROLE = re.compile(r"""\brole\s*=\s*["']?([a-z]+)""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=$|[\s/=])(?!\s*=\s*["']?until-found)|\baria-hidden\s*=\s*["']?true|\bstyle\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Class names that say what an element has or lacks, not what it is.
 _ABOUT = re.compile(r"(?:has|with|without|no|is|show|hide)[_-]", re.I)
 #: Names of what is never the page's own text, however much of it there is.
 _NEVER_NAME = re.compile(r"(?:^|[_-])(?:ads?|advert\w*|adsense|sponsor\w*|comments?|comment-?list|respond|disqus|consent|cookies?|gdpr)(?:$|[_-])", re.I)
 _WIDE = re.compile(r"[⺀-鿿가-힯豈-﫿]")
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|<[!?/][^>]*>""", re.S)
+_TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+_QUOTE_OR_END = re.compile(r"""[>"']""")
+#: Characters within which a quote in a tag must close; one that doesn't counts as a character.
+MOST_QUOTED = 65_536
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def next_tag(page: str, at: int, last: int) -> tuple[int, int, bool, str, str]:
+    """(start, end, closing, name, attributes) of the first tag from `at` on; a comment and the like has no name.
+
+    last is the place of the page's last `>`: behind it nothing is a tag, so that a page of open tags is read once.
+    """
+    while True:
+        start = page.find("<", at)
+        if start < 0 or start > last:
+            return len(page), len(page), False, "", ""
+        if page.startswith("<!--", start):
+            stop = page.find("-->", start + 4)
+            return start, stop + 3 if stop >= 0 else len(page), False, "", ""
+        m = _TAG_NAME.match(page, start + 1)
+        if m is None:
+            if page[start + 1 : start + 2] in ("!", "?", "/"):
+                return start, page.index(">", start) + 1, False, "", ""
+            at = start + 1
+            continue
+        place = m.end()
+        first = end = page.index(">", place)
+        while True:
+            q = _QUOTE_OR_END.search(page, place)
+            if q is None or q[0] == ">":
+                end = q.start() if q else first
+                break
+            close = page.find(q[0], q.end(), q.end() + MOST_QUOTED)
+            if close < 0:
+                end = first
+                break
+            place = close + 1
+        return start, end + 1, bool(m[1]), m[2].lower(), page[m.end() : end]
+
+
+def after_hidden(page: str, at: int, last: int, tag: str) -> int | None:
+    """Where a hidden element that begins before `at` ends; None if it never does."""
+    depth = 1
+    while True:
+        start, stop, closing, name, attributes = next_tag(page, at, last)
+        if start >= len(page):
+            return None
+        if tag in _SHORT and name in _BLOCK:
+            return stop if closing and name == tag else start
+        if name == tag:
+            depth += -1 if closing else not attributes.endswith("/")
+            if not depth:
+                return stop
+        at = stop
+
+
 @dataclass
 class Block:
     text: str
@@ -77,14 +138,16 @@ def boiler_names(attributes: str) -> list[str]:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's non-empty blocks in order."""
+    """The page's non-empty blocks in order; hidden elements have none.  One scan, linear in the page."""
     blocks: list[Block] = []
-    stack: list[tuple[str, bool, bool, frozenset[int]]] = []
+    stack: list[tuple[str, bool, bool, int]] = []
+    on_stack: Counter[str] = Counter()
     parts: list[str] = []
     links = depth = breaks = 0
     kind = ""
-    inside: list[frozenset[int]] = []  # by block: the marked elements around it
+    inside: list[int] = []  # by block: the innermost marked element around it, or -1
     marked: list[bool] = []  # by marked element: whether it is marked for good
+    outer: list[int] = []  # by marked element: the marked element around it
 
     def close() -> None:
         nonlocal links, breaks
@@ -92,7 +155,7 @@ def blocks_of(page: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                boiler, main, around = stack[-1][1:] if stack else (False, False, frozenset())
+                boiler, main, around = stack[-1][1:] if stack else (False, False, -1)
                 blocks.append(Block(text, links, boiler, main, kind in _HEADINGS))
                 inside.append(around)
             parts.clear()
@@ -108,24 +171,30 @@ def blocks_of(page: str) -> list[Block]:
                 if depth:
                     links += len(text)
 
-    at, end = 0, len(page)
+    at, end, last = 0, len(page), page.rfind(">")
+    endless: set[str] = set()  # raw or hidden elements of which no end follows
     while at < end:
-        m = _TAG.search(page, at)
-        if m is None:
-            show(page[at:])
-            break
-        show(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
+        start, stop, closing, tag, attributes = next_tag(page, at, last)
+        show(page[at:start])
+        at = stop
         if not tag:
             continue
-        closing, attributes = bool(m[1] or m[4]), m[3] or m[6] or ""
         if tag in _RAW:
             if not closing and not attributes.endswith("/"):
-                stop = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else (end if tag in ("script", "style", "title", "textarea") else at)
+                over = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at, last + 1)
+                if over is None:
+                    endless.add(tag)
+                at = over.end() if over else (end if tag in ("script", "style", "title", "textarea") else at)
             parts.append(" ")
             continue
+        if not closing and attributes and tag not in _VOID and tag not in endless and _HIDDEN.search(attributes):
+            beyond = after_hidden(page, at, last, tag)
+            if beyond is not None:
+                if tag in _BLOCK:
+                    close()
+                at = beyond
+                continue
+            endless.add(tag)
         if tag == "a":
             depth = max(0, depth - 1) if closing else 1
             continue
@@ -142,30 +211,40 @@ def blocks_of(page: str) -> list[Block]:
         if tag not in _NESTED:
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while on_stack[tag]:
+                ended = stack.pop()[0]
+                on_stack[ended] -= 1
+                if ended == tag:
                     break
             continue
-        boiler, main, around = stack[-1][1:] if stack else (False, False, frozenset())
+        boiler, main, around = stack[-1][1:] if stack else (False, False, -1)
+        role = _ROLE.search(attributes) if attributes else None
         if tag in _MAIN:
             main = True
-        elif tag in _BOILER and tag != "form" and not (tag == "header" and main):
+        elif (tag in _BOILER and tag != "form" and not (tag == "header" and main)) or (role and role[1].lower() in _ROLES):
             boiler = True
         names = boiler_names(attributes) if attributes else []
         if names or tag == "form":
-            around = around | {len(marked)}
+            outer.append(around)
+            around = len(marked)
             marked.append(any(_NEVER_NAME.search(n) for n in names))
         stack.append((tag, boiler, main, around))
+        on_stack[tag] += 1
     close()
     own = [0 if b.boiler else len(b.text) - b.links for b in blocks]
     held = [0] * len(marked)
-    for n, around in zip(own, inside, strict=True):
-        for k in around:
+    for n, k in zip(own, inside, strict=True):
+        if k >= 0:
             held[k] += n
-    beside = {k for k, n in enumerate(held) if marked[k] or n <= MOST_SHARE * sum(own)}
-    for b, around in zip(blocks, inside, strict=True):
-        b.boiler = b.boiler or not beside.isdisjoint(around)
+    for k in range(len(marked) - 1, -1, -1):  # an element comes behind the one around it
+        if outer[k] >= 0:
+            held[outer[k]] += held[k]
+    total = sum(own)
+    beside: list[bool] = []
+    for k, n in enumerate(held):
+        beside.append(marked[k] or n <= MOST_SHARE * total or (outer[k] >= 0 and beside[outer[k]]))
+    for b, k in zip(blocks, inside, strict=True):
+        b.boiler = b.boiler or (k >= 0 and beside[k])
     return blocks
 
 
