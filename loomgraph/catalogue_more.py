@@ -415,3 +415,30 @@ def t03_report_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = lambda s: s.read.parquet(f"{sf_dir}/events.parquet").where("user_id % 7 = 0").select(F.col("user_id").alias("run_id"))
     live.follow(sent, reports.reporting(out, asked), f"{out}/progress").awaitTermination()
     return spark.read.parquet(f"{out}/answers").select("run_id", "appended", "cancelled")
+
+
+@query("""WITH p AS (SELECT o_custkey AS graph, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+ok AS (SELECT *, o.graph % 3 <> 0 AND n >= 3 AS done FROM p o)
+SELECT graph, 'node' AS what, CASE WHEN done AND nth = 2 THEN 'second' ELSE 'o' || k END AS id FROM ok WHERE NOT (done AND nth = 1) UNION ALL SELECT DISTINCT graph, 'node', 'fresh' FROM ok WHERE done
+UNION ALL SELECT graph, 'edge', 'e' || k FROM ok WHERE nth > 1 AND NOT (done AND nth = 2) UNION ALL SELECT DISTINCT graph, 'edge', 'extra' FROM ok WHERE done
+UNION ALL SELECT DISTINCT graph, 'refusal', CASE WHEN n < 3 THEN 'there is no node "none"' ELSE 'the update has no effect' END FROM ok WHERE NOT done""")
+def m01_op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each customer's orders as a graph, a chain; five ops on each in one log, of which some graphs' are refused."""
+    from loomgraph.operators import oplog
+
+    by = Window.partitionBy("o_custkey")
+    every = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("graph"), F.col("o_orderkey").alias("ord"), F.row_number().over(by.orderBy("o_orderkey")).alias("nth"), F.lag("o_orderkey").over(by.orderBy("o_orderkey")).alias("before"), F.count(F.lit(1)).over(by).alias("n"))
+    name = lambda k: F.concat(F.lit("o"), k.cast("string"))
+    nodes = every.select("graph", "ord", name(F.col("ord")).alias("id"), F.lit("code").alias("type"), F.create_map(F.lit("size"), F.lit("1")).alias("fields"))
+    edges = every.where("nth > 1").select("graph", "ord", F.concat(F.lit("e"), F.col("ord").cast("string")).alias("id"), F.lit("flow").alias("kind"), name(F.col("before")).alias("src"), name(F.col("ord")).alias("dst"), F.create_map().cast("map<string,string>").alias("fields"))
+    firsts = every.groupBy("graph").agg(F.min("ord").alias("a"), F.min(F.when(F.col("nth") == 2, F.col("ord"))).alias("b"), F.max("n").alias("n"))
+    first, second = name(F.col("a")), F.when(F.col("n") >= 3, name(F.col("b"))).otherwise("none")
+    texts = [
+        F.lit('{"op": "addNode", "node": {"id": "fresh", "type": "io"}}'), F.format_string('{"op": "removeNode", "id": "%s"}', first), F.format_string('{"op": "renameNode", "id": "%s", "to": "second"}', second),
+        F.lit('{"op": "addEdge", "edge": {"id": "extra", "kind": "flow", "src": "second", "dst": "fresh"}}'), F.when(F.col("graph") % 3 == 0, F.lit('{"op": "updateNode", "id": "second", "patch": {"size": "1"}}')).otherwise('{"op": "updateNode", "id": "second", "patch": {"size": "2"}}'),
+    ]
+    ops = firsts.select("graph", F.posexplode(F.array(*texts)).alias("ord", "op"))
+    layout = spark.createDataFrame([], f"graph {ops.schema['graph'].dataType.simpleString()}, id string, x double, y double")
+    after, links, _, outcomes = oplog.apply_op_log(nodes, edges, layout, ops)
+    rows = lambda df, what, c: df.select("graph", F.lit(what).alias("what"), F.col(c).alias("id"))
+    return rows(after, "node", "id").unionByName(rows(links, "edge", "id")).unionByName(rows(outcomes.where("refusal is not null"), "refusal", "refusal"))
