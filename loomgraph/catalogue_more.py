@@ -442,3 +442,19 @@ def m01_op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     after, links, _, outcomes = oplog.apply_op_log(nodes, edges, layout, ops)
     rows = lambda df, what, c: df.select("graph", F.lit(what).alias("what"), F.col(c).alias("id"))
     return rows(after, "node", "id").unionByName(rows(links, "edge", "id")).unionByName(rows(outcomes.where("refusal is not null"), "refusal", "refusal"))
+
+
+@query(f"""WITH {_PLACES} SELECT n_nationkey::BIGINT AS id, CASE n_nationkey % 7 WHEN 1 THEN 'leads nowhere' WHEN 3 THEN 'no such file' ELSE 'refers to a schema that is wrong' END AS why FROM places WHERE n_nationkey % 7 IN (1, 3)
+UNION ALL SELECT a.n_nationkey, 'refers to a schema that is wrong' FROM places a JOIN places b ON b.n_nationkey = a.n_nationkey - 1 WHERE a.n_nationkey % 7 IN (2, 4)""")
+def s13_schema_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' schemas: a tree of itself, a definition that is missing, a file that is missing, and files that refer to those before them."""
+    rows = places(spark, sf_dir)
+    key = F.col("n_nationkey")
+    kind = (key % 7).cast("int")
+    tree = '{"type": "object", "properties": {"next": {"$ref": "#"}, "leaf": {"$ref": "#/$defs/leaf"}}, "$defs": {"leaf": {"anyOf": [{"type": "null"}, {"$ref": "#/$defs/leaf"}]}}}'
+    before = F.format_string('{"items": {"$ref": "./NODE_%d.json"}, "allOf": [{"$ref": "#/items"}]}', key - 1)
+    known = rows.select((key + 1).alias("n_nationkey"), F.lit(True).alias("has_before"))
+    body = F.when(kind == 1, F.lit('{"$ref": "#/$defs/none", "$defs": {}}')).when(kind == 3, F.lit('{"not": {"$ref": "none.json"}}')).when(kind.isin(2, 4) & F.col("has_before"), before).otherwise(F.lit(tree))
+    files_ = rows.join(known, "n_nationkey", "left").select(F.concat(F.lit("schemas/"), "n_name", F.lit(".json")).alias("path"), body.alias("content"))
+    nodes = rows.select(key.alias("id"), F.lit("io").alias("type"), F.concat(F.lit("schemas/"), "n_name", F.lit(".json")).alias("schema"))
+    return validation.schemas(nodes, files_).select(F.col("node_id").cast("bigint").alias("id"), F.regexp_extract("message", "(leads nowhere|no such file|refers to a schema that is wrong)", 1).alias("why"))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import posixpath
 import re
 from collections.abc import Iterator
 from functools import reduce
+from urllib.parse import unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions.text import is_id, is_relative_path
 from loomgraph.operators.context import glob_matches
-from loomgraph.operators.graphs import cycles, with_ends
+from loomgraph.operators.graphs import closure, cycles, with_ends
+from loomgraph.sources.shared import stored
 
 COLUMNS = ("code", "severity", "node_id", "edge_id", "message")
 
@@ -160,15 +163,81 @@ SCHEMA_OF, SCHEMAS_OF, LISTS_OF = ("items", "contains", "additionalProperties",
 COUNTS = ("minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "minContains", "maxContains")
 
 
-def schema_problem(schema: object, at: str = "") -> str | None:
-    """What keeps a value from being a JSON Schema, or None."""
-    if isinstance(schema, bool):
+class SchemaDocument:
+    """A JSON Schema document: its own problem, and the references that lead to other documents.
+
+    References inside the document are followed, each place once, so that schemas that refer to themselves
+    or to one another end; a reference that leads nowhere is a problem.
+    """
+
+    def __init__(self, root: object) -> None:
+        self.root = root
+        self.outer: list[str] = []
+        self.anchors: dict[str, object] = {}
+        self._note(root)
+        self._judged: set[int] = set()
+        self.problem = self._judge(root, "")
+
+    def _note(self, value: object) -> None:
+        waiting = [value]
+        while waiting:
+            now = waiting.pop()
+            if isinstance(now, dict):
+                for key in ("$anchor", "$dynamicAnchor"):
+                    if isinstance(now.get(key), str):
+                        self.anchors[now[key]] = now
+                waiting += now.values()
+            elif isinstance(now, list):
+                waiting += now
+
+    def at(self, fragment: str) -> tuple[bool, object]:
+        """Whether a reference's fragment, without its #, leads to something, and to what."""
+        if fragment and not fragment.startswith("/"):
+            return fragment in self.anchors, self.anchors.get(fragment)
+        now = self.root
+        for part in fragment.split("/")[1:]:
+            key = unquote(part).replace("~1", "/").replace("~0", "~")
+            if isinstance(now, dict) and key in now:
+                now = now[key]
+            elif isinstance(now, list) and key.isdigit() and int(key) < len(now):
+                now = now[int(key)]
+            else:
+                return False, None
+        return True, now
+
+    def _judge(self, schema: object, at: str) -> str | None:
+        waiting = [(schema, at)]
+        while waiting:
+            schema, at = waiting.pop()
+            if isinstance(schema, bool) or id(schema) in self._judged:
+                continue
+            if not isinstance(schema, dict):
+                return f"{at or '/'} must be an object or a boolean"
+            self._judged.add(id(schema))
+            wrong = _wrong_keyword(schema)
+            if wrong:
+                return f"{at}/{wrong}"
+            for key in ("$ref", "$dynamicRef"):
+                ref = schema.get(key)
+                if ref is not None:
+                    if not isinstance(ref, str):
+                        return f"{at}/{key} has the wrong shape"
+                    if not ref.startswith("#"):
+                        self.outer.append(ref)
+                        continue
+                    there, target = self.at(ref[1:])
+                    if not there:
+                        return f"{at}/{key} {ref} leads nowhere"
+                    waiting.append((target, ref[1:]))
+            inner = [(k, schema[k]) for k in SCHEMA_OF if k in schema] + [(f"{k}/{n}", v) for k in SCHEMAS_OF for n, v in schema.get(k, {}).items()] + [(f"{k}/{n}", v) for k in LISTS_OF for n, v in enumerate(schema.get(k, []))]
+            waiting += [(v, f"{at}/{k}") for k, v in reversed(inner)]
         return None
-    if not isinstance(schema, dict):
-        return f"{at or '/'} must be an object or a boolean"
+
+
+def _wrong_keyword(schema: dict) -> str | None:
     kinds = schema.get("type", [])
-    if not set(kinds if isinstance(kinds, list) else [kinds]) <= JSON_TYPES:
-        return f"{at}/type is not a type"
+    if not (isinstance(kinds, (str, list)) and set(kinds if isinstance(kinds, list) else [kinds]) <= JSON_TYPES):
+        return "type is not a type"
     wrong = [k for k in COUNTS if k in schema and not (isinstance(schema[k], int) and schema[k] >= 0)]
     wrong += [k for k in ("required",) if k in schema and not (isinstance(schema[k], list) and all(isinstance(x, str) for x in schema[k]) and len(set(schema[k])) == len(schema[k]))]
     wrong += [k for k in ("enum",) if k in schema and not isinstance(schema[k], list)]
@@ -178,30 +247,60 @@ def schema_problem(schema: object, at: str = "") -> str | None:
             re.compile(schema["pattern"])
         except (re.error, TypeError):
             wrong.append("pattern")
-    if wrong:
-        return f"{at}/{wrong[0]} has the wrong shape"
-    inner = [(k, schema[k]) for k in SCHEMA_OF if k in schema] + [(f"{k}/{n}", v) for k in SCHEMAS_OF for n, v in schema.get(k, {}).items()] + [(f"{k}/{n}", v) for k in LISTS_OF for n, v in enumerate(schema.get(k, []))]
-    return next((found for k, v in inner if (found := schema_problem(v, f"{at}/{k}"))), None)
+    return f"{wrong[0]} has the wrong shape" if wrong else None
 
 
-def schemas(nodes: DataFrame, files: DataFrame) -> DataFrame:
-    """io nodes whose schema file is missing, is no JSON, or is no JSON Schema.  Each file is judged once."""
-    asked = nodes.where("type = 'io' AND schema IS NOT NULL").withColumn("path", F.col("schema"))
-    missing = missing_files(asked, files, "schema", "unresolved-schema")
+def schema_problem(schema: object) -> str | None:
+    """What keeps a value from being a JSON Schema, or None."""
+    return SchemaDocument(schema).problem
 
-    def judge(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def one(text: str) -> str | None:
+
+def _read_schemas(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Files to their problem and the references to other files, as (target, fragment)."""
+    for part in parts:
+        problems, refs = [], []
+        for path, text in zip(part["path"], part["content"], strict=True):
+            try:
+                document = SchemaDocument(json.loads(text))
+                problems.append(document.problem)
+                refs.append([{"ref": r, "target": posixpath.normpath(posixpath.join(posixpath.dirname(path), r.split("#")[0])), "fragment": r.partition("#")[2]} for r in dict.fromkeys(document.outer) if "://" not in r])
+            except (ValueError, RecursionError):
+                problems.append("is not valid JSON")
+                refs.append([])
+        yield pd.DataFrame({"path": part["path"], "problem": pd.Series(problems, dtype=object), "refs": refs})
+
+
+def _leads_nowhere(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """References with their target's text to those whose fragment is not there."""
+    for part in parts:
+        lost = []
+        for text, fragment in zip(part["content"], part["fragment"], strict=True):
             try:
-                return schema_problem(json.loads(text))
-            except ValueError:
-                return "is not valid JSON"
+                lost.append(not SchemaDocument(json.loads(text)).at(fragment)[0])
+            except (ValueError, RecursionError):
+                lost.append(False)  # the target's own problem
+        yield part.loc[lost, ["path", "ref"]]
+
 
-        for part in parts:
-            yield pd.DataFrame({"path": part["path"], "problem": part["content"].map(one)})
+def schemas(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """io nodes whose schema file is missing, is no JSON, or is no JSON Schema, itself or in a file that it refers to.
 
-    judged = files.join(asked.select("path").distinct(), "path", "left_semi").where("content is not null").select("path", "content").mapInPandas(judge, "path string, problem string").where("problem is not null")
-    bad = asked.join(judged, "path")
-    return missing.unionByName(_found(bad, "invalid-json-schema", F.format_string('%s: %s', "path", "problem"), node=F.col("id")))
+    Each file is read once.  References between files may run in circles; those to other hosts are not followed.
+    """
+    asked = nodes.where("type = 'io' AND schema IS NOT NULL").withColumn("path", F.col("schema"))
+    missing = missing_files(asked, files, "schema", "unresolved-schema")
+    wanted = files.where("content is not null").join(asked.select("path").distinct().withColumn("own", F.lit(True)), "path", "left").where(F.col("own") | F.col("path").endswith(".json"))
+    read = stored(wanted.select("path", "content").mapInPandas(_read_schemas, "path string, problem string, refs array<struct<ref: string, target: string, fragment: string>>"))
+    refs = read.select("path", F.inline("refs"))
+    said = read.where("problem is not null").select("path", "problem")
+    if not refs.isEmpty():
+        absent = refs.join(files.select(F.col("path").alias("target")), "target", "left_anti").select("path", F.format_string("$ref %s: no such file", "ref").alias("problem"))
+        met = refs.where("fragment <> ''").join(files.select(F.col("path").alias("target"), "content"), "target").select("path", "ref", "fragment", "content")
+        lost = met.mapInPandas(_leads_nowhere, "path string, ref string").select("path", F.format_string("$ref %s leads nowhere", "ref").alias("problem"))
+        said = said.unionByName(absent).unionByName(lost).groupBy("path").agg(F.min("problem").alias("problem"))
+        back = closure(said.select(F.col("path").alias("id")), refs.select(F.col("target").alias("src"), F.col("path").alias("dst")))
+        said = said.unionByName(back.where("depth > 0").select(F.col("id").alias("path"), F.lit("refers to a schema that is wrong").alias("problem")))
+    return missing.unionByName(_found(asked.join(said, "path"), "invalid-json-schema", F.format_string('%s: %s', "path", "problem"), node=F.col("id")))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:

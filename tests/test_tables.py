@@ -295,3 +295,20 @@ def test_emission_entries(spark):
 ])
 def test_source_issues(content, issues, has_run):
     assert emissions.source_issues(content, "other") == (issues, has_run)
+
+
+def test_schemas_with_references(spark):
+    files = spark.createDataFrame([
+        ("s/tree.json", '{"type": "object", "properties": {"children": {"items": {"$ref": "#"}}, "a~b": {"$ref": "#/$defs/x~1y"}}, "$defs": {"x/y": {"$ref": "#node"}, "z": {"$anchor": "node", "$ref": "#/properties/a~0b"}}}'),
+        ("s/lost.json", '{"properties": {"a": {"$ref": "#/$defs/no"}}}'), ("s/hidden.json", '{"$ref": "#/else/where", "else": true, "where": 1}'), ("s/odd.json", '{"$ref": "#/x-parts/0", "x-parts": [{"type": "text"}]}'),
+        ("s/a.json", '{"$ref": "sub/../b.json"}'), ("s/b.json", '{"$ref": "a.json#/$defs/here", "items": {"$ref": "a.json"}}'), ("s/c.json", '{"$ref": "tree.json#/$defs/z"}'), ("s/d.json", '{"allOf": [{"$ref": "c.json"}, {"$ref": "../t/none.json"}]}'), ("s/far.json", '{"$ref": "https://example.com/x.json"}'), ("s/type.json", '{"type": {}}'),
+    ], "path string, content string")
+    names = ["tree", "lost", "hidden", "odd", "a", "b", "c", "d", "far", "type"]
+    nodes = spark.createDataFrame([(n, "io", f"s/{n}.json") for n in names], "id string, type string, schema string")
+    got = {}
+    for r in validation.schemas(nodes, files).collect():
+        got.setdefault(r.node_id, set()).add(r.message.split(": ", 1)[1])
+    assert got == {
+        "lost": {"/properties/a/$ref #/$defs/no leads nowhere"}, "hidden": {"/$ref #/else/where leads nowhere"}, "odd": {"/x-parts/0/type is not a type"}, "b": {"$ref a.json#/$defs/here leads nowhere"},
+        "a": {"refers to a schema that is wrong"}, "d": {"$ref ../t/none.json: no such file"}, "type": {"/type is not a type"},
+    }
