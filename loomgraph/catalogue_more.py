@@ -458,3 +458,28 @@ def s13_schema_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     files_ = rows.join(known, "n_nationkey", "left").select(F.concat(F.lit("schemas/"), "n_name", F.lit(".json")).alias("path"), body.alias("content"))
     nodes = rows.select(key.alias("id"), F.lit("io").alias("type"), F.concat(F.lit("schemas/"), "n_name", F.lit(".json")).alias("schema"))
     return validation.schemas(nodes, files_).select(F.col("node_id").cast("bigint").alias("id"), F.regexp_extract("message", "(leads nowhere|no such file|refers to a schema that is wrong)", 1).alias("why"))
+
+
+@query("""WITH d AS (SELECT doc_id, doc_id % 6 AS k, lang, source FROM documents), found AS (
+SELECT doc_id, '/spec/nodes/1/direction' AS pointer, 'n' || doc_id AS node FROM d WHERE k = 0
+UNION ALL SELECT doc_id, '/spec/edges/0/kind', NULL FROM d WHERE k = 0 AND lang <> 'en'
+UNION ALL SELECT doc_id, '/spec/nodes/0/impl', 's' || doc_id FROM d WHERE k = 1
+UNION ALL SELECT doc_id, '/spec/maxTurns', NULL FROM d WHERE k = 2 AND lang <> 'de'
+UNION ALL SELECT doc_id, '/spec/promptFile', NULL FROM d WHERE k = 2
+UNION ALL SELECT doc_id, '/kind', NULL FROM d WHERE k = 3 UNION ALL SELECT doc_id, '', NULL FROM d WHERE k = 4)
+SELECT doc_id || '.yaml' AS file, pointer, node FROM found""")
+def g18_manifest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest for each document: graphs, compositions, agents, one of another kind, one that does not parse, one that is right."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("doc_id").cast("string").alias("name"))
+    head = '{"apiVersion": "v1", "metadata": {"id": "m"}, "kind": "%s", "spec": %s}'
+    bodies = {
+        0: ("Graph", '{"nodes": [{"id": "a", "type": "code"}, {"id": "n@", "type": "io", "direction": "both"}], "edges": [{"id": "e", "kind": "@lang", "from": {"node": "a"}, "to": {"node": "a"}}]}'),
+        1: ("Composition", '{"nodes": [{"id": "s@", "type": "service", "impl": {"graph": "g.yaml", "entrypoint": "m.py"}}]}'), 2: ("Agent", '{"promptFile": "/p@.md", "maxTurns": "@turns"}'), 3: ("Plan", "{}"), 5: ("Agent", '{"promptFile": "p@.md", "maxTurns": 4}'),
+    }
+    text = F.when(F.col("doc_id") % 6 == 4, F.lit("{"))
+    for k, (kind, body) in bodies.items():
+        text = text.when(F.col("doc_id") % 6 == k, F.lit(head % (kind, body)))
+    turns = F.when(F.col("lang") == "de", "3").otherwise('"x"')
+    text = F.replace(F.replace(F.replace(text, F.lit("@lang"), F.when(F.col("lang") == "en", "flow").otherwise("other")), F.lit('"@turns"'), turns), F.lit("@"), F.col("name"))
+    found = validation.manifest_issues(docs.select(F.concat("name", F.lit(".yaml")).alias("path"), text.alias("document")))
+    return found.select("file", "pointer", F.col("node_id").alias("node"))

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.shapes import MANIFESTS, issue
 from loomgraph.functions.text import is_id, is_relative_path
 from loomgraph.operators.context import glob_matches
 from loomgraph.operators.graphs import closure, cycles, with_ends
@@ -157,6 +158,27 @@ def malformed(documents: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataF
     return _all([unread, _broken(nodes, "nodes", node_tests), _broken(edges, "edges", edge_tests)])
 
 
+UNREAD = "does not parse"
+
+
+def manifest_issues(documents: DataFrame) -> DataFrame:
+    """(file, pointer, message, node_id, edge_id) of documents (path, document as JSON) that are no composition, graph
+    or agent by their shape; a null document does not parse.  The ids are those of the node or edge with the issue."""
+    parsed = documents.select(F.col("path").alias("file"), F.try_parse_json("document").alias("v"))
+    found = F.when(F.col("v").isNull(), issue(F.lit(""), UNREAD)).otherwise(MANIFESTS.issues(F.col("v"), F.lit("")))
+    part = lambda name: F.try_variant_get("v", f"$.spec.{name}", "array<variant>")
+    rows = parsed.select("file", part("nodes").alias("nodes"), part("edges").alias("edges"), F.explode(found).alias("issue"))
+    nth = lambda name: F.regexp_extract("issue.pointer", f"^/spec/{name}/(\\d+)(/|$)", 1)
+    own = lambda name: F.when(nth(name) != "", F.try_variant_get(F.get(name, F.when(nth(name) != "", nth(name)).cast("int")), "$.id", "string"))
+    return rows.select("file", "issue.pointer", "issue.message", own("nodes").alias("node_id"), own("edges").alias("edge_id"))
+
+
+def invalid_manifests(documents: DataFrame) -> DataFrame:
+    """The same as rows of a rule, one for each issue; the message is file, pointer and what is wrong, or the file alone if it does not parse."""
+    message = F.when(F.col("message") == UNREAD, F.concat("file", F.lit("#"))).otherwise(F.format_string("%s#%s %s", "file", "pointer", "message"))
+    return _found(manifest_issues(documents), "invalid-manifest", message, node=F.concat("file", F.lit("#"), "node_id"), edge=F.concat("file", F.lit("#"), "edge_id"))
+
+
 # The simple types of JSON Schema, and keywords by the shape of their values.
 JSON_TYPES = {"null", "boolean", "object", "array", "number", "integer", "string"}
 SCHEMA_OF, SCHEMAS_OF, LISTS_OF = ("items", "contains", "additionalProperties", "propertyNames", "not", "if", "then", "else"), ("properties", "patternProperties", "$defs", "dependentSchemas"), ("allOf", "anyOf", "oneOf", "prefixItems")

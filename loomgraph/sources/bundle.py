@@ -42,7 +42,7 @@ def load(files: DataFrame) -> Bundle:
     scoped = lambda df, *cols: df.select(*[F.concat("graph_path", F.lit("#"), F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
     own_nodes, own_edges = scoped(nodes, "id"), scoped(edges, "id", "src", "dst")
     rules = validation.validate_graph(own_nodes, own_edges, files)
-    more = [validation.malformed(docs, nodes, edges), validation.schemas(own_nodes, files), validation.containment_cycles(references(nodes))]
+    more = [validation.invalid_manifests(docs), validation.schemas(own_nodes, files), validation.containment_cycles(references(nodes))]
     services, routes = composition_tables(docs)
     in_file = lambda df, *cols: df.select(*[F.concat("file", F.lit("#"), F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns])
     named = in_file(services, "id")
