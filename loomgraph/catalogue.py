@@ -652,14 +652,14 @@ def e07_tool_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def e08_turn_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An agent with three turns, whose client calls a tool as often as the conversation has answers."""
 
-    def client(messages: list, tools: list) -> agents.Reply:
+    async def client(messages: list, tools: list) -> agents.Reply:
         answered = sum(m["role"] == "assistant" for m in messages)
         return agents.Reply(calls=((str(answered), "echo", {}),)) if answered < int(messages[1]["content"]) else agents.Reply("done")
 
     turns = F.count_if(F.col("role") == "assistant")
     runs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("input"))
     graph = Graph((Node("in", "io", {"direction": "in"}), Node("bot", "agent", {"ref": "bot"}), Node("out", "io", {"direction": "out"})), (Edge("a", "flow", "in", "bot"), Edge("b", "flow", "bot", "out")))
-    bot = Step(function=agents.agent(client, "answer", [agents.Tool("echo", lambda given: given)], most_turns=3), returns="string", deterministic=False)
+    bot = Step(batch=agents.in_lockstep(agents.awaited(client), "answer", [agents.Tool("echo", lambda given: given)], most_turns=3), returns="string", deterministic=False)
     done = compile_graph(runs, "g", {"g": graph}, {}, {"bot": bot}).result("conv_id", "input")
     return done.select("conv_id", F.col("input").alias("turns"), F.col("failed").isNotNull().alias("over"))
 

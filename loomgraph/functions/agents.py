@@ -1,10 +1,14 @@
-"""Agents as steps: a bounded loop of replies and tool calls around an injected client, one conversation a row."""
+"""Agents as steps: a bounded loop of replies and tool calls around an injected client, one conversation a row.
+
+agent() runs a row at a time; in_lockstep() runs all rows of a batch, a round for each turn.
+"""
 
 from __future__ import annotations
 
 import ast
+import asyncio
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Awaitable, Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any, Protocol, get_args
 
@@ -13,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.contracts import ContractError, Module, contract
-from loomgraph.functions.text import glob_regex
 
 MOST_TURNS = 8
 
@@ -137,6 +140,65 @@ def agent(client: Client, prompt: str, tools: list[Tool], most_turns: int = MOST
     return run
 
 
+class Clients(Protocol):
+    """A model for many conversations at once: a reply, or an exception, for each."""
+
+    def __call__(self, conversations: list[list[dict[str, Any]]], tools: list[Tool]) -> list[Reply | Exception]: ...
+
+
+def awaited(client: Callable[[list[dict[str, Any]], list[Tool]], Awaitable[Reply]], at_once: int = 100) -> Clients:
+    """An asynchronous client of one conversation as one of many: up to at_once requests are under way together."""
+
+    def run(conversations: list[list[dict[str, Any]]], tools: list[Tool]) -> list[Reply | Exception]:
+        async def every() -> list[Reply | Exception]:
+            gate = asyncio.Semaphore(at_once)
+
+            async def one(messages: list[dict[str, Any]]) -> Reply:
+                async with gate:
+                    return await client(messages, tools)
+
+            return await asyncio.gather(*map(one, conversations), return_exceptions=True)
+
+        return asyncio.run(every())
+
+    return run
+
+
+def in_lockstep(clients: Clients, prompt: str, tools: list[Tool], most_turns: int = MOST_TURNS, strict: bool = True, on_event: Callable[[str, dict[str, Any]], None] | None = None) -> Callable[[list[Any]], list[Any]]:
+    """A function of a batch of values, for Step(batch=...): in each round the conversations that are still open
+    are asked together, so a batch takes as many rounds as its longest conversation has turns.
+
+    A conversation that fails, or has no conclusion after most_turns, gives an exception in its place.
+    """
+    by_name = {t.name: t for t in tools}
+    tell = on_event or (lambda *_: None)
+
+    def run(values: list[Any]) -> list[Any]:
+        talks = [[{"role": "system", "content": prompt}, {"role": "user", "content": v if isinstance(v, str) else json.dumps(v, default=str)}] for v in values]
+        out: list[Any] = [RuntimeError(f"the agent used its {most_turns} turns without a conclusion")] * len(values)
+        open_ = list(range(len(values)))
+        for _ in range(most_turns):
+            if not open_:
+                break
+            replies = clients([talks[k] for k in open_], tools)
+            still = []
+            for k, reply in zip(open_, replies, strict=True):
+                if isinstance(reply, Exception):
+                    out[k] = reply
+                elif not reply.calls:
+                    out[k] = conclusion(reply.text)
+                else:
+                    talks[k].append({"role": "assistant", "content": reply.text, "calls": reply.calls})
+                    for call, name, given in reply.calls:
+                        tell("node.tool_call", {"tool": name, "input": given})
+                        talks[k].append({"role": "tool", "id": call, "content": _answer(by_name.get(name), name, given, strict, tell)})
+                    still.append(k)
+            open_ = still
+        return out
+
+    return run
+
+
 def _answer(tool: Tool | None, name: str, given: Any, strict: bool, tell: Callable[[str, dict[str, Any]], None]) -> str:
     wrong = tool.complaint(given) if tool else f"there is no tool {name}"
     if wrong and (strict or not tool):

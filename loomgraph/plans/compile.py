@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import asyncio
 import inspect
-from collections.abc import Callable
+from collections.abc import Awaitable, Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from loomgraph.plans.graph import Graph, GraphError
 
@@ -26,6 +29,8 @@ class Step:
 
     native: Native | None = None
     function: Callable[[Any], Any] | None = None
+    #: A function of all values of an Arrow batch; an exception among its results is that row's error.
+    batch: Callable[[list[Any]], list[Any]] | None = None
     returns: str = "string"
     #: Agents: not to be evaluated again at will.
     deterministic: bool = True
@@ -34,7 +39,10 @@ class Step:
         """The result and the error, one of them null."""
         if self.native is not None:
             return self.native(value), F.lit(None).cast("string")
-        both = _guarded(self.function, self.returns, self.deterministic)(value)
+        if self.batch is not None or inspect.iscoroutinefunction(self.function):
+            both = _together(self.batch or gathered(self.function), self.returns, self.deterministic)(value)
+        else:
+            both = _guarded(self.function, self.returns, self.deterministic)(value)
         return both["value"], both["error"]
 
 
@@ -52,6 +60,55 @@ def _guarded(function: Callable[[Any], Any], returns: str, deterministic: bool)
     return made if deterministic else made.asNondeterministic()
 
 
+#: Calls of one batch that are under way together.
+AT_ONCE = 100
+
+
+def gathered(function: Callable[[Any], Awaitable[Any]], at_once: int = AT_ONCE) -> Callable[[list[Any]], list[Any]]:
+    """An asynchronous function of one value as one of a batch, whose calls are awaited together."""
+
+    def run(values: list[Any]) -> list[Any]:
+        async def every() -> list[Any]:
+            gate = asyncio.Semaphore(at_once)
+
+            async def one(value: Any) -> Any:
+                async with gate:
+                    return await function(value)
+
+            return await asyncio.gather(*map(one, values), return_exceptions=True)
+
+        return asyncio.run(every())
+
+    return run
+
+
+def _together(batch: Callable[[list[Any]], list[Any]], returns: str, deterministic: bool) -> Callable[[Column], Column]:
+    shape = DataType.fromDDL(f"struct<value: {returns}, error: string>")
+    kind = to_arrow_type(shape)
+
+    def run(values: pa.Array) -> pa.Array:
+        given = values.to_pylist()
+        try:
+            got = batch(given)
+        except Exception as error:  # noqa: BLE001  a step's own failure is data
+            got = [error] * len(given)
+        rows = [{"value": None, "error": str(x) or type(x).__name__} if isinstance(x, Exception) else {"value": x, "error": None} for x in got]
+        try:
+            return pa.array(rows, kind)
+        except (pa.ArrowInvalid, pa.ArrowTypeError):  # a result of another type is its row's error
+            return pa.chunked_array([_row(r, kind) for r in rows], kind).combine_chunks()
+
+    made = F.arrow_udf(run, shape)
+    return made if deterministic else made.asNondeterministic()
+
+
+def _row(row: dict[str, Any], kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array([row], kind)
+    except (pa.ArrowInvalid, pa.ArrowTypeError) as error:
+        return pa.array([{"value": None, "error": str(error)}], kind)
+
+
 @dataclass
 class Compiled:
     """frame: the runs with a column for each node; outputs: io-out id to its column; events: the static steps."""

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomgraph.functions import agents
 from loomgraph.plans import classify
 from loomgraph.plans.compile import Step, compile_graph
 from loomgraph.plans.graph import Graph, GraphError
+from loomgraph.sources import files
 
 
 def edge(i, src, dst, kind="flow"):
@@ -172,3 +176,56 @@ def test_an_unknown_node_type_cannot_run(spark):
     g = {"g": graph([IN, {"id": "x", "type": "odd"}], [edge("1", "in", "x")])}
     with pytest.raises(GraphError, match="cannot run as odd"):
         compile_graph(spark.createDataFrame([(1, 3)], "run long, input long"), "g", g, {})
+
+
+def test_a_step_is_small_however_large_the_project(spark):
+    import pickle
+
+    from loomgraph.plans.steps import load_steps
+
+    small = {"steps/one.py": "from lib.big import TEXT\n\n\ndef size(value: str) -> int:\n    return len(TEXT) + len(value)\n", "lib/big.py": "TEXT = 'x'\n"}
+    large = small | {"lib/big.py": f"TEXT = '{'x' * 3_000_000}'\n"}
+    sizes = []
+    for texts, wanted in ((small, 3), (large, 3_000_002)):
+        step = load_steps(files.in_memory(spark, texts), ["steps/one.py"])["steps/one.py"]
+        sizes.append(len(pickle.dumps(step.function)))
+        value, error = step.apply(F.lit("ab"))
+        assert [tuple(r) for r in spark.range(2).select(value, error).collect()] == [(wanted, None)] * 2
+    assert sizes[0] == sizes[1] < 1000
+
+
+def test_calls_of_a_batch_are_awaited_together(spark):
+    async def slow(value):
+        await asyncio.sleep(0.1)
+        if value == 3:
+            raise ValueError("three")
+        return value + 1 if value != 4 else "four"
+
+    value, error = Step(function=slow, returns="bigint").apply(F.col("id"))
+    began = time.perf_counter()
+    got = [tuple(r) for r in spark.range(0, 200, 1, 1).select("id", value, error).collect()]
+    assert time.perf_counter() - began < 10  # one after the other they take 20 seconds
+    assert got[:3] == [(0, 1, None), (1, 2, None), (2, 3, None)] and got[3] == (3, None, "three") and got[4][1] is None and got[4][2] and got[199] == (199, 200, None)
+
+
+def test_agents_in_lockstep_take_a_round_for_each_turn():
+    rounds, under_way, most = [], 0, 0
+
+    async def one(messages, tools):
+        nonlocal under_way, most
+        under_way += 1
+        most = max(most, under_way)
+        await asyncio.sleep(0.01)
+        under_way -= 1
+        answered, wanted = sum(m["role"] == "assistant" for m in messages), json.loads(messages[1]["content"])
+        if wanted < 0:
+            raise RuntimeError("no model")
+        return agents.Reply(calls=((str(answered), "echo", {"n": answered}), ("x", "none", {}))) if answered < wanted else agents.Reply('{"turns": %d}' % answered)
+
+    clients = agents.awaited(one)
+    run = agents.in_lockstep(lambda talks, tools: (rounds.append(len(talks)), clients(talks, tools))[1], "p", [agents.Tool("echo", lambda given: given)], most_turns=5)
+    got = run([0, 2, 4, -1, 9, 0])
+    assert [g for g in got if not isinstance(g, Exception)] == [{"turns": 0}, {"turns": 2}, {"turns": 4}, {"turns": 0}]
+    assert str(got[3]) == "no model" and "5 turns" in str(got[4])
+    assert rounds == [6, 3, 3, 2, 2] and most == 6
+    assert run([]) == []
