@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.catalogue import _cases, _FILES, _KINDS, _LOG, _PLACES, _RING, _sources, base_files, log, pending, places, query, ring, table
 from loomgraph.functions import agents, contracts, text
-from loomgraph.operators import context, emissions, graphs, mutations, overlay, projects, runlog, validation
+from loomgraph.operators import context, emissions, graphs, mutations, overlay, projects, runlog, splices, validation
 from loomgraph.sources import files
 from loomgraph.sources.shared import shared_dir
 from loomgraph.streaming import reports, source, state
@@ -483,3 +483,19 @@ def g18_manifest_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.replace(F.replace(text, F.lit("@lang"), F.when(F.col("lang") == "en", "flow").otherwise("other")), F.lit('"@turns"'), turns), F.lit("@"), F.col("name"))
     found = validation.manifest_issues(docs.select(F.concat("name", F.lit(".yaml")).alias("path"), text.alias("document")))
     return found.select("file", "pointer", F.col("node_id").alias("node"))
+
+
+@query("""WITH d AS (SELECT doc_id, COALESCE(text, '') AS t, doc_id % 4 AS k FROM documents)
+SELECT doc_id, CASE WHEN k = 1 THEN t WHEN length(t) < 40 THEN t WHEN k = 2 THEN '<' || t || '>' ELSE 'head ' || substr(t, 1, 10) || '[' || substr(t, 21, 10) || 'x' || 'y' || substr(t, 31) END AS content,
+CASE WHEN k = 1 THEN CASE WHEN length(t) < 40 THEN 'a span is outside the text' ELSE 'spans overlap' END WHEN length(t) < 40 THEN 'a span is outside the text' END AS refusal FROM d""")
+def m09_splices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edits of every document: replaced and inserted spans, spans that overlap, and spans beyond short texts."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    kind, size = F.col("path") % 4, F.greatest(F.length("content"), F.lit(40))
+    edit = lambda start, end, order, text_: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(order).alias("ord"), F.lit(text_).alias("text"))
+    at = F.lit
+    several = F.array(edit(at(30), at(30), 1, "x"), edit(at(10), at(20), 2, "["), edit(at(30), at(30), 3, "y"), edit(at(0), at(0), 4, "head "), edit(size, size, 5, ""))
+    around = F.array(edit(size, size, 1, ">"), edit(at(0), at(0), 2, "<"))
+    overlap = F.array(edit(at(5), at(12), 1, "a"), edit(at(11), at(14), 2, "b"), edit(size, size, 3, ""))
+    edits = docs.select("path", F.inline(F.when(kind == 1, overlap).when(kind == 2, around).otherwise(several)))
+    return splices.spliced(docs, edits).join(splices.refusals(docs, edits), "path", "left").select(F.col("path").alias("doc_id"), "content", "refusal")
