@@ -117,7 +117,7 @@ spec:
 """
     agent = "kind: Agent\nmetadata: { id: bot, name: Bot }\nspec: { promptFile: agents/bot/prompt.md, maxTurns: 3 }\n"
     got = bundle.load(files.in_memory(spark, {"app.yaml": app, "agents/bot/agent.yaml": agent}))
-    assert {(r.code, r.file, r.node_id or r.edge_id) for r in got.diagnostics.collect()} == {("exposes-non-service", "app.yaml", "api"), ("calls-non-service", "app.yaml", "job"), ("unresolved-ref", "app.yaml", "svc"), ("edge-kind-bad-source", "app.yaml", "b")}
+    assert {(r.code, r.file, r.node_id or r.edge_id) for r in got.diagnostics.collect()} == {("exposes-non-service", "app.yaml", "api"), ("calls-non-service", "app.yaml", "job"), ("unresolved-ref", "app.yaml", "svc"), ("edge-kind-bad-source", "app.yaml", "b")} | {("invalid-manifest", f, n) for f, n in (("app.yaml", None), ("app.yaml", "job"), ("agents/bot/agent.yaml", None))}  # no version, no metadata, no trigger
     assert [tuple(r) for r in got.agents.collect()] == [("agents/bot/agent.yaml", "bot", "Bot", None, "agents/bot/prompt.md", 3)]
 
 
