@@ -9,9 +9,9 @@ behind the other, does each such meeting cost a round.  Every round cuts the lin
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable, Hashable, Iterable
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -177,7 +177,7 @@ def strong_components(edges: DataFrame) -> DataFrame:
     layers: list[tuple[DataFrame, DataFrame]] = []
     while not core.isEmpty():
         size = core.count()
-        core = _kept(_trimmed(core))
+        core = _kept(_trimmed(_trimmed(core)))
         shorter = _contracted(core)
         if shorter is not None:
             core, members, chains, rings = shorter
@@ -224,11 +224,25 @@ def cycles(edges: DataFrame) -> DataFrame:
     own = edges.where("src = dst").select("src").distinct().select(F.array("src", "src").alias("path"))
     inside = edges.select("src", "dst").where("src <> dst").distinct().join(parts.withColumnRenamed("id", "src"), "src").join(parts.withColumnsRenamed({"id": "dst", "component": "c"}), "dst").where("component = c")
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        after = _links(sorted(zip(part["src"], part["dst"], strict=True)))
-        return pd.DataFrame({"path": list(_closed_ways(after))})
-
-    return inside.select("component", "src", "dst").groupBy("component").applyInPandas(run, f"path array<{kind}>").unionByName(own)
+    sorted_ = inside.select("component", "src", "dst").repartition("component").sortWithinPartitions("component", "src", "dst")
+    return sorted_.mapInArrow(_ways_of_components, f"path array<{kind}>").unionByName(own)
+
+
+def _ways_of_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges in order of component, src and dst to the components' closed ways."""
+    now, waiting, kind = None, [], None
+    for batch in batches:
+        kind = pa.list_(batch.schema.field("src").type)
+        paths: list[list] = []
+        for component, src, dst in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if component != now and waiting:
+                paths += _closed_ways(_links(waiting))
+                waiting = []
+            now = component
+            waiting.append((src, dst))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, kind)], names=["path"])
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(list(_closed_ways(_links(waiting))), kind)], names=["path"])
 
 
 def _closed_ways(after: dict[Hashable, list]) -> Iterable[list]:
