@@ -319,12 +319,13 @@ several AS (SELECT lang, piece, count(*) AS m FROM pieces GROUP BY lang, piece),
 w AS (SELECT lang, m, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM several),
 totals AS (SELECT lang, sum(m * len(w))::BIGINT AS n FROM w GROUP BY lang),
 grams AS (SELECT lang, m, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (VALUES {lengths}) AS t(k) WHERE len(w) >= k),
-f AS (SELECT lang, k, phrase, sum(m)::BIGINT AS n FROM grams GROUP BY lang, k, phrase HAVING sum(m) >= {least}),
+f AS MATERIALIZED (SELECT lang, k, phrase, sum(m)::BIGINT AS n FROM grams GROUP BY lang, k, phrase HAVING sum(m) >= {least}),
 c AS (SELECT lang, k, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
 inner_ AS (SELECT c.lang, c.a AS longer, array_to_string(c.w[i.i:i.i + j.k - 1], ' ') AS phrase FROM c, (VALUES {lengths}) AS i(i), (VALUES {lengths}) AS j(k) WHERE j.k > 1 AND j.k < c.k AND i.i + j.k - 1 <= c.k),
 kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inner_ WHERE inner_.lang = c.lang AND inner_.phrase = c.phrase AND 100::HUGEINT * longer >= {share}::HUGEINT * a)),
-cuts AS (SELECT kept.lang, kept.phrase, a, t.j, l.n AS l, r.n AS r, ({scale}::HUGEINT * a // (l.n + r.n))::BIGINT AS score FROM kept JOIN (VALUES {lengths}) AS t(j) ON t.j < kept.k
-  JOIN f l ON l.lang = kept.lang AND l.phrase = array_to_string(kept.w[1:t.j], ' ') JOIN f r ON r.lang = kept.lang AND r.phrase = array_to_string(kept.w[t.j + 1:], ' ')),
+parts AS (SELECT kept.lang, kept.phrase, a, t.j, array_to_string(kept.w[1:t.j], ' ') AS head, array_to_string(kept.w[t.j + 1:], ' ') AS tail FROM kept JOIN (VALUES {lengths}) AS t(j) ON t.j < kept.k),
+cuts AS (SELECT parts.lang, parts.phrase, a, parts.j, l.n AS l, r.n AS r, ({scale}::HUGEINT * a // (l.n + r.n))::BIGINT AS score FROM parts
+  JOIN f l ON l.lang = parts.lang AND l.phrase = parts.head JOIN f r ON r.lang = parts.lang AND r.phrase = parts.tail),
 low AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS nth FROM cuts),
 ranked AS (SELECT lang, phrase, a, l, r, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low WHERE nth = 1)
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= {top}"""
