@@ -196,7 +196,9 @@ def apply_op_log(nodes: DataFrame, edges: DataFrame, layout: DataFrame, ops: Dat
     rows = tagged(mine(nodes), "node", id="id", type="type", fields="fields", **(order if "ord" in nodes.columns else {}))
     rows = rows.unionByName(tagged(mine(edges), "edge", id="id", kind="kind", src="src", dst="dst", fields="fields", **(order if "ord" in edges.columns else {})))
     rows = rows.unionByName(tagged(mine(layout), "place", id="id", x="x", y="y")).unionByName(tagged(ops, "zop", text="op", ord="ord"))
-    sorted_ = rows.repartition("graph").sortWithinPartitions("graph", "what", "ord", "id")
+    # By a hash of the graph: the union's parts are dealt by graph already, and Spark, which then leaves out a
+    # repartition by it, merges each part's partitions in its own way.
+    sorted_ = rows.repartition(F.xxhash64("graph")).sortWithinPartitions("graph", "what", "ord", "id")
     done = stored(sorted_.mapInArrow(_folded, f"graph {kind}, {_ROW}"))
     rest = lambda df, columns: df.join(asked, "graph", "left_anti").select("graph", *columns)
     after = lambda df, what, columns: rest(df, columns).unionByName(done.where(F.col("what") == what).select("graph", *columns))

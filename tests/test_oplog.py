@@ -73,3 +73,22 @@ def test_ten_thousand_graphs_in_one_plan(spark):
     after, links, places, outcomes = oplog.apply_op_log(nodes, edges, spark.createDataFrame([], PLACES), ops)
     assert {(r.id, r["count"]) for r in after.groupBy("id").count().collect()} == {("start", 10_000), ("c", 10_000)}
     assert links.count() == 0 and places.count() == 10_000 and outcomes.where("refusal is null").count() == 10_000
+
+
+def test_a_graph_goes_to_one_task_when_its_tables_are_dealt_already(spark, monkeypatch):
+    """The parts of the union are dealt by graph, which is no deal of their union once each merges its partitions."""
+    plans, stored = [], oplog.stored
+    monkeypatch.setattr(oplog, "stored", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), stored(df))[1])
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        names = spark.range(30).selectExpr("concat('g', id) AS graph").groupBy("graph").count().drop("count")
+        nodes = names.selectExpr("graph", "explode(array('a', 'b')) AS id", "'code' AS type", "cast(map() AS map<string,string>) AS fields")
+        edges = names.selectExpr("graph", "'e' AS id", "'flow' AS kind", "'a' AS src", "'b' AS dst", "cast(map() AS map<string,string>) AS fields")
+        ops = names.selectExpr("graph", "0 AS ord", """'{"op": "removeNode", "id": "a"}' AS op""")
+        after, links, _, outcomes = oplog.apply_op_log(nodes, edges, spark.createDataFrame([], PLACES), ops)
+        assert (after.count(), links.count(), outcomes.where("refusal is null").count()) == (30, 0, 30)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    head = plans[0].split("Union")[0]
+    assert "MapInArrow" in head and "Exchange hashpartitioning" in head
