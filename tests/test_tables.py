@@ -312,3 +312,16 @@ def test_schemas_with_references(spark):
         "lost": {"/properties/a/$ref #/$defs/no leads nowhere"}, "hidden": {"/$ref #/else/where leads nowhere"}, "odd": {"/x-parts/0/type is not a type"}, "b": {"$ref a.json#/$defs/here leads nowhere"},
         "a": {"refers to a schema that is wrong"}, "d": {"$ref ../t/none.json: no such file"}, "type": {"/type is not a type"},
     }
+
+
+def test_rounds_follow_the_longest_ring_and_not_the_number_of_nodes(spark, monkeypatch):
+    rounds, kept = [], graphs._kept
+    monkeypatch.setattr(graphs, "_kept", lambda df: (rounds.append(1), kept(df))[1])
+    rings = spark.range(8000).selectExpr("id AS src", "id - id % 4 + (id + 1) % 4 AS dst")
+    assert graphs.strong_components(rings).groupBy("component").count().where("count = 4 AND component % 4 = 0").count() == 2000
+    assert len(rounds) < 18
+    rounds.clear()
+    # Without a cycle and with 48 layers, which a trim at both ends takes off two at a time.
+    layers = spark.range(48 * 48).selectExpr("id div 48 AS src", "id % 48 AS dst").where("src < dst")
+    assert graphs.strong_components(layers).isEmpty()
+    assert len(rounds) < 18
