@@ -1,11 +1,14 @@
 """Line dedup by pairwise alignment through shared rare line hashes.
 
 A line of LEAST_WORDS words or more counts alone; shorter ones count together with their neighbours, as
-the shortest runs of lines that have the words.  Lines and runs are hashed to seeds.  Of the documents that
-have a seed, the first HOLDERS propose themselves to all later ones, so a rare seed pairs all that have it
-and a common one adds no more pairs than documents.  Each pair is aligned once, on every seed that the two
-share, with patience diff; only what is aligned goes from the later document.  A block that stands
-elsewhere in the earlier document stays, unless it is aligned with another one.
+the shortest runs of lines that have the words.  Lines and runs are hashed to seeds.  A pair of documents is
+aligned on every seed that the two share, with patience diff; what is aligned goes from the later one.  A
+block that stands elsewhere in the earlier document stays, unless it is aligned with another one.
+
+A document loses all that any earlier one with a common seed is aligned on, but not all pairs need a look: of
+the documents that have a seed, the first FIRST propose themselves to all later ones; then, to the documents
+where a line of the seed is still left, MORE times as many of the others, and so on until no such line
+or no holder is left.  So a rare seed pairs all that have it, and a common one few more than it has documents.
 
 Of texts with the same lines only the first takes part; the others are aligned with it as a whole.
 """
@@ -26,8 +29,10 @@ from loomgraph.llm.common import bounded_batches, text_hash, written
 
 #: A common block of fewer words is too common by chance to go.
 LEAST_WORDS = 5
-#: Documents that a seed proposes to later ones.
-HOLDERS = 4
+#: Documents that a seed proposes to later ones at first, and the factor of each further round.
+FIRST, MORE = 4, 8
+#: Documents that a seed proposes to later ones in all; None: every one.
+HOLDERS: int | None = None
 #: Characters of scripts without spaces between words; two count as a word.
 _WIDE = re.compile(r"[⺀-鿿豈-﫿\U00020000-\U0003ffff]")
 
@@ -189,9 +194,54 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("row").take(at), batch.column("first_row").take(at), *[pa.array(c, pa.int32()) for c in cols]], names=["row", "first_row", *_BLOCK])
 
 
-def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, holders: int = HOLDERS) -> DataFrame:
-    """(id, h, first_id, first_h, start, end, first_start, first_end): the blocks of lines that a document
-    is aligned on with earlier ones, in lines from 0; h is the text's hash, (id, h) names a document."""
+def _blocks(pairs: DataFrame, mine: DataFrame) -> DataFrame:
+    """The aligned blocks of pairs (row, first_row) of documents, by their seeds mine (row, hash, places)."""
+    theirs = mine.select(F.col("row").alias("first_row"), "hash", F.col("places").alias("first_places"))
+    met = pairs.join(mine, "row").join(theirs, ["first_row", "hash"])
+    seeds_of_pair = met.groupBy("row", "first_row").agg(F.collect_list(F.struct("places", "first_places")).alias("seeds"))
+    return seeds_of_pair.mapInArrow(_align, "row bigint, first_row bigint, start int, end int, first_start int, first_end int")
+
+
+def _pairs(met: DataFrame) -> DataFrame:
+    """(row, first_row) of places own and first, where first is the earlier document."""
+    return met.where("first < own").select(F.col("own.row").alias("row"), F.col("first.row").alias("first_row")).distinct()
+
+
+def _left(seeds: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Those of seeds (own, hash, places) that have a line which is in none of the blocks."""
+    gone = blocks.select("row", F.explode(F.sequence("start", F.col("end") - 1)).alias("line")).distinct()
+    spans = F.transform(F.sequence(F.lit(0), F.size("places") - 2, F.lit(2)), lambda i: F.sequence(F.get("places", i), F.get("places", i + 1) - 1))
+    lines = seeds.select(F.col("own.row").alias("row"), "hash", F.explode(F.flatten(spans)).alias("line"))
+    open_ = lines.join(gone, ["row", "line"], "left_anti").select("row", "hash").distinct()
+    return seeds.withColumn("row", F.col("own.row")).join(open_, ["row", "hash"], "left_semi").select("own", "hash", "places")
+
+
+def _with_others(shared: DataFrame, mine: DataFrame, blocks: DataFrame) -> DataFrame:
+    """blocks with those by holders beyond the first ones, until no further one can add a line.
+
+    A seed's further holders take turns in an order by hash, so that each round spreads over all of them.
+    """
+    open_ = written(_left(shared.where("beyond < own").select("own", "hash", "places"), blocks), "open-seeds")
+    if open_.isEmpty():
+        return blocks
+    further = shared.where("beyond <= own").select("hash", F.col("own").alias("first")).join(open_.select("hash").distinct(), "hash", "left_semi")
+    counts = further.groupBy("hash").agg(F.count(F.lit(1)).alias("n"))
+    further = written(further.join(counts, "hash").select("hash", "first", F.pmod(F.xxhash64("first.row"), F.col("n")).alias("turn")), "further-holders")
+    last = further.agg(F.max("turn")).first()[0]
+    begin, end = 0, FIRST * MORE
+    while begin <= last and not open_.isEmpty():
+        met = open_.join(further.where((F.col("turn") >= begin) & (F.col("turn") < end)), "hash")
+        fresh = written(_blocks(written(_pairs(met), "further-pairs"), mine), "blocks")
+        blocks = blocks.unionByName(fresh)
+        open_ = written(_left(open_, fresh), "open-seeds")
+        begin, end = end, end * MORE
+    return blocks
+
+
+def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, holders: int | None = HOLDERS) -> DataFrame:
+    """(id, h, first_id, first_h, start, end, first_start, first_end): blocks of lines that a document is
+    aligned on with earlier ones, in lines from 0; h is the text's hash, (id, h) names a document.  They hold
+    every line that an earlier document is aligned on, not every document that is aligned on it."""
     bounded_batches(docs.sparkSession, 4)
     given = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"), F.col(text_col).alias("text"))
     kind = given.schema["id"].dataType.simpleString()
@@ -205,19 +255,18 @@ def common_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     copies = others.where(~same).select("id", "h", "first_id", "first_h", F.lit(0).alias("start"), F.col("last").alias("end"), F.lit(0).alias("first_start"), F.col("last").alias("first_end")).distinct()
 
     seeds = every.join(others.select("row"), "row", "left_anti").select("hash", place.alias("own"), "places")
+    most = FIRST if holders is None else holders
     nth = F.row_number().over(Window.partitionBy("hash").orderBy("own"))
-    first = seeds.select("hash", "own").withColumn("nth", nth).where(F.col("nth") <= holders + 1)
-    first = first.groupBy("hash").agg(F.collect_list("own").alias("firsts")).where(F.size("firsts") > 1)
-    first = first.select("hash", F.slice(F.array_sort("firsts"), 1, holders).alias("firsts"))
+    first = seeds.select("hash", "own").withColumn("nth", nth).where(F.col("nth") <= most + 1)
+    first = first.groupBy("hash").agg(F.array_sort(F.collect_list("own")).alias("firsts")).where(F.size("firsts") > 1)
+    first = first.select("hash", F.slice("firsts", 1, most).alias("firsts"), F.get("firsts", F.lit(most)).alias("beyond"))
     first = written(first, "holders")  # joined as a table, so that the rows of a very common line can be split
     shared = written(seeds.join(first, "hash"), "shared-seeds")
 
-    pairs = shared.select("own", F.explode("firsts").alias("first")).where("first < own").select(F.col("own.row").alias("row"), F.col("first.row").alias("first_row")).distinct()
     mine = shared.select(F.col("own.row").alias("row"), "hash", "places")
-    theirs = mine.select(F.col("row").alias("first_row"), "hash", F.col("places").alias("first_places"))
-    met = pairs.join(mine, "row").join(theirs, ["first_row", "hash"])
-    seeds_of_pair = met.groupBy("row", "first_row").agg(F.collect_list(F.struct("places", "first_places")).alias("seeds"))
-    blocks = seeds_of_pair.mapInArrow(_align, "row bigint, first_row bigint, start int, end int, first_start int, first_end int")
+    blocks = _blocks(_pairs(shared.select("own", F.explode("firsts").alias("first"))), mine)
+    if holders is None:
+        blocks = _with_others(shared, mine, written(blocks, "blocks"))
     names = heads.select("row", "id", "h")
     named = blocks.join(names, "row").join(names.select(F.col("row").alias("first_row"), F.col("id").alias("first_id"), F.col("h").alias("first_h")), "first_row")
     return named.select(*copies.columns).unionByName(copies)
@@ -239,12 +288,12 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=[*names, "__loom_kept", "__loom_lines", "__loom_removed"])
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, holders: int = HOLDERS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, holders: int | None = HOLDERS) -> DataFrame:
     """docs with the deduplicated text in place, and __loom_lines and __loom_removed (counts of lines).
 
     A line goes if it is in a block, a run of lines with least_words words in all, on which patience diff
-    aligns the document with an earlier one.  The earlier ones are, of each of its seeds, the first
-    `holders` documents that have it.  What two documents share in another order is aligned as far as the
+    aligns the document with an earlier one.  The earlier ones are all that have one of its seeds or, if
+    `holders` is given, of each of its seeds the first so many documents that have it.  What two documents share in another order is aligned as far as the
     order allows, and the rest stays.  Blank lines do not part a block and go with the line before them (at
     the head, with the first line).  Lines are compared with white space runs as one space.  A copy of an
     earlier text keeps no line: its text is empty; texts of fewer words go only as such copies.
@@ -264,7 +313,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(*[F.col("__loom_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], "__loom_lines", "__loom_removed")
 
 
-def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
+def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int | None) -> DataFrame:
     """One row per row of docs: id, n_lines, n_removed, kept_sha256 (of the kept text; null: empty)."""
     done = line_dedup(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text", **settings)
     return done.select(F.col("id").alias(id_col), F.col("__loom_lines").alias("n_lines"), F.col("__loom_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -504,6 +504,16 @@ def test_line_dedup_keeps_what_stands_in_another_order(spark):
     assert left[3] == "an own line before all the others" and left[4] == ""
 
 
+@pytest.mark.parametrize(("wrong", "place"), [(3, 3), (4, 4), (5, 0), (60, 60), (300, 150)])
+def test_line_dedup_aligns_with_any_holder(spark, wrong, place):
+    """Of many holders of two lines one alone has them in the later document's order, and that one need not be among the first."""
+    one, two = P.split("\n")[:2]
+    rows = [(i if i < place else i + 1, f"{two}\n{one}\nown closing line of document {i}") for i in range(wrong)]
+    rows += [(place, f"{one}\n{two}\nown closing line of the other one"), (900, f"{one}\n{two}")]
+    assert texts_left(spark, rows)[900] == ""
+    assert sorted(line_dedup.line_dedup_report(spark.createDataFrame(rows, DOC)).toPandas().itertuples(index=False, name=None)) == sorted(plain_lines(rows))
+
+
 @pytest.mark.parametrize("holders", [2, 100, 101, 300])
 def test_line_dedup_rule_is_the_same_at_every_count_of_holders(spark, holders):
     passage = "the licence line that all of these have\nshort end\n\nthe second line that all of these have"
