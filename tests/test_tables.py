@@ -325,3 +325,21 @@ def test_rounds_follow_the_longest_ring_and_not_the_number_of_nodes(spark, monke
     layers = spark.range(48 * 48).selectExpr("id div 48 AS src", "id % 48 AS dst").where("src < dst")
     assert graphs.strong_components(layers).isEmpty()
     assert len(rounds) < 18
+
+
+@pytest.mark.parametrize(("given", "wanted"), [("67108864b", "8m"), ("64MB", "8m"), ("1g", "8m"), ("16k", "16k"), ("1048576", "1048576")])
+@pytest.mark.parametrize("what", ["rules", "walk"])
+def test_rules_and_walks_bound_the_rows_of_a_task(spark, what, given, wanted):
+    """The partitions that Spark merges get no larger than the bound; a session's own smaller ones stay."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    edges = spark.createDataFrame([(0, "e", "flow", "a", "b")], "ord long, id string, kind string, src string, dst string")
+    try:
+        spark.conf.set(name, given)
+        if what == "walk":
+            graphs.cycles(edges)
+        else:
+            validation.malformed(spark.createDataFrame([], "path string, document string"), spark.createDataFrame([], "graph_path string, ord long, id string, type string, direction string, ref string, entrypoint string, schema string"), edges.withColumn("graph_path", F.lit("g")))
+        assert spark.conf.get(name) == wanted
+    finally:
+        spark.conf.set(name, before)
